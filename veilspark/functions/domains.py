@@ -1,8 +1,8 @@
 """Value domains: numbered sets of replacement values.
 
-A ``Domain`` maps 0..size-1 one-to-one to values. Because every generator is a domain, three rules
-need writing only once: draw a value, draw one that differs from the original (shift the number),
-and give each row its own value (number the rows).
+A ``Domain`` maps 0..size-1 one-to-one to values. Because every generator is a domain, three things
+need writing only once: draw a value, draw another one where the first equals the original (shift the
+number), and give each row its own value (number the rows).
 """
 
 from __future__ import annotations
@@ -60,15 +60,6 @@ class Sampler:
             numbers[lead] = (numbers[lead] + 1 + draws("s") % F.lit(size - 1)) % F.lit(size)
         return self._render(numbers)
 
-    def differing(
-        self, draws: Draws, same: Callable[[Column], Column], adapt: Callable[[Column], Column] = lambda v: v
-    ) -> Column:
-        """A drawn value that is not the ``same`` as the original whenever the domain has a second value."""
-        first = adapt(self.value(draws))
-        if self.capacity < 2:
-            return first
-        return F.when(same(first), adapt(self.value(draws, shifted=True))).otherwise(first)
-
     def numbered(self, number: Column, draws: Draws) -> Column:
         """The value with the given number; other parts are drawn."""
         numbers = [draws(j) % F.lit(p.size) for j, p in enumerate(self.parts)]
@@ -98,12 +89,33 @@ def digits(n: int) -> Sampler:
 
 def characters(alphabet: str, n: int) -> Sampler:
     """n characters, each drawn from an alphabet."""
-    return concat(*[_character(alphabet) for _ in range(n)])
+    base, runs = len(alphabet), []
+    longest = 1
+    while longest < n and 1 < base <= _CONV_BASE and base ** (longest + 1) <= PACK_LIMIT:
+        longest += 1
+    while n > 0:
+        runs.append(_run(alphabet, min(n, longest)))
+        n -= longest
+    return concat(*runs)
+
+
+# Digits of the number system conversion; a longer alphabet is drawn character by character.
+_CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CONV_BASE = len(_CONV_DIGITS)
+
+
+def _run(alphabet: str, n: int) -> Sampler:
+    """n characters as the digits of one number; short code for long runs."""
+    base = len(alphabet)
+    if n == 1:
+        letters = F.lit(alphabet)
+        return one(Domain(base, lambda i: F.substring(letters, i.cast("int") + 1, F.lit(1))))
 
+    def render(i: Column) -> Column:
+        figures = F.lpad(F.conv(i.cast("string"), 10, base), n, "0")
+        return figures if alphabet == _CONV_DIGITS[:base] else F.translate(figures, _CONV_DIGITS[:base], alphabet)
 
-def _character(alphabet: str) -> Sampler:
-    letters = F.lit(alphabet)
-    return one(Domain(len(alphabet), lambda i: F.substring(letters, i.cast("int") + 1, F.lit(1))))
+    return one(Domain(base**n, render))
 
 
 def integers(low: int, high: int, kind: str = "bigint") -> Sampler:

@@ -37,16 +37,26 @@ class Recipe:
     choices: Callable[[RowView], list[tuple[Column, d.Sampler]]] = lambda row: []
     finish: Callable[[Column, RowView], Column] = lambda value, row: value
 
-    def value(self, row: RowView, same: Callable[[Column], Column], adapt: Callable[[Column], Column]) -> Column:
-        """The masked value of a row: drawn, different from the original where possible."""
-
-        def touch(value: Column) -> Column:
-            return adapt(self.finish(value, row))
-
-        result = self.sampler.differing(row.draws, same, touch)
-        for condition, sampler in reversed(self.choices(row)):
-            result = F.when(condition, sampler.differing(row.draws, same, touch)).otherwise(result)
-        return result
+    def value(
+        self, row: RowView, same: Callable[[Column], Column], hold: Callable[[Column], Column] = lambda value: value
+    ) -> Column:
+        """The masked value of a row: drawn, and not the ``same`` as the original where there is a second value.
+
+        ``hold`` may keep the first value in a projection of its own, so that it is computed once.
+        """
+        options = self.choices(row)
+
+        def chosen(pick: Callable[[d.Sampler], Column]) -> Column:
+            result = pick(self.sampler)
+            for condition, sampler in reversed(options):
+                result = F.when(condition, pick(sampler)).otherwise(result)
+            return self.finish(result, row)
+
+        first = hold(chosen(lambda sampler: sampler.value(row.draws)))
+        if max(s.capacity for s in [self.sampler, *[s for _, s in options]]) < 2:
+            return first
+        other = chosen(lambda sampler: sampler.value(row.draws, shifted=sampler.capacity > 1))
+        return F.when(same(first), other).otherwise(first)
 
     @property
     def kind(self) -> str:
@@ -294,7 +304,7 @@ def _rant(rule, settings):
     paragraphs = max(1, _whole(rule.min))
     limit = rule.limit()
     if limit is not None:
-        paragraphs = max(1, min(paragraphs, -(-limit // 120)))
+        paragraphs = max(1, min(paragraphs, -(-limit // 100)))
     pieces: list[str | d.Sampler] = [t.filler(3, " ", limit)]
     for _ in range(paragraphs - 1):
         pieces += ["\n\n", t.filler(3)]
@@ -303,7 +313,7 @@ def _rant(rule, settings):
 
 @register("Clob")
 def _clob(rule, settings):
-    return Recipe(t.filler(4), finish=lambda v, row: F.base64(F.encode(v, "UTF-16LE")))
+    return Recipe(t.filler(4), finish=lambda v, row: F.translate(F.base64(F.encode(v, "UTF-16LE")), "\r\n", ""))
 
 
 # Things and places ------------------------------------------------------------------------------

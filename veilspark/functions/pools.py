@@ -111,13 +111,19 @@ PLACE_BOOK = [
     ("France", "Occitanie", "Nîmes"), ("France", "Normandie", "Rouen"), ("France", "Normandie", "Caen"),
 ]
 
-# 64 filler words (a power of two, so that six bits of a draw choose one).
+# 64 filler words.
 WORDS = (
     "amber basin cargo delta ember fable garnet harbor island jovial kettle ladder meadow nectar orbit pebble quartz "
     "ribbon saddle timber umber velvet walnut yonder zenith acorn birch cedar dapple elder fennel glade hollow indigo "
     "juniper kernel lantern maple nimble opal pumice quiver raven sable thistle upland violet willow xylem yarrow "
     "zephyr anchor beacon candle drift easel flint grove hearth ivory jetty keel lumen mosaic"
 ).split()
+# Filler phrases, 64 of each kind, made from the words by a rule.
+VERBS = "keeps finds carries guards follows mends paints counts".split()
+PLACES_OF = "near under behind beside above beyond across below".split()
+SUBJECTS = [f"The {w} {WORDS[(7 * i + 3) % 64]}" for i, w in enumerate(WORDS)]
+PREDICATES = [f"{VERBS[i % 8]} the {WORDS[(11 * i + 5) % 64]}" for i in range(64)]
+ENDINGS = [f"{PLACES_OF[i % 8]} the {WORDS[(13 * i + 9) % 64]} {WORDS[(5 * i + 2) % 64]}" for i in range(64)]
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS_LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"

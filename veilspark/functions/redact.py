@@ -45,25 +45,22 @@ MASKING_OUT = {"maskingleft": mask_left, "maskingright": mask_right, "maskingmid
 
 
 def permuted(text: Column, draws: Draws) -> Column:
-    """The characters of a text in the order of a keyed hash.
+    """The characters of a text in the order of a keyed hash: four hex digits per character, eight per digest.
 
-    One digest serves eight characters. The outer ``transform`` binds the digests once per row; inside the
-    inner lambda they would be computed again for every character.
+    Zip, sort and join are built in; only the digests run through a lambda, once per eight characters.
+    Digits beyond the last character pair up with null, which the join leaves out.
     """
     seed = draws.digest("p")
-    last_block = F.greatest(F.length(text) - 1, F.lit(0)) / 8
-    blocks = F.transform(F.sequence(F.lit(0), last_block.cast("int")), lambda b: F.md5(F.concat(seed, b.cast("string"))))
-
-    def order(digests: Column) -> Column:
-        ranked = F.transform(
-            F.split(text, ""),
-            lambda c, i: F.struct(
-                F.substring(F.get(digests, (i / 8).cast("int")), (i % 8) * 4 + 1, F.lit(4)).alias("h"), c.alias("c")
-            ),
-        )
-        return F.array_join(F.transform(F.array_sort(ranked), lambda x: x["c"]), "")
-
-    return F.get(F.transform(F.array(blocks), order), F.lit(0))
+    last_block = F.call_function("div", F.greatest(F.length(text) - 1, F.lit(0)), F.lit(8)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last_block), lambda b: b.cast("string"))
+    digests = F.get(
+        F.transform(F.array(seed), lambda s: F.array_join(F.transform(blocks, lambda b: F.md5(F.concat(s, b))), "")),
+        F.lit(0),
+    )
+    ranked = F.arrays_zip(
+        F.regexp_extract_all(digests, F.lit("...."), F.lit(0)).alias("h"), F.split(text, "").alias("c")
+    )
+    return F.array_join(F.sort_array(ranked)["c"], "")
 
 
 def scramble_text(text: Column, draws: Draws) -> Column:

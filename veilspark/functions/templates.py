@@ -16,28 +16,28 @@ YEAR_END_2023 = dt.datetime(2023, 12, 31)
 def symbols(pattern: str) -> d.Sampler:
     """``#`` a digit, ``?`` a capital letter, ``*`` either; anything else stands for itself."""
     pieces: list[str | d.Sampler] = []
-    for run in re.findall(r"#+|\?|\*|[^#?*]+", pattern):
+    for run in re.findall(r"#+|\?+|\*+|[^#?*]+", pattern):
         if run[0] == "#":
             pieces.extend(d.digits(len(run[i : i + 15])) for i in range(0, len(run), 15))
-        elif run == "?":
-            pieces.append(d.characters(p.LETTERS_UPPER, 1))
-        elif run == "*":
-            pieces.append(d.characters(p.DIGITS + p.LETTERS_UPPER, 1))
+        elif run[0] == "?":
+            pieces.append(d.characters(p.LETTERS_UPPER, len(run)))
+        elif run[0] == "*":
+            pieces.append(d.characters(p.DIGITS + p.LETTERS_UPPER, len(run)))
         else:
             pieces.append(run)
     return d.concat(*pieces)
 
 
-def sentence(words: int = 8) -> d.Sampler:
-    """A capitalised run of filler words with a full stop."""
-    rest = [piece for _ in range(words - 1) for piece in (" ", d.pool(p.WORDS))]
-    return d.concat(d.pool([w.capitalize() for w in p.WORDS]), *rest, ".")
+def sentence() -> d.Sampler:
+    """A filler sentence of three phrases."""
+    return d.concat(d.pool(p.SUBJECTS), " ", d.pool(p.PREDICATES), " ", d.pool(p.ENDINGS), ".")
 
 
 def filler(sentences: int, separator: str = " ", limit: int | None = None) -> d.Sampler:
     """Sentences of filler text; no more of them than ``limit`` characters can hold."""
     if limit is not None:
-        sentences = max(1, min(sentences, -(-limit // 40)))
+        shortest = sum(min(map(len, phrases)) + 1 for phrases in (p.SUBJECTS, p.PREDICATES, p.ENDINGS))
+        sentences = max(1, min(sentences, -(-limit // shortest)))
     pieces: list[str | d.Sampler] = [sentence()]
     for _ in range(sentences - 1):
         pieces += [separator, sentence()]

@@ -77,21 +77,27 @@ class TableMask:
         self.df, self.rule, self.settings, self.keep_types = df, rule, settings, keep_types
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.stage: dict[str, Column] = {}
+        self.held: dict[str, Column] = {}
         self.pending: dict[str, Column] = {}
 
     # Projections ----------------------------------------------------------------------------------
 
     def flush(self) -> None:
-        """Close the current projection: draws first, masked values over them."""
+        """Close the current projection: draws first, first values over them, masked values over those.
+
+        Each layer reads the one below more than once, so the optimizer keeps them apart: nothing is computed
+        twice, and the generated code stays in methods small enough to be compiled.
+        """
         if not self.pending:
             return
         names = self.df.columns
-        if self.stage:
-            self.df = self.df.select("*", *[c.alias(n) for n, c in self.stage.items()])
+        for layer in (self.stage, self.held):
+            if layer:
+                self.df = self.df.select("*", *[c.alias(n) for n, c in layer.items()])
         kept = [self.pending[n].alias(n) if n in self.pending else F.col(n) for n in names]
         added = [c.alias(n) for n, c in self.pending.items() if n not in names]
         self.df = self.df.select(*kept, *added)
-        self.stage, self.pending = {}, {}
+        self.stage, self.held, self.pending = {}, {}, {}
 
     def reads(self, *names: str | None) -> None:
         """A rule is about to read these columns: they must hold their masked values."""
@@ -137,7 +143,13 @@ class TableMask:
         old, old_type = F.col(rule.name), self.types[rule.name]
         gender = F.col(rule.gender_column) if rule.gender_column else None
         row = RowView(self.staged(rule), old, gender)
-        value = made.value(row, _comparison(old, old_type, made.kind), lambda v: v)
+
+        def hold(first: Column) -> Column:
+            name = f"__v_{len(self.pending)}_{rule.name}"
+            self.held[name] = first
+            return F.col(name)
+
+        value = made.value(row, _comparison(old, old_type, made.kind), hold)
         if rule.local_mapping and rule.value_mappings:
             pairs = [F.lit(x) for pair in rule.value_mappings.items() for x in pair]
             supplied = F.try_element_at(F.create_map(*pairs), old.cast("string")).cast(made.kind)
