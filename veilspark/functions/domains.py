@@ -49,22 +49,23 @@ class Sampler:
     def capacity(self) -> int:
         return self.parts[self._lead].size
 
-    def _render(self, numbers: Sequence[Column]) -> Column:
-        values = [p.render(n) for p, n in zip(self.parts, numbers)]
+    def _with_lead(self, number: Column, draws: Draws) -> Column:
+        """The value whose leading part has the given number; the other parts are drawn."""
+        values = [
+            p.render(number) if j == self._lead else draws.part(j, p.size, p.render) for j, p in enumerate(self.parts)
+        ]
         return values[0] if len(values) == 1 else F.concat(*values)
 
     def value(self, draws: Draws, shifted: bool = False) -> Column:
-        numbers = [draws(j) % F.lit(p.size) for j, p in enumerate(self.parts)]
+        """A drawn value; ``shifted`` gives another one for the same draws."""
+        number, size = draws(self._lead) % F.lit(self.capacity), self.capacity
         if shifted:
-            lead, size = self._lead, self.capacity
-            numbers[lead] = (numbers[lead] + 1 + draws("s") % F.lit(size - 1)) % F.lit(size)
-        return self._render(numbers)
+            number = (number + 1 + draws("s") % F.lit(size - 1)) % F.lit(size)
+        return self._with_lead(number, draws)
 
     def numbered(self, number: Column, draws: Draws) -> Column:
-        """The value with the given number; other parts are drawn."""
-        numbers = [draws(j) % F.lit(p.size) for j, p in enumerate(self.parts)]
-        numbers[self._lead] = number
-        return self._render(numbers)
+        """The value with the given number."""
+        return self._with_lead(number, draws)
 
 
 def one(domain: Domain) -> Sampler:

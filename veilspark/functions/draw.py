@@ -7,6 +7,8 @@ layout, and in any SQL engine that has md5.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ class Draws:
         """The 32 hex digits behind draw k."""
         return F.md5(F.concat(self._prefix, self._key, F.lit(f"|{k}")))
 
+    def digest_of(self, block: Column) -> Column:
+        """``digest("p0")``, ``digest("p1")``, ... for a block number of the row."""
+        return F.md5(F.concat(self._prefix, self._key, F.lit("|p"), block.cast("string")))
+
+    def part(self, k: int, size: int, render: Callable[[Column], Column]) -> Column:
+        """The value that draw k picks out of ``size`` values."""
+        return render(self(k) % F.lit(size))
+
     def __call__(self, k: int | str = 0) -> Column:
         return F.conv(F.substring(self.digest(k), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,50 +46,55 @@ def mask_middle(text: Column, size: int) -> Column:
 MASKING_OUT = {"maskingleft": mask_left, "maskingright": mask_right, "maskingmiddle": mask_middle}
 
 
+# Characters one digest gives sort keys for, and digests spelled out before a lambda takes over.
+_KEYS_PER_DIGEST = 8
+_SPELLED_DIGESTS = 4
+
+
 def permuted(text: Column, draws: Draws) -> Column:
-    """The characters of a text in the order of a keyed hash: four hex digits per character, eight per digest.
+    """The characters of a text in the order of a keyed hash: four hex digits per character.
 
-    Zip, sort and join are built in; only the digests run through a lambda, once per eight characters.
-    Digits beyond the last character pair up with null, which the join leaves out.
+    Zip, sort and join are built in; only digests of long texts run through a lambda. Digits beyond the last
+    character pair up with null, which the join leaves out.
     """
-    seed = draws.digest("p")
-    last_block = F.call_function("div", F.greatest(F.length(text) - 1, F.lit(0)), F.lit(8)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last_block), lambda b: b.cast("string"))
-    digests = F.get(
-        F.transform(F.array(seed), lambda s: F.array_join(F.transform(blocks, lambda b: F.md5(F.concat(s, b))), "")),
-        F.lit(0),
-    )
+    last = F.call_function("div", F.greatest(F.length(text) - 1, F.lit(0)), F.lit(_KEYS_PER_DIGEST)).cast("int")
+    short = F.concat(*[draws.digest(f"p{b}") for b in range(_SPELLED_DIGESTS)])
+    long = F.array_join(F.transform(F.sequence(F.lit(0), last), draws.digest_of), "")
+    digests = F.when(F.length(text) <= _KEYS_PER_DIGEST * _SPELLED_DIGESTS, short).otherwise(long)
     ranked = F.arrays_zip(
         F.regexp_extract_all(digests, F.lit("...."), F.lit(0)).alias("h"), F.split(text, "").alias("c")
     )
     return F.array_join(F.sort_array(ranked)["c"], "")
 
 
-def scramble_text(text: Column, draws: Draws) -> Column:
+Hold = Callable[[Column], Column]
+
+
+def scramble_text(text: Column, draws: Draws, hold: Hold = lambda mixed: mixed) -> Column:
     """Permute the characters; if the order came out the same, rotate by one."""
-    mixed = permuted(text, draws)
+    mixed = hold(permuted(text, draws))
     turned = F.concat(F.substring(text, 2, 2**30), F.substring(text, 1, 1))
     return F.when(F.length(text) <= 1, text).otherwise(F.when(mixed == text, turned).otherwise(mixed))
 
 
-def scramble_whole(number: Column, draws: Draws, kind: str) -> Column:
+def scramble_whole(number: Column, draws: Draws, kind: str, hold: Hold = lambda mixed: mixed) -> Column:
     """Permute the digits of a whole number; leading zeros drop, the sign stays in front.
 
     A permutation that does not fit the type (9 in front of ten digits) keeps the number.
     """
-    mixed = scramble_text(F.abs(number.cast("decimal(38,0)")).cast("string"), draws)
+    mixed = scramble_text(F.abs(number.cast("decimal(38,0)")).cast("string"), draws, hold)
     value = mixed.cast("decimal(38,0)")
     signed = F.when(number < 0, -value).otherwise(value)
     return F.coalesce(signed.try_cast(kind), number)
 
 
-def scramble_decimal(number: Column, draws: Draws, kind: str) -> Column:
+def scramble_decimal(number: Column, draws: Draws, kind: str, hold: Hold = lambda mixed: mixed) -> Column:
     """Permute the digits left of the point and keep the fraction."""
     text = F.abs(number).cast("string")
     point = F.instr(text, ".")
     whole = F.when(point > 0, F.substring_index(text, ".", 1)).otherwise(text)
     rest = F.when(point > 0, F.concat(F.lit("."), F.substring_index(text, ".", -1))).otherwise(F.lit(""))
-    value = F.concat(scramble_text(whole, draws), rest).try_cast(kind)
+    value = F.concat(scramble_text(whole, draws, hold), rest).try_cast(kind)
     return F.coalesce(F.when(number < 0, -value).otherwise(value), number)
 
 

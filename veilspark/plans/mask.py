@@ -53,6 +53,11 @@ class _StagedDraws(Draws):
     def digest(self, k=0):
         return self._draws.digest(k)
 
+    def part(self, k, size, render):
+        name = f"__p_{self._tag}_{k}_{size}"
+        self._stage[name] = self._draws.part(k, size, render)
+        return F.col(name)
+
     def __call__(self, k=0):
         if k == "s":
             return self._draws(k)
@@ -124,6 +129,12 @@ class TableMask:
     def staged(self, rule: ColumnRule) -> Draws:
         return _StagedDraws(self.draws(rule), self.stage, f"{len(self.pending)}_{rule.name}")
 
+    def hold(self, rule: ColumnRule, value: Column) -> Column:
+        """Compute a value that is read more than once in a projection of its own."""
+        name = f"__v_{len(self.pending)}_{rule.name}"
+        self.held[name] = value
+        return F.col(name)
+
     # One rule -------------------------------------------------------------------------------------
 
     def retained(self, rule: ColumnRule, new: Column, kind: str | None = None) -> Column:
@@ -143,13 +154,7 @@ class TableMask:
         old, old_type = F.col(rule.name), self.types[rule.name]
         gender = F.col(rule.gender_column) if rule.gender_column else None
         row = RowView(self.staged(rule), old, gender)
-
-        def hold(first: Column) -> Column:
-            name = f"__v_{len(self.pending)}_{rule.name}"
-            self.held[name] = first
-            return F.col(name)
-
-        value = made.value(row, _comparison(old, old_type, made.kind), hold)
+        value = made.value(row, _comparison(old, old_type, made.kind), lambda first: self.hold(rule, first))
         if rule.local_mapping and rule.value_mappings:
             pairs = [F.lit(x) for pair in rule.value_mappings.items() for x in pair]
             supplied = F.try_element_at(F.create_map(*pairs), old.cast("string")).cast(made.kind)
@@ -175,15 +180,15 @@ class TableMask:
 
     def _scrambled(self, rule: ColumnRule) -> Column:
         old, kind = F.col(rule.name), self.types[rule.name]
-        draws = self.draws(rule)
+        draws, hold = self.draws(rule), lambda mixed: self.hold(rule, mixed)
         if isinstance(kind, T.StringType):
-            return redact.scramble_text(old, draws)
+            return redact.scramble_text(old, draws, hold)
         if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            return redact.scramble_whole(old, draws, kind.simpleString())
+            return redact.scramble_whole(old, draws, kind.simpleString(), hold)
         if isinstance(kind, T.DecimalType):
-            return redact.scramble_decimal(old, draws, kind.simpleString())
+            return redact.scramble_decimal(old, draws, kind.simpleString(), hold)
         if isinstance(kind, (T.FloatType, T.DoubleType)):
-            return redact.scramble_decimal(old.cast("decimal(38,6)"), draws, "decimal(38,6)").cast(kind)
+            return redact.scramble_decimal(old.cast("decimal(38,6)"), draws, "decimal(38,6)", hold).cast(kind)
         raise RuleError(f"{rule.name}: Scramble does not apply to {kind.simpleString()}")
 
     def _starred(self, rule: ColumnRule) -> Column:
