@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,21 +14,20 @@ from veilspark.plans.rules import Settings
 from veilspark.sources.scratch import materialise
 
 
-def _pool_text(value: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.StructType, T.ArrayType)):
-        return F.coalesce(F.to_json(value), F.lit(""))
-    return value_key(value, dtype.simpleString())
+_NESTED = (T.StructType, T.ArrayType)
 
 
 def value_pool(df: DataFrame, column: str, with_null: bool, buckets: int) -> DataFrame:
     """The distinct values of a column, numbered: ``(__i, __value)``."""
+    kind = df.schema[column].dataType
+    value = F.col("__value")
     values = df.select(F.col(column).alias("__value"))
     if not with_null:
-        values = values.where(F.col("__value").isNotNull())
-    values = values.distinct()
-    text = _pool_text(F.col("__value"), values.schema["__value"].dataType)
-    numbered = number_rows(values.withColumn("__text", text), F.col("__text"), [F.col("__text"), F.col("__value").asc_nulls_first()] if not isinstance(values.schema["__value"].dataType, (T.StructType, T.ArrayType)) else [F.col("__text")], "__i", buckets)
-    return numbered.select("__i", "__value")
+        values = values.where(value.isNotNull())
+    text = value_key(value, kind.simpleString())
+    order = [F.col("__text")] if isinstance(kind, _NESTED) else [F.col("__text"), value.asc_nulls_first()]
+    distinct = values.distinct().withColumn("__text", text)
+    return number_rows(distinct, F.col("__text"), order, "__i", buckets).select("__i", "__value")
 
 
 def shuffle_column(

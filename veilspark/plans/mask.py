@@ -110,7 +110,8 @@ class TableMask:
             self.flush()
 
     def put(self, name: str, value: Column) -> None:
-        if self.keep_types and name in self.types:
+        nested = isinstance(self.types.get(name), (T.StructType, T.ArrayType))
+        if self.keep_types and name in self.types and not nested:
             value = value.cast(self.types[name])
         self.pending[name] = value
 
