@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,19 +15,30 @@ class Step:
     outcome: Mapping[str, Column | str | bool]
 
 
-def decide(steps: Sequence[Step], defaults: Mapping[str, Column | str | bool]) -> dict[str, Column]:
-    """One ``when`` chain per outcome column."""
+def decide(df: DataFrame, steps: Sequence[Step], defaults: Mapping[str, Column | str | bool]) -> DataFrame:
+    """Add or replace the outcome columns.
 
-    def as_column(value) -> Column:
-        return value if isinstance(value, Column) else F.lit(value)
-
-    chains = {}
+    One chain finds the number of the first step that holds; the outcomes are looked up by that number. Every
+    condition is evaluated, and compiled, once.
+    """
+    chain = F
+    for number, step in enumerate(steps):
+        chain = chain.when(step.condition, F.lit(number))
+    numbered = df.withColumn("__step", chain.otherwise(F.lit(len(steps))))
+    outcomes = [step.outcome for step in steps] + [{}]
+    columns = {}
     for name, default in defaults.items():
-        chain = F
-        for step in steps:
-            chain = chain.when(step.condition, as_column(step.outcome.get(name, default)))
-        chains[name] = chain.otherwise(as_column(default))
-    return chains
+        chosen = [o.get(name, default) for o in outcomes]
+        constants = F.array(*[F.lit(None if isinstance(v, Column) else v) for v in chosen])
+        computed: dict[int, tuple[Column, list[int]]] = {}
+        for number, value in enumerate(chosen):
+            if isinstance(value, Column):
+                computed.setdefault(id(value), (value, []))[1].append(number)
+        value = F.get(constants, F.col("__step"))
+        for expression, numbers in computed.values():
+            value = F.when(F.col("__step").isin(*numbers), expression).otherwise(value)
+        columns[name] = value
+    return numbered.withColumns(columns).drop("__step")
 
 
 def has(text: Column, *words: str) -> Column:

@@ -40,7 +40,7 @@ def _unmasked(reason: str = "", **more) -> dict:
 
 
 def _steps() -> list[Step]:
-    name, kind, comments, table = F.col("column_name"), F.upper("data_type"), F.lower("comments"), F.upper("table_name")
+    name, kind, comments, table = (F.col(c) for c in ("column_name", "__kind", "__comments", "__table"))
     low, high = F.col("min"), F.col("max")
     nothing = ((low == "") & (high == "")) | ((low == "NULL") & (high == "NULL")) | ((low == "1") & (high == "1"))
     measured = has(kind, "NUMERIC", "DECIMAL")
@@ -118,7 +118,8 @@ def classify_columns(profile: DataFrame, as_of: str = "2024-01-01 00:00:00") ->
 
     A time column whose bounds are equal gets ``as_of`` as its upper bound.
     """
-    decided = swap_bounds(profile).withColumns(decide(_steps(), _DEFAULTS))
+    read = {"__kind": F.upper("data_type"), "__comments": F.lower("comments"), "__table": F.upper("table_name")}
+    decided = decide(swap_bounds(profile).withColumns(read), _steps(), _DEFAULTS).drop(*read)
     point = (F.col("masking_rule") == "DateOfBirth") & (F.col("min") == F.col("max")) & (F.col("min") != NO_DATE)
     return decided.withColumn("max", F.when(point, as_of).otherwise(F.col("max")))
 

@@ -63,7 +63,7 @@ def file_name_column(sheet: DataFrame) -> DataFrame:
 
 def _fallback_steps(name: Column, kind: Column, comments: Column) -> list[Step]:
     """The cascade by name and type, for sheets that leave the choice open."""
-    size, low = _size_text(F.col("data_type")), F.col("min")
+    size, low = F.col("__size"), F.col("min")
     fmt = F.col("string_format")
     measured = has(kind, "NUMERIC", "DECIMAL")
     phone = has(name, "PHONE_NO", "FAX_NO", "CONTRACT_NO", "CELL", "_PHONE", "PHONENUMBER")
@@ -148,9 +148,12 @@ def _all(conditions: list[Column], step: Step) -> Step:
 
 def rule_to_config(sheet: DataFrame, as_of: str = "2024-01-01 00:00:00") -> DataFrame:
     """One configuration row per sheet row, without key columns and flagged rows."""
-    rule, name, kind = F.upper("masking_rule"), F.upper("column_name"), F.upper("data_type")
+    read = {
+        "__rule": F.upper("masking_rule"), "__name": F.upper("column_name"), "__kind": F.upper("data_type"),
+        "__parsed": _parsed_type(F.col("masking_rule")), "__size": _size_text(F.col("data_type")),
+    }
+    rule, name, kind, parsed = (F.col(c) for c in ("__rule", "__name", "__kind", "__parsed"))
     geometry = has(kind, "GEOMETRY")
-    parsed = _parsed_type(F.col("masking_rule"))
     open_choice = has(rule, *BY_NAME_RULES)
     steps = [
         Step(has(rule, "NO MASKING") & geometry, {"type": "Geometry", "ignore": True}),
@@ -167,18 +170,16 @@ def rule_to_config(sheet: DataFrame, as_of: str = "2024-01-01 00:00:00") -> Data
         "retain_empty": F.upper("retain_empty") != "FALSE",
     }
     first_key = F.split_part(F.col("pk_constraint"), F.lit(","), F.lit(1))
-    kept = sheet.where((F.col("column_name") != first_key) & ~has(rule, "FLAGGED"))
+    kept = sheet.withColumns(read).where((F.col("column_name") != first_key) & ~has(rule, "FLAGGED"))
     joined = kept.join(file_name_column(sheet), "table_name", "left")
-    decided = decide(steps, defaults)
-    own = {
-        "table_name": F.col("table_name"),
-        "column_name": F.col("column_name"),
-        "retain_null": F.upper("retain_null") == "TRUE",
-        "use_value": F.nullif(F.col("use_value"), F.lit("")),
-        "preview": F.upper("preview") != "FALSE",
-    }
-    columns = decided | own
-    return joined.select(*[columns[c].alias(c) for c in CONFIG])
+    named = joined.withColumns(
+        {
+            "retain_null": F.upper("retain_null") == "TRUE",
+            "use_value": F.nullif(F.col("use_value"), F.lit("")),
+            "preview": F.upper("preview") != "FALSE",
+        }
+    )
+    return decide(named, steps, defaults).select(*CONFIG)
 
 
 def rule_violations(sheet: DataFrame) -> DataFrame:

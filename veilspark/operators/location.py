@@ -68,7 +68,7 @@ def location_by_country(
     draws = Draws(settings.seed, f"{table}.#loc", key_text(*[F.col(k) for k in key]))
     state_array = F.array(*[F.lit(s) for s in states])
     place_array = F.array(*[F.array(*[F.lit(x) for x in ps]) for ps in places])
-    old = {w: F.col(r.name) for r in rules if (w := _word(r))}
+    old = {r.location_word(): F.col(r.name) for r in rules}
     old_state = old.get("STATES", old.get("PROVINCE", F.lit(None).cast("string")))
     old_city = old.get("CITY", F.lit(None).cast("string"))
 
@@ -83,25 +83,35 @@ def location_by_country(
     other = F.get(F.col("__places"), (at + 1) % F.size("__places"))
     staged = staged.withColumn("__city", F.when(place.eqNullSafe(old_city), other).otherwise(place))
 
-    street_draws = Draws(settings.seed, f"{table}.#street", key_text(*[F.col(k) for k in key]))
-    street = t.street_address().value(street_draws)
-    second_line = t.secondary_address().value(street_draws)
+    line_draws = Draws(settings.seed, f"{table}.#street", key_text(*[F.col(k) for k in key]))
     state = F.get(state_array, F.col("__s"))
-    words = {_word(r) for r in rules}
-    whole_record = "CITY" in words and bool(words & {"STATES", "PROVINCE"})
+    cell = {
+        "COUNTRY": F.lit(country),
+        "STATES": state,
+        "PROVINCE": state,
+        "CITY": F.col("__city"),
+        "ADDRESS": _address_line(rules, df.columns, line_draws, state),
+    }
     masked: dict[str, Column] = {}
     for rule in rules:
-        name, word = rule.name.upper(), _word(rule)
-        if word == "ADDRESS":
-            later_line = "STREET" in name and any(d in name for d in "23")
-            line = second_line if later_line else street
-            value = line if whole_record or later_line or "STREET" in name else line
-        else:
-            value = {"COUNTRY": F.lit(country), "CITY": F.col("__city")}.get(word, state)
+        value = cell[rule.location_word()]
+        if rule.type in _OWN_LINE:
+            value = _OWN_LINE[rule.type]().value(Draws(settings.seed, f"{table}.{rule.name}", key_text(*[F.col(k) for k in key])))
         masked[rule.name] = F.when(F.col(rule.name).isNotNull(), value) if rule.retain_null else value
     return staged.select(*[masked[n].alias(n) if n in masked else F.col(n) for n in df.columns])
 
 
-def _word(rule: ColumnRule) -> str | None:
-    """Location word of a column; here a plain STATE counts as STATES."""
-    return rule.location_word() or ("STATES" if "STATE" in rule.name.upper() else None)
+# Rule types that keep their own generator in this variant.
+_OWN_LINE = {"StreetAddress": t.street_address, "SecondaryAddress": t.secondary_address}
+
+
+def _address_line(rules: Sequence[ColumnRule], columns: Sequence[str], draws: Draws, state: Column) -> Column:
+    """The address of the record. The first location column and the other columns of the table decide its form."""
+    name, all_names = rules[0].name.upper(), " ".join(columns).upper()
+    street = t.street_address().value(draws)
+    if "ADDRESS" in name:
+        later_line = "STREET" in name and ("2" in name or "3" in name)
+        return t.secondary_address().value(draws) if later_line else street
+    if "CITY" in all_names and ("STATE" in all_names or "PROVINCE" in all_names):
+        return street
+    return F.concat(street, F.lit(" "), F.col("__city"), F.lit(", "), state)
