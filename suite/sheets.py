@@ -526,8 +526,8 @@ _LINE_SQL = " UNION ALL ".join(f"SELECT 'lineitem' AS table_name, '{n.upper()}'
 @query(
     "math_source_check",
     f"""WITH c AS ({_LINE_SQL}), r AS (SELECT table_name, column_name, column_id, {_MATH_OPERATOR} AS operator, trim(unnest(string_split({_MATH_PICK}, ','))) AS source FROM c WHERE column_id > 3),
-    j AS (SELECT r.*, c.column_id AS at, c.data_type AS kind FROM r LEFT JOIN c ON c.table_name = r.table_name AND c.column_name = r.source)
-    SELECT table_name, column_name, source, 'source must come earlier' AS violation FROM j WHERE source <> column_name AND coalesce(at, 2147483647) >= column_id
+    j AS (SELECT r.*, c.column_id AS pos, c.data_type AS kind FROM r LEFT JOIN c ON c.table_name = r.table_name AND c.column_name = r.source)
+    SELECT table_name, column_name, source, 'source must come earlier' AS violation FROM j WHERE source <> column_name AND coalesce(pos, 2147483647) >= column_id
     UNION ALL SELECT table_name, column_name, source, 'source must be numeric' FROM j WHERE NOT {_in("coalesce(kind, '')", 'INT', 'NUM', 'FLOAT', 'DEC', 'DOUBLE')}
     UNION ALL SELECT table_name, column_name, source, 'operator without formula' FROM j WHERE operator = 'multiplication'""",
 )

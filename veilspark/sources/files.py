@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.plans.rules import ColumnRule, TableRule
+
 # Separators a file may use, in order of preference, and the encoding of files that are not UTF-8: fixed values.
 SEPARATORS = [",", ";", "\t", "|", "#"]
 FALLBACK_ENCODING = "windows-1252"
@@ -123,6 +126,45 @@ def config_columns(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def load_config(spark: SparkSession, path: str) -> list[TableRule]:
+    """Table rules of a JSON configuration file; field names are matched without regard to case.
+
+    A configuration is as small as the schema it describes; it is read whole.
+    """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    document = json.loads(text.lstrip("\ufeff"), object_pairs_hook=lambda pairs: {k.lower(): v for k, v in pairs})
+    return [_table_rule(table) for table in document["tables"]]
+
+
+def _table_rule(table: dict) -> TableRule:
+    key = tuple(k.strip() for k in (table.get("primarykeycolumn") or "").split(",") if k.strip())
+    rows = table.get("rowcount")
+    return TableRule(
+        table["name"], key, tuple(_column_rule(c) for c in table.get("columns", [])), None if rows is None else str(rows),
+        table.get("schema") or "", table.get("targetschema") or "",
+    )
+
+
+def _column_rule(column: dict) -> ColumnRule:
+    def value(field: str):
+        default = CONFIG_FIELDS[field][1]
+        found = column.get(field.lower())
+        return default if found is None else found
+
+    def text(field: str) -> str | None:
+        found = value(field)
+        return None if found in (None, "") else str(found)
+
+    return ColumnRule(
+        column["name"], value("type"), ignore=value("ignore"), unmask=value("unmask"), min=text("min"), max=text("max"),
+        pattern=text("stringFormatPattern"), use_value=text("useValue"), preview=value("preview"), operator=text("operator"),
+        retain_null=value("retainNullValues"), retain_empty=value("retainEmptyStringValues"),
+        value_mappings=column.get("valuemappings") or {}, local_mapping=value("useLocalValueMappings"),
+        global_mapping=value("useGlobalValueMappings"), unique=value("unique"), gender_column=text("useGenderColumn"),
+        separator=value("separator"), source_columns=tuple(column.get("sourcecolumns") or ()),
+    )
+
+
 def address_book(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Address records ``(city_pcs, full_addr)`` out of many address-book files."""
     return spark.read.option("header", True).csv(paths).select("city_pcs", "full_addr").where(F.col("full_addr").isNotNull())
