@@ -23,9 +23,10 @@ def key_text(*columns: Column) -> Column:
 
 def value_key(value: Column, dtype: str) -> Column:
     """Text form of a value; binary floats go through a decimal so that the text is engine neutral."""
+    text = value.cast("string")
     if dtype in ("double", "float"):
-        value = value.cast("decimal(38,6)")
-    return F.coalesce(value.cast("string"), F.lit(""))
+        text = F.coalesce(value.try_cast("decimal(38,6)").cast("string"), text)
+    return F.coalesce(text, F.lit(""))
 
 
 class Draws:

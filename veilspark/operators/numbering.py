@@ -71,4 +71,6 @@ def position_by_key(df: DataFrame, keys: Sequence[str], name: str, cuts: Sequenc
     if cuts is None:
         cuts = cut_points(df, keys[0], ranges)
     cuts = sorted(set(cuts))
-    return _number(df.withColumn("__bucket", _range_of(F.col(keys[0]), cuts)), [F.col(k) for k in keys], name)
+    first = F.col(keys[0])
+    place = F.when(first.isNull(), F.lit(0)).otherwise(_range_of(first, cuts))
+    return _number(df.withColumn("__bucket", place), [F.col(k).asc_nulls_first() for k in keys], name)

@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.draw import Draws, key_text
-from veilspark.functions.generators import recipe
+from veilspark.functions.generators import RowView, recipe
+from veilspark.functions.redact import is_blank
 from veilspark.operators.numbering import number_rows
-from veilspark.plans.rules import ColumnRule, Settings
+from veilspark.plans.rules import ColumnRule, RuleError, Settings
 
 
 def bijection(size: int, seed: str, scope: str) -> tuple[int, int]:
@@ -27,21 +29,39 @@ def bijection(size: int, seed: str, scope: str) -> tuple[int, int]:
 
 def spread(number: Column, size: int, seed: str, scope: str) -> Column:
     factor, offset = bijection(size, seed, scope)
-    return (number * F.lit(factor) + F.lit(offset)) % F.lit(size)
+    return (number % F.lit(size) * F.lit(factor) + F.lit(offset)) % F.lit(size)
+
+
+# Rule types whose text is a pattern of fixed width: a pattern cut short gives the text cut short.
+_PATTERNS = {"StringFormat", "StringConcat", "PhoneNumber"}
+# Rule types whose bounds are values, not a length.
+_RANGES = {"RandomInt", "Randomint64", "RandomDec", "DateOfBirth", "RandomYear"}
+
+
+def _uncut(rule: ColumnRule) -> ColumnRule:
+    """The rule with a generator whose values need no cutting, since cut values could repeat."""
+    if rule.type in _RANGES or rule.limit() is None:
+        return rule
+    if rule.type in _PATTERNS:
+        return replace(rule, pattern=(rule.pattern or "##########")[: rule.limit()], max=None)
+    raise RuleError(f"{rule.name}: unique values of rule type {rule.type} cannot be cut to {rule.max} characters")
 
 
 def mask_unique(df: DataFrame, rule: ColumnRule, key: Sequence[str], scope: str, settings: Settings) -> DataFrame:
     """Replace a column by values of the rule's generator, no value twice.
 
-    Rows beyond the number of values the generator has keep the original. Retained nulls are exempt.
+    Rows beyond the number of values the generator has keep the original. Retained nulls and blanks are exempt.
     """
-    made = recipe(rule, settings)
+    made = recipe(_uncut(rule), settings)
     text = key_text(*[F.col(k) for k in key])
     draws = Draws(settings.seed, scope, text)
     numbered = number_rows(df, text, [F.col(k) for k in key], "__n", settings.buckets)
     size, old = made.sampler.capacity, F.col(rule.name)
     value = made.sampler.numbered(spread(F.col("__n"), size, settings.seed, scope), draws)
+    value = made.finish(value, RowView(draws, old))
     masked = F.when(F.col("__n") < size, value).otherwise(old.cast(made.kind))
+    if rule.retain_empty and df.schema[rule.name].dataType.simpleString() == "string":
+        masked = F.when(is_blank(old), old).otherwise(masked)
     if rule.retain_null:
         masked = F.when(old.isNotNull(), masked)
     return numbered.select(*[masked.alias(n) if n == rule.name else F.col(n) for n in df.columns])

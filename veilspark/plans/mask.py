@@ -121,10 +121,11 @@ class TableMask:
         return rule.name if rule.global_mapping else f"{self.rule.name}.{rule.name}"
 
     def draws(self, rule: ColumnRule) -> Draws:
+        key = key_text(*[F.col(k) for k in self.rule.key])
         if rule.global_mapping or rule.local_mapping:
-            key = value_key(F.col(rule.name), self.types[rule.name].simpleString())
-        else:
-            key = key_text(*[F.col(k) for k in self.rule.key])
+            value = value_key(F.col(rule.name), self.types[rule.name].simpleString())
+            # Nulls have no mapping: where they are replaced at all, each row draws for itself.
+            key = value if rule.retain_null else F.when(F.col(rule.name).isNull(), F.concat(F.lit("#"), key)).otherwise(value)
         return Draws(self.settings.seed, self.scope(rule), key)
 
     def staged(self, rule: ColumnRule) -> Draws:
@@ -193,6 +194,8 @@ class TableMask:
         raise RuleError(f"{rule.name}: Scramble does not apply to {kind.simpleString()}")
 
     def _starred(self, rule: ColumnRule) -> Column:
+        if not rule.limit():
+            raise RuleError(f"{rule.name}: MaskingOut needs a size")
         for name, mask in redact.MASKING_OUT.items():
             if name in (rule.pattern or "").lower():
                 old = F.col(rule.name).cast("string")
@@ -232,7 +235,7 @@ class TableMask:
             self.put(name, self.retained(rule, self._scrambled(rule)))
         elif kind == "Blob":
             self.reads(rule.pattern)
-            self.put(name, mask_blob(F.col(name), F.col(rule.pattern), self.draws(rule), rule.retain_null))
+            self.put(name, mask_blob(F.col(name), F.col(rule.pattern) if rule.pattern else F.lit(""), self.draws(rule), rule.retain_null))
         elif kind == "Ignore":
             self.put(name, F.lit(None).cast(self.types[name]))
         elif kind == "exception":

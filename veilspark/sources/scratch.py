@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 _CONF = "spark.checkpoint.dir"
 
 
+# Temporary folders made for sessions that name none.
+_MADE: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is named (tests, one machine)."""
     root = spark.conf.get(_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set(_CONF, root)
+        application = spark.sparkContext.applicationId
+        root = _MADE.setdefault(application, "") or tempfile.mkdtemp(prefix="veilspark-")
+        _MADE[application] = root
     return root.rstrip("/")
 
 
