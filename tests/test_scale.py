@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.draw import key_text
 from veilspark.operators.mapping import apply_correlation, correlation_table, hot_keys, lookup
-from veilspark.operators.numbering import number_rows, position_by_key
+from veilspark.operators.numbering import bucket_count, cut_points, number_rows, position_by_key
 from veilspark.operators.profile import profile_columns
 from veilspark.operators.validate import table_diff, validate_columns
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule as R
 from veilspark.plans.rules import Settings, TableRule
+from veilspark.sources import scratch
 from veilspark.sources.tables import scan_page, scan_row_range
 
 RULES = TableRule(
@@ -59,7 +60,9 @@ def test_numbers_are_dense(spark):
 def test_positions_follow_the_key(spark):
     df = spark.range(500).select(F.when(F.col("id") % 100 == 0, None).otherwise(F.col("id") * 7 % 503).alias("k"), F.col("id").alias("x"))
     expected = sorted(((r["k"] is not None, r["k"] or 0, r["x"]) for r in df.collect()))
-    for cuts in (None, [], [250], [3, 5, 400]):
+    # Any cut points give the same positions: none, few, whole keys, more than the comparison tree takes.
+    many = [(k, x) for k in range(0, 500, 4) for x in (0, 9)]
+    for cuts in (None, [], [(250, 0)], [(3, 1), (5, 2), (400, 3)], [(None, 200)], many):
         got = position_by_key(df, ["k", "x"], "p", cuts=cuts).orderBy("p").collect()
         assert [r["p"] for r in got] == list(range(500))
         assert [(r["k"] is not None, r["k"] or 0, r["x"]) for r in got] == expected
@@ -82,9 +85,10 @@ def test_shuffle_with_one_value_in_most_rows(spark):
     assert len(counts) == 51 and max(counts) < 6000 / 51 * 2
 
 
-def test_shuffle_beyond_the_broadcast_threshold_gives_the_same_rows(spark, customer):
+def test_shuffle_beyond_the_broadcast_size_gives_the_same_rows(spark, customer, monkeypatch):
     rule = TableRule("customer", ("c_custkey",), (R("c_acctbal", "Shuffle"),))
     small = rows(mask_table(customer, rule))
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -95,6 +99,18 @@ def test_shuffle_beyond_the_broadcast_threshold_gives_the_same_rows(spark, custo
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_buckets_grow_with_the_table():
+    assert [bucket_count(n) for n in (0, 10**6, 2 * 10**8, 10**13)] == [1024, 1024, 2048, 1 << 20]
+
+
+def test_one_first_key_in_most_rows_is_cut_by_the_second(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(5)).alias("a"), F.col("id").alias("b"))
+    cuts = cut_points(df, ["a", "b"], ranges=16)
+    assert sum(1 for a, _ in cuts if a == 5) >= 8
+    got = position_by_key(df, ["a", "b"], "p", cuts=cuts).orderBy("a", "b").collect()
+    assert [r["p"] for r in got] == list(range(4000))
+
+
 def test_correlation_with_a_hot_and_a_null_key(spark):
     children = spark.range(9000).select(
         F.col("id").alias("k"),

@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted formats, tried in this order: fixed values.
-DATE_FORMATS = list(
-    dict.fromkeys(
-        order.replace("-", separator) + " " + time
-        for orders, separator in ((("M-d-yyyy",), "/"), (("M-d-yyyy", "yyyy-d-M", "yyyy-M-d"), "-"))
-        for order in orders
-        for time in ("h:mm:ss a", "h:mm a", "h a", "h:mm:ss", "h:mm")
-    )
-) + ["yyyyMMdd", "yyyyMdd hh:mm"]
+# Day orders by how a text starts, and clock formats by the number of colons, without and with AM or PM: fixed values.
+_SLASHED, _YEAR_LAST, _YEAR_FIRST = ["M/d/yyyy"], ["M-d-yyyy"], ["yyyy-d-M", "yyyy-M-d"]
+_CLOCKS = {(2, True): "h:mm:ss a", (1, True): "h:mm a", (0, True): "h a", (2, False): "h:mm:ss", (1, False): "h:mm"}
+_DIGITS_ONLY = ["yyyyMMdd", "yyyyMdd hh:mm"]
 
 # What a text must look like to be worth trying: fixed value.
 _LOOKS_LIKE_DATE = r"^(\d{1,4}[-/]\d{1,2}[-/]\d{1,4} \d{1,2}(:\d{2}){0,2}( [AaPp][Mm])?|\d{7,8}( \d{2}:\d{2})?)$"
 
 
 def parse_date(text: Column) -> Column:
-    """The first format that fits; null when none does. Other text is not tried at all."""
-    tried = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
-    return F.when(text.rlike(_LOOKS_LIKE_DATE), tried).cast("timestamp_ntz")
+    """The first accepted format that fits; null when none does.
+
+    A text that cannot match costs an exception per format inside the parser, so its shape picks the one or two
+    formats that are tried at all.
+    """
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    half_days = F.lower(F.right(text, F.lit(1))) == "m"
+
+    def tried(formats: list[str]) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+    def by_clock(orders: list[str]) -> Column:
+        chain = F
+        for (count, half), clock in _CLOCKS.items():
+            chain = chain.when((colons == count) & (half_days == F.lit(half)), tried([f"{o} {clock}" for o in orders]))
+        return chain.otherwise(F.lit(None).cast("timestamp"))
+
+    parsed = (
+        F.when(F.contains(text, F.lit("/")), by_clock(_SLASHED))
+        .when(text.rlike(r"^\d{4}-"), by_clock(_YEAR_FIRST))
+        .when(F.contains(text, F.lit("-")), by_clock(_YEAR_LAST))
+        .otherwise(tried(_DIGITS_ONLY))
+    )
+    return F.when(text.rlike(_LOOKS_LIKE_DATE), parsed).cast("timestamp_ntz")
 
 
 def parse_date_or(text: Column, drawn: Column) -> Column:

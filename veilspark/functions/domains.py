@@ -15,6 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions import sqltext
 from veilspark.functions.draw import Draws, div
 
 # Draws have 60 bits; a packed domain stays well below, so that the remainder is close to uniform.
@@ -79,7 +80,7 @@ def literal(text: str) -> Sampler:
 def pool(words: Sequence[str]) -> Sampler:
     """One word of a list."""
     words = list(dict.fromkeys(words))
-    array = F.array(*[F.lit(w) for w in words])
+    array = F.expr(sqltext.texts(words))
     return one(Domain(len(words), lambda i: F.get(array, i.cast("int"))))
 
 

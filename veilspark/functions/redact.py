@@ -48,7 +48,7 @@ MASKING_OUT = {"maskingleft": mask_left, "maskingright": mask_right, "maskingmid
 
 # Characters one digest gives sort keys for, and digests spelled out before a lambda takes over.
 _KEYS_PER_DIGEST = 8
-_SPELLED_DIGESTS = 4
+_SPELLED_DIGESTS = (1, 4)
 
 
 def permuted(text: Column, draws: Draws) -> Column:
@@ -57,10 +57,13 @@ def permuted(text: Column, draws: Draws) -> Column:
     Zip, sort and join are built in; only digests of long texts run through a lambda. Digits beyond the last
     character pair up with null, which the join leaves out.
     """
-    last = F.call_function("div", F.greatest(F.length(text) - 1, F.lit(0)), F.lit(_KEYS_PER_DIGEST)).cast("int")
-    short = F.concat(*[draws.digest(f"p{b}") for b in range(_SPELLED_DIGESTS)])
-    long = F.array_join(F.transform(F.sequence(F.lit(0), last), draws.digest_of), "")
-    digests = F.when(F.length(text) <= _KEYS_PER_DIGEST * _SPELLED_DIGESTS, short).otherwise(long)
+    length = F.length(text)
+    last = F.call_function("div", F.greatest(length - 1, F.lit(0)), F.lit(_KEYS_PER_DIGEST)).cast("int")
+    digests = F
+    for count in _SPELLED_DIGESTS:
+        spelled = F.concat(*[draws.digest(f"p{b}") for b in range(count)])
+        digests = digests.when(length <= _KEYS_PER_DIGEST * count, spelled)
+    digests = digests.otherwise(F.array_join(F.transform(F.sequence(F.lit(0), last), draws.digest_of), ""))
     ranked = F.arrays_zip(
         F.regexp_extract_all(digests, F.lit("...."), F.lit(0)).alias("h"), F.split(text, "").alias("c")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions import sqltext
 from veilspark.functions.generators import has_generator
 from veilspark.functions.redact import is_blank, is_numeric
 from veilspark.operators.stacking import stack_rows
@@ -53,7 +54,7 @@ def mask_exceptions(df: DataFrame, rule: TableRule, settings: Settings = Setting
     counts = masked.agg(
         *[F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(f"__n{i}") for i, (_, _, c) in enumerate(checks)]
     )
-    rows = [[F.lit(rule.name), F.lit(n), F.lit(reason), F.col(f"__n{i}")] for i, (n, reason, _) in enumerate(checks)]
+    rows = [[sqltext.text(rule.name), sqltext.text(n), sqltext.text(reason), f"__n{i}"] for i, (n, reason, _) in enumerate(checks)]
     return stack_rows(counts, rows, ["table_name", "column_name", "reason", "n"]).where("n > 0")
 
 
@@ -67,5 +68,5 @@ def dry_run(df: DataFrame, rule: TableRule, settings: Settings = Settings()) ->
             for i, n in enumerate(names)
         ]
     )
-    rows = [[F.lit(rule.name), F.lit(n), F.col(f"__n{i}")] for i, n in enumerate(names)]
+    rows = [[sqltext.text(rule.name), sqltext.text(n), f"__n{i}"] for i, n in enumerate(names)]
     return stack_rows(counts, rows, ["table_name", "column_name", "changed_rows"])

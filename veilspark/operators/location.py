@@ -12,13 +12,13 @@ from veilspark.functions import templates as t
 from veilspark.functions.draw import Draws, key_text
 from veilspark.operators.numbering import number_rows
 from veilspark.plans.rules import ColumnRule, RuleError, Settings
-from veilspark.sources.scratch import materialise
+from veilspark.sources.scratch import broadcast_if_small, materialise
 
 # Constant parts of an address-book record: fixed values.
 BOOK_COUNTRY, BOOK_STATE = "Canada", "BC"
 
 
-def numbered_book(book: DataFrame, buckets: int) -> DataFrame:
+def numbered_book(book: DataFrame, buckets: int | None = None) -> DataFrame:
     """An address book ``(city_pcs, full_addr)`` with a dense number."""
     text = key_text(F.col("city_pcs"), F.col("full_addr"))
     rows = book.select("city_pcs", "full_addr").distinct()
@@ -29,8 +29,7 @@ def location_record(
     df: DataFrame, rules: Sequence[ColumnRule], key: Sequence[str], table: str, settings: Settings
 ) -> DataFrame:
     """Fill the location columns among ``rules`` from one drawn record of the address book per row."""
-    book = materialise(numbered_book(settings.address_book, settings.buckets), "address-book")
-    size = book.count()
+    book, size = broadcast_if_small(materialise(numbered_book(settings.address_book, settings.buckets), "address-book"))
     if size == 0:
         return df
     draws = Draws(settings.seed, f"{table}.#loc", key_text(*[F.col(k) for k in key]))

@@ -7,12 +7,15 @@ gives the same numbers. ``position_by_key`` does the same in key order, with buc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEX = 8
+ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 100_000, 1 << 10, 1 << 20
+ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES = 1_000_000, 64, 4096
+TREE_CUTS = 64
 
 
 def bucket(text: Column, buckets: int) -> Column:
@@ -38,39 +41,72 @@ def _number(bucketed: DataFrame, order: Sequence[Column], name: str) -> DataFram
     )
 
 
-def number_rows(df: DataFrame, text: Column, order: Sequence[Column], name: str, buckets: int) -> DataFrame:
+def bucket_count(rows: int) -> int:
+    """Buckets for a table: a power of two that leaves about 100,000 rows in each, between 1024 and a million."""
+    wanted = max(1, rows // ROWS_PER_BUCKET)
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (wanted - 1).bit_length()))
+
+
+def number_rows(df: DataFrame, text: Column, order: Sequence[Column], name: str, buckets: int | None = None) -> DataFrame:
     """Add a dense number in (bucket, order); ``text`` is the key text that chooses the bucket."""
+    buckets = buckets or bucket_count(df.count())
     return _number(df.withColumn("__bucket", bucket(text, buckets)), order, name)
 
 
-def cut_points(df: DataFrame, key: str, buckets: int) -> list:
-    """Sampled keys that cut a table into ranges of similar size. At most 50 keys per range reach the driver."""
+def _sort_key(values: tuple) -> tuple:
+    """Nulls first, as the table is ordered."""
+    return tuple((v is not None, v if v is not None else 0) for v in values)
+
+
+def cut_points(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> list[tuple]:
+    """Sampled keys that cut a table into ranges of similar size. At most 100 keys per range reach the driver.
+
+    Whole keys are sampled, so a first key column that most rows share is cut by the other columns.
+    """
     total = df.count()
-    wanted = 50 * buckets
-    keys = df.select(key).where(F.col(key).isNotNull())
-    sample = keys if total <= wanted else keys.sample(fraction=min(1.0, wanted / total), seed=7)
-    values = sorted({row[0] for row in sample.limit(2 * wanted).collect()})
-    return [values[len(values) * i // buckets] for i in range(1, buckets) if values][:buckets]
+    ranges = ranges or min(MAX_RANGES, max(MIN_RANGES, total // ROWS_PER_RANGE))
+    wanted = 50 * ranges
+    rows = df.select(*keys)
+    sample = rows if total <= wanted else rows.sample(fraction=min(1.0, wanted / total), seed=7)
+    values = sorted({tuple(row) for row in sample.limit(2 * wanted).collect()}, key=_sort_key)
+    return sorted({values[len(values) * i // ranges] for i in range(1, ranges)}, key=_sort_key) if values else []
 
 
-def _range_of(key: Column, cuts: Sequence, first: int = 0) -> Column:
-    """Index of the range of a key: a balanced tree of comparisons, log2(ranges) deep."""
+def _tree(below: Callable[[tuple], Column], cuts: Sequence[tuple], first: int = 0) -> Column:
+    """Number of the range of a key: a balanced tree of comparisons."""
     if not cuts:
         return F.lit(first)
     middle = len(cuts) // 2
-    return F.when(key < F.lit(cuts[middle]), _range_of(key, cuts[:middle], first)).otherwise(
-        _range_of(key, cuts[middle + 1 :], first + middle + 1)
+    return F.when(below(cuts[middle]), _tree(below, cuts[:middle], first)).otherwise(
+        _tree(below, cuts[middle + 1 :], first + middle + 1)
     )
 
 
-def position_by_key(df: DataFrame, keys: Sequence[str], name: str, cuts: Sequence | None = None, ranges: int = 64) -> DataFrame:
-    """Add the 0-based position of each row in key order.
+def _range_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> Column:
+    """Number of the range of a row's key. Beyond TREE_CUTS cut points the tree finds a group of them and the
+    group is searched as an array, so that the expression stays small."""
+    kinds = [df.schema[k].dataType for k in keys]
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+    def constant(cut: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, kinds))])
+
+    below = lambda cut: key < constant(cut)
+    if len(cuts) <= TREE_CUTS:
+        return _tree(below, cuts)
+    width = -(-len(cuts) // TREE_CUTS)
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    group = _tree(below, [g[0] for g in groups[1:]])
+    listed = F.array(*[F.array(*[constant(c) for c in g]) for g in groups])
+    inside = F.size(F.filter(F.get(listed, group), lambda cut: cut <= key))
+    return group * F.lit(width) + inside
+
+
+def position_by_key(df: DataFrame, keys: Sequence[str], name: str, cuts: Sequence[tuple] | None = None) -> DataFrame:
+    """Add the 0-based position of each row in key order, nulls first.
 
     The cut points decide only how evenly the work spreads; any cut points give the same positions.
     """
-    if cuts is None:
-        cuts = cut_points(df, keys[0], ranges)
-    cuts = sorted(set(cuts))
-    first = F.col(keys[0])
-    place = F.when(first.isNull(), F.lit(0)).otherwise(_range_of(first, cuts))
-    return _number(df.withColumn("__bucket", place), [F.col(k).asc_nulls_first() for k in keys], name)
+    cuts = cut_points(df, keys) if cuts is None else sorted(set(cuts), key=_sort_key)
+    placed = df.withColumn("__bucket", _range_of(df, keys, cuts))
+    return _number(placed, [F.col(k).asc_nulls_first() for k in keys], name)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions import sqltext
 from veilspark.operators.stacking import stack_rows
 
 # Type names of the catalog: fixed values.
@@ -47,20 +48,24 @@ def row_count(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union([df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in tables.items()])
 
 
+CATALOG = ["table_name", "schema_name", "column_name", "column_id", "data_type", "nullable", "n_rows"]
+
+
+def _nullable(i: int) -> str:
+    return f"CASE WHEN __n{i} < __rows THEN 'Y' ELSE 'N' END"
+
+
 def column_catalog(tables: Mapping[str, DataFrame], schema: str = "") -> DataFrame:
     """One row per column; nullability is measured. One aggregate per table."""
 
     def one(table: str, df: DataFrame) -> DataFrame:
         fields = df.schema.fields
-        counts = df.agg(F.count("*").alias("__rows"), *[F.count(F.col(f.name)).alias(f"__n{i}") for i, f in enumerate(fields)])
+        counts = df.selectExpr("count(*) AS __rows", *[f"count({sqltext.name(f.name)}) AS __n{i}" for i, f in enumerate(fields)])
         rows = [
-            [
-                F.lit(table), F.lit(schema), F.lit(f.name.upper()), F.lit(i + 1), F.lit(type_text(f.dataType)),
-                F.when(F.col(f"__n{i}") < F.col("__rows"), "Y").otherwise("N"), F.col("__rows"),
-            ]
+            [*[sqltext.text(x) for x in (table, schema, f.name.upper())], str(i + 1), sqltext.text(type_text(f.dataType)), _nullable(i), "__rows"]
             for i, f in enumerate(fields)
         ]
-        return stack_rows(counts, rows, ["table_name", "schema_name", "column_name", "column_id", "data_type", "nullable", "n_rows"])
+        return stack_rows(counts, rows, CATALOG)
 
     return _union([one(t, df) for t, df in tables.items()])
 
@@ -77,13 +82,8 @@ def catalog_keys(columns: DataFrame, constraints: DataFrame, key_columns: DataFr
     )
 
 
-def value_text(value: Column, kind: T.DataType) -> Column:
-    """Profile text of a value: plain digits for floats, seconds for times."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        value = value.cast("decimal(38,6)")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-    return value.cast("string")
+_FLOATS = (T.DoubleType, T.FloatType)
+_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def _spans(kind: T.DataType) -> bool:
@@ -95,31 +95,39 @@ def _measures_length(kind: T.DataType) -> bool:
 
 
 def _bounds(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """One aggregate with min and max (of values or of lengths) of all fields."""
-    sums = []
+    """One aggregate with row count, non-null counts, min and max (of values or of lengths) of all fields."""
+    cells = ["count(*) AS __rows"]
     for i, f in enumerate(fields):
-        c = F.col(f.name)
-        measured = F.coalesce(F.length(c), F.lit(0)) if _measures_length(f.dataType) else c
-        sums += [F.min(measured).alias(f"__min{i}"), F.max(measured).alias(f"__max{i}")]
-    return df.agg(F.count("*").alias("__rows"), *sums, *[F.count(F.col(f.name)).alias(f"__n{i}") for i, f in enumerate(fields)])
+        column = sqltext.name(f.name)
+        measured = f"coalesce(length({column}), 0)" if _measures_length(f.dataType) else column
+        cells += [f"count({column}) AS __n{i}", f"min({measured}) AS __min{i}", f"max({measured}) AS __max{i}"]
+    return df.selectExpr(*cells)
 
 
-def _bound_text(i: int, f: T.StructField, end: str) -> Column:
-    value = F.col(f"__{end}{i}")
-    return value.cast("string") if _measures_length(f.dataType) else value_text(value, f.dataType)
+def _bound_text(i: int, f: T.StructField, end: str) -> str:
+    """Text of a bound: plain digits for floats, seconds for times."""
+    value = f"__{end}{i}"
+    if isinstance(f.dataType, _FLOATS):
+        value = f"CAST({value} AS DECIMAL(38,6))"
+    if isinstance(f.dataType, _TIMES):
+        return f"date_format({value}, 'yyyy-MM-dd HH:mm:ss')"
+    return f"CAST({value} AS STRING)"
 
 
 def profile_minmax(table: str, df: DataFrame) -> DataFrame:
     """``(table_name, column_name, min, max)`` of number, time and boolean columns."""
     fields = [f for f in df.schema.fields if _spans(f.dataType)]
-    rows = [[F.lit(table), F.lit(f.name.upper()), _bound_text(i, f, "min"), _bound_text(i, f, "max")] for i, f in enumerate(fields)]
+    rows = [
+        [sqltext.text(table), sqltext.text(f.name.upper()), _bound_text(i, f, "min"), _bound_text(i, f, "max")]
+        for i, f in enumerate(fields)
+    ]
     return stack_rows(_bounds(df, fields), rows, ["table_name", "column_name", "min", "max"])
 
 
 def profile_lengths(table: str, df: DataFrame) -> DataFrame:
     """``(table_name, column_name, min_length, max_length)`` of text and binary columns; null has length 0."""
     fields = [f for f in df.schema.fields if _measures_length(f.dataType)]
-    rows = [[F.lit(table), F.lit(f.name.upper()), F.col(f"__min{i}"), F.col(f"__max{i}")] for i, f in enumerate(fields)]
+    rows = [[sqltext.text(table), sqltext.text(f.name.upper()), f"__min{i}", f"__max{i}"] for i, f in enumerate(fields)]
     return stack_rows(_bounds(df, fields), rows, ["table_name", "column_name", "min_length", "max_length"])
 
 
@@ -135,16 +143,14 @@ def profile_columns(
     fields, comments = df.schema.fields, comments or {}
     measured = [f for f in fields if _spans(f.dataType) or _measures_length(f.dataType)]
     index = {f.name: i for i, f in enumerate(measured)}
-    pk = ",".join(k.upper() for k in key)
-
-    def cells(position: int, f: T.StructField) -> list[Column]:
-        i = index.get(f.name)
-        low, high = (F.lit(""), F.lit("")) if i is None else (_bound_text(i, f, "min"), _bound_text(i, f, "max"))
-        nullable = F.lit("N") if i is None else F.when(F.col(f"__n{i}") < F.col("__rows"), "Y").otherwise("N")
-        return [
-            F.lit(table), F.lit(schema), F.lit(f.name.upper()), F.lit(type_text(f.dataType)), nullable, F.lit(position),
-            F.lit(comments.get(f.name.upper(), "")), F.lit(pk), F.coalesce(low, F.lit("")), F.coalesce(high, F.lit("")),
-        ]
+    pk = sqltext.text(",".join(k.upper() for k in key))
+
+    def cells(position: int, f: T.StructField) -> list[str]:
+        i, name = index.get(f.name), f.name.upper()
+        low, high = ("''", "''") if i is None else (f"coalesce({_bound_text(i, f, end)}, '')" for end in ("min", "max"))
+        nullable = "'N'" if i is None else _nullable(i)
+        head = [sqltext.text(x) for x in (table, schema, name, type_text(f.dataType))]
+        return [*head, nullable, str(position), sqltext.text(comments.get(name, "")), pk, low, high]
 
     return stack_rows(_bounds(df, measured), [cells(p, f) for p, f in enumerate(fields, 1)], PROFILE)
 

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions.draw import Draws, key_text, value_key
-from veilspark.operators.numbering import number_rows
+from veilspark.operators.numbering import bucket_count, number_rows
 from veilspark.plans.rules import Settings
-from veilspark.sources.scratch import materialise
+from veilspark.sources.scratch import broadcast_if_small, materialise
 
 
 _NESTED = (T.StructType, T.ArrayType)
 
 
-def value_pool(df: DataFrame, column: str, with_null: bool, buckets: int) -> DataFrame:
+def value_pool(df: DataFrame, column: str, with_null: bool, buckets: int | None = None) -> DataFrame:
     """The distinct values of a column, numbered: ``(__i, __value)``."""
+    buckets = buckets or bucket_count(df.count())
     kind = df.schema[column].dataType
     value = F.col("__value")
     values = df.select(F.col(column).alias("__value"))
@@ -44,8 +45,7 @@ def shuffle_column(
     uniform over the pool, so neither join has a hot key, however often one original value occurs. Rows that
     need no second candidate get a negative number that spreads them and matches nothing.
     """
-    pool = materialise(value_pool(df, column, not retain_null, settings.buckets), "pool")
-    size = pool.count()
+    pool, size = broadcast_if_small(materialise(value_pool(df, column, not retain_null, settings.buckets), "pool"))
     if size == 0:
         return df
     draws = Draws(settings.seed, scope, key_text(*[F.col(k) for k in key]))

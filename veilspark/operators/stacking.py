@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from veilspark.functions import sqltext
 
-def stack_rows(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
-    """One output row per element of ``rows`` for each input row."""
-    cells = [cell for row in rows for cell in row]
-    return df.select(F.stack(F.lit(len(rows)), *cells).alias(*names))
+
+def stack_rows(df: DataFrame, rows: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
+    """One output row per element of ``rows`` for each input row; cells are SQL text."""
+    cells = ", ".join(cell for row in rows for cell in row)
+    listed = ", ".join(sqltext.name(n) for n in names)
+    return df.selectExpr(f"stack({len(rows)}, {cells}) AS ({listed})")

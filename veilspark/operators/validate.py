@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions import sqltext
 from veilspark.functions.redact import is_blank
 from veilspark.operators.stacking import stack_rows
 from veilspark.plans.rules import TableRule
@@ -52,8 +53,8 @@ def validate_columns(masked: DataFrame, original: DataFrame, rule: TableRule) ->
     counted = joined.agg(*sums).withColumn("__before", original.agg(F.count("*")).scalar())
     rows = [
         [
-            F.lit(rule.name), F.lit(rule.schema), F.lit(r.name), F.lit(r.type), F.lit(r.ignore),
-            F.col("__rows"), F.col("__before"), F.col(f"__l{i}"), F.col(f"__c{i}"),
+            *[sqltext.text(x) for x in (rule.name, rule.schema, r.name, r.type)], str(r.ignore).lower(), "__rows", "__before",
+            f"__l{i}", f"__c{i}",
         ]
         for i, r in enumerate(rules)
     ]

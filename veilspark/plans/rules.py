@@ -80,10 +80,11 @@ class TableRule:
 
 @dataclass(frozen=True)
 class Settings:
-    """Run settings: the secret seed, the fixed 'today', the address book, bucket count for numbering."""
+    """Run settings: the secret seed, the fixed 'today', the address book, and the bucket count for numbering
+    rows (None: by the size of the table)."""
 
     seed: str = "42"
     as_of: dt.datetime = dt.datetime(2024, 1, 1)
     min_date: dt.datetime = dt.datetime(1990, 1, 1)
     address_book: DataFrame | None = None
-    buckets: int = 1024
+    buckets: int | None = None

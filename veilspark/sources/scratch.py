@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 
@@ -32,9 +33,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate result and read it back.
 
     The lineage ends here, lost executors cost nothing, several readers share one computation, and the
-    optimizer learns the true size: it broadcasts a table below its threshold and shuffles a larger one.
+    optimizer learns the true size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Bytes of a table up to which it is sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table, marked for broadcast if its measured size allows it, and its number of rows."""
+    size = [F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in df.columns]
+    rows, *sizes = df.agg(F.count("*"), *size).first()
+    small = 16 * rows + sum(sizes) <= BROADCAST_BYTES
+    return (F.broadcast(df) if small else df), rows
