@@ -38,14 +38,18 @@ def shuffle_column(
     scope: str,
     settings: Settings,
     retain_null: bool = True,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Replace each value by a uniformly drawn distinct value of the column, other than its own.
 
+    ``source`` may name a DataFrame with the same column that is cheaper to read than ``df``.
+
     Two candidates per row: number r and, for rows that drew their own value, another number. Both are
     uniform over the pool, so neither join has a hot key, however often one original value occurs. Rows that
     need no second candidate get a negative number that spreads them and matches nothing.
     """
-    pool, size = broadcast_if_small(materialise(value_pool(df, column, not retain_null, settings.buckets), "pool"))
+    values = value_pool(source if source is not None else df, column, not retain_null, settings.buckets)
+    pool, size = broadcast_if_small(materialise(values, "pool"))
     if size == 0:
         return df
     draws = Draws(settings.seed, scope, key_text(*[F.col(k) for k in key]))

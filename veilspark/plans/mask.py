@@ -6,6 +6,8 @@ before it starts a new projection. Shuffles, unique values and location records
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from veilspark.functions.generators import RowView, recipe
 from veilspark.operators.binary import mask_blob
 from veilspark.operators.geometry import geometry_random, geometry_shuffle
 from veilspark.operators.location import location_record
+from veilspark.operators.numbering import bucket_count
 from veilspark.operators.shuffle import shuffle_column
 from veilspark.operators.unique import mask_unique
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
@@ -79,7 +82,7 @@ class TableMask:
     """Builds the masked DataFrame of one table."""
 
     def __init__(self, df: DataFrame, rule: TableRule, settings: Settings, keep_types: bool = True):
-        self.df, self.rule, self.settings, self.keep_types = df, rule, settings, keep_types
+        self.source, self.df, self.rule, self.settings, self.keep_types = df, df, rule, settings, keep_types
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.stage: dict[str, Column] = {}
         self.held: dict[str, Column] = {}
@@ -115,6 +118,12 @@ class TableMask:
             value = value.cast(self.types[name])
         self.pending[name] = value
 
+    def sized(self) -> Settings:
+        """Settings with the bucket count of this table; the rows are counted once, in the source."""
+        if self.settings.buckets is None:
+            self.settings = replace(self.settings, buckets=bucket_count(self.source.count()))
+        return self.settings
+
     # Draws ----------------------------------------------------------------------------------------
 
     def scope(self, rule: ColumnRule) -> str:
@@ -219,11 +228,11 @@ class TableMask:
             self.put(name, use_value(rule))
         elif rule.unique:
             self.flush()
-            self.df = mask_unique(self.df, rule, self.rule.key, self.scope(rule), self.settings)
+            self.df = mask_unique(self.df, rule, self.rule.key, self.scope(rule), self.sized())
         elif kind in _SHUFFLES:
             self.flush()
             self.df = shuffle_column(
-                self.df, name, self.rule.key, self.scope(rule), self.settings, rule.retain_null
+                self.df, name, self.rule.key, self.scope(rule), self.sized(), rule.retain_null, self.source
             )
         elif kind in ("Geometry", "Shufflegeometry"):
             self.put(name, self._geometry(rule))
