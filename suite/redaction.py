@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from suite import twin as w
 from suite.base import SETTINGS, mask_query, query, read
-from veilspark.functions import pools as p
 from veilspark.functions import redact
-from veilspark.functions.draw import Draws, key_text
 from veilspark.operators.binary import SIGNATURES
 from veilspark.operators.geometry import ORDINATE_HIGH, ORDINATE_LOW, geometry_literal, geometry_random, geometry_shuffle
 from veilspark.operators.writeback import drop_binary_columns

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from suite import twin as w
-from suite.base import ORACLES, QUERIES, SETTINGS, mask_query, query, read
-from veilspark.functions import pools as p
-from veilspark.functions.draw import key_text
+from suite.base import SETTINGS, mask_query, query, read
 from veilspark.operators.exceptions import mask_exceptions
-from veilspark.operators.mapping import apply_correlation, correlation_table, lookup
+from veilspark.operators.mapping import apply_correlation, correlation_table
 from veilspark.operators.unique import bijection
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, TableRule

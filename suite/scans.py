@@ -18,11 +18,10 @@ from veilspark.operators.exceptions import dry_run
 from veilspark.operators.profile import is_decimal_text, profile_minmax, row_count, whole_number
 from veilspark.operators.scripts import insert_script
 from veilspark.operators.writeback import apply_masked_copy, commit_log, preview
-from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, TableRule
 from veilspark.sources import files
 from veilspark.sources.scratch import scratch_path
-from veilspark.sources.tables import flatten_rows, scan_columns, scan_limit, scan_page, scan_row_range, scan_rows
+from veilspark.sources.tables import flatten_rows, scan_columns, scan_page, scan_rows
 
 R = ColumnRule
 
@@ -50,10 +49,10 @@ LINE_ORDER = [
 ]
 
 
-@query("scan_page", f"SELECT * FROM lineitem ORDER BY {', '.join(LINE_ORDER)} LIMIT 10000 OFFSET 20000")
+@query("scan_page", f"SELECT * FROM lineitem ORDER BY {', '.join(LINE_ORDER)} LIMIT 2000 OFFSET 2000")
 def _scan_page(spark, sf):
     # (l_orderkey, l_linenumber) may repeat in this data; the remaining columns settle the order.
-    return scan_page(read(spark, sf, "lineitem"), LINE_ORDER, 2, 10_000)
+    return scan_page(read(spark, sf, "lineitem"), LINE_ORDER, 1, 2000)
 
 
 @query("row_count", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))

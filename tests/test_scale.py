@@ -68,8 +68,22 @@ def test_positions_follow_the_key(spark):
         assert [(r["k"] is not None, r["k"] or 0, r["x"]) for r in got] == expected
 
 
+def test_positions_with_keys_of_every_type(spark):
+    df = spark.range(300).selectExpr(
+        "CAST(id * 7 % 11 AS DOUBLE) / 3 AS f", "concat('it''s \\\\', id % 5) AS s", "timestamp_ntz'2020-01-01 00:00:00.25' + make_dt_interval(0, 0, 0, id) AS t",
+        "CAST(id AS DECIMAL(9,2)) AS d", "id % 2 = 0 AS b", "CAST(CAST(id AS STRING) AS BINARY) AS x", "id",
+    )
+    keys = ["f", "s", "t", "d", "b", "x", "id"]
+    for ranges in (8, 200):
+        got = position_by_key(df, keys, "p", cuts=cut_points(df, keys, ranges)).orderBy(*keys).collect()
+        assert [r["p"] for r in got] == list(range(300))
+
+
 def test_ranges_and_pages_cover_the_table(orders):
     keys = sorted(r[0] for r in orders.select("o_orderkey").collect())
+    for first, last in ((1, 1), (1490, 1600), (3000, 3100), (1, 5000)):
+        got = scan_row_range(orders, ["o_orderkey"], first, last).orderBy("o_orderkey").collect()
+        assert [r["o_orderkey"] for r in got] == keys[first - 1 : last]
     pages = [r["o_orderkey"] for j in range(4) for r in scan_page(orders, ["o_orderkey"], j, 400).orderBy("o_orderkey").collect()]
     assert pages == keys[:1600]
     assert [r["o_orderkey"] for r in scan_row_range(orders, ["o_orderkey"], 11, 20).orderBy("o_orderkey").collect()] == keys[10:20]

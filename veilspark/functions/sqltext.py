@@ -15,3 +15,12 @@ def text(value: str) -> str:
 def texts(values) -> str:
     """An array constant."""
     return "array(" + ", ".join(text(v) for v in values) + ")"
+
+
+def constant(value) -> str:
+    """A Python value as text that casts back to it."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{bytes(value).hex()}'"
+    return text(repr(value) if isinstance(value, float) else str(value))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions import sqltext
+
 _HEX = 8
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 100_000, 1 << 10, 1 << 20
 ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES = 1_000_000, 64, 4096
@@ -23,22 +25,31 @@ def bucket(text: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, _HEX), 16, 10).cast("bigint") % buckets).cast("int")
 
 
-def _offsets(bucketed: DataFrame, bucket_name: str) -> DataFrame:
-    """Rows in earlier buckets, per bucket. One row per bucket, so the window and the broadcast are bounded."""
-    counts = bucketed.groupBy(bucket_name).agg(F.count("*").alias("__rows"))
-    earlier = Window.orderBy(bucket_name).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(bucket_name, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+def _offsets(bucketed: DataFrame) -> DataFrame:
+    """``(__bucket, __rows, __before)``: rows of each bucket and of earlier buckets.
+
+    One row per bucket, so the window without partitions and the broadcast are bounded by the bucket count.
+    """
+    counts = bucketed.groupBy("__bucket").agg(F.count("*").alias("__rows"))
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
 
 
-def _number(bucketed: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    offsets = F.broadcast(_offsets(bucketed, "__bucket"))
+def _number(
+    bucketed: DataFrame, order: Sequence[Column], name: str, between: tuple[int, int] | None = None
+) -> DataFrame:
+    """Number rows in (bucket, order). With ``between`` only rows with these numbers are kept, and only the
+    buckets that hold them are sorted."""
+    offsets, names = _offsets(bucketed), [c for c in bucketed.columns if c != "__bucket"]
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return (
-        bucketed.withColumn("__inside", inside)
-        .join(offsets, "__bucket", "left")
-        .withColumn(name, F.col("__before") + F.col("__inside") - 1)
-        .drop("__bucket", "__inside", "__before")
-    )
+    number = F.col("__before") + F.col("__inside") - 1
+    if between is None:
+        numbered = bucketed.withColumn("__inside", inside).join(F.broadcast(offsets), "__bucket", "left")
+        return numbered.select(*names, number.alias(name))
+    first, last = between
+    needed = offsets.where((F.col("__before") <= last) & (F.col("__before") + F.col("__rows") > first))
+    numbered = bucketed.join(F.broadcast(needed), "__bucket").withColumn("__inside", inside)
+    return numbered.select(*names, number.alias(name)).where(F.col(name).between(first, last))
 
 
 def bucket_count(rows: int) -> int:
@@ -83,13 +94,14 @@ def _tree(below: Callable[[tuple], Column], cuts: Sequence[tuple], first: int =
 
 
 def _range_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """Number of the range of a row's key. Beyond TREE_CUTS cut points the tree finds a group of them and the
+    """Number of the range of a row's key, held in ``__key``. Beyond TREE_CUTS cut points the tree finds a group of them and the
     group is searched as an array, so that the expression stays small."""
     kinds = [df.schema[k].dataType for k in keys]
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    key = F.col("__key")
 
     def constant(cut: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, kinds))])
+        cells = [f"'k{i}', CAST({sqltext.constant(v)} AS {t.simpleString()})" for i, (v, t) in enumerate(zip(cut, kinds))]
+        return F.expr(f"named_struct({', '.join(cells)})")
 
     below = lambda cut: key < constant(cut)
     if len(cuts) <= TREE_CUTS:
@@ -102,11 +114,14 @@ def _range_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> Colu
     return group * F.lit(width) + inside
 
 
-def position_by_key(df: DataFrame, keys: Sequence[str], name: str, cuts: Sequence[tuple] | None = None) -> DataFrame:
-    """Add the 0-based position of each row in key order, nulls first.
+def position_by_key(
+    df: DataFrame, keys: Sequence[str], name: str, cuts: Sequence[tuple] | None = None, between: tuple[int, int] | None = None
+) -> DataFrame:
+    """Add the 0-based position of each row in key order, nulls first; ``between`` keeps a range of positions.
 
     The cut points decide only how evenly the work spreads; any cut points give the same positions.
     """
     cuts = cut_points(df, keys) if cuts is None else sorted(set(cuts), key=_sort_key)
-    placed = df.withColumn("__bucket", _range_of(df, keys, cuts))
-    return _number(placed, [F.col(k).asc_nulls_first() for k in keys], name)
+    whole_key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    placed = df.withColumn("__key", whole_key).withColumn("__bucket", _range_of(df, keys, cuts)).drop("__key")
+    return _number(placed, [F.col(k).asc_nulls_first() for k in keys], name, between)

@@ -24,6 +24,7 @@ from veilspark.operators.unique import mask_unique
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
 
 _UNCHANGED = {"NoMasking", "Unmask"}
+_NESTED = (T.StructType, T.ArrayType)
 _SHUFFLES = {"Shuffle", "ShufflePolygon"}
 _NO_GENERATOR = {"None", "NULL", "Location", "Error"}
 _BEFORE_LOCATION = {"File", "math", "MaskingOut", "Scramble", "exception", "Shufflegeometry", "Blob", "Ignore"}
@@ -37,14 +38,14 @@ _TEXT_VALUE = set(
 _TYPED_VALUE = {"DateOfBirth": "timestamp_ntz", "RandomInt": "int", "RandomDec": "decimal(18,6)", "math": "decimal(18,6)"}
 
 
-def use_value(rule: ColumnRule) -> Column:
-    """The constant of a rule; the text NULL means null."""
+def use_value(rule: ColumnRule) -> tuple[Column, str]:
+    """The constant of a rule and its type; the text NULL means null."""
     kind = "string" if rule.type in _TEXT_VALUE else _TYPED_VALUE.get(rule.type)
     if kind is None:
         raise RuleError(f"{rule.name}: a fixed value is not possible for rule type {rule.type}")
     if rule.use_value.upper() == "NULL":
-        return F.lit(None).cast(kind)
-    return F.lit(rule.use_value).cast(kind)
+        return F.lit(None).cast(kind), kind
+    return F.lit(rule.use_value).cast(kind), kind
 
 
 class _StagedDraws(Draws):
@@ -112,10 +113,17 @@ class TableMask:
         if any(n in self.pending for n in names if n):
             self.flush()
 
-    def put(self, name: str, value: Column) -> None:
-        nested = isinstance(self.types.get(name), (T.StructType, T.ArrayType))
-        if self.keep_types and name in self.types and not nested:
-            value = value.cast(self.types[name])
+    def put(self, name: str, value: Column, kind: str, keep_misfits: bool = False) -> None:
+        """Set the masked value of a column, in the type of the column where types are kept.
+
+        A value that does not fit the type must not end a long job: ``keep_misfits`` leaves the original there,
+        which validation then reports; otherwise it becomes null.
+        """
+        target = self.types.get(name)
+        if self.keep_types and target is not None and not isinstance(target, _NESTED) and target.simpleString() != kind:
+            value = value.try_cast(target)
+            if keep_misfits:
+                value = F.coalesce(value, F.col(name))
         self.pending[name] = value
 
     def sized(self) -> Settings:
@@ -205,6 +213,8 @@ class TableMask:
     def _starred(self, rule: ColumnRule) -> Column:
         if not rule.limit():
             raise RuleError(f"{rule.name}: MaskingOut needs a size")
+        if not isinstance(self.types[rule.name], T.StringType):
+            raise RuleError(f"{rule.name}: MaskingOut applies to text only")
         for name, mask in redact.MASKING_OUT.items():
             if name in (rule.pattern or "").lower():
                 old = F.col(rule.name).cast("string")
@@ -224,8 +234,9 @@ class TableMask:
         name, kind = rule.name, rule.type
         if kind in _UNCHANGED or kind in _NO_GENERATOR or rule.unmask:
             return
+        own_kind = self.types[name].simpleString()
         if rule.use_value:
-            self.put(name, use_value(rule))
+            self.put(name, *use_value(rule))
         elif rule.unique:
             self.flush()
             self.df = mask_unique(self.df, rule, self.rule.key, self.scope(rule), self.sized())
@@ -235,25 +246,26 @@ class TableMask:
                 self.df, name, self.rule.key, self.scope(rule), self.sized(), rule.retain_null, self.source
             )
         elif kind in ("Geometry", "Shufflegeometry"):
-            self.put(name, self._geometry(rule))
+            self.put(name, self._geometry(rule), own_kind)
         elif kind == "math":
-            self.put(name, self._math(rule))
+            self.put(name, self._math(rule), "double")
         elif kind == "MaskingOut":
-            self.put(name, self.retained(rule, self._starred(rule), "string"))
+            self.put(name, self.retained(rule, self._starred(rule), "string"), "string")
         elif kind == "Scramble":
-            self.put(name, self.retained(rule, self._scrambled(rule)))
+            self.put(name, self.retained(rule, self._scrambled(rule)), own_kind)
         elif kind == "Blob":
             self.reads(rule.pattern)
-            self.put(name, mask_blob(F.col(name), F.col(rule.pattern) if rule.pattern else F.lit(""), self.draws(rule), rule.retain_null))
+            file_name = F.col(rule.pattern) if rule.pattern else F.lit("")
+            self.put(name, mask_blob(F.col(name), file_name, self.draws(rule), rule.retain_null), "binary")
         elif kind == "Ignore":
-            self.put(name, F.lit(None).cast(self.types[name]))
+            self.put(name, F.lit(None).cast(self.types[name]), own_kind)
         elif kind == "exception":
-            value, _ = self.generated(rule)
+            value, value_kind = self.generated(rule)
             long = F.length(F.col(name)) > int(rule.pattern)
-            self.put(name, F.when(long, value).otherwise(F.col(name)))
+            self.put(name, F.when(long, value).otherwise(F.col(name)), value_kind)
         else:
             value, value_kind = self.generated(rule)
-            self.put(name, self.retained(rule, value, value_kind))
+            self.put(name, self.retained(rule, value, value_kind), value_kind, keep_misfits=True)
 
     def _is_location(self, rule: ColumnRule) -> bool:
         return (
@@ -282,7 +294,7 @@ class TableMask:
                     raise RuleError(f"{rule.name}: source column {missing[0]} could not be found")
                 self.reads(*rule.source_columns)
                 separator = " " if rule.separator is None else rule.separator
-                self.put(rule.name, redact.computed([F.col(s) for s in rule.source_columns], separator))
+                self.put(rule.name, redact.computed([F.col(s) for s in rule.source_columns], separator), "string")
         self.flush()
         return self.df
 

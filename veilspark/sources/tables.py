@@ -33,11 +33,10 @@ def scan_limit(df: DataFrame, key: Sequence[str], count: int) -> DataFrame:
 def scan_row_range(df: DataFrame, key: Sequence[str], first: int, last: int) -> DataFrame:
     """Rows first..last by key, 1-based and inclusive.
 
-    Positions come from ranges numbered in parallel; an offset and limit would pull everything before the
-    range through one task.
+    Rows are counted per key range, and only the ranges that hold the wanted positions are shuffled and sorted; an
+    offset and limit would pull everything before the range through one task.
     """
-    numbered = position_by_key(df, key, "__position")
-    return numbered.where(F.col("__position").between(first - 1, last - 1)).select(*df.columns)
+    return position_by_key(df, key, "__position", between=(first - 1, last - 1)).select(*df.columns)
 
 
 def scan_page(df: DataFrame, key: Sequence[str], page: int, fetch: int = PAGE_ROWS) -> DataFrame:
