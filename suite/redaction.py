@@ -242,7 +242,7 @@ mask_query(
 @query("hex_dump", "SELECT doc_id, substr(hex(encode(text)), 1, 1000) AS dump, length(hex(encode(text))) AS n FROM documents")
 def _hex_dump(spark, sf):
     data = F.encode("text", "UTF-8")
-    return read(spark, sf, "documents").select("doc_id", redact.hex_dump(data, 1000).alias("dump"), F.length(F.hex(data)).alias("n"))
+    return read(spark, sf, "documents").select("doc_id", redact.hex_dump(data, 1000).alias("dump"), F.length(F.hex(data)).cast("bigint").alias("n"))
 
 
 @query("drop_binary_columns", "SELECT doc_id, text, lang, source, n_chars FROM documents")

@@ -96,3 +96,17 @@ def test_a_stream_is_masked_like_a_table(spark, customer, tmp_path):
     assert got == sorted(mask_table(customer, rule).collect())
     with pytest.raises(RuleError):
         mask_stream(customer, TableRule("customer", ("c_custkey",), (R("c_name", "Shuffle"),)))
+
+
+def test_command_line(spark, sf_dir, tmp_path):
+    from veilspark.__main__ import run
+
+    columns = [{"name": "s_name", "type": "Company"}, {"name": "s_acctbal", "type": "RandomDec", "min": 0, "max": 5}]
+    config = tmp_path / "config.json"
+    config.write_text(json.dumps({"tables": [{"name": "supplier", "primaryKeyColumn": "s_suppkey", "columns": columns}]}))
+    changes = run(spark, [str(config), sf_dir, str(tmp_path / "none"), "--dry-run"]).collect()
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert {r["column_name"]: r["changed_rows"] for r in changes} == {"s_name": suppliers, "s_acctbal": suppliers}
+    assert not (tmp_path / "none").exists()
+    verdict = run(spark, [str(config), sf_dir, str(tmp_path / "out"), "--seed", "s3cret"]).collect()
+    assert [r["result"] for r in verdict] == ["PASS", "PASS"]
