@@ -29,3 +29,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.compression_rules import judge_quality
 
     return judge_quality(read(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, p, list_aggregate(w[p:p + 34], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)
+),
+hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM hits),
+flat AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT f.doc_id, count(g.p) AS n_removed, string_agg(f.x, ' ' ORDER BY f.p) FILTER (WHERE g.p IS NULL) AS t
+  FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p GROUP BY f.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.substring_dedup import digest, remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", digest("text").alias("kept_sha256"))
