@@ -54,3 +54,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.substring_dedup import digest, remove_repeats
 
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", digest("text").alias("kept_sha256"))
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.pieces import encode_digests
+
+    return encode_digests(read(spark, sf_dir, "documents"))
