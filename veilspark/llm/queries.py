@@ -61,3 +61,40 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.pieces import encode_digests
 
     return encode_digests(read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM sizes GROUP BY source
+),
+sorted AS (SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k FROM sources),
+levels AS (
+  SELECT k, weight, cap, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level
+  FROM sorted WINDOW p AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+chosen AS (SELECT level FROM levels WHERE weight * level <= cap ORDER BY k LIMIT 1),
+targets AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM chosen)) AS target FROM sorted),
+drawn AS (
+  SELECT *, length(size::VARCHAR) * 100 + rpad(substr(size::VARCHAR, 1, 2), 2, '0')::INT AS kind,
+    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS u FROM sizes
+),
+parted AS (SELECT *, u % CAST(ceil(count(*) OVER (PARTITION BY source, kind) / 50000.0) AS BIGINT) AS part FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY kind, part, u, doc_id) - 1 AS pos FROM parted),
+rated AS (
+  SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+    ('0x' || substr(md5('mix-start|' || coalesce(p.source, '~')), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS start
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + floor((rate - floor(rate)) * (pos + 1) + start) - floor((rate - floor(rate)) * pos + start)) AS BIGINT) AS taken
+FROM rated
+"""
+
+
+@query("op2_mix_sources", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.mixing import mix_sources
+
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
