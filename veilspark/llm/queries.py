@@ -98,3 +98,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.mixing import mix_sources
 
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from veilspark.llm.language_id import held_out, identify, learn_languages
+
+    docs = read(spark, sf_dir, "documents")
+    model = learn_languages(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
