@@ -109,3 +109,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = learn_languages(docs.where(~held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from veilspark.llm.language_id import held_out
+    from veilspark.llm.quality_classifier import learn_quality, score_quality
+
+    docs = read(spark, sf_dir, "documents")
+    weights = learn_quality(docs.where(~held_out(F.col("doc_id"))), read(spark, sf_dir, "labels"))
+    return score_quality(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
