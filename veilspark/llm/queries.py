@@ -121,3 +121,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     weights = learn_quality(docs.where(~held_out(F.col("doc_id"))), read(spark, sf_dir, "labels"))
     return score_quality(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from veilspark.llm.collision_search import nearest_neighbours
+
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
