@@ -130,3 +130,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.collision_search import nearest_neighbours
 
     return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) END) AS s FROM d
+),
+flat AS (SELECT doc_id, unnest(s) AS g FROM sets),
+overlap AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM overlap JOIN sets p ON x = p.doc_id JOIN sets q ON y = q.doc_id WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, seen) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.seen = b.x),
+smallest AS (SELECT doc_id, min(seen) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM sets s JOIN smallest m USING (doc_id)
+"""
+
+
+@query("op7_near_dedup", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
