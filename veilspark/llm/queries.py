@@ -157,3 +157,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.near_dedup import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query("op3_pii_surrogates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.surrogates import replace_entities
+
+    return replace_entities(read(spark, sf_dir, "documents"))
