@@ -164,3 +164,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.surrogates import replace_entities
 
     return replace_entities(read(spark, sf_dir, "documents"))
+
+
+def _op5_sql() -> str:
+    from veilspark.llm.license_texts import TEMPLATES
+
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''").replace("\n", " ")) for name, text in sorted(TEMPLATES.items()))
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    runs = "list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda p: array_to_string(w[p:p + k - 1], ' '))"
+    return f"""
+WITH t AS (SELECT name, w, least(5, len(w)) AS k FROM (SELECT name, {words} AS w FROM (VALUES {values}) v(name, text))),
+ts AS (SELECT name, k, {runs} AS s FROM t),
+tt AS (SELECT name, k, s, CAST(ceil(1.25 * len(s)) AS BIGINT) AS reach, ceil(0.8 * len(list_distinct(s))) AS need FROM ts),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+ds AS (SELECT doc_id, k, {runs} AS s FROM d, (SELECT DISTINCT k FROM t) sizes),
+flat AS (SELECT doc_id, k, p, s[p] AS g FROM (SELECT doc_id, k, s, unnest(range(1, len(s) + 1)) AS p FROM ds)),
+hits AS (SELECT f.doc_id, tt.name, tt.reach, tt.need, f.p, f.g FROM flat f JOIN (SELECT name, k, reach, need, unnest(list_distinct(s)) AS g FROM tt) tt ON f.k = tt.k AND f.g = tt.g),
+held AS (
+  SELECT a.doc_id, a.name FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.name = b.name AND b.p >= a.p AND b.p < a.p + a.reach
+  GROUP BY a.doc_id, a.name, a.p, a.need HAVING count(DISTINCT b.g) >= a.need
+),
+named AS (SELECT doc_id, string_agg(name, '; ' ORDER BY name) AS licenses, count(*) AS n FROM (SELECT DISTINCT doc_id, name FROM held) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.licenses, '') AS licenses, coalesce(n.n, 0) AS n_licenses FROM documents d LEFT JOIN named n USING (doc_id)
+"""
+
+
+@query("op5_license_scan", _op5_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
