@@ -43,7 +43,7 @@ _HOME = "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END"
 
 @query(
     "location_record",
-    f"""WITH book AS (SELECT *, row_number() OVER (ORDER BY {w.bucket("concat_ws('|', city_pcs, full_addr)")}, city_pcs, full_addr) - 1 AS i FROM ({_BOOK_SQL})),
+    f"""WITH book AS (SELECT *, row_number() OVER (ORDER BY {w.hashed("concat_ws('|', city_pcs, full_addr)")}, city_pcs, full_addr) - 1 AS i FROM ({_BOOK_SQL})),
     src AS (SELECT c_custkey, {_HOME} AS home_address, c_name, {w.h('customer.#loc', CKEY)} % (SELECT count(*) FROM book) AS i FROM customer)
     SELECT c_custkey, city_pcs AS city, 'BC' AS home_province, 'Canada' AS country_name, CASE WHEN home_address IS NOT NULL THEN full_addr END AS home_address,
         {w.differing(w.pool([x for x in p.STATES['Canada'] if len(x) < 30]), 'customer.state', CKEY, 'c_name')} AS state

@@ -131,7 +131,7 @@ mask_query(
 
 CORR_LOW, CORR_SIZE = 5_000_000, 10_000_019
 _fa, _fb = bijection(CORR_SIZE, "42", "customer.c_custkey")
-_CORRELATION = f"""corr AS (SELECT c_custkey AS before, CAST({CORR_LOW} + ((row_number() OVER (ORDER BY {w.bucket(CKEY)}, c_custkey) - 1) * {_fa} + {_fb}) % {CORR_SIZE} AS BIGINT) AS after
+_CORRELATION = f"""corr AS (SELECT c_custkey AS before, CAST({CORR_LOW} + ((row_number() OVER (ORDER BY {w.hashed(CKEY)}, c_custkey) - 1) * {_fa} + {_fb}) % {CORR_SIZE} AS BIGINT) AS after
     FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey IS NOT NULL))"""
 
 
@@ -158,7 +158,7 @@ _ua, _ub = bijection(10**10, "42", "customer.c_name")
 mask_query(
     "mask_unique", "customer", "c_custkey", [UNIQUE],
     f"""SELECT c_custkey, {w.symbols('(###) ###-####')[0].render('u')} AS c_name FROM (
-        SELECT c_custkey, ((row_number() OVER (ORDER BY {w.bucket(CKEY)}, c_custkey) - 1) * {_ua} + {_ub}) % 10000000000 AS u FROM customer)""",
+        SELECT c_custkey, ((row_number() OVER (ORDER BY {w.hashed(CKEY)}, c_custkey) - 1) * {_ua} + {_ub}) % 10000000000 AS u FROM customer)""",
     derive=["c_custkey", "c_name"],
 )
 

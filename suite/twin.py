@@ -39,8 +39,8 @@ def h(scope: str, key_sql: str, k=0) -> str:
     return number(digest(scope, key_sql, k))
 
 
-def bucket(text_sql: str, buckets: int = 1024) -> str:
-    return f"({number(f'md5({text_sql})', 8)} % {buckets})"
+def hashed(text_sql: str) -> str:
+    return number(f"md5({text_sql})", 8)
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,7 @@ _CHECKS = [
     ("blank", "Scramble", "false", "false", "false"),
 ]
 REPORT_SQL = " UNION ALL ".join(
-    f"SELECT 'customer' AS table_name, 'app' AS schema_name, '{c}' AS column_name, '{kind}' AS rule_type, {ignored} AS ignored, count(*) AS rows_masked, (SELECT count(*) FROM customer) AS rows_original, "
+    f"SELECT 'customer' AS table_name, 'app' AS schema_name, '{c}' AS column_name, '{kind}' AS rule_type, {ignored} AS ignored, count(*) AS rows_masked, (SELECT count(*) FROM customer) AS rows_original, CAST(0 AS BIGINT) AS rows_missing, CAST(0 AS BIGINT) AS rows_extra, CAST(0 AS BIGINT) AS keys_repeated, "
     f"count(*) FILTER (WHERE {leak}) AS leaks, count(*) FILTER (WHERE {compared} AND NOT ({leak})) AS changed FROM m JOIN customer o USING (c_custkey)"
     for c, kind, ignored, leak, compared in _CHECKS
 )
@@ -74,9 +74,9 @@ def _validate(spark, sf):
 
 
 def _verdict_sql(source):
-    return f"""SELECT *, CASE WHEN leaks = 0 AND rows_masked = 0 THEN 'PASS' WHEN ignored OR rule_type = 'NoMasking' THEN 'PASS' WHEN leaks = 0 THEN 'PASS' WHEN rule_type = 'Shuffle' THEN 'FAIL'
+    return f"""SELECT *, CASE WHEN rows_missing > 0 OR rows_extra > 0 OR keys_repeated > 0 THEN 'FAIL' WHEN leaks = 0 AND rows_masked = 0 THEN 'PASS' WHEN ignored OR rule_type = 'NoMasking' THEN 'PASS' WHEN leaks = 0 THEN 'PASS' WHEN rule_type = 'Shuffle' THEN 'FAIL'
         WHEN rule_type = 'exception' AND changed > 0 THEN 'PASS' WHEN rule_type = 'City' THEN 'PASS' ELSE 'FAIL' END AS result,
-    CASE WHEN leaks = 0 AND rows_masked = 0 THEN 'No record found' WHEN ignored OR rule_type = 'NoMasking' THEN 'Masking not required' WHEN leaks = 0 THEN 'NULL'
+    CASE WHEN rows_missing > 0 OR rows_extra > 0 OR keys_repeated > 0 THEN 'Rows are missing, added or repeated' WHEN leaks = 0 AND rows_masked = 0 THEN 'No record found' WHEN ignored OR rule_type = 'NoMasking' THEN 'Masking not required' WHEN leaks = 0 THEN 'NULL'
         WHEN rule_type = 'Shuffle' AND rows_masked = 1 THEN 'row count must be > 1 for Shuffle' WHEN rule_type = 'Shuffle' THEN 'Cannot generate a unique shuffle value'
         WHEN rule_type = 'exception' AND changed > 0 THEN 'Applied mask with exception' WHEN rule_type = 'City' THEN 'Same City found but different state or province'
         ELSE 'Found exact match ' || rule_type END AS result_comment FROM ({source})"""
@@ -84,7 +84,8 @@ def _verdict_sql(source):
 
 # Counts that reach every branch, derived from the orders: one report row per (priority, status).
 _COUNTS = """SELECT o_orderpriority AS table_name, 's' AS schema_name, o_orderstatus AS column_name, CASE o_orderpriority WHEN '1-URGENT' THEN 'Shuffle' WHEN '2-HIGH' THEN 'City' WHEN '3-MEDIUM' THEN 'exception' ELSE 'FullName' END AS rule_type,
-    o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT' AS ignored, CASE WHEN o_orderstatus = 'P' THEN CAST(1 AS BIGINT) WHEN o_orderpriority = '5-LOW' THEN CAST(0 AS BIGINT) ELSE count(*) END AS rows_masked, count(*) AS rows_original,
+    o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT' AS ignored, CASE WHEN o_orderstatus = 'P' THEN CAST(1 AS BIGINT) WHEN o_orderpriority = '5-LOW' THEN CAST(0 AS BIGINT) ELSE count(*) END AS rows_masked, count(*) AS rows_original, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' THEN CAST(2 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS rows_missing,
+    CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS rows_extra, CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS keys_repeated,
     CASE WHEN o_orderpriority = '5-LOW' OR (o_orderstatus = 'F' AND o_orderpriority <> '2-HIGH') THEN CAST(0 AS BIGINT) ELSE count(*) END AS leaks, CASE WHEN o_orderstatus = 'O' THEN CAST(3 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS changed FROM orders GROUP BY o_orderpriority, o_orderstatus"""
 
 
@@ -94,12 +95,34 @@ def _verdict(spark, sf):
     return validation_verdict(report(spark, sf).unionByName(spark.sql(_COUNTS)))
 
 
+# A copy that lacks every seventh customer, moved every eleventh to another key, and doubled every fifth.
+_COPY = """SELECT CASE WHEN c_custkey % 11 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'x' END AS c_name
+    FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, 'y' FROM customer WHERE c_custkey % 5 = 0"""
+_COPY_RULE = TableRule("customer", ("c_custkey",), (R("c_custkey", "NoMasking"), R("c_name", "FullName")))
+
+
+@query(
+    "validation_unmatched",
+    f"""WITH c AS ({_COPY}), m AS (SELECT c_custkey, count(*) AS n, min(c_name) AS c_name FROM c GROUP BY 1),
+    j AS (SELECT m.n, m.c_name, o.c_custkey AS k, m.c_custkey AS mk, o.c_name AS old FROM m FULL JOIN customer o ON m.c_custkey = o.c_custkey),
+    s AS (SELECT CAST(sum(n) AS BIGINT) AS rows_masked, count(k) AS rows_original, count(*) FILTER (WHERE mk IS NULL) AS rows_missing, CAST(sum(n) FILTER (WHERE k IS NULL) AS BIGINT) AS rows_extra,
+        count(*) FILTER (WHERE n > 1) AS keys_repeated, count(*) FILTER (WHERE n = 1 AND k IS NOT NULL) AS pairs, count(*) FILTER (WHERE n = 1 AND k IS NOT NULL AND c_name = old) AS same FROM j)
+    SELECT 'customer' AS table_name, '' AS schema_name, 'c_custkey' AS column_name, 'NoMasking' AS rule_type, false AS ignored, rows_masked, rows_original, rows_missing, rows_extra, keys_repeated,
+        pairs AS leaks, CAST(0 AS BIGINT) AS changed, 'FAIL' AS result, 'Rows are missing, added or repeated' AS result_comment FROM s
+    UNION ALL SELECT 'customer', '', 'c_name', 'FullName', false, rows_masked, rows_original, rows_missing, rows_extra, keys_repeated, same, pairs - same, 'FAIL', 'Rows are missing, added or repeated' FROM s""",
+)
+def _unmatched(spark, sf):
+    original = read(spark, sf, "customer")
+    original.createOrReplaceTempView("customer")
+    return validation_verdict(validate_columns(spark.sql(_COPY), original, _COPY_RULE))
+
+
 SHUFFLE_RULE = TableRule("customer", ("c_custkey",), (R("c_mktsegment", "Shuffle"), R("constant", "Shuffle"), R("c_name", "NoMasking")))
 
 
 @query(
     "validation_shuffle_log",
-    """SELECT 'customer' AS table_name, '' AS schema_name, column_name, rule_type, false AS ignored, n AS rows_masked, n AS rows_original, leaks, n - leaks AS changed, result, result_comment FROM (
+    """SELECT 'customer' AS table_name, '' AS schema_name, column_name, rule_type, false AS ignored, n AS rows_masked, n AS rows_original, 0::BIGINT AS rows_missing, 0::BIGINT AS rows_extra, 0::BIGINT AS keys_repeated, leaks, n - leaks AS changed, result, result_comment FROM (
         SELECT count(*) AS n, unnest(['c_mktsegment', 'constant', 'c_name']) AS column_name, unnest(['Shuffle', 'Shuffle', 'NoMasking']) AS rule_type, unnest([0, count(*), count(*)]) AS leaks,
         unnest(['PASS', 'FAIL', 'PASS']) AS result, unnest(['NULL', 'Cannot generate a unique shuffle value', 'Masking not required']) AS result_comment FROM customer)""",
 )

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.draw import key_text
-from veilspark.operators.numbering import number_rows
+from veilspark.operators.numbering import bucket_count, number_rows
 from veilspark.operators.unique import spread
-from veilspark.plans.rules import Settings
+from veilspark.plans.rules import RuleError, Settings
 from veilspark.sources.scratch import materialise
 
 # A key is hot when more than one row in HOT_SHARE holds it; there are fewer than HOT_SHARE such keys.
@@ -45,9 +45,15 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, row_text:
 
 
 def correlation_table(keys: DataFrame, key: str, scope: str, settings: Settings, low: int, size: int) -> DataFrame:
-    """``(before, after)`` for the distinct keys of a column; the after values are unique numbers from ``low`` on."""
-    distinct = keys.select(F.col(key).alias("before")).where(F.col(key).isNotNull()).distinct()
-    numbered = number_rows(distinct, key_text(F.col("before")), [F.col("before")], "__n", settings.buckets)
+    """``(before, after)`` for the distinct keys of a column; the after values are unique numbers from ``low`` on.
+
+    More keys than ``size`` numbers are an error before anything is written.
+    """
+    distinct = materialise(keys.select(F.col(key).alias("before")).where(F.col(key).isNotNull()).distinct(), "keys")
+    count = distinct.count()
+    if count > size:
+        raise RuleError(f"{key}: {count} keys need unique values, {size} are given")
+    numbered = number_rows(distinct, key_text(F.col("before")), [F.col("before")], "__n", settings.buckets or bucket_count(count))
     after = F.lit(low) + spread(F.col("__n"), size, settings.seed, scope)
     return numbered.select("before", after.alias("after"))
 

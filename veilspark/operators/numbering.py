@@ -1,8 +1,8 @@
 """Numbering rows 0..n-1 without a window over the whole table.
 
-``number_rows`` spreads rows over hash buckets, numbers them inside each bucket and adds the number of rows
-in earlier buckets. The result depends on the data alone, not on the partition layout, so a retried task
-gives the same numbers. ``position_by_key`` does the same in key order, with buckets cut at sampled keys.
+``number_rows`` numbers rows in the order of a 32-bit hash of their key. Buckets are ranges of that hash: rows are numbered
+inside each bucket and the number of rows in earlier buckets is added. How many buckets there are decides only how the work
+spreads; the numbers are the same for any, so they depend on the data alone, not on its size or partition layout. ``position_by_key`` does the same in key order, with buckets cut at sampled keys.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES = 1_000_000, 64, 4096
 TREE_CUTS = 64
 
 
-def bucket(text: Column, buckets: int) -> Column:
-    """Bucket of a key text: the same in every engine with md5."""
-    return (F.conv(F.substring(F.md5(text), 1, _HEX), 16, 10).cast("bigint") % buckets).cast("int")
+def hashed(text: Column) -> Column:
+    """32 bits of a key text: the same in every engine with md5."""
+    return F.conv(F.substring(F.md5(text), 1, _HEX), 16, 10).cast("bigint")
 
 
 def _offsets(bucketed: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def _number(
 ) -> DataFrame:
     """Number rows in (bucket, order). With ``between`` only rows with these numbers are kept, and only the
     buckets that hold them are sorted."""
-    offsets, names = _offsets(bucketed), [c for c in bucketed.columns if c != "__bucket"]
+    offsets, names = _offsets(bucketed), [c for c in bucketed.columns if c not in ("__bucket", "__hash")]
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
     number = F.col("__before") + F.col("__inside") - 1
     if between is None:
@@ -59,9 +59,10 @@ def bucket_count(rows: int) -> int:
 
 
 def number_rows(df: DataFrame, text: Column, order: Sequence[Column], name: str, buckets: int | None = None) -> DataFrame:
-    """Add a dense number in (bucket, order); ``text`` is the key text that chooses the bucket."""
+    """Add a dense number in (hash of ``text``, order)."""
     buckets = buckets or bucket_count(df.count())
-    return _number(df.withColumn("__bucket", bucket(text, buckets)), order, name)
+    placed = df.withColumn("__hash", hashed(text)).withColumn("__bucket", F.shiftright(F.col("__hash") * F.lit(buckets), 4 * _HEX).cast("int"))
+    return _number(placed, [F.col("__hash"), *order], name)
 
 
 def _sort_key(values: tuple) -> tuple:
@@ -79,7 +80,7 @@ def cut_points(df: DataFrame, keys: Sequence[str], ranges: int | None = None) ->
     wanted = 50 * ranges
     rows = df.select(*keys)
     sample = rows if total <= wanted else rows.sample(fraction=min(1.0, wanted / total), seed=7)
-    values = sorted({tuple(row) for row in sample.limit(2 * wanted).collect()}, key=_sort_key)
+    values = sorted({tuple(row) for row in sample.collect()}, key=_sort_key)
     return sorted({values[len(values) * i // ranges] for i in range(1, ranges)}, key=_sort_key) if values else []
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.draw import Draws, key_text
 from veilspark.functions.generators import RowView, recipe
 from veilspark.functions.redact import is_blank
-from veilspark.operators.numbering import number_rows
+from veilspark.operators.numbering import bucket_count, number_rows
 from veilspark.plans.rules import ColumnRule, RuleError, Settings
 
 
@@ -50,16 +50,20 @@ def _uncut(rule: ColumnRule) -> ColumnRule:
 def mask_unique(df: DataFrame, rule: ColumnRule, key: Sequence[str], scope: str, settings: Settings) -> DataFrame:
     """Replace a column by values of the rule's generator, no value twice.
 
-    Rows beyond the number of values the generator has keep the original. Retained nulls and blanks are exempt.
+    A table with more rows than the generator has values is an error before anything is written. Retained nulls and blanks are exempt
+    from masking, not from the count.
     """
     made = recipe(_uncut(rule), settings)
+    rows = df.count()
+    if rows > made.sampler.capacity:
+        raise RuleError(f"{rule.name}: {rows} rows need unique values, {rule.type} has {made.sampler.capacity}")
     text = key_text(*[F.col(k) for k in key])
     draws = Draws(settings.seed, scope, text)
-    numbered = number_rows(df, text, [F.col(k) for k in key], "__n", settings.buckets)
+    numbered = number_rows(df, text, [F.col(k) for k in key], "__n", settings.buckets or bucket_count(rows))
     size, old = made.sampler.capacity, F.col(rule.name)
     value = made.sampler.numbered(spread(F.col("__n"), size, settings.seed, scope), draws)
     value = made.finish(value, RowView(draws, old))
-    masked = F.when(F.col("__n") < size, value).otherwise(old.cast(made.kind))
+    masked = value
     if rule.retain_empty and df.schema[rule.name].dataType.simpleString() == "string":
         masked = F.when(is_blank(old), old).otherwise(masked)
     if rule.retain_null:

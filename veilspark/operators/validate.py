@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,8 @@ from veilspark.operators.stacking import stack_rows
 from veilspark.plans.rules import TableRule
 
 REPORT = [
-    "table_name", "schema_name", "column_name", "rule_type", "ignored", "rows_masked", "rows_original", "leaks", "changed",
+    "table_name", "schema_name", "column_name", "rule_type", "ignored", "rows_masked", "rows_original", "rows_missing", "rows_extra",
+    "keys_repeated", "leaks", "changed",
 ]
 UNIQUE_SHUFFLE_FAILED = "Cannot generate unique shuffle value"
 
@@ -29,42 +32,63 @@ def _count(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0))
 
 
+def _by_key(df: DataFrame, keys: list[str], names: list[str], side: str) -> DataFrame:
+    """One row per key: how many rows have it, and the columns of one of them. Repeated keys are counted, not multiplied."""
+    values = F.first(F.struct(*[F.col(n).alias(f"{side}_{i}") for i, n in enumerate(names)]))
+    grouped = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    return grouped.agg(F.count("*").alias(f"__n_{side}"), values.alias(f"__{side}"))
+
+
 def validate_columns(masked: DataFrame, original: DataFrame, rule: TableRule) -> DataFrame:
-    """One report row per configured column: rows on both sides, leaks, changed values.
+    """One report row per configured column: rows on both sides, rows whose key the other side lacks, repeated keys, leaks, changed values.
 
-    One join on the key and one aggregate for all columns; the key is unique on both sides, so no group is hot.
+    One full outer join on the key and one aggregate for all columns. Leaks and changes are counted over keys that both sides have once;
+    a repeated key has no one row to compare with and is reported instead. A key column can have a rule: a masked key is then a
+    missing and an extra one.
     """
     rules = [r for r in rule.columns if r.name in masked.columns and r.name in original.columns]
     keys = list(rule.key)
-    before = original.select(*keys, *[F.col(r.name).alias(f"__o_{r.name}") for r in rules if r.name not in keys])
-    after = masked.select(*keys, *[r.name for r in rules if r.name not in keys])
-    joined = after.join(before, keys, "left")
     kinds = {f.name: f.dataType for f in original.schema.fields}
-    sums = [F.count("*").alias("__rows")]
+    names = [r.name for r in rules]
+    single = F.col("__n_o").eqNullSafe(1) & F.col("__n_m").eqNullSafe(1)
+    same = [F.col(f"m.__k{i}").eqNullSafe(F.col(f"o.__k{i}")) for i in range(len(keys))]
+    after, before = _by_key(masked, keys, names, "m").alias("m"), _by_key(original, keys, names, "o").alias("o")
+    joined = after.join(before, reduce(lambda x, y: x & y, same), "full")
+    rows = lambda side: F.coalesce(F.sum(f"__n_{side}"), F.lit(0))
+    sums = [
+        rows("m").alias("__rows"), rows("o").alias("__before"),
+        F.coalesce(F.sum(F.when(F.col("__n_m").isNull(), F.col("__n_o"))), F.lit(0)).alias("__missing"),
+        F.coalesce(F.sum(F.when(F.col("__n_o").isNull(), F.col("__n_m"))), F.lit(0)).alias("__extra"),
+        _count((F.col("__n_o") > 1) | (F.col("__n_m") > 1)).alias("__repeated"),
+    ]
     for i, r in enumerate(rules):
-        new, old = F.col(r.name), F.col(f"__o_{r.name}")
-        leak = F.lit(False) if r.ignore else _leak(new, old, kinds[r.name])
-        compared = new.isNotNull() & old.isNotNull()
+        new, old = F.col(f"__m.m_{i}"), F.col(f"__o.o_{i}")
+        leak = F.lit(False) if r.ignore else single & _leak(new, old, kinds[r.name])
+        compared = single & new.isNotNull() & old.isNotNull()
         if isinstance(kinds[r.name], T.StringType):
             compared = compared & ~is_blank(old)
         sums += [_count(leak).alias(f"__l{i}"), _count(compared & ~leak).alias(f"__c{i}")]
-    counted = joined.agg(*sums).withColumn("__before", original.agg(F.count("*")).scalar())
-    rows = [
+    counted = joined.agg(*sums)
+    stacked = [
         [
-            *[sqltext.text(x) for x in (rule.name, rule.schema, r.name, r.type)], str(r.ignore).lower(), "__rows", "__before",
-            f"__l{i}", f"__c{i}",
+            *[sqltext.text(x) for x in (rule.name, rule.schema, r.name, r.type)], str(r.ignore).lower(), "__rows", "__before", "__missing",
+            "__extra", "__repeated", f"__l{i}", f"__c{i}",
         ]
         for i, r in enumerate(rules)
     ]
-    return stack_rows(counted, rows, REPORT)
+    return stack_rows(counted, stacked, REPORT)
 
 
 def validation_verdict(report: DataFrame) -> DataFrame:
     """Add ``result`` (PASS or FAIL) and ``result_comment``."""
     kind, leaks = F.col("rule_type"), F.col("leaks") > 0
     not_required = F.col("ignored") | (kind == "NoMasking")
+    unmatched = F.lit(False)
+    if "rows_missing" in report.columns:
+        unmatched = (F.col("rows_missing") > 0) | (F.col("rows_extra") > 0) | (F.col("keys_repeated") > 0)
     # (condition, result, comment); the first that holds decides.
     cascade = [
+        (unmatched, "FAIL", F.lit("Rows are missing, added or repeated")),
         (~leaks & (F.col("rows_masked") == 0), "PASS", F.lit("No record found")),
         (not_required, "PASS", F.lit("Masking not required")),
         (~leaks, "PASS", F.lit("NULL")),

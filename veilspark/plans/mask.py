@@ -276,6 +276,8 @@ class TableMask:
         )
 
     def build(self) -> DataFrame:
+        if not self.rule.key:
+            raise RuleError(f"{self.rule.name}: a table without a key cannot be masked, its rows would all draw the same values")
         names = self.df.columns
         active = [r for r in self.rule.columns if not r.ignore]
         row_rules = [r for r in active if r.type != "Computed"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,23 +11,40 @@ from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 
-
-# Temporary folders made for sessions that name none.
-_MADE: dict[str, str] = {}
+# Temporary folders of local sessions that name none; they end with the process.
+_LOCAL: dict[str, str] = {}
+# Paths this process has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests, one machine)."""
+    """The shared folder the cluster names. Only a local master, which is one process, may go without; a folder of one machine of a
+    cluster would lose the rows of all others."""
     root = spark.conf.get(_CONF, None)
     if not root:
-        application = spark.sparkContext.applicationId
-        root = _MADE.setdefault(application, "") or tempfile.mkdtemp(prefix="veilspark-")
-        _MADE[application] = root
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {_CONF} to a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            made = tempfile.TemporaryDirectory(prefix="veilspark-")
+            atexit.register(made.cleanup)
+            _LOCAL[context.applicationId] = made.name
+        root = _LOCAL[context.applicationId]
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; they can hold original values. DataFrames built on them end with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
