@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Only a local master (one machine) may go without: it gets a temporary folder."""
     folder = spark.conf.get(_CONF, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{_CONF} must name a folder that all executors share")
         if spark.sparkContext.applicationId not in _LOCAL:
             made = tempfile.TemporaryDirectory(prefix="veilspark-")
