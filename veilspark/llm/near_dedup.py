@@ -21,6 +21,7 @@ other, so a group's id is null only if all are. An empty table gives no rows. Ot
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -181,39 +182,64 @@ def _signed(sets: DataFrame) -> DataFrame:
 
 
 def _wanted_blocks(percent: int):
-    """Of a chunk pair of one table: which class is to be compared with which block."""
+    """For each chunk pair of a table, whose rows come together in a sorted partition: which class is to be compared with which block."""
     share = percent / 100
     least = share - 4.5 * math.sqrt(share * (1 - share) / SIGNATURE)
     agreeing = (least * 255 + 1) / 256 * SIGNATURE
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("v", ignore_index=True)
-        left = rows[rows["chunk"] == rows["c1"].iloc[0]].reset_index(drop=True)
-        right = rows[rows["chunk"] == rows["c2"].iloc[0]].reset_index(drop=True)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"v": [], "blk": []})
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        unpack = lambda f, c, t: np.frombuffer(b"".join(f[c]), t).reshape(len(f), -1)
-        lc, rc, ls, rs = unpack(left, "coll", "<i8"), unpack(right, "coll", "<i8"), unpack(left, "sign", np.uint8), unpack(right, "sign", np.uint8)
-        apart = left["root"].to_numpy(object)[:, None] != right["root"].to_numpy(object)[None, :]
-        if left["chunk"].iloc[0] == right["chunk"].iloc[0]:
-            apart &= np.triu(np.ones(apart.shape, bool), 1)
+    def of_group(i: int, j: int, left: np.ndarray, right: np.ndarray, coll: np.ndarray, sign: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of different components that look similar and share no earlier table."""
+        apart = root[left][:, None] != root[right][None, :]
+        if left is right:
+            apart = np.triu(apart, 1)
         # This is the first table the two classes share if no other value below j agrees.
         for k in range(j):
-            if k != i:
-                apart &= lc[:, k][:, None] != rc[:, k][None, :]
+            if k != i and apart.any():
+                apart &= coll[left, k][:, None] != coll[right, k][None, :]
         x, y = np.nonzero(apart)
-        out = set()
+        near = [np.zeros(0, bool)]
         for low in range(0, len(x), 1 << 14):
-            a, b = x[low : low + (1 << 14)], y[low : low + (1 << 14)]
-            near = (ls[a] == rs[b]).sum(axis=1) >= agreeing
-            for p, q in zip(a[near].tolist(), b[near].tolist()):
-                one, two = left.iloc[p], right.iloc[q]
-                small, large = (one, two) if (one["weight"], one["v"]) <= (two["weight"], two["v"]) else (two, one)
-                out.add((small["v"], large["blk"]))
-        return pd.DataFrame(sorted(out), columns=["v", "blk"])
-
-    return find
+            near.append((sign[left[x[low : low + (1 << 14)]]] == sign[right[y[low : low + (1 << 14)]]]).sum(axis=1) >= agreeing)
+        ok = np.concatenate(near)
+        return left[x[ok]], right[y[ok]]
+
+    def of_batch(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        plain = {c: rows.column(c).to_numpy() for c in ("i", "j", "c1", "c2", "chunk", "weight")}
+        unpack = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(rows.num_rows, -1)
+        coll, sign = unpack("coll", "<i8"), unpack("sign", np.uint8)
+        root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        v, blk = rows.column("v").to_pylist(), rows.column("blk").to_pylist()
+        out = set()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a < 2 or (root[a:b] == root[a]).all():
+                continue
+            every = np.arange(a, b)
+            if plain["c1"][a] == plain["c2"][a]:
+                left = right = every
+            else:
+                left, right = every[plain["chunk"][a:b] == plain["c1"][a]], every[plain["chunk"][a:b] == plain["c2"][a]]
+            for x, y in zip(*(z.tolist() for z in of_group(int(plain["i"][a]), int(plain["j"][a]), left, right, coll, sign, root))):
+                small, large = (x, y) if (plain["weight"][x], v[x]) <= (plain["weight"][y], v[y]) else (y, x)
+                out.add((v[small], blk[large]))
+        pairs = sorted(out)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["v", "blk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "c1", "c2")])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+            # The last group may go on in the next batch.
+            if starts[-1]:
+                yield of_batch(rows.slice(0, starts[-1]), starts)
+            rest = rows.slice(starts[-1])
+        if rest is not None:
+            yield of_batch(rest, np.array([0, rest.num_rows]))
+
+    return run
 
 
 def _second_round(percent: int):
@@ -276,9 +302,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     chunks = open_rows.withColumn("chunks", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")).withColumn("chunk", _split("v", "chunks"))
     chunks = chunks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     chunks = chunks.withColumns({"c1": F.least("chunk", "with"), "c2": F.greatest("chunk", "with")}).join(signs, "v")
-    wanted = chunks.select("key", "i", "j", "v", "chunk", "c1", "c2", "root", "weight", "blk", "coll", "sign").groupBy("key", "i", "j", "c1", "c2")
-    wanted = wanted.applyInPandas(_wanted_blocks(percent), "v binary, blk binary").distinct()
-    wanted = written(wanted, "wanted")
+    group = ["key", "i", "j", "c1", "c2"]
+    chunks = chunks.select(*group, "v", "chunk", "root", "weight", "blk", "coll", "sign").repartition(*group).sortWithinPartitions(*group)
+    wanted = written(chunks.mapInArrow(_wanted_blocks(percent), "v binary, blk binary").distinct(), "wanted")
     comers = wanted.join(wanted.groupBy("blk").agg(F.ceil(F.count("*") / F.lit(COPIES)).alias("parts")), "blk").withColumn("part", _split("v", "parts"))
     asked = comers.select(F.col("blk").alias("b"), F.col("part").alias("p")).distinct().join(rooted.select(F.col("blk").alias("b"), "v"), "b")
     asked = asked.join(sets, "v").select("b", "p", F.col("v").alias("v"), F.col("set").alias("set"))
