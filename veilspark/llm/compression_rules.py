@@ -37,7 +37,7 @@ class CompressionRules:
     level: int = 3
     chunk_bytes: int = 4096
     chunk_share: float = 0.25
-    bands: tuple[Band, ...] = (Band(0, 0.0, 9.0), Band(200, 0.25, 0.98), Band(1000, 0.20, 0.88), Band(4000, 0.18, 0.82), Band(16000, 0.15, 0.78))
+    bands: tuple[Band, ...] = (Band(0, 0.0, 9.0), Band(200, 0.25, 0.95), Band(1000, 0.20, 0.80), Band(4000, 0.18, 0.72), Band(16000, 0.15, 0.70))
 
     def outside(self, ratio: np.ndarray, length: np.ndarray) -> np.ndarray:
         band = np.searchsorted([b.least for b in self.bands], length, "right") - 1
