@@ -45,7 +45,27 @@ def cut(n):
 
 _gendered("gen_first_name", "FirstName", w.pool(p.FEMALE_NAMES), w.pool(p.MALE_NAMES), w.FIRST)
 _gendered("gen_full_name", "FullName", w.cat(w.pool(p.FEMALE_NAMES), " ", w.LAST), w.cat(w.pool(p.MALE_NAMES), " ", w.LAST), w.FULL)
-_gendered("gender_aware", "FirstName", w.pool(p.FEMALE_NAMES), w.pool(p.MALE_NAMES), w.FIRST)
+
+
+def _gender_aware():
+    """Every way a gender is written, another letter and none; the masked name must come from the matching list."""
+    gender = "CASE s_suppkey % 7 WHEN 0 THEN 'M' WHEN 1 THEN 'male' WHEN 2 THEN 'f' WHEN 3 THEN 'Female' WHEN 4 THEN 'MALE' WHEN 5 THEN 'x' END AS gender"
+    scope, key_sql = "supplier.s_name", w.key("s_suppkey")
+    value = (
+        f"CASE WHEN s_suppkey % 7 IN (0, 1, 4) THEN {w.differing(w.pool(p.MALE_NAMES), scope, key_sql, 's_name')} "
+        f"WHEN s_suppkey % 7 IN (2, 3) THEN {w.differing(w.pool(p.FEMALE_NAMES), scope, key_sql, 's_name')} ELSE {w.differing(w.FIRST, scope, key_sql, 's_name')} END"
+    )
+    of_list = "CASE WHEN s_suppkey % 7 IN (0, 1, 4) THEN 'm' WHEN s_suppkey % 7 IN (2, 3) THEN 'f' END"
+    female, male = ", ".join(map(w.text, p.FEMALE_NAMES)), ", ".join(map(w.text, p.MALE_NAMES))
+    mask_query(
+        "gender_aware", "supplier", "s_suppkey", [ColumnRule("s_name", "FirstName", gender_column="gender")],
+        f"SELECT s_suppkey, {gender}, {w.kept_null('s_name', value)} AS masked, {of_list} AS list FROM supplier",
+        derive=["s_suppkey", "s_name", gender],
+        output=["s_suppkey", "gender", "s_name AS masked", f"CASE WHEN lower(gender) IN ('m', 'male', 'f', 'female') THEN CASE WHEN s_name IN ({male}) THEN 'm' WHEN s_name IN ({female}) THEN 'f' END END AS list"],
+    )
+
+
+_gender_aware()
 
 CUSTOMER = ("customer", "c_custkey", "c_name")
 SUPPLIER = ("supplier", "s_suppkey", "s_name")

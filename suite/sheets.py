@@ -405,8 +405,8 @@ CONFIG_SQL_STEPS = [
     (_in(_UN, "FIRST_NAME", "FIRSTNAME", "MIDDLE_NAME"), "'FirstName'", "'{{NAME.FIRSTNAME}}'", _MIN, _MAX, "false", "''"),
     (f"{_UT} IN ('BLOB', 'IMAGE')", "'Blob'", "coalesce(file_name, string_format)", _MIN, _MAX, "false", "''"),
     (f"{_UT} = 'CLOB'", "'Clob'", "string_format", _MIN, _MAX, "false", "''"),
-    (f"contains({_UN}, 'CITY')", "'City'", "'{{ADDRESS.CITY}}'", _MIN, _MAX, "false", "'Canada'"),
-    (_in(_UN, "STATE", "PROVINCE"), "'State'", "'{{ADDRESS.CITY}}'", _MIN, _MAX, "false", "'Canada'"),
+    (f"contains({_UN}, 'CITY')", "'City'", "'BC'", _MIN, _MAX, "false", "'Canada'"),
+    (_in(_UN, "STATE", "PROVINCE"), "'State'", "'Canada'", _MIN, _MAX, "false", "'Canada'"),
     (f"contains({_UN}, 'COUNTRY')", "'Bogus'", "'{{ADDRESS.COUNTRY}}'", _MIN, _MAX, "false", "'Canada'"),
     (f"contains({_UT}, 'GEOMETRY')", "'ShufflePolygon'", "string_format", _MIN, _MAX, "false", "''"),
     (_in(_UN, "SURNAME", "LASTNAME", "LAST_NAME"), "'LastName'", "'{{NAME.LASTNAME}}'", _MIN, _MAX, "false", "''"),
@@ -443,7 +443,7 @@ CONFIG_SQL = f"""SELECT table_name, column_name, {_step(1, "'Ignore'")} AS type,
     CASE WHEN NOT open_choice AND NOT contains({_R}, 'MATH') AND parsed IN ('DateOfBirth', 'Date') THEN false ELSE upper(retain_empty) <> 'FALSE' END AS retain_empty, CAST(NULL AS VARCHAR) AS use_value, upper(preview) <> 'FALSE' AS preview,
     NOT coalesce({_ANY_STEP}, false) AS unmapped
     FROM (SELECT *, {_PARSED} AS parsed, {_OPEN_CHOICE} AS open_choice, max(CASE WHEN column_name IN ('FILE_NAME', 'FILENAME') THEN column_name END) OVER (PARTITION BY table_name) AS file_name FROM ({SHEET_SQL}))
-    WHERE column_name <> split_part(pk_constraint, ',', 1) AND NOT contains({_R}, 'FLAGGED')"""
+    WHERE NOT list_contains(list_transform(string_split(pk_constraint, ','), lambda k: trim(k)), column_name) AND NOT contains({_R}, 'FLAGGED')"""
 
 
 @query("rule_to_config", CONFIG_SQL)

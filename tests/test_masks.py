@@ -206,10 +206,10 @@ def test_numeric_and_blank_helpers(spark):
     assert [r[0] for r in df.select(redact.is_numeric(F.col("t"))).collect()] == [True, True, False, True, False]
 
 
-def test_values_that_do_not_fit_the_column_keep_the_original(spark):
-    assert masked(spark, [7, 8], R("v", "LastName"), "int") == [7, 8]
+def test_values_that_do_not_fit_the_column_become_null(spark):
+    assert masked(spark, [7, 8], R("v", "LastName"), "int") == [None, None]
     years = masked(spark, [1, 2], R("v", "RandomYear", min="2001", max="2009"), "int")
     assert all(2001 <= y <= 2009 for y in years)
-    assert masked(spark, [7], R("v", "Randomint64", min="5000000000", max="5000000001"), "int") == [7]
+    assert masked(spark, [7], R("v", "Randomint64", min="5000000000", max="5000000001"), "int") == [None]
     with pytest.raises(RuleError):
         masked(spark, [1234], R("v", "MaskingOut", pattern="MaskingLeft", max="2"), "int")

@@ -9,8 +9,9 @@ from veilspark.operators.classify import classify_columns, classify_defaults
 from veilspark.operators.configure import rule_to_config
 from veilspark.operators.profile import profile_columns
 from veilspark.operators.scripts import insert_script, write_script
-from veilspark.operators.validate import validation_summary
-from veilspark.operators.writeback import batch_size
+from veilspark.operators.exceptions import mask_exceptions
+from veilspark.operators.validate import validate_columns, validation_summary, validation_verdict
+from veilspark.operators.writeback import apply_masked_copy, batch_size
 from veilspark.plans.rules import ColumnRule as R
 from veilspark.plans.rules import RuleError, TableRule
 from veilspark.plans.run import mask_and_validate, table_rules
@@ -54,6 +55,63 @@ def test_profile_to_validated_copy(spark, customer, tmp_path):
     assert lines > people.count()
 
 
+def test_the_copy_is_complete(spark, customer, tmp_path):
+    rule = TableRule("customer", ("c_custkey",), (R("c_name", "FullName"), R("c_mktsegment", "StringFormat", pattern="?####")), row_count="10")
+    verdict = mask_and_validate({"customer": customer}, [rule], str(tmp_path / "out"))
+    assert {(r["rows_masked"], r["rows_missing"], r["rows_extra"], r["result"]) for r in verdict.collect()} == {(10, 0, 0, "PASS")}
+    copy = spark.read.parquet(str(tmp_path / "out" / "customer"))
+    assert copy.schema == customer.schema and copy.count() == customer.count()
+    untouched = ["c_custkey", "c_nationkey", "c_acctbal"]
+    assert sorted(copy.select(untouched).collect()) == sorted(customer.select(untouched).collect())
+    beyond = lambda df: sorted(df.orderBy("c_custkey").collect()[10:])
+    assert beyond(copy) == beyond(customer)
+
+
+def test_a_bad_rule_does_not_end_the_run(spark, customer, tmp_path):
+    rule = TableRule("customer", ("c_custkey",), (R("c_name", "FullName"), R("c_mktsegment", "State", pattern="Nowhere"), R("c_acctbal", "LastName")))
+    verdict = {r["column_name"]: r["result"] for r in mask_and_validate({"customer": customer}, [rule], str(tmp_path / "out")).collect()}
+    assert verdict == {"c_name": "PASS", "c_mktsegment": "FAIL", "c_acctbal": "PASS"}
+    (logged,) = spark.read.parquet(str(tmp_path / "out" / "_exceptions")).collect()
+    assert logged["column_name"] == "c_mktsegment" and "unknown country" in logged["reason"]
+    reasons = {(r["column_name"], r["n"]): r["reason"] for r in mask_exceptions(customer, rule).collect()}
+    assert reasons[("c_mktsegment", customer.count())].startswith("rule not applied")
+    assert reasons[("c_acctbal", customer.count())] == "value does not fit the column type"
+
+
+def test_validation_does_not_pass_by_accident(customer):
+    rule = TableRule("customer", ("c_custkey",), (R("c_name", "FullName"), R("c_custkey", "NoMasking")))
+    judged = lambda copy: {(r["result"], r["rows_missing"], r["rows_extra"], r["keys_repeated"]) for r in validation_verdict(validate_columns(copy, customer, rule)).collect()}
+    rows = customer.count()
+    assert judged(customer.withColumn("c_custkey", F.col("c_custkey") + 10**6)) == {("FAIL", rows, rows, 0)}
+    assert judged(customer.where("c_custkey < 10")) == {("FAIL", rows - 10, 0, 0)}
+    assert judged(customer.unionByName(customer.where("c_custkey = 1"))) == {("FAIL", 0, 0, 1)}
+
+
+def test_a_repeated_key_stops_the_write_back(customer):
+    with pytest.raises(Exception, match="several masked rows"):
+        apply_masked_copy(customer, customer.unionByName(customer.limit(1)), ["c_custkey"]).collect()
+
+
+def test_intermediate_tables_are_deleted(spark, customer, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "scratch"))
+    (tmp_path / "scratch").mkdir()
+    try:
+        mask_and_validate({"customer": customer}, [TableRule("customer", ("c_custkey",), (R("c_mktsegment", "Shuffle"),))], str(tmp_path / "out"))
+        assert list((tmp_path / "scratch").iterdir()) == []
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_scripts_quote_and_write_bytes(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\x01\xff"), "2020-03-04 03:04:05")], 'k int, `a"b` binary, t string')
+    rule = TableRule("p", ("k",), (R("t", "NoMasking"),))
+    (row,) = insert_script(df, rule, "postgres").where("part = 1").collect()
+    assert row["statement"] == 'INSERT INTO "p"\n\t("k", "a""b", "t")\nVALUES \n(1, \'\\x01FF\'::bytea, \'2020-03-04 03:04:05\')'
+    (row,) = insert_script(df, rule, "oracle").where("part = 1").collect()
+    assert "HEXTORAW('01FF')" in row["statement"]
+
+
 def test_script_text(spark, tmp_path):
     df = spark.createDataFrame([(2, "O'Brien", None), (1, "1/2/2020 3:04:05 PM", True)], "k int, t string, b boolean")
     rule = TableRule("p", ("k",), (R("t", "FullName"), R("b", "NoMasking")), target_schema="s")

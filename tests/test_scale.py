@@ -10,7 +10,7 @@ from veilspark.operators.profile import profile_columns
 from veilspark.operators.validate import table_diff, validate_columns
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule as R
-from veilspark.plans.rules import Settings, TableRule
+from veilspark.plans.rules import RuleError, Settings, TableRule
 from veilspark.sources import scratch
 from veilspark.sources.tables import scan_page, scan_row_range
 
@@ -117,6 +117,26 @@ def test_buckets_grow_with_the_table():
     assert [bucket_count(n) for n in (0, 10**6, 2 * 10**8, 10**13)] == [1024, 1024, 2048, 1 << 20]
 
 
+def test_values_do_not_depend_on_the_number_of_buckets(spark, customer):
+    rule = TableRule("customer", ("c_custkey",), (R("c_name", "StringFormat", pattern="??######", unique=True), R("c_mktsegment", "Shuffle")))
+    few, many = (sorted(map(tuple, mask_table(customer, rule, Settings(buckets=n)).collect())) for n in (1, 1 << 16))
+    assert few == many
+    corr = [sorted(map(tuple, correlation_table(customer, "c_custkey", "s", Settings(buckets=n), 10, 1009).collect())) for n in (1, 1 << 12)]
+    assert corr[0] == corr[1]
+
+
+def test_too_few_values_are_an_error(spark, customer):
+    with pytest.raises(RuleError, match="101 are given"):
+        correlation_table(customer, "c_custkey", "s", Settings(), 10, 101)
+    with pytest.raises(RuleError, match="need unique values"):
+        mask_table(customer, TableRule("customer", ("c_custkey",), (R("c_name", "StringFormat", pattern="##", unique=True),)))
+
+
+def test_a_table_without_a_key_is_an_error(customer):
+    with pytest.raises(RuleError, match="without a key"):
+        mask_table(customer, TableRule("customer", (), (R("c_name", "FullName"),)))
+
+
 def test_one_first_key_in_most_rows_is_cut_by_the_second(spark):
     df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(5)).alias("a"), F.col("id").alias("b"))
     cuts = cut_points(df, ["a", "b"], ranges=16)

@@ -12,7 +12,7 @@ from veilspark.operators.exceptions import dry_run
 from veilspark.operators.scripts import DIALECTS
 from veilspark.plans.rules import Settings
 from veilspark.plans.run import mask_and_validate
-from veilspark.sources.files import load_config
+from veilspark.sources.files import address_book, load_config
 
 
 def run(spark: SparkSession, arguments: Sequence[str]) -> DataFrame:
@@ -22,10 +22,14 @@ def run(spark: SparkSession, arguments: Sequence[str]) -> DataFrame:
     parser.add_argument("source", help="folder with one entry <table>.parquet per table")
     parser.add_argument("target", help="folder for the masked copies")
     parser.add_argument("--seed", default=Settings.seed, help="secret of the draws")
+    places = parser.add_mutually_exclusive_group()
+    places.add_argument("--address-book", help="CSV files that location columns are filled from")
+    places.add_argument("--country", help="country whose places location columns are filled from")
     parser.add_argument("--dialect", choices=sorted(DIALECTS), help="also write INSERT scripts")
     parser.add_argument("--dry-run", action="store_true", help="write nothing, count what would change")
     options = parser.parse_args(arguments)
-    settings, rules = Settings(seed=options.seed), load_config(spark, options.config)
+    book = address_book(spark, options.address_book) if options.address_book else None
+    settings, rules = Settings(seed=options.seed, address_book=book, country=options.country), load_config(spark, options.config)
     tables = {r.name: spark.read.parquet(f"{options.source.rstrip('/')}/{r.name}.parquet") for r in rules}
     if options.dry_run:
         return reduce(DataFrame.unionByName, [dry_run(tables[r.name], r, settings) for r in rules])

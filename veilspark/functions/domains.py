@@ -22,6 +22,14 @@ from veilspark.functions.draw import Draws, div
 PACK_LIMIT = 10**15
 
 
+# Domains up to this size are drawn with one draw; sizes near 2^60 would not be reached evenly.
+DRAW_LIMIT = 1 << 56
+
+
+def _decimal(number: Column) -> Column:
+    return number.cast("decimal(19,0)")
+
+
 @dataclass(frozen=True)
 class Domain:
     """``size`` values; ``render`` turns a number below size into its value."""
@@ -59,11 +67,24 @@ class Sampler:
 
     def value(self, draws: Draws, shifted: bool = False) -> Column:
         """A drawn value; ``shifted`` gives another one for the same draws."""
-        number, size = draws(self._lead) % F.lit(self.capacity), self.capacity
+        size = self.capacity
+        if size > DRAW_LIMIT:
+            return self._with_lead(self._wide(draws, shifted), draws)
+        number = draws(self._lead) % F.lit(size)
         if shifted:
             number = (number + 1 + draws("s") % F.lit(size - 1)) % F.lit(size)
         return self._with_lead(number, draws)
 
+    def _wide(self, draws: Draws, shifted: bool) -> Column:
+        """A number below a size that one draw does not reach: two draws together, as decimals."""
+        wide = lambda a, b: _decimal(draws(a)) * _decimal(F.lit(DRAW_LIMIT)) + _decimal(draws(b))
+        size = F.lit(Decimal(self.capacity)).cast("decimal(38,0)")
+        number = (wide(self._lead, "w") % size).cast("decimal(38,0)")
+        if shifted:
+            step = (wide("s", "t") % (size - 1).cast("decimal(38,0)")).cast("decimal(38,0)")
+            number = ((number + 1 + step) % size).cast("decimal(38,0)")
+        return number
+
     def numbered(self, number: Column, draws: Draws) -> Column:
         """The value with the given number."""
         return self._with_lead(number, draws)
@@ -123,7 +144,8 @@ def _run(alphabet: str, n: int) -> Sampler:
 def integers(low: int, high: int, kind: str = "bigint") -> Sampler:
     """Whole numbers low..high."""
     low, high = min(low, high), max(low, high)
-    return one(Domain(high - low + 1, lambda i: (F.lit(low) + i).cast(kind), kind))
+    start = F.lit(low) if abs(low) < 1 << 63 and high - low < DRAW_LIMIT else F.lit(Decimal(low)).cast("decimal(38,0)")
+    return one(Domain(high - low + 1, lambda i: (start + i).cast(kind), kind))
 
 
 def decimals(low: str, high: str, scale: int, kind: str) -> Sampler:
@@ -131,8 +153,8 @@ def decimals(low: str, high: str, scale: int, kind: str) -> Sampler:
     unit = Decimal(10) ** -scale
     first, last = int(Decimal(low) / unit), int(Decimal(high) / unit)
     first, last = min(first, last), max(first, last)
-    step = F.lit(unit)
-    return one(Domain(last - first + 1, lambda i: ((F.lit(first) + i).cast("decimal(20,0)") * step).cast(kind), kind))
+    step, start = F.lit(unit), F.lit(Decimal(first)).cast("decimal(27,0)")
+    return one(Domain(last - first + 1, lambda i: ((start + i.cast("decimal(27,0)")).cast("decimal(27,0)") * step).cast(kind), kind))
 
 
 def seconds(low: dt.datetime, high: dt.datetime) -> Sampler:

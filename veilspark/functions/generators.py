@@ -9,6 +9,7 @@ import datetime as dt
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -220,7 +221,9 @@ def _int64(rule, settings):
 
 @register("RandomDec")
 def _decimal(rule, settings):
-    return Recipe(d.decimals(rule.min or "0", rule.max or "0", 6, "decimal(18,6)"))
+    low, high = rule.min or "0", rule.max or "0"
+    wide = max(abs(Decimal(low)), abs(Decimal(high))) >= 10**12
+    return Recipe(d.decimals(low, high, 6, "decimal(38,6)" if wide else "decimal(18,6)"))
 
 
 @register("Money")

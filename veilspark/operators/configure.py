@@ -82,8 +82,8 @@ def _fallback_steps(name: Column, kind: Column, comments: Column) -> list[Step]:
         step(has(name, "FIRST_NAME", "FIRSTNAME", "MIDDLE_NAME"), "FirstName", "{{NAME.FIRSTNAME}}"),
         step(kind.isin("BLOB", "IMAGE"), "Blob", F.coalesce("__file_name", fmt)),
         step(kind == "CLOB", "Clob", fmt),
-        step(has(name, "CITY"), "City", "{{ADDRESS.CITY}}", **place),
-        step(has(name, "STATE", "PROVINCE"), "State", "{{ADDRESS.CITY}}", **place),
+        step(has(name, "CITY"), "City", "BC", **place),
+        step(has(name, "STATE", "PROVINCE"), "State", "Canada", **place),
         step(has(name, "COUNTRY"), "Bogus", "{{ADDRESS.COUNTRY}}", **place),
         step(has(kind, "GEOMETRY"), "ShufflePolygon", fmt),
         step(has(name, "SURNAME", "LASTNAME", "LAST_NAME"), "LastName", "{{NAME.LASTNAME}}"),
@@ -169,8 +169,8 @@ def rule_to_config(sheet: DataFrame, as_of: str = "2024-01-01 00:00:00") -> Data
         "operator": "",
         "retain_empty": F.upper("retain_empty") != "FALSE",
     }
-    first_key = F.split_part(F.col("pk_constraint"), F.lit(","), F.lit(1))
-    kept = sheet.withColumns(read).where((F.col("column_name") != first_key) & ~has(rule, "FLAGGED"))
+    keys = F.transform(F.split(F.coalesce("pk_constraint", F.lit("")), ","), lambda k: F.trim(k))
+    kept = sheet.withColumns(read).where(~F.array_contains(keys, F.col("column_name")) & ~has(rule, "FLAGGED"))
     joined = kept.join(file_name_column(sheet), "table_name", "left")
     named = joined.withColumns(
         {

@@ -27,21 +27,25 @@ def _reasons(rule: ColumnRule, kind: T.DataType) -> list[tuple[str, Column]]:
     if rule.type in _WITHOUT_GENERATOR:
         return [("no generator", present)]
     if rule.type == "MaskingOut":
-        size = rule.limit() * (2 if "middle" in rule.pattern.lower() else 1)
+        size = (rule.limit() or 0) * (2 if "middle" in (rule.pattern or "").lower() else 1)
         return [("too short to mask", present & (F.length(text) <= size))]
     if rule.type == "Scramble":
         return [("too short to scramble", present & (F.length(text) <= 1))]
     if rule.type == "math":
         return [("not numeric", ~is_numeric(text))]
-    if rule.type == "Shuffle":
+    if rule.type in ("Shuffle", "ShufflePolygon"):
         return [(UNIQUE_SHUFFLE_FAILED, present & new.eqNullSafe(old))]
     if has_generator(rule.type) and rule.type != "exception":
-        return [("no different value", present & new.cast("string").eqNullSafe(text))]
+        kept = F.lit(bool(rule.use_value)) | new.isNotNull()
+        return [("no different value", present & new.cast("string").eqNullSafe(text)), ("value does not fit the column type", present & ~kept)]
     return []
 
 
 def mask_exceptions(df: DataFrame, rule: TableRule, settings: Settings = Settings()) -> DataFrame:
-    """``(table_name, column_name, reason, n)``: one pass, originals kept beside the masked values."""
+    """``(table_name, column_name, reason, n)``: one pass, originals kept beside the masked values.
+
+    A rule that cannot be applied is logged for all rows of its column; the other columns go on.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     checks = [
         (r.name, reason, condition)
@@ -50,7 +54,10 @@ def mask_exceptions(df: DataFrame, rule: TableRule, settings: Settings = Setting
         for reason, condition in _reasons(r, kinds[r.name])
     ]
     checked = list(dict.fromkeys(name for name, _, _ in checks))
-    masked = mask_table(df.select("*", *[F.col(n).alias(f"__old_{n}") for n in checked]), rule, settings)
+    failures: dict[str, str] = {}
+    masked = mask_table(df.select("*", *[F.col(n).alias(f"__old_{n}") for n in checked]), rule, settings, failures=failures)
+    checks = [(n, reason, c) for n, reason, c in checks if n not in failures]
+    checks += [(n, f"rule not applied: {reason}", F.lit(True)) for n, reason in failures.items()]
     counts = masked.agg(
         *[F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(f"__n{i}") for i, (_, _, c) in enumerate(checks)]
     )

@@ -26,10 +26,18 @@ class Dialect:
     close: str
 
     def quoted(self, name: str) -> str:
-        return f"{self.open}{name}{self.close}"
+        return f"{self.open}{name.replace(self.close, 2 * self.close) if self.close else name}{self.close}"
 
     def table(self, rule: TableRule) -> str:
-        return ".".join(self.quoted(n) for n in (rule.target_schema, rule.name))
+        return ".".join(self.quoted(n) for n in (rule.target_schema, rule.name) if n)
+
+    def binary(self, value: Column) -> Column:
+        before, after = _BINARY[self.name]
+        return F.concat(F.lit(before), F.hex(value), F.lit(after))
+
+
+# How each dialect writes bytes: fixed values.
+_BINARY = {"sqlserver": ("0x", ""), "oracle": ("HEXTORAW('", "')"), "postgres": ("'\\\\x", "'::bytea"), "mysql": ("X'", "'")}
 
 
 DIALECTS = {
@@ -62,6 +70,8 @@ def literal(value: Column, kind: T.DataType, dialect: str) -> Column:
         text = _moment(value, dialect)
     elif isinstance(kind, T.StructType) and "gtype" in kind.names:
         text = geometry_literal(value)
+    elif isinstance(kind, T.BinaryType):
+        text = DIALECTS[dialect].binary(value)
     else:
         text = value.cast("string")
     return F.when(value.isNull(), "NULL").otherwise(text)
@@ -108,10 +118,16 @@ def insert_script(
     if dialect == "oracle" or (dialect == "sqlserver" and rows > SINGLE_STATEMENT_ROWS):
         statement = F.concat(F.lit(f"INSERT INTO {d.table(rule)}({names}) VALUES "), values, F.lit(";"))
     else:
+        # The heading stands before the first row in key order; of rows that share the smallest key only one gets it.
         smallest = df.agg(F.min(F.struct(*rule.key))).scalar()
-        first = F.struct(*rule.key) == smallest
+        is_first = F.struct(*rule.key) == smallest
+        same = df.where(is_first).select(*rule.key, values.alias("__values")).orderBy("__values")
         head = f"INSERT INTO {d.table(rule)}\n\t({names})\nVALUES \n"
-        statement = F.concat(F.when(first, head).otherwise(","), values)
+        chosen = same.agg(F.min("__values")).scalar()
+        copies = same.where(F.col("__values") == chosen).count()
+        if copies > 1:
+            raise ValueError(f"{rule.name}: {copies} equal rows have the smallest key, so none can stand first")
+        statement = F.concat(F.when(is_first & (values == chosen), head).otherwise(","), values)
     body = df.select(F.lit(1).alias("part"), *rule.key, statement.alias("statement"))
 
     if dialect == "sqlserver":
@@ -130,5 +146,5 @@ def _fixed(spark, rows: list[tuple[int, str]], key: Sequence[str], key_fields: s
 
 
 def write_script(script: DataFrame, key: Sequence[str], path: str) -> None:
-    """Write a script as text files in statement order."""
-    script.orderBy("part", *key).select("statement").write.text(path)
+    """Write a script as text files in statement order. A heading stands before the other rows of its key."""
+    script.orderBy("part", *key, F.col("statement").startswith(",")).select("statement").write.text(path)

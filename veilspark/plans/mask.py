@@ -17,7 +17,7 @@ from veilspark.functions.draw import Draws, key_text, value_key
 from veilspark.functions.generators import RowView, recipe
 from veilspark.operators.binary import mask_blob
 from veilspark.operators.geometry import geometry_random, geometry_shuffle
-from veilspark.operators.location import location_record
+from veilspark.operators.location import location_by_country, location_record
 from veilspark.operators.numbering import bucket_count
 from veilspark.operators.shuffle import shuffle_column
 from veilspark.operators.unique import mask_unique
@@ -82,7 +82,8 @@ def _comparison(old: Column, old_type: T.DataType, new_kind: str):
 class TableMask:
     """Builds the masked DataFrame of one table."""
 
-    def __init__(self, df: DataFrame, rule: TableRule, settings: Settings, keep_types: bool = True):
+    def __init__(self, df: DataFrame, rule: TableRule, settings: Settings, keep_types: bool = True, failures: dict[str, str] | None = None):
+        self.failures = failures
         self.source, self.df, self.rule, self.settings, self.keep_types = df, df, rule, settings, keep_types
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.stage: dict[str, Column] = {}
@@ -113,17 +114,15 @@ class TableMask:
         if any(n in self.pending for n in names if n):
             self.flush()
 
-    def put(self, name: str, value: Column, kind: str, keep_misfits: bool = False) -> None:
+    def put(self, name: str, value: Column, kind: str) -> None:
         """Set the masked value of a column, in the type of the column where types are kept.
 
-        A value that does not fit the type must not end a long job: ``keep_misfits`` leaves the original there,
-        which validation then reports; otherwise it becomes null.
+        A value that does not fit the type must not end a long job, and must not leave the original: it becomes null, which the
+        exception log counts.
         """
         target = self.types.get(name)
         if self.keep_types and target is not None and not isinstance(target, _NESTED) and target.simpleString() != kind:
             value = value.try_cast(target)
-            if keep_misfits:
-                value = F.coalesce(value, F.col(name))
         self.pending[name] = value
 
     def sized(self) -> Settings:
@@ -265,11 +264,11 @@ class TableMask:
             self.put(name, F.when(long, value).otherwise(F.col(name)), value_kind)
         else:
             value, value_kind = self.generated(rule)
-            self.put(name, self.retained(rule, value, value_kind), value_kind, keep_misfits=True)
+            self.put(name, self.retained(rule, value, value_kind), value_kind)
 
     def _is_location(self, rule: ColumnRule) -> bool:
         return (
-            self.settings.address_book is not None
+            (self.settings.address_book is not None or self.settings.country is not None)
             and rule.location_word() is not None
             and not rule.unique
             and rule.type not in _BEFORE_LOCATION | _SHUFFLES | _UNCHANGED
@@ -286,21 +285,45 @@ class TableMask:
             if rule in places:
                 if rule is places[0]:
                     self.flush()
-                    self.df = location_record(self.df, places, self.rule.key, self.rule.name, self.settings)
+                    self.df = self.placed(places)
             else:
-                self.apply(rule)
+                self.tried(rule, self.apply)
         for rule in active:
             if rule.type == "Computed":
-                missing = [s for s in rule.source_columns if s not in names]
-                if missing:
-                    raise RuleError(f"{rule.name}: source column {missing[0]} could not be found")
-                self.reads(*rule.source_columns)
-                separator = " " if rule.separator is None else rule.separator
-                self.put(rule.name, redact.computed([F.col(s) for s in rule.source_columns], separator), "string")
+                self.tried(rule, lambda r: self.compute(r, names))
         self.flush()
         return self.df
 
-
-def mask_table(df: DataFrame, rule: TableRule, settings: Settings = Settings(), keep_types: bool = True) -> DataFrame:
-    """Apply the rules of a table. ``keep_types`` casts every masked value to the type of its column."""
-    return TableMask(df, rule, settings, keep_types).build()
+    def placed(self, places: list[ColumnRule]) -> DataFrame:
+        if self.settings.country:
+            return location_by_country(self.df, places, self.rule.key, self.rule.name, self.settings.country, self.settings)
+        return location_record(self.df, places, self.rule.key, self.rule.name, self.settings)
+
+    def compute(self, rule: ColumnRule, names: list[str]) -> None:
+        missing = [s for s in rule.source_columns if s not in names]
+        if missing:
+            raise RuleError(f"{rule.name}: source column {missing[0]} could not be found")
+        self.reads(*rule.source_columns)
+        separator = " " if rule.separator is None else rule.separator
+        self.put(rule.name, redact.computed([F.col(s) for s in rule.source_columns], separator), "string")
+
+    def tried(self, rule: ColumnRule, apply) -> None:
+        """Apply a rule. Where failures are collected, one that cannot be applied is noted and leaves its column as it is."""
+        try:
+            if rule.name not in self.types and rule.type != "Computed":
+                raise RuleError(f"{rule.name}: no such column")
+            apply(rule)
+        except RuleError as fault:
+            if self.failures is None:
+                raise
+            self.failures[rule.name] = str(fault)
+
+
+def mask_table(
+    df: DataFrame, rule: TableRule, settings: Settings = Settings(), keep_types: bool = True, failures: dict[str, str] | None = None
+) -> DataFrame:
+    """Apply the rules of a table. ``keep_types`` casts every masked value to the type of its column.
+
+    A rule that cannot be applied is an error. With ``failures`` it is noted there (column to reason) and the others go on.
+    """
+    return TableMask(df, rule, settings, keep_types, failures).build()

@@ -80,11 +80,12 @@ class TableRule:
 
 @dataclass(frozen=True)
 class Settings:
-    """Run settings: the secret seed, the fixed 'today', the address book, and the bucket count for numbering
-    rows (None: by the size of the table)."""
+    """Run settings: the secret seed, the fixed 'today', the address book or the country that location columns are filled from, and
+    the number of buckets that numbering spreads its work over (None: by the size of the table; it changes no value)."""
 
     seed: str = "42"
     as_of: dt.datetime = dt.datetime(2024, 1, 1)
     min_date: dt.datetime = dt.datetime(1990, 1, 1)
     address_book: DataFrame | None = None
+    country: str | None = None
     buckets: int | None = None

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 
 from veilspark.operators.scripts import insert_script, write_script
 from veilspark.operators.validate import validate_columns, validation_verdict
+from veilspark.operators.writeback import apply_masked_copy
 from veilspark.plans.mask import mask_table
-from veilspark.plans.rules import ColumnRule, Settings, TableRule
+from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
+from veilspark.sources.scratch import clear_scratch
 from veilspark.sources.tables import scan_columns, scan_rows
 
 
@@ -31,17 +33,39 @@ def mask_and_validate(
     tables: Mapping[str, DataFrame], rules: Sequence[TableRule], target: str, settings: Settings = Settings(),
     script_dialect: str | None = None,
 ) -> DataFrame:
-    """Write the masked copy of every table below ``target`` and return the verdicts.
+    """Write the complete masked copy of every table below ``target`` and return the verdicts.
 
-    Validation reads what was written, not the plan that wrote it. With a dialect, INSERT scripts are written too.
+    The copy has all columns and rows of the original: columns without a rule, and rows outside a rule's row count, as they were. A rule
+    that cannot be applied leaves its column as it is; validation then finds the originals, and the reason is in the exception log
+    that is written beside the copies (``_exceptions``). Validation reads what was written, not the plan that wrote it. With a dialect,
+    INSERT scripts are written too. Intermediate tables, which can hold original values, are deleted at the end.
     """
-    verdicts = []
+    root, verdicts, logs = target.rstrip("/"), [], []
     for rule in rules:
-        original = scan_columns(scan_rows(tables[rule.name], rule), rule)
-        path = f"{target.rstrip('/')}/{rule.name}"
-        mask_table(original, rule, settings).write.mode("errorifexists").parquet(path)
-        masked = original.sparkSession.read.parquet(path)
+        original, failures = tables[rule.name], {}
+        path = f"{root}/{rule.name}"
+        _copy(original, rule, settings, failures).write.mode("errorifexists").parquet(path)
+        copy = original.sparkSession.read.parquet(path)
         if script_dialect:
-            write_script(insert_script(masked, rule, script_dialect), rule.key, f"{path}.sql")
-        verdicts.append(validation_verdict(validate_columns(masked, original, rule)))
-    return reduce(DataFrame.unionByName, verdicts)
+            write_script(insert_script(copy, rule, script_dialect), rule.key, f"{path}.sql")
+        logs += [(rule.name, column, reason) for column, reason in failures.items()]
+        report = validate_columns(scan_rows(copy, rule), scan_rows(original, rule), rule)
+        verdicts.append(validation_verdict(report))
+    spark = next(iter(tables.values())).sparkSession
+    schema = "table_name string, column_name string, reason string"
+    spark.createDataFrame(logs, schema).coalesce(1).write.mode("errorifexists").parquet(f"{root}/_exceptions")
+    # One row per configured column.
+    found = reduce(DataFrame.unionByName, verdicts)
+    result = spark.createDataFrame(found.collect(), found.schema)
+    clear_scratch(spark)
+    return result
+
+
+def _copy(original: DataFrame, rule: TableRule, settings: Settings, failures: dict[str, str]) -> DataFrame:
+    """The whole table with the rows masked that the rule asks for."""
+    if not (rule.row_count or "").strip():
+        return mask_table(original, rule, settings, failures=failures)
+    if any(r.name in rule.key and not r.ignore and r.type != "NoMasking" for r in rule.columns):
+        raise RuleError(f"{rule.name}: a key column can be masked only in all rows")
+    masked = mask_table(scan_columns(scan_rows(original, rule), rule), rule, settings, failures=failures)
+    return apply_masked_copy(original, masked, rule.key)
