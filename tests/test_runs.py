@@ -1,6 +1,7 @@
 """Configuration files, whole runs, scripts, streams."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from veilspark.plans.rules import ColumnRule as R
 from veilspark.plans.rules import RuleError, TableRule
 from veilspark.plans.run import mask_and_validate, table_rules
 from veilspark.sources.files import detect_separator, load_config, scan_csv
+from veilspark.sources.scratch import materialise, scratch_root
 from veilspark.streaming.stream import mask_stream
 
 
@@ -93,14 +95,11 @@ def test_a_repeated_key_stops_the_write_back(customer):
 
 
 def test_intermediate_tables_are_deleted(spark, customer, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "scratch"))
-    (tmp_path / "scratch").mkdir()
-    try:
-        mask_and_validate({"customer": customer}, [TableRule("customer", ("c_custkey",), (R("c_mktsegment", "Shuffle"),))], str(tmp_path / "out"))
-        assert list((tmp_path / "scratch").iterdir()) == []
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    folder = Path(scratch_root(spark))
+    before = set(folder.iterdir())
+    kept = materialise(customer.select("c_custkey"), "mine")
+    mask_and_validate({"customer": customer}, [TableRule("customer", ("c_custkey",), (R("c_mktsegment", "Shuffle"),))], str(tmp_path / "out"))
+    assert [p.name[:4] for p in set(folder.iterdir()) - before] == ["mine"] and kept.count() == customer.count()
 
 
 def test_scripts_quote_and_write_bytes(spark):

@@ -37,7 +37,7 @@ class Dialect:
 
 
 # How each dialect writes bytes: fixed values.
-_BINARY = {"sqlserver": ("0x", ""), "oracle": ("HEXTORAW('", "')"), "postgres": ("'\\\\x", "'::bytea"), "mysql": ("X'", "'")}
+_BINARY = {"sqlserver": ("0x", ""), "oracle": ("HEXTORAW('", "')"), "postgres": ("'\\x", "'::bytea"), "mysql": ("X'", "'")}
 
 
 DIALECTS = {

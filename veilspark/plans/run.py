@@ -12,7 +12,7 @@ from veilspark.operators.validate import validate_columns, validation_verdict
 from veilspark.operators.writeback import apply_masked_copy
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
-from veilspark.sources.scratch import clear_scratch
+from veilspark.sources.scratch import clear_scratch, scratch_mark
 from veilspark.sources.tables import scan_columns, scan_rows
 
 
@@ -40,7 +40,8 @@ def mask_and_validate(
     that is written beside the copies (``_exceptions``). Validation reads what was written, not the plan that wrote it. With a dialect,
     INSERT scripts are written too. Intermediate tables, which can hold original values, are deleted at the end.
     """
-    root, verdicts, logs = target.rstrip("/"), [], []
+    spark = next(iter(tables.values())).sparkSession
+    root, verdicts, logs, mark = target.rstrip("/"), [], [], scratch_mark(spark)
     for rule in rules:
         original, failures = tables[rule.name], {}
         path = f"{root}/{rule.name}"
@@ -51,13 +52,12 @@ def mask_and_validate(
         logs += [(rule.name, column, reason) for column, reason in failures.items()]
         report = validate_columns(scan_rows(copy, rule), scan_rows(original, rule), rule)
         verdicts.append(validation_verdict(report))
-    spark = next(iter(tables.values())).sparkSession
     schema = "table_name string, column_name string, reason string"
     spark.createDataFrame(logs, schema).coalesce(1).write.mode("errorifexists").parquet(f"{root}/_exceptions")
     # One row per configured column.
     found = reduce(DataFrame.unionByName, verdicts)
     result = spark.createDataFrame(found.collect(), found.schema)
-    clear_scratch(spark)
+    clear_scratch(spark, mark)
     return result
 
 

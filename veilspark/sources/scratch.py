@@ -39,11 +39,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this session; they can hold original values. DataFrames built on them end with them."""
+def scratch_mark(spark: SparkSession) -> int:
+    """How many tables this session has written so far."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables written since a mark; they can hold original values. DataFrames built on them end with them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        place = jvm.org.apache.hadoop.fs.Path(path)
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    while len(written) > since:
+        place = jvm.org.apache.hadoop.fs.Path(written.pop())
         place.getFileSystem(conf).delete(place, True)
 
 
