@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.numbering import position_by_key
+from veilspark.operators.numbering import slice_by_key
 from veilspark.plans.rules import TableRule
 
 # Rows up to which the first-rows scan keeps a sorted head per task instead of numbering the table.
@@ -24,24 +24,24 @@ def scan_columns(df: DataFrame, rule: TableRule) -> DataFrame:
 
 
 def scan_limit(df: DataFrame, key: Sequence[str], count: int) -> DataFrame:
-    """The first rows by key."""
+    """The first rows by key, in key order. Up to TOP_ROWS rows each task keeps a sorted head; more are found by position and sorted."""
     if count <= TOP_ROWS:
         return df.orderBy(*key).limit(count)
-    return scan_row_range(df, key, 1, count)
+    return scan_row_range(df, key, 1, count).orderBy(*key)
 
 
-def scan_row_range(df: DataFrame, key: Sequence[str], first: int, last: int) -> DataFrame:
-    """Rows first..last by key, 1-based and inclusive.
+def scan_row_range(df: DataFrame, key: Sequence[str], first: int, last: int, cuts: Sequence[tuple] | None = None) -> DataFrame:
+    """Rows first..last by key, 1-based and inclusive. ``cuts`` (``numbering.cut_points``) can be shared by many scans of a table.
 
     Rows are counted per key range, and only the ranges that hold the wanted positions are shuffled and sorted; an
     offset and limit would pull everything before the range through one task.
     """
-    return position_by_key(df, key, "__position", between=(first - 1, last - 1)).select(*df.columns)
+    return slice_by_key(df, key, first - 1, last - 1, cuts)
 
 
-def scan_page(df: DataFrame, key: Sequence[str], page: int, fetch: int = PAGE_ROWS) -> DataFrame:
+def scan_page(df: DataFrame, key: Sequence[str], page: int, fetch: int = PAGE_ROWS, cuts: Sequence[tuple] | None = None) -> DataFrame:
     """Page 0, 1, ... of ``fetch`` rows by key."""
-    return scan_row_range(df, key, page * fetch + 1, (page + 1) * fetch)
+    return scan_row_range(df, key, page * fetch + 1, (page + 1) * fetch, cuts)
 
 
 def scan_rows(df: DataFrame, rule: TableRule) -> DataFrame:
