@@ -17,7 +17,7 @@ from veilspark.functions.redact import is_numeric
 from veilspark.operators.exceptions import dry_run
 from veilspark.operators.profile import is_decimal_text, profile_minmax, row_count, whole_number
 from veilspark.operators.scripts import insert_script
-from veilspark.operators.writeback import apply_masked_copy, commit_log, preview
+from veilspark.operators.writeback import apply_masked_copy, batch_size, commit_log, preview, write_batches
 from veilspark.plans.rules import ColumnRule, TableRule
 from veilspark.sources import files
 from veilspark.sources.scratch import scratch_path
@@ -98,7 +98,8 @@ def _config_rows(table, key):
 @query(
     "config_columns",
     f"""SELECT table_name, primary_key, column_name, CAST(position AS INTEGER) AS position, 'RandomDec' AS type, min, max, position % 2 = 0 AS "ignore",
-        CASE WHEN position % 2 = 0 THEN true ELSE false END AS preview, true AS "retainNullValues", false AS "retainEmptyStringValues", false AS "unique"
+        CASE WHEN position % 2 = 0 THEN true ELSE false END AS preview, true AS "retainNullValues", false AS "retainEmptyStringValues", false AS "unique",
+        CAST(CASE WHEN position % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_mappings, CASE WHEN position % 3 = 0 THEN column_name END AS mapping_a
     FROM ({_config_rows('lineitem', 'l_orderkey')} UNION ALL {_config_rows('orders', 'o_orderkey')} UNION ALL {_config_rows('events', 'event_id')})""",
 )
 def _config(spark, sf):
@@ -107,7 +108,7 @@ def _config(spark, sf):
     for table, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("events", "event_id")):
         flags = F.when(F.col("ordinal") % 2 == 0, True)
         column = F.struct(
-            F.col("column_name").alias("name"), F.lit("RandomDec").alias("type"), "min", "max", flags.alias("ignore"), flags.alias("preview")
+            F.col("column_name").alias("name"), F.lit("randomdec").alias("type"), "min", "max", flags.alias("ignore"), flags.alias("preview"),
         )
         # One row per column of one table: as small as its schema.
         named = profile_minmax(table, read(spark, sf, table)).groupBy(F.lit(table).alias("name"), F.lit(key).alias("primaryKeyColumn")).agg(
@@ -117,11 +118,13 @@ def _config(spark, sf):
             "name", "primaryKeyColumn", (F.col("i") + 1).alias("ordinal"), "c.*"
         )
         tables = columns.groupBy("name", "primaryKeyColumn").agg(F.array_sort(F.collect_list(F.struct("ordinal", column.alias("column")))).alias("s"))
-        config = tables.select(F.array(F.struct("name", "primaryKeyColumn", F.col("s.column").alias("columns"))).alias("tables"))
+        mapping = lambda x: F.when(x["ordinal"] % 3 == 0, F.create_map(F.lit("a"), x["column"]["name"], F.lit("b"), F.lit("")))
+        with_mapping = F.transform("s", lambda x: x["column"].withField("valueMappings", mapping(x)))
+        config = tables.select(F.array(F.struct("name", "primaryKeyColumn", with_mapping.alias("columns"))).alias("tables"))
         config.coalesce(1).write.mode("append").json(path)
     rows = files.config_columns(spark, path)
     kept = ["table_name", "primary_key", "column_name", "position", "type", "min", "max", "ignore", "preview", "retainNullValues", "retainEmptyStringValues", "unique"]
-    return rows.select(*kept)
+    return rows.select(*kept, F.size("valueMappings").alias("n_mappings"), F.try_element_at("valueMappings", F.lit("a")).alias("mapping_a"))
 
 
 _NESTED_SQL = "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 0 ELSE 2 END AS lists, text, role FROM conversations"
@@ -212,13 +215,24 @@ def _copy(spark, sf):
     return apply_masked_copy(read(spark, sf, "customer"), half, ["c_custkey"])
 
 
-_BATCHES = """SELECT '{t}' AS table_name, b AS batch, least(size, n - (b - 1) * size) AS n_rows FROM (SELECT n, size, unnest(range(1, CAST(ceil(n / size) AS BIGINT) + 1)) AS b FROM (
-    SELECT n, CAST(CASE WHEN n > 200000 THEN 100000 WHEN n BETWEEN 50000 AND 200000 THEN 50000 ELSE {rest} END AS BIGINT) AS size FROM (SELECT count(*) AS n FROM {t})))"""
+_WRITTEN = "SELECT '{t}' AS table_name, count(*) AS n_rows, {size} AS batch_rows, true AS batches_fit, true AS enough_batches FROM {t}"
+_SIZE = "CASE WHEN count(*) > 200000 THEN 100000 WHEN count(*) >= 50000 THEN 50000 ELSE {rest} END"
 
 
-@query("commit_log", " UNION ALL ".join([_BATCHES.format(t="lineitem", rest="n"), _BATCHES.format(t="orders", rest="4000"), _BATCHES.format(t="customer", rest="n")]))
+@query(
+    "commit_log",
+    " UNION ALL ".join(_WRITTEN.format(t=t, size=f"CAST({_SIZE.format(rest=rest)} AS BIGINT)") for t, rest in (("lineitem", "count(*)"), ("orders", "400"), ("customer", "count(*)"))),
+)
 def _commit(spark, sf):
-    logs = [commit_log(read(spark, sf, t), size).select(F.lit(t).alias("table_name"), "batch", "n_rows") for t, size in (("lineitem", None), ("orders", 4000), ("customer", 0))]
+    """Tables written in batches, and what the log of the files says: rows, the largest batch, how many."""
+    logs = []
+    for table, configured in (("lineitem", None), ("orders", 400), ("customer", 0)):
+        df, path = read(spark, sf, table), scratch_path(spark, "batches")
+        size = batch_size(df.count(), configured)
+        write_batches(df, path, configured)
+        log = commit_log(spark, path).agg(F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("largest"), F.count("*").alias("n"))
+        fits, enough = (F.col("largest") <= size), (F.col("n") >= F.ceil(F.col("n_rows") / size))
+        logs.append(log.select(F.lit(table).alias("table_name"), "n_rows", F.lit(size).cast("bigint").alias("batch_rows"), fits.alias("batches_fit"), enough.alias("enough_batches")))
     return logs[0].unionByName(logs[1]).unionByName(logs[2])
 
 

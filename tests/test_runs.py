@@ -15,7 +15,7 @@ from veilspark.operators.validate import validate_columns, validation_summary, v
 from veilspark.operators.writeback import apply_masked_copy, batch_size
 from veilspark.plans.rules import ColumnRule as R
 from veilspark.plans.rules import RuleError, TableRule
-from veilspark.plans.run import mask_and_validate, table_rules
+from veilspark.plans.run import mask_and_validate, table_rules, validate_copies
 from veilspark.sources.files import detect_separator, load_config, scan_csv
 from veilspark.sources.scratch import materialise, scratch_root
 from veilspark.streaming.stream import mask_stream
@@ -67,6 +67,10 @@ def test_the_copy_is_complete(spark, customer, tmp_path):
     assert sorted(copy.select(untouched).collect()) == sorted(customer.select(untouched).collect())
     beyond = lambda df: sorted(df.orderBy("c_custkey").collect()[10:])
     assert beyond(copy) == beyond(customer)
+    committed = spark.read.parquet(str(tmp_path / "out" / "_commits" / "customer")).collect()
+    assert sum(r["n_rows"] for r in committed) == customer.count() and [r["batch"] for r in committed] == list(range(1, len(committed) + 1))
+    again = validate_copies({"customer": customer}, {"customer": copy}, [rule])
+    assert sorted(again.collect()) == sorted(verdict.collect())
 
 
 def test_a_bad_rule_does_not_end_the_run(spark, customer, tmp_path):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspark.operators.exceptions import dry_run
 from veilspark.operators.scripts import DIALECTS
 from veilspark.plans.rules import Settings
-from veilspark.plans.run import mask_and_validate
+from veilspark.plans.run import mask_and_validate, validate_copies
 from veilspark.sources.files import address_book, load_config
 
 
@@ -27,12 +27,16 @@ def run(spark: SparkSession, arguments: Sequence[str]) -> DataFrame:
     places.add_argument("--country", help="country whose places location columns are filled from")
     parser.add_argument("--dialect", choices=sorted(DIALECTS), help="also write INSERT scripts")
     parser.add_argument("--dry-run", action="store_true", help="write nothing, count what would change")
+    parser.add_argument("--validate", action="store_true", help="write nothing, judge the copies that are in the target")
     options = parser.parse_args(arguments)
     book = address_book(spark, options.address_book) if options.address_book else None
     settings, rules = Settings(seed=options.seed, address_book=book, country=options.country), load_config(spark, options.config)
     tables = {r.name: spark.read.parquet(f"{options.source.rstrip('/')}/{r.name}.parquet") for r in rules}
     if options.dry_run:
         return reduce(DataFrame.unionByName, [dry_run(tables[r.name], r, settings) for r in rules])
+    if options.validate:
+        copies = {r.name: spark.read.parquet(f"{options.target.rstrip('/')}/{r.name}") for r in rules}
+        return validate_copies(tables, copies, rules)
     return mask_and_validate(tables, rules, options.target, settings, options.dialect)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.plans.rules import TableRule
@@ -40,17 +40,18 @@ def batch_size(rows: int, configured: int | None = None, dialect: str = "sqlserv
     return configured if configured and configured > 0 else max(rows, 1)
 
 
-def commit_log(df: DataFrame, configured: int | None = None, dialect: str = "sqlserver") -> DataFrame:
-    """One row per transaction: batch number and rows in it. Only the row count is needed, not the rows."""
-    low, high = MEDIUM_ROWS[dialect]
-    rows = F.col("__rows")
-    rest = F.lit(configured).cast("bigint") if configured and configured > 0 else F.greatest(rows, F.lit(1))
-    size = F.when(rows > LARGE_ROWS, F.lit(LARGE_BATCH)).when(rows.between(low, high), F.lit(MEDIUM_BATCH)).otherwise(rest)
-    counted = df.agg(F.count("*").alias("__rows")).where("__rows > 0").withColumn("__size", size.cast("bigint"))
-    batches = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(rows / F.col("__size"))))
-    numbered = counted.withColumn("batch", batches)
-    left = rows - (F.col("batch") - 1) * F.col("__size")
-    return numbered.select("batch", F.least(F.col("__size"), left).alias("n_rows"))
+def write_batches(df: DataFrame, path: str, configured: int | None = None, dialect: str = "sqlserver") -> None:
+    """Write a table as files of at most a batch of rows each. A file is what a task commits at once."""
+    df.write.option("maxRecordsPerFile", batch_size(df.count(), configured, dialect)).parquet(path)
+
+
+def commit_log(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file that was committed to a table: its number in order of file names, its name, its rows.
+
+    The rows are counted in the files; the numbering is over one row per file.
+    """
+    files = spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count("*").alias("n_rows"))
+    return files.withColumn("batch", F.row_number().over(Window.orderBy("file"))).select("batch", "file", "n_rows")
 
 
 def preview(masked: DataFrame, rule: TableRule, count: int, width: int = 6) -> DataFrame:

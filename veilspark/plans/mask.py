@@ -23,6 +23,8 @@ from veilspark.operators.shuffle import shuffle_column
 from veilspark.operators.unique import mask_unique
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
 
+# Value mappings that a rule may carry in the plan; more belong in a table that is joined.
+LITERAL_MAPPINGS = 1000
 _UNCHANGED = {"NoMasking", "Unmask"}
 _NESTED = (T.StructType, T.ArrayType)
 _SHUFFLES = {"Shuffle", "ShufflePolygon"}
@@ -174,6 +176,8 @@ class TableMask:
         row = RowView(self.staged(rule), old, gender)
         value = made.value(row, _comparison(old, old_type, made.kind), lambda first: self.hold(rule, first))
         if rule.local_mapping and rule.value_mappings:
+            if len(rule.value_mappings) > LITERAL_MAPPINGS:
+                raise RuleError(f"{rule.name}: {len(rule.value_mappings)} value mappings; above {LITERAL_MAPPINGS} use a correlation table")
             pairs = [F.lit(x) for pair in rule.value_mappings.items() for x in pair]
             supplied = F.try_element_at(F.create_map(*pairs), old.cast("string")).cast(made.kind)
             value = F.coalesce(supplied, value)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from veilspark.operators.scripts import insert_script, write_script
 from veilspark.operators.validate import validate_columns, validation_verdict
-from veilspark.operators.writeback import apply_masked_copy
+from veilspark.operators.writeback import apply_masked_copy, commit_log
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
 from veilspark.sources.scratch import clear_scratch, scratch_mark
@@ -37,7 +37,7 @@ def mask_and_validate(
 
     The copy has all columns and rows of the original: columns without a rule, and rows outside a rule's row count, as they were. A rule
     that cannot be applied leaves its column as it is; validation then finds the originals, and the reason is in the exception log
-    that is written beside the copies (``_exceptions``). Validation reads what was written, not the plan that wrote it. With a dialect,
+    that is written beside the copies (``_exceptions``), as is a log of the files written (``_commits``). Validation reads what was written, not the plan that wrote it. With a dialect,
     INSERT scripts are written too. Intermediate tables, which can hold original values, are deleted at the end.
     """
     spark = next(iter(tables.values())).sparkSession
@@ -46,7 +46,8 @@ def mask_and_validate(
         original, failures = tables[rule.name], {}
         path = f"{root}/{rule.name}"
         _copy(original, rule, settings, failures).write.mode("errorifexists").parquet(path)
-        copy = original.sparkSession.read.parquet(path)
+        commit_log(spark, path).write.mode("errorifexists").parquet(f"{root}/_commits/{rule.name}")
+        copy = spark.read.parquet(path)
         if script_dialect:
             write_script(insert_script(copy, rule, script_dialect), rule.key, f"{path}.sql")
         logs += [(rule.name, column, reason) for column, reason in failures.items()]
@@ -61,6 +62,12 @@ def mask_and_validate(
     return result
 
 
+def validate_copies(tables: Mapping[str, DataFrame], copies: Mapping[str, DataFrame], rules: Sequence[TableRule]) -> DataFrame:
+    """Verdicts of copies that an earlier run wrote."""
+    found = [validation_verdict(validate_columns(scan_rows(copies[r.name], r), scan_rows(tables[r.name], r), r)) for r in rules]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _copy(original: DataFrame, rule: TableRule, settings: Settings, failures: dict[str, str]) -> DataFrame:
     """The whole table with the rows masked that the rule asks for."""
     if not (rule.row_count or "").strip():

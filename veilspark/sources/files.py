@@ -6,11 +6,11 @@ import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.plans.rules import ColumnRule, TableRule
+from veilspark.plans.rules import RULE_TYPES, ColumnRule, TableRule
 
 # Separators a file may use, in order of preference, and the encoding of files that are not UTF-8: fixed values.
 SEPARATORS = [",", ";", "\t", "|", "#"]
@@ -106,6 +106,7 @@ def config_columns(spark: SparkSession, path: str) -> DataFrame:
     fields = [T.StructField("name", T.StringType())]
     fields += [T.StructField(f, T._parse_datatype_string(kind)) for f, (kind, _) in CONFIG_FIELDS.items()]
     fields.append(T.StructField("sourceColumns", T.ArrayType(T.StringType())))
+    fields.append(T.StructField("valueMappings", T.MapType(T.StringType(), T.StringType())))
     table = T.StructType(
         [
             T.StructField("name", T.StringType()), T.StructField("primaryKeyColumn", T.StringType()),
@@ -123,7 +124,14 @@ def config_columns(spark: SparkSession, path: str) -> DataFrame:
         (F.col("position") + 1).alias("position"),
         *[F.coalesce(F.col(f"c.{f}"), F.lit(default).cast(kind)).alias(f) for f, (kind, default) in CONFIG_FIELDS.items()],
         F.col("c.sourceColumns").alias("sourceColumns"),
-    )
+        F.coalesce("c.valueMappings", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("valueMappings"),
+    ).withColumn("type", _known_type(F.col("type")))
+
+
+def _known_type(name: Column) -> Column:
+    """The canonical rule type; an unknown one stops the job."""
+    listed = F.create_map(*[F.lit(x) for t in RULE_TYPES for x in (t.lower(), t)])
+    return F.coalesce(F.try_element_at(listed, F.lower(F.trim(name))), F.raise_error(F.concat(F.lit("unknown rule type "), name)))
 
 
 def load_config(spark: SparkSession, path: str) -> list[TableRule]:
