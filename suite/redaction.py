@@ -21,17 +21,17 @@ CKEY = w.key("c_custkey")
 
 
 def shuffle_sql(table, key, column, value_text, source=None, with_null=False, order="v"):
-    """Distinct values numbered by (hash, text), one draw, and a second one where it hit the own value."""
+    """Distinct values numbered by (hash, text), one draw, and the value after it where it hit the own value."""
     source = source or table
     scope, key_sql = f"{table}.{column}", w.key(key)
     keep = "" if with_null else f"WHERE {column} IS NOT NULL"
-    h0, hs = w.h(scope, key_sql), w.h(scope, key_sql, "s")
+    h0 = w.h(scope, key_sql)
     text = value_text("v")
     return f"""WITH src AS (SELECT * FROM {source}),
     pool AS (SELECT v, row_number() OVER (ORDER BY {w.hashed(text)}, {text}, {order} NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {column} AS v FROM src {keep})),
     r AS (SELECT src.*, {h0} % (SELECT max(n) FROM pool) AS r0, (SELECT max(n) FROM pool) AS n FROM src),
     a AS (SELECT r.*, pool.v AS v0 FROM r LEFT JOIN pool ON pool.i = r.r0),
-    b AS (SELECT a.*, CASE WHEN v0 IS NOT DISTINCT FROM {column} AND n > 1 THEN (r0 + 1 + {hs} % (n - 1)) % n ELSE r0 END AS r1 FROM a),
+    b AS (SELECT a.*, CASE WHEN v0 IS NOT DISTINCT FROM {column} AND n > 1 THEN (r0 + 1) % n ELSE r0 END AS r1 FROM a),
     c AS (SELECT b.*, pool.v AS v1 FROM b LEFT JOIN pool ON pool.i = b.r1)"""
 
 
@@ -198,7 +198,7 @@ _STRUCT_TEXT = (
     f"""WITH src AS (SELECT s_suppkey, {literal_sql()} AS text, {_STRUCT_TEXT} AS js FROM {GEOMETRY_SQL}),
     pool AS (SELECT js, text, row_number() OVER (ORDER BY {w.hashed('js')}, js) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT js, text FROM src)),
     r AS (SELECT src.*, {w.h('supplier.geo', SKEY)} % (SELECT max(n) FROM pool) AS r0, (SELECT max(n) FROM pool) AS n FROM src),
-    a AS (SELECT r.*, CASE WHEN pool.js = r.js AND r.n > 1 THEN (r0 + 1 + {w.h('supplier.geo', SKEY, 's')} % (r.n - 1)) % r.n ELSE r0 END AS r1 FROM r JOIN pool ON pool.i = r.r0)
+    a AS (SELECT r.*, CASE WHEN pool.js = r.js AND r.n > 1 THEN (r0 + 1) % r.n ELSE r0 END AS r1 FROM r JOIN pool ON pool.i = r.r0)
     SELECT s_suppkey, pool.text FROM a JOIN pool ON pool.i = a.r1""",
 )
 def _polygon(spark, sf):

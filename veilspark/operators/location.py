@@ -12,7 +12,7 @@ from veilspark.functions import templates as t
 from veilspark.functions.draw import Draws, key_text
 from veilspark.operators.numbering import number_rows
 from veilspark.plans.rules import ColumnRule, RuleError, Settings
-from veilspark.sources.scratch import broadcast_if_small, materialise
+from veilspark.sources.scratch import materialise, pick, sized_for_join
 
 # Constant parts of an address-book record: fixed values.
 BOOK_COUNTRY, BOOK_STATE = "Canada", "BC"
@@ -29,11 +29,11 @@ def location_record(
     df: DataFrame, rules: Sequence[ColumnRule], key: Sequence[str], table: str, settings: Settings
 ) -> DataFrame:
     """Fill the location columns among ``rules`` from one drawn record of the address book per row."""
-    book, size = broadcast_if_small(materialise(numbered_book(settings.address_book, settings.buckets), "address-book"))
+    book, size, small = sized_for_join(materialise(numbered_book(settings.address_book, settings.buckets), "address-book"))
     if size == 0:
         return df
     draws = Draws(settings.seed, f"{table}.#loc", key_text(*[F.col(k) for k in key]))
-    joined = df.withColumn("__book", draws(0) % F.lit(size)).join(book, "__book", "left")
+    joined = pick(df.withColumn("__book", draws(0) % F.lit(size)), book, "__book", size, small, draws(1))
     cell = {
         "COUNTRY": F.lit(BOOK_COUNTRY),
         "STATES": F.lit(BOOK_STATE),

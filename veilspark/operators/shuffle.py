@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from veilspark.functions.draw import Draws, key_text, value_key
 from veilspark.operators.numbering import bucket_count, number_rows
 from veilspark.plans.rules import Settings
-from veilspark.sources.scratch import broadcast_if_small, materialise
+from veilspark.sources.scratch import materialise, pick, sized_for_join
 
 
 _NESTED = (T.StructType, T.ArrayType)
@@ -40,32 +40,24 @@ def shuffle_column(
     retain_null: bool = True,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """Replace each value by a uniformly drawn distinct value of the column, other than its own.
+    """Replace each value by a drawn distinct value of the column, other than its own.
 
     ``source`` may name a DataFrame with the same column that is cheaper to read than ``df``.
 
-    Two candidates per row: number r and, for rows that drew their own value, another number. Both are
-    uniform over the pool, so neither join has a hot key, however often one original value occurs. Rows that
-    need no second candidate get a negative number that spreads them and matches nothing.
+    A row draws a number, uniform over the pool, so no number is hot however often one original value occurs. Each pool row also holds
+    the value after it, for rows that drew their own, so one join serves all rows.
     """
-    values = value_pool(source if source is not None else df, column, not retain_null, settings.buckets)
-    pool, size = broadcast_if_small(materialise(values, "pool"))
+    values = materialise(value_pool(source if source is not None else df, column, not retain_null, settings.buckets), "pool")
+    size = values.count()
     if size == 0:
         return df
+    after = values.select(F.pmod(F.col("__i") - 1, F.lit(size)).alias("__i"), F.col("__value").alias("__next"))
+    pool, _, small = sized_for_join(materialise(values.join(after, "__i"), "pool"))
     draws = Draws(settings.seed, scope, key_text(*[F.col(k) for k in key]))
     names, old = df.columns, F.col(column)
-    drawn = df.withColumn("__r", draws(0) % F.lit(size))
-    first = pool.select(F.col("__i").alias("__r"), F.col("__value").alias("__v0"))
-    drawn = drawn.join(first, "__r", "left")
-    if size > 1:
-        again = (F.col("__r") + 1 + draws("s") % F.lit(size - 1)) % F.lit(size)
-        own = F.col("__v0").eqNullSafe(old)
-        drawn = drawn.withColumn("__r2", F.when(own, again).otherwise(-1 - F.col("__r")))
-        second = pool.select(F.col("__i").alias("__r2"), F.col("__value").alias("__v1"))
-        drawn = drawn.join(second, "__r2", "left")
-        picked = F.when(F.col("__r2") >= 0, F.col("__v1")).otherwise(F.col("__v0"))
-    else:
-        picked = F.col("__v0")
+    drawn = pick(df.withColumn("__i", draws(0) % F.lit(size)), pool, "__i", size, small, draws(1))
+    own = F.col("__value").eqNullSafe(old)
+    picked = F.when(own, F.col("__next")).otherwise(F.col("__value"))
     if retain_null:
         picked = F.when(old.isNotNull(), picked)
     return drawn.select(*[picked.alias(n) if n == column else F.col(n) for n in names])

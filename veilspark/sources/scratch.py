@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
@@ -69,9 +69,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame) -> tuple[DataFrame, int]:
-    """The table, marked for broadcast if its measured size allows it, and its number of rows."""
+def sized_for_join(df: DataFrame) -> tuple[DataFrame, int, bool]:
+    """The table, marked for broadcast if its measured size allows it, its number of rows, and whether it does."""
     size = [F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in df.columns]
     rows, *sizes = df.agg(F.count("*"), *size).first()
     small = 16 * rows + sum(sizes) <= BROADCAST_BYTES
-    return (F.broadcast(df) if small else df), rows
+    return (F.broadcast(df) if small else df), rows, small
+
+
+def pick(df: DataFrame, table: DataFrame, number: str, size: int, small: bool, spread: Column) -> DataFrame:
+    """Join each row with the row of a numbered table that it drew, where all numbers are drawn equally often.
+
+    A table of few large rows that is shuffled would leave most tasks without work: its rows are then repeated with salts, until there
+    are several numbers for each task. ``spread`` is a number that rows choose their salt by.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = 1 if small else max(1, -(-4 * tasks // max(1, size)))
+    if salts == 1:
+        return df.join(table, number, "left")
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("__salt", (spread % F.lit(salts)).cast("int")).join(salted, [number, "__salt"], "left").drop("__salt")
