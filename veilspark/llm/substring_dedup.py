@@ -29,7 +29,7 @@ from veilspark.llm import words as W
 from veilspark.llm.frames import picked, text_bytes
 from veilspark.llm.tables import written
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 PAYLOAD_BITS = 58
 
