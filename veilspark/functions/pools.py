@@ -1,4 +1,5 @@
-"""Word lists behind the generators: fixed values of this project, in no meaningful order."""
+"""Word lists behind the generators: fixed values, in no meaningful order. Names, streets and places were made up for this project; the
+company, job, commerce and technology words are common terms that public fake-data generators use as well."""
 
 FEMALE_NAMES = (
     "Amara Beatrix Carmen Delphine Esther Freya Greta Hanna Imogen Jacinta Katrin Leonie Mirela Nadia Odette "
