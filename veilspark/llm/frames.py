@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +28,11 @@ def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def drawn(column: str, salt: str) -> Column:
+    """A number in [0, 1) by hash of a column, in steps fine enough for a share of any table."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(column).cast("string"), F.lit(salt)), 11) / F.lit(float(1 << 53))
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

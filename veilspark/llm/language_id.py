@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
-from veilspark.llm.frames import per_batch, picked
+from veilspark.llm.frames import drawn, per_batch, picked
 
 DIMENSIONS = 1 << 14
 PER_LANGUAGE = 1000
@@ -147,11 +147,10 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = {r["lang"]: r["count"] for r in frame.groupBy("lang").count().collect()}
     languages = sorted(counts)
     families = sorted({family_of(x) for x in languages})
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("languages")), F.lit(1_000_000)) / F.lit(1e6)
     if not languages:
         return LanguageModel([], [], np.zeros((0, DIMENSIONS + 1)), {}, {})
     shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, PER_LANGUAGE / counts[lang])])
-    sample = vectors(frame.where(drawn < shares[F.col("lang")]))
+    sample = vectors(frame.where(drawn("doc_id", "languages") < shares[F.col("lang")]))
     # Tasks of a row: one for each family of the whole, and one for each pair with a relative.
     tasks = {lang: [(f"family {f}", 1.0 if family_of(lang) == f else -1.0) for f in families if len(families) > 1] for lang in languages}
     pairs: dict[str, list[tuple[int, int]]] = {f: [] for f in families}

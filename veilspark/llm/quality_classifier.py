@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
-from veilspark.llm.frames import per_batch, picked
+from veilspark.llm.frames import drawn, per_batch, picked
 
 BITS = 18
 SAMPLE_ROWS = 16_000
@@ -122,9 +122,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Weights from the documents that have a label."""
     marked = picked(labels, doc_id=id_col, label=label_col).where("label IS NOT NULL AND doc_id IS NOT NULL")
     many = max(1, marked.count())
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_000))
-    marked = marked.where(drawn < int(1e6 * min(1.0, SAMPLE_ROWS / many))).select("doc_id", F.col("label").cast("int").alias("label"))
-    texts = picked(docs, doc_id=id_col, text=text_col).where(drawn < int(1e6 * min(1.0, SAMPLE_ROWS / many)))
+    chosen = drawn("doc_id", "quality") < min(1.0, SAMPLE_ROWS / many)
+    marked = marked.where(chosen).select("doc_id", F.col("label").cast("int").alias("label"))
+    texts = picked(docs, doc_id=id_col, text=text_col).where(chosen)
     rows = texts.join(marked, "doc_id").withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("shard")), F.lit(SHARDS)))
     found = _counted(rows).groupBy("shard").applyInPandas(_learn, "shard long, rows long, weights binary").collect()
     if not found:
