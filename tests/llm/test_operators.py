@@ -372,6 +372,32 @@ def test_loops_and_noise_go_and_prose_stays(spark):
     assert got[1]["kept"] and bad(2) and bad(3) and got[4]["bad_share"] > 0.25 and not any(got[i]["kept"] for i in (2, 3, 4))
 
 
+def test_noise_and_repetition_go_in_every_band(spark):
+    import zstandard
+
+    rules, r, pack = CompressionRules(), random.Random(3), zstandard.ZstdCompressor(level=3)
+    bands = rules.bands[1:]
+    for band, after in zip(bands, [*[b.least for b in bands[1:]], 400_000]):
+        for n in (band.least, after - 1):
+            size = 12 if n >= 700 else 5
+            noise = " ".join(base64.b64encode(r.randbytes(12)).decode()[:size] for _ in range(n // size + 1)).encode()[:n]
+            for text in (noise, (b"buy now cheap " * n)[:n]):
+                assert rules.outside(np.array([len(pack.compress(text)) / n]), np.array([n]))[0], (band, n, text[:40])
+    noise = " ".join(base64.b64encode(r.randbytes(9)).decode() for _ in range(300))
+    got = judge_quality(spark.createDataFrame([(1, noise)], "doc_id long, text string")).first()
+    assert not got["base_failed"] and not got["kept"]
+
+
+def test_compression_rejects_what_the_base_rules_pass(spark, sf_dir):
+    from veilspark.llm.language_id import held_out
+
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    judged = judge_quality(spark.read.parquet(f"{folder}/documents.parquet")).where(held_out(F.col("doc_id")) & ~F.col("base_failed"))
+    got = judged.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    kept = lambda q: np.mean([x["kept"] for x in got if x["quality"] == q])
+    assert kept(1) >= 0.98 and kept(0) <= 0.5
+
+
 def test_compression_odd_rows(odd, empty):
     got = judge_quality(odd).collect()
     assert len(got) == len(ODD) and [r["ratio"] for r in got if r["doc_id"] in (2, 3)] == [None, None]
