@@ -251,6 +251,18 @@ def test_licenses_by_brute_force(spark, texts):
     assert np.mean([got[i] == x for i, x in enumerate(expected)]) >= 0.99
 
 
+def test_each_license_is_named_by_its_own_name_alone(spark):
+    alone = sorted(TEMPLATES.items())
+    pairs = [("GPL-2.0-or-later", "GPL-3.0-or-later"), ("BSD-2-Clause", "BSD-3-Clause"), ("GPL-3.0 notice", "GPL-2.0 notice"), ("All rights reserved", "MIT")]
+    lines = [("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0 notice", "This work is licensed under the GNU General Public License, version 2.")]
+    cut = TEMPLATES["AGPL-3.0-or-later"].split()
+    cut[60] = "other"
+    cases = alone + [("; ".join(sorted(p)), f"before {TEMPLATES[p[0]]} {TEMPLATES[p[1]]} after") for p in pairs] + lines + [("AGPL-3.0-or-later", " ".join(cut))]
+    df = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {x["doc_id"]: x["licenses"] for x in scan_licenses(df, specific=True).collect()}
+    assert [got[k] for k in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_licenses_odd_rows(odd, empty):
     got = scan_licenses(odd)
     assert {r["licenses"] for r in got.collect()} == {""} and scan_licenses(empty).collect() == []

@@ -6,7 +6,8 @@ one shingle long and start at every word. Each of BANDS bands has one row: the l
 a constant of the band. A window that lies in a copy of a template and holds the template's own least shingle has the same key; a text that
 holds a share c of the template's shingles misses a band with probability about 1 - c, so with c >= 0.8 all four with about 0.0016.
 A template whose key is found is verified: some stretch of the text, 1.25 times as long as the template, that starts with one of
-its shingles, holds at least `share` of its distinct shingles. Shingles are compared as 64-bit hashes of the words.
+its shingles, holds at least `share` of its distinct shingles. Versions of one license share more than that; `specific` names the one
+that fits a stretch best, and both where a text holds copies of both. Shingles are compared as 64-bit hashes of the words.
 
 Everything is an expression over one row: no shuffle, no Python. Templates are a bounded list (they become literals). Null and empty texts
 have no license; a license that occurs twice is named once; an empty table gives no rows; columns other than id and text are not read.
@@ -73,15 +74,27 @@ def _literals(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("bigint") for v in values])
 
 
-def _held(hashes: Column, t: dict) -> Column:
-    """Whether a stretch of the text that starts with a shingle of the template holds enough of them."""
+def _stretches(hashes: Column, t: dict) -> Column:
+    """The stretches of the text that start with a shingle of the template and hold enough of them: their first and last word, and the
+    template's shingles they hold less those they lack."""
     own = _literals(t["set"])
-    starts = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(own, h), i + 1)), lambda i: i.isNotNull())
-    return F.exists(starts, lambda i: F.size(F.array_intersect(F.slice(hashes, i, t["reach"]), own)) >= t["need"])
+    places = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(own, h), i + 1)), lambda i: i.isNotNull())
+    here = F.transform(places, lambda i: F.struct(i.alias("begin"), F.array_intersect(F.slice(hashes, i, t["reach"]), own).alias("held")))
+    # A stretch ends where the last of the shingles it holds is first found.
+    last = lambda x: x["begin"] + F.array_max(F.transform(x["held"], lambda h: F.array_position(F.slice(hashes, x["begin"], t["reach"]), h))).cast("int") + (t["size"] - 2)
+    made = lambda x: F.struct(F.lit(t["name"]).alias("name"), x["begin"].alias("begin"), last(x).alias("end"), (2 * F.size(x["held"]) - len(t["set"])).alias("score"))
+    return F.transform(F.filter(here, lambda x: F.size(x["held"]) >= t["need"]), made)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: licenses (names in order, joined by "; "), n_licenses."""
+def _most_specific(found: Column) -> Column:
+    """The stretches that no stretch of another template overlaps with a higher score."""
+    beaten = lambda x: F.exists(found, lambda y: (y["name"] != x["name"]) & (y["score"] > x["score"]) & (y["begin"] <= x["end"]) & (x["begin"] <= y["end"]))
+    return F.filter(found, lambda x: ~beaten(x))
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", specific: bool = False) -> DataFrame:
+    """Per document: licenses (names in order, joined by "; "), n_licenses. With `specific`, of templates that overlap at one stretch of
+    the text only the one whose shingles it holds most and lacks least is named, else every template that is contained."""
     known = prepared(docs.sparkSession, templates or TEMPLATES, share)
     frame = docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_hashes(F.col(f"`{text_col}`")).alias("w"))
     sizes = sorted({t["size"] for t in known})
@@ -94,9 +107,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, shar
         found += [F.array_intersect(F.flatten(F.array(*[window_keys(F.col(f"h{size}"), b) for b in range(BANDS)])), _literals(long))] if long else []
         keys[size] = F.array_union(*found) if len(found) == 2 else found[0]
     frame = frame.select("*", *[keys[size].alias(f"k{size}") for size in sizes])
-    names = [F.when(F.arrays_overlap(F.col(f"k{t['size']}"), _literals(t["keys"])) & _held(F.col(f"h{t['size']}"), t), t["name"]) for t in known]
+    none = F.array().cast("array<struct<name:string,begin:int,end:int,score:int>>")
+    places = [F.when(F.arrays_overlap(F.col(f"k{t['size']}"), _literals(t["keys"])), _stretches(F.col(f"h{t['size']}"), t)).otherwise(none) for t in known]
     some = F.lit(False)
     for size in sizes:
         some = some | (F.size(f"k{size}") > 0)
-    listed = F.when(some, F.filter(F.array(*names), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = _let(F.flatten(F.array(*places)), _most_specific) if specific else F.flatten(F.array(*places))
+    listed = F.when(some, F.array_sort(F.array_distinct(F.transform(found, lambda x: x["name"])))).otherwise(F.array().cast("array<string>"))
     return frame.select("doc_id", listed.alias("l")).select("doc_id", F.array_join("l", "; ").alias("licenses"), F.size("l").cast("long").alias("n_licenses"))

@@ -1,19 +1,34 @@
-"""License notices and texts that a scan looks for: fixed values, the public wording of each license."""
+"""License notices and texts that a scan looks for: fixed values, the public wording of each license.
 
-# Lines that stand alone.
+Of a full license the passage that opens it is listed.
+"""
+
+# Lines that stand alone. Where only a version tells two of them apart a line has at most 8 words: 4 shingles, all needed at a share of 0.8.
 NOTICES = {
     "MIT notice": "Released under the MIT License.",
     "MIT licensed": "Licensed under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-3.0 notice": "under the GNU General Public License, version 3.",
+    "GPL-2.0 notice": "under the GNU General Public License, version 2.",
+    "LGPL-3.0 notice": "the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1 notice": "GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0 notice": "the GNU Affero General Public License, version 3.",
     "BSD notice": "Use of this source code is governed by a BSD-style license.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-4.0 short": "Licensed under CC BY 4.0.",
+    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-SA-4.0 long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0 long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0 long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0 long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0 long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC0-1.0": "has waived all copyright and related or neighboring rights to",
+    "CC0-1.0 notice": "CC0 1.0 Universal Public Domain Dedication",
+    "EPL-2.0 header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "All rights reserved": "All rights reserved.",
 }
@@ -48,6 +63,49 @@ with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
 and by any means.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License
+along with this program; if not, write to the Free Software Foundation, Inc.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License
+along with this library; if not, write to the Free Software Foundation, Inc.""",
+    "LGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License
+along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License
+along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "Apache-2.0 full": """"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this
+document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.""",
+    "GPL-2.0 full": """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.""",
+    "GPL-3.0 full": """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software
+and other practical works are designed to take away your freedom to share and change the works.""",
+    "AGPL-3.0 full": """The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to
+ensure cooperation with the community in the case of network server software.""",
+    "LGPL-3.0 full": """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.""",
+    "MPL-2.0 full": """"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2.
+"Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's
+Contribution.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software""",
 }
 
 TEMPLATES = NOTICES | TEXTS

@@ -193,4 +193,4 @@ SELECT d.doc_id, coalesce(n.licenses, '') AS licenses, coalesce(n.n, 0) AS n_lic
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.license_scan import scan_licenses
 
-    return scan_licenses(read(spark, sf_dir, "documents"))
+    return scan_licenses(read(spark, sf_dir, "documents"), specific=True)
