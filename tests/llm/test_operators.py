@@ -263,6 +263,19 @@ def test_each_license_is_named_by_its_own_name_alone(spark):
     assert [got[k] for k in range(len(cases))] == [name for name, _ in cases]
 
 
+def test_edited_licenses_are_all_found(spark):
+    """About one word in 25 edited, often enough that a key of three places misses some."""
+    r = random.Random(7)
+    template = TEMPLATES["ISC"]
+    every = [" ".join(x if r.random() > 0.04 else f"x{r.randrange(10**6)}" for x in template.split()) for _ in range(1000)]
+    runs = lambda text: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", text.lower())] for i in range(len(w) - 4)}
+    own = runs(template)
+    expected = ["ISC" if len(runs(t) & own) >= 0.8 * len(own) else "" for t in every]
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x["licenses"] for x in scan_licenses(df, {"ISC": template}).collect()}
+    assert expected.count("ISC") > 200 and [got[i] for i in range(len(every))] == expected
+
+
 def test_licenses_odd_rows(odd, empty):
     got = scan_licenses(odd)
     assert {r["licenses"] for r in got.collect()} == {""} and scan_licenses(empty).collect() == []

@@ -1,10 +1,11 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 Words are runs of letters and digits, lower-cased; a shingle is SHINGLE words (a template of fewer words is one shingle of its own size).
-A text's windows are WINDOW shingles long and start every half window; for short templates (fewer than WINDOW shingles) the windows are
+A text's windows are WINDOW shingles long and start every half window; for short templates (fewer than SHORT shingles) the windows are
 one shingle long and start at every word. Each of BANDS bands has one row: the least shingle hash of the window, the hashes permuted by
-a constant of the band. A window that lies in a copy of a template and holds the template's own least shingle has the same key; a text that
-holds a share c of the template's shingles misses a band with probability about 1 - c, so with c >= 0.8 all four with about 0.0016.
+a constant of the band. The keys of a template are all its shingles, so any window whose least shingle is one of them finds it. A short
+template is never missed. A copy of a long one is missed only if in all of its windows, 8 shingles apart, and in all four bands the least
+shingle is a foreign one; a window without an edit excludes that.
 A template whose key is found is verified: some stretch of the text, 1.25 times as long as the template, that starts with one of
 its shingles, holds at least `share` of its distinct shingles. Versions of one license share more than that; `specific` names the one
 that fits a stretch best, and both where a text holds copies of both. Shingles are compared as 64-bit hashes of the words.
@@ -25,6 +26,7 @@ from veilspark.llm.license_texts import TEMPLATES
 SHINGLE = 5
 WINDOW = 16
 BANDS = 4
+SHORT = 64
 # Constants that permute hashes, one for each band: fixed values from the digits of pi.
 PERMUTE = [0x243F6A8885A308D3, 0x13198A2E03707344, 0x24093822299F31D0, 0x082EFA98EC4E6C89]
 
@@ -45,11 +47,6 @@ def shingle_hashes(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def least(hashes: Column, band: int) -> Column:
-    """The MinHash of a band: the hash that comes first after permuting."""
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(PERMUTE[band])))).bitwiseXOR(F.lit(PERMUTE[band]))
-
-
 def window_keys(hashes: Column, band: int) -> Column:
     """MinHash of each overlapping window in one band."""
     mixed = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(PERMUTE[band])))
@@ -58,15 +55,15 @@ def window_keys(hashes: Column, band: int) -> Column:
 
 
 def prepared(spark: SparkSession, templates: dict[str, str], share: float) -> list[dict]:
-    """Shingles, band keys and needed count of each template, hashed by the expressions that hash the texts."""
+    """Shingles and needed count of each template, hashed by the expressions that hash the texts."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").withColumn("w", word_hashes(F.col("text")))
     rows = rows.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE)))
     out = []
     for size in sorted(r["size"] for r in rows.select("size").distinct().collect() if r["size"] > 0):
         h = shingle_hashes(F.col("w"), size)
-        of_size = rows.where(F.col("size") == size).select("name", F.array_distinct(h).alias("h"), F.array(*[least(h, b) for b in range(BANDS)]).alias("keys"), F.size(h).alias("n"))
+        of_size = rows.where(F.col("size") == size).select("name", F.array_distinct(h).alias("h"), F.size(h).alias("n"))
         for row in of_size.collect():
-            out.append({"name": row["name"], "size": size, "set": row["h"], "keys": sorted(set(row["keys"])), "reach": math.ceil(1.25 * row["n"]), "need": math.ceil(share * len(row["h"]))})
+            out.append({"name": row["name"], "size": size, "set": row["h"], "reach": math.ceil(1.25 * row["n"]), "need": math.ceil(share * len(row["h"]))})
     return sorted(out, key=lambda t: t["name"])
 
 
@@ -75,21 +72,27 @@ def _literals(values: list[int]) -> Column:
 
 
 def _stretches(hashes: Column, t: dict) -> Column:
-    """The stretches of the text that start with a shingle of the template and hold enough of them: their first and last word, and the
-    template's shingles they hold less those they lack."""
+    """The stretches of the text that start with a shingle of the template and hold enough of them: their first and last word, and as score
+    the template's shingles they hold less those they lack and the others between."""
     own = _literals(t["set"])
     places = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(own, h), i + 1)), lambda i: i.isNotNull())
     here = F.transform(places, lambda i: F.struct(i.alias("begin"), F.array_intersect(F.slice(hashes, i, t["reach"]), own).alias("held")))
     # A stretch ends where the last of the shingles it holds is first found.
-    last = lambda x: x["begin"] + F.array_max(F.transform(x["held"], lambda h: F.array_position(F.slice(hashes, x["begin"], t["reach"]), h))).cast("int") + (t["size"] - 2)
-    made = lambda x: F.struct(F.lit(t["name"]).alias("name"), x["begin"].alias("begin"), last(x).alias("end"), (2 * F.size(x["held"]) - len(t["set"])).alias("score"))
-    return F.transform(F.filter(here, lambda x: F.size(x["held"]) >= t["need"]), made)
+    length = lambda x: F.array_max(F.transform(x["held"], lambda h: F.array_position(F.slice(hashes, x["begin"], t["reach"]), h))).cast("int")
+    score = lambda x, n: 3 * F.size(x["held"]) - len(t["set"]) - n
+    made = lambda x, n: F.struct(F.lit(t["name"]).alias("name"), x["begin"].alias("begin"), (x["begin"] + n + (t["size"] - 2)).alias("end"), score(x, n).alias("score"))
+    return F.transform(F.filter(here, lambda x: F.size(x["held"]) >= t["need"]), lambda x: _let(length(x), lambda n: made(x, n)))
+
+
+def _unbeaten(found: Column, rivals: Column, between) -> Column:
+    """The stretches that overlap with no rival of a higher score."""
+    over = lambda x, y: (y["score"] > x["score"]) & (y["begin"] <= x["end"]) & (x["begin"] <= y["end"])
+    return F.filter(found, lambda x: ~F.exists(rivals, lambda y: between(x, y) & over(x, y)))
 
 
 def _most_specific(found: Column) -> Column:
-    """The stretches that no stretch of another template overlaps with a higher score."""
-    beaten = lambda x: F.exists(found, lambda y: (y["name"] != x["name"]) & (y["score"] > x["score"]) & (y["begin"] <= x["end"]) & (x["begin"] <= y["end"]))
-    return F.filter(found, lambda x: ~beaten(x))
+    """The stretches that no better one of another template overlaps, where that is itself the best of its template."""
+    return _let(_unbeaten(found, found, lambda x, y: x["name"] == y["name"]), lambda best: _unbeaten(found, best, lambda x, y: x["name"] != y["name"]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", specific: bool = False) -> DataFrame:
@@ -101,14 +104,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, shar
     frame = frame.select("doc_id", *[shingle_hashes(F.col("w"), size).alias(f"h{size}") for size in sizes])
     keys = {}
     for size in sizes:
-        short = sorted({k for t in known if t["size"] == size and len(t["set"]) < WINDOW for k in t["keys"]})
-        long = sorted({k for t in known if t["size"] == size and len(t["set"]) >= WINDOW for k in t["keys"]})
+        short = sorted({k for t in known if t["size"] == size and len(t["set"]) < SHORT for k in t["set"]})
+        long = sorted({k for t in known if t["size"] == size and len(t["set"]) >= SHORT for k in t["set"]})
         found = [F.array_intersect(F.col(f"h{size}"), _literals(short))] if short else []
         found += [F.array_intersect(F.flatten(F.array(*[window_keys(F.col(f"h{size}"), b) for b in range(BANDS)])), _literals(long))] if long else []
         keys[size] = F.array_union(*found) if len(found) == 2 else found[0]
     frame = frame.select("*", *[keys[size].alias(f"k{size}") for size in sizes])
     none = F.array().cast("array<struct<name:string,begin:int,end:int,score:int>>")
-    places = [F.when(F.arrays_overlap(F.col(f"k{t['size']}"), _literals(t["keys"])), _stretches(F.col(f"h{t['size']}"), t)).otherwise(none) for t in known]
+    places = [F.when(F.arrays_overlap(F.col(f"k{t['size']}"), _literals(t["set"])), _stretches(F.col(f"h{t['size']}"), t)).otherwise(none) for t in known]
     some = F.lit(False)
     for size in sizes:
         some = some | (F.size(f"k{size}") > 0)
