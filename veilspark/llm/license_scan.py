@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ def prepared(spark: SparkSession, templates: dict[str, str], share: float) -> li
 
 
 def _literals(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values])
+    """One literal, not one for each value: a plan with thousands of them takes minutes to analyse."""
+    return F.lit(np.array(values, np.int64))
 
 
 def _stretches(hashes: Column, t: dict) -> Column:
