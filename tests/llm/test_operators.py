@@ -181,6 +181,15 @@ def test_surrogates_stay_distinct_where_the_format_is_small(spark):
     assert got == [r["text"] for r in replace_entities(df.repartition(3)).orderBy("doc_id").collect()]
 
 
+def test_surrogates_of_national_phone_numbers(spark):
+    numbers = ["+33 1 23 45 67 89", "01 23 45 67 89", "06.12.34.56.78", "030 1234567", "6045551234"]
+    df = spark.createDataFrame([(k, f"call {n}, or not") for k, n in enumerate(numbers)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in replace_entities(df).collect()}
+    for k, n in enumerate(numbers):
+        text, found = got[k]
+        assert found == 1 and n not in text and re.sub(r"\d", "9", text) == re.sub(r"\d", "9", f"call {n}, or not")
+
+
 def test_surrogates_odd_rows(odd, empty):
     got = masked_documents(odd)
     assert rows(got.select(odd.columns)) == rows(odd) and masked_documents(empty).collect() == []

@@ -46,7 +46,9 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.])(?:\d{13,19}|(?:\d{4}[ -]){3}\d{4})(?!\w)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+    # National layouts: French pairs, German area codes, ten digits of North America.
+    r"|(?<![\w+.])(?:\+33[ .-]?[1-9]|0[1-9])(?:[ .-]?\d{2}){4}(?!\w|\.\d)|(?<![\w+.])0\d{2,4}[ /-]\d{5,8}(?!\w)|(?<![\w+.])[2-9]\d{2}[2-9]\d{6}(?!\w|\.\d)",
     "ssn": r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)",
     "person": rf"(?<!\p{{L}})(?:{'|'.join(TITLES_MALE + TITLES_FEMALE + TITLES_OPEN)})\.? {NAME}(?: {NAME}){{0,2}}",
 }
