@@ -194,3 +194,47 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.license_scan import scan_licenses
 
     return scan_licenses(read(spark, sf_dir, "documents"), specific=True)
+
+
+# CRC-32 of UTF-8 text, byte by byte from the hexadecimal form; its table follows from the polynomial.
+OP11_SQL = r"""
+WITH steps AS (
+  SELECT list_transform(range(0, 256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS id, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+),
+worded AS (
+  SELECT side, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+),
+flat AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]))) AS g FROM worded
+),
+hashed AS (
+  SELECT g, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h) // 2 + 1), lambda p: ('0x' || h[2 * p - 1:2 * p])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS k
+  FROM (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM flat)), steps
+),
+counted AS (SELECT k, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM flat JOIN hashed USING (g) GROUP BY k),
+gained AS (
+  SELECT k, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM counted
+),
+weights AS (
+  SELECT id, count(*) AS n, CAST((sum(gain) - ((sum(gain) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS weight
+  FROM flat JOIN hashed USING (g) JOIN gained USING (k) WHERE side = 'd' GROUP BY id
+),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weights USING (id) WHERE side = 'd'
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, n_features, weight) AS r, count(*) FILTER (WHERE n_words >= 20) OVER () AS many FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, CAST(score AS BIGINT) AS score, CASE WHEN n_words >= 20 AND r <= 25 * many // 100 THEN r END AS rank FROM placed
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.importance import resample
+
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
