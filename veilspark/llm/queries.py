@@ -238,3 +238,44 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.importance import resample
 
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, w[p] AS w1, w[p + 1] AS w2, w[p + 2] AS w3 FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM worded)
+),
+f1 AS (SELECT lang, w1 AS x, count(*) AS f FROM grams GROUP BY ALL),
+f2 AS (SELECT lang, w1 AS x, w2 AS y, count(*) AS f FROM grams WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1 AS x, w2 AS y, w3 AS z, count(*) AS f FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+inside AS (SELECT lang, x, y, max(f) AS longer FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+two AS (
+  SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * p.f * p.f // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM f2 p JOIN f1 l ON p.lang = l.lang AND p.x = l.x JOIN f1 r ON p.lang = r.lang AND p.y = r.x
+    LEFT JOIN inside i ON p.lang = i.lang AND p.x = i.x AND p.y = i.y
+  WHERE p.f >= 10 AND (i.longer IS NULL OR 100 * i.longer < 50 * p.f)
+),
+cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2,
+    1000000::HUGEINT * t.f * t.f // (l1.f::HUGEINT * r1.f) AS s1, 1000000::HUGEINT * t.f * t.f // (l2.f::HUGEINT * r2.f) AS s2
+  FROM f3 t JOIN f1 l1 ON t.lang = l1.lang AND t.x = l1.x JOIN f2 r1 ON t.lang = r1.lang AND t.y = r1.x AND t.z = r1.y
+    JOIN f2 l2 ON t.lang = l2.lang AND t.x = l2.x AND t.y = l2.y JOIN f1 r2 ON t.lang = r2.lang AND t.z = r2.x
+),
+three AS (
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END AS l, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END AS r, CAST(least(s1, s2) AS BIGINT) AS score FROM cuts
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (SELECT * FROM two UNION ALL SELECT * FROM three)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM placed JOIN (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.collocations import mine_phrases
+
+    return mine_phrases(read(spark, sf_dir, "documents"))
