@@ -279,3 +279,16 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.collocations import mine_phrases
 
     return mine_phrases(read(spark, sf_dir, "documents"))
+
+
+@query("op12_toxicity_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from veilspark.llm.toxicity import held_out, learn_toxicity, score_toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, docs.where(~held_out(F.col("doc_id"))), read(spark, sf_dir, "labels"))
+    nearest = F.get("neighbours", F.lit(0))
+    found = score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", nearest.alias("near"), "terms")
+    return found.select("doc_id", "held_out", "score", "predicted", F.col("near.doc_id").alias("nearest_id"), F.col("near.cosine").alias("nearest_cosine"), F.array_join("terms", " ").alias("evidence"))
