@@ -53,6 +53,27 @@ def clear_scratch(spark: SparkSession, since: int = 0) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        names = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for path in [p for p in _WRITTEN.get(context.applicationId, []) if any(n.endswith(p.split("://")[-1].lstrip("/")) for n in names)]:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_at_exit() -> None:
+    """At the end of the process delete what its session still has."""
+    from pyspark import SparkContext
+
+    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
+        clear_scratch(spark)
+
+
+atexit.register(clear_at_exit)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate result and read it back.
 
@@ -61,7 +82,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
