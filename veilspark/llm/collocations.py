@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
-from veilspark.llm.frames import picked
+from veilspark.llm.frames import looked_up, picked
 from veilspark.llm.tables import written
 
-CHUNK_BYTES = 8 << 20
-BUCKET_WORDS = 2_000_000
+CHUNK_BYTES = 4 << 20
+BUCKET_WORDS = 1_000_000
 HOT_BITS = 17
-FREQUENT_BITS = 27
+FREQUENT_BITS = 26
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\v\f\r", np.uint8))
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
 
@@ -337,13 +337,7 @@ def count_phrases(routed: DataFrame, least: int, longest: int) -> DataFrame:
 
 
 def _looked_up(df: DataFrame, key: str, words: DataFrame, hot: DataFrame, **columns: str) -> DataFrame:
-    """Columns of `words` (new name = old name) by hash. Hot words come from a broadcast list; rows so answered, and those without a word,
-    are spread over the shuffle by a key of their own, so no word is a hot key of the join."""
-    taken = lambda t, as_key, mark: t.select(F.col("h").alias(as_key), *[F.col(old).alias(mark + new) for new, old in columns.items()])
-    known = df.join(F.broadcast(taken(hot, "__hot", "__hot_")), F.col(key) == F.col("__hot"), "left")
-    known = known.withColumn("__key", F.coalesce(F.when(F.col("__hot").isNull(), F.col(key)), F.xxhash64("h1", "h2", "h3")))
-    known = known.join(taken(words, "__word", "__word_"), F.col("__key") == F.col("__word"), "left")
-    return known.select(*df.columns, *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{c}")).otherwise(F.col(f"__word_{c}")).alias(c) for c in columns])
+    return looked_up(df, key, words, "h", hot, F.xxhash64("h1", "h2", "h3"), **columns)
 
 
 def _score(left: str, right: str) -> Column:

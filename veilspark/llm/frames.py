@@ -40,3 +40,29 @@ def text_bytes(df: DataFrame, column: str) -> int:
 
 def joined(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+HEAVY_SHARE = 1024
+
+
+def heavy_keys(table: DataFrame, rows: str) -> DataFrame:
+    """Rows of a table with one row per key whose key holds more than 1/HEAVY_SHARE of all: fewer than HEAVY_SHARE, whatever the data."""
+    total = table.agg(F.sum(rows)).first()[0] or 0
+    return table.where(F.col(rows) > total / HEAVY_SHARE)
+
+
+def looked_up(df: DataFrame, key: str, table: DataFrame, table_key: str, heavy: DataFrame, spread: Column, **columns: str) -> DataFrame:
+    """Columns (new name = old name) of the row of `table` with this key, null if there is none. Heavy keys, a part of the table, come from a
+    broadcast list; rows so answered, and those without a key, go over the shuffle by `spread`, so that no key is hot. `spread` is of the
+    type of the key and differs from row to row; what it matches is not looked at."""
+    taken = lambda t, as_key, mark: t.select(F.col(table_key).alias(as_key), *[F.col(old).alias(mark + new) for new, old in columns.items()])
+    known = df.join(F.broadcast(taken(heavy, "__hot", "__hot_")), F.col(key) == F.col("__hot"), "left").withColumn("__any", spread)
+    known = known.withColumn("__key", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.col("__any")))
+    known = known.join(taken(table, "__word", "__word_"), F.col("__key") == F.col("__word"), "left")
+    value = lambda c: F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{c}")).when(F.col(key).isNotNull(), F.col(f"__word_{c}"))
+    return known.select(*[F.col(f"`{c}`") for c in df.columns], *[value(c).alias(c) for c in columns])
+
+
+def row_key(df: DataFrame) -> Column:
+    """A digest of all columns: equal rows have one, a null is no empty text."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})))

@@ -1,34 +1,13 @@
-"""Intermediate tables in the folder the cluster names, and what is built on them."""
+"""Intermediate tables in the folder the cluster names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-_CONF = "spark.checkpoint.dir"
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Only a local master (one machine) may go without: it gets a temporary folder."""
-    folder = spark.conf.get(_CONF, None)
-    if not folder:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"{_CONF} must name a folder that all executors share")
-        if spark.sparkContext.applicationId not in _LOCAL:
-            made = tempfile.TemporaryDirectory(prefix="veilspark-")
-            atexit.register(made.cleanup)
-            _LOCAL[spark.sparkContext.applicationId] = made.name
-        folder = _LOCAL[spark.sparkContext.applicationId]
-    return folder.rstrip("/")
+from veilspark.sources.scratch import materialise
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table: lineage ends, lost executors cost nothing, several readers share one computation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows as a Parquet table: lineage ends, lost executors cost nothing, several readers share one computation. The process deletes
+    its tables when it ends."""
+    return materialise(df, label)
