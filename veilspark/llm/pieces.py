@@ -6,12 +6,14 @@ it. An Aho-Corasick automaton lists the pieces that end at each place, compatibi
 and the ids are recovered from the end of the text backwards. The cost is linear in the text, whatever its words look like.
 
 No piece spans certain pairs of characters (a character before a word mark; a line break and anything), so a text is cut there and the
-parts, which repeat, are looked up in a bounded table per task. Decoding goes from ids back to text by pieces and bytes.
+parts, which repeat, are looked up in a bounded table per task. Decoding reads each document's own list of ids: the bytes of every id are
+gathered from one table, so it knows nothing of the text that was encoded, and `decode_documents` takes ids from anywhere.
 Null is an empty text: begin and end ids only. Rows are independent: repeated rows, empty tables and other columns need no care.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,6 +32,10 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 REMEMBERED = 250_000
 REMEMBERED_CHARS = 64
 REMEMBERED_PAIRS = 2_000_000
+DECODED_IDS = 1 << 20
+
+# The library writes one U+FFFD for each byte that is not UTF-8.
+codecs.register_error("veilspark-each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 class PieceModel:
@@ -69,8 +75,9 @@ class PieceModel:
         self.fits: dict[int, bool] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.changed: dict[str, str] = {}
+        self.size = len(kinds)
         self.cut = self._cuts()
+        self._decoding()
 
     def _cuts(self) -> re.Pattern:
         """Parts between which no piece can stand: none holds a mark after another character, none holds a line break with others."""
@@ -156,51 +163,79 @@ class PieceModel:
         out.reverse()
         return out
 
-    def decoded(self, ids: list[int]) -> str:
-        """Text of ids. Runs of byte ids are UTF-8; a byte that is not becomes U+FFFD. The mark that encoding puts first is left out."""
-        if self.text.keys() >= set(ids):
-            return "".join(map(self.text.__getitem__, ids)).removeprefix(self.prefix).replace(MARK, " ")
-        out, run = [], bytearray()
-        for i in [*ids, None]:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i is not None and i not in self.silent:
-                out.append(self.text.get(i, self.unknown_text))
-        text = "".join(out)
-        return text.removeprefix(self.prefix).replace(MARK, " ")
+    def _decoding(self) -> None:
+        """Bytes of every id, one after another, and where each begins. The word mark is a space; control ids have none."""
+        parts = []
+        for i in range(self.size):
+            text = self.text.get(i)
+            parts.append(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else (self.unknown_text if text is None else text.replace(MARK, " ")).encode())
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.length = np.array([len(x) for x in parts])
+        self.start = np.cumsum(self.length) - self.length
+        kind = lambda some: np.isin(np.arange(self.size), list(some))
+        self.is_byte, self.is_silent = kind(self.byte_of), kind(self.silent)
+        self.is_marked = kind(i for i, t in self.text.items() if self.prefix and t.startswith(self.prefix))
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """Text of ids, in UTF-8. Runs of byte ids are UTF-8, each byte of them that is not becomes U+FFFD. The mark that encoding puts
+        first is left out. Long lists are decoded in parts, cut where no run of byte ids is."""
+        ids = np.asarray(ids, np.int64)
+        first = np.flatnonzero(~self.is_silent[ids[:64]])
+        if not len(first):
+            first = np.flatnonzero(~self.is_silent[ids])
+        marked = len(first) and self.is_marked[ids[first[0]]]
+        out, at = [], 0
+        while at < len(ids):
+            end = min(at + DECODED_IDS, len(ids))
+            while end < len(ids) and self.is_byte[ids[end - 1]]:
+                end += 1
+            out.append(self._joined(ids[at:end]))
+            at = end
+        text = b"".join(out)
+        return text[1:] if marked else text
+
+    def _joined(self, ids: np.ndarray) -> bytes:
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        raw = self.blob[np.repeat(self.start[ids] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        if not self.is_byte[ids].any():
+            return raw
+        # A control id ends a run too, though it leaves nothing in the text.
+        kind = self.is_byte[ids].astype(np.int8) - self.is_silent[ids]
+        try:
+            if not (kind[1:-1] < 0).any():
+                # What stands between runs is whole characters: all is UTF-8 exactly if each run is.
+                raw.decode()
+                return raw
+        except UnicodeDecodeError:
+            pass
+        cuts = [0, *ends[np.flatnonzero(np.diff(kind))].tolist(), len(raw)]
+        return b"".join(raw[a:b].decode("utf-8", "veilspark-each-byte").encode() for a, b in zip(cuts[:-1], cuts[1:]))
 
     def part(self, part: str) -> bytes:
-        """Ids of a part as little-endian 32-bit numbers; remembered if short. A part that decodes to other text is noted in `changed`."""
+        """Ids of a part as little-endian 32-bit numbers; remembered if short."""
         held = self.new.get(part)
         if held is None:
             held = self.old.get(part)
             if held is None:
-                ids = self.ids(part)
-                text = self.decoded([self.rank[MARK][1], *ids]) if self.prefix else self.decoded(ids)
-                if text != part.replace(MARK, " "):
-                    self.changed[part] = text
-                held = np.array(ids, "<u4").tobytes()
+                held = np.array(self.ids(part), "<u4").tobytes()
             if len(part) <= REMEMBERED_CHARS:
                 if len(self.new) >= REMEMBERED:
                     self.new, self.old = {}, self.new
                 self.new[part] = held
         return held
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids with begin and end, packed, and the text that decoding them gives."""
+    def encode(self, text: str) -> bytes:
+        """Ids with begin and end, packed."""
         ends = np.array([self.begin, self.end], "<u4").tobytes()
         if not text:
-            return ends, ""
-        marked = (self.prefix + text).replace(" ", MARK)
-        parts = self.cut.findall(marked)
-        ids = b"".join(list(map(self.part, parts)))
-        decoded = "".join([self.changed.get(p, p) for p in parts]) if self.changed else marked
-        # Only a mark that encoding may have put there is taken away, and only the first.
-        return ends[:4] + ids + ends[4:], (decoded.removeprefix(self.prefix) if self.prefix else decoded).replace(MARK, " ")
+            return ends
+        return b"".join([ends[:4], *map(self.part, self.cut.findall((self.prefix + text).replace(" ", MARK))), ends[4:]])
+
+    def both(self, text: str) -> tuple[bytes, bytes]:
+        """Packed ids of a text, and the text of these ids."""
+        ids = self.encode(text)
+        return ids, self.decoded(np.frombuffer(ids, "<u4"))
 
 
 @lru_cache(maxsize=2)
@@ -231,18 +266,31 @@ def _run(docs: DataFrame, path: str | None, id_col: str, text_col: str, columns:
     def make(batch: pa.RecordBatch) -> dict:
         model = loaded(file)
         texts: Iterator[str] = (x.as_py() or "" for x in batch.column("text"))
-        return {"doc_id": batch.column("doc_id")} | shape(map(model.encode, texts))
+        return {"doc_id": batch.column("doc_id")} | shape(map(model.both, texts))
 
     return per_batch(frame, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, {columns}", make)
 
 
-def _whole(found: Iterator[tuple[bytes, str]]) -> dict:
+def _whole(found: Iterator[tuple[bytes, bytes]]) -> dict:
     ids, decoded = zip(*found) if (found := list(found)) else ((), ())
     values = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
-    return {"ids": pa.array(values, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+    return {"ids": pa.array(values, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}
 
 
-def _digests(found: Iterator[tuple[bytes, str]]) -> dict:
-    rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, text in found]
+def _digests(found: Iterator[tuple[bytes, bytes]]) -> dict:
+    rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()) for ids, text in found]
     n, a, b = zip(*rows) if rows else ((), (), ())
     return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+
+
+def decode_documents(frame: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Per row: the text of a list of ids, from wherever it comes. A null list is an empty one; an id that the model lacks is an error."""
+    rows = picked(frame, doc_id=id_col, ids=ids_col)
+    file = path or model_path()
+
+    def make(batch: pa.RecordBatch) -> dict:
+        model = loaded(file)
+        texts = [model.decoded(np.array(x.as_py() or [], np.int64)) for x in batch.column("ids")]
+        return {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.binary()).cast(pa.string())}
+
+    return per_batch(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string", make)
