@@ -7,10 +7,13 @@ three numbers come to the driver.
 Sample: a document is taken floor(rate) times, rate = target / words of its source, and one more time for a fraction of the documents.
 These are picked systematically, in order of size class and seeded hash within the source, so that every size is hit evenly and the
 words taken come near the target. Cells (source, size class, hash bucket) hold about CELL_ROWS documents at any size of a source; the
-position of a cell comes from the counts of the cells before it. Reruns agree: nothing depends on partitions or order of rows.
+position of a cell comes from the counts of the cells before it.
+
+Rows that share id, source and size are interchangeable: they are counted and numbered, and the number goes into the hash. So many rows of
+one id, or without an id, spread over the cells as others do, and reruns agree: nothing depends on partitions or the order of rows.
 
 A null text counts 0 words, and documents of 0 words add nothing whatever they are taken. Null is a source of its own, after all others.
-Without rows, or without words, targets are 0. Rows that share id, source and size are interchangeable. Other columns are not read.
+Without rows, or without words, targets are 0. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
-from veilspark.llm.frames import per_batch, picked
+from veilspark.llm.frames import heavy_keys, looked_up, per_batch, picked, row_key
 from veilspark.llm.tables import written
 
-CELL_ROWS = 50_000
+CELL_ROWS = 16_384
+RUN_ROWS = 10_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -76,28 +80,35 @@ def _fraction(*parts: Column | str, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def numbered(groups: DataFrame, many: str, number: str) -> DataFrame:
+    """Each row `many` times, numbered from 0. Large groups are dealt out in runs of RUN_ROWS first, so that no task repeats one row without end."""
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col(many) - 1) / F.lit(RUN_ROWS)))
+    large = groups.where(F.col(many) > RUN_ROWS).withColumn("__run", F.explode(runs))
+    large = large.repartition("__run", *groups.columns)
+    first = F.col("__run") * RUN_ROWS
+    each = F.sequence(first, F.least(first + RUN_ROWS, F.col(many)) - 1)
+    small = groups.where(F.col(many).between(1, RUN_ROWS)).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1)))
+    return small.unionByName(large.withColumn(number, F.explode(each)).drop("__run"))
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most_epochs: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target of its source, copies, and taken = size * copies."""
-    sizes = written(sized(docs, id_col, source_col, text_col), "sizes")
-    sources = written(weighed(sizes, weights), "sources")
+    sizes = sized(docs, id_col, source_col, text_col)
+    equal = written(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+    sources = written(weighed(equal.withColumn("size", F.col("size") * F.col("rows")), weights), "sources")
     targets = filled(sources, share, most_epochs)
     digits = F.col("size").cast("string")
     kind = F.length(digits) * 100 + F.rpad(F.substring(digits, 1, 2), 2, "0").cast("int")
-    drawn = sizes.withColumns({"kind": kind, "u": _fraction(F.col("doc_id"), seed=seed)})
-    strata = drawn.groupBy("source", "kind").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).alias("parts"))
-    split = drawn.join(strata.withColumnsRenamed({"source": "s", "kind": "k"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("kind") == F.col("k"))).drop("s", "k")
+    drawn = numbered(equal, "rows", "k").drop("rows").withColumn("kind", kind)
+    drawn = drawn.withColumn("u", _fraction(F.col("doc_id"), F.col("size"), F.col("k"), seed=seed)).withColumn("stratum", _stratum())
+    strata = written(drawn.groupBy("stratum", "source", "kind").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / F.lit(CELL_ROWS))), "strata")
+    split = looked_up(drawn, "stratum", strata, "stratum", heavy_keys(strata, "rows"), F.unhex(F.md5(F.concat_ws("|", "u", "k"))), parts="parts")
     split = written(split.withColumn("part", F.col("u") % F.col("parts")).drop("parts"), "cells")
-    cells = split.groupBy("source", "kind", "part").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("source").orderBy("kind", "part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    t = targets.withColumnRenamed("source", "s")
-    cells = cells.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), F.col("kind").alias("k"), F.col("part").alias("p"), "before", "source_size", "target"
-    )
-    place = F.row_number().over(Window.partitionBy("source", "kind", "part").orderBy("u", "doc_id")) - 1
-    ranked = split.withColumn("place", place).join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("kind") == F.col("k")) & (F.col("part") == F.col("p")))
+    ranked = split.withColumn("place", F.row_number().over(Window.partitionBy("stratum", "part").orderBy("u", "doc_id", "size", "k")) - 1)
+    cells = _cells(split, strata, targets)
+    ranked = ranked.join(cells, ["stratum", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = _fraction(F.col("source"), seed=seed + "-start") / F.lit(float(1 << 60))
     rest, at = rate - F.floor(rate), F.col("place") + F.col("before")
@@ -106,9 +117,33 @@ def mix_sources(
     return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def repeated_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it. Rows that share an id are taken as often as any of them."""
-    copies = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    copies = copies.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(copies, docs[id_col].eqNullSafe(F.col("__id")))
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def _stratum() -> Column:
+    """One binary key of source and size class."""
+    return F.unhex(F.md5(F.concat_ws("|", F.col("kind").cast("string"), F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))))))
+
+
+def _cells(split: DataFrame, strata: DataFrame, targets: DataFrame) -> DataFrame:
+    """stratum, part, rows before it in its source, and the source's size and target. The rows before a cell are those of smaller size classes
+    (of which a source has some hundreds) and of earlier parts of its own."""
+    smaller = Window.partitionBy("source").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+    bases = strata.withColumn("base", F.coalesce(F.sum("rows").over(smaller), F.lit(0)))
+    bases = bases.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("stratum", "base", "source_size", "target")
+    earlier = Window.partitionBy("stratum").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = split.groupBy("stratum", "part").agg(F.count("*").alias("rows")).withColumn("earlier", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    return cells.join(bases, "stratum").select("stratum", "part", (F.col("base") + F.col("earlier")).alias("before"), "source_size", "target")
+
+
+def repeated_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it. Ids are not looked at: a row is known by all its columns, and what is taken
+    of equal rows is spread over them evenly."""
+    keyed = docs.withColumn("__id", row_key(docs))
+    copies = mix_sources(keyed, id_col="__id", source_col=source_col, text_col=text_col, **options)
+    of_key = written(copies.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")), "copies")
+    of_key = of_key.withColumns({"each": F.floor(F.col("copies") / F.col("rows")), "rest": F.col("copies") % F.col("rows")})
+    any_key = F.concat(F.lit("row:").cast("binary"), F.monotonically_increasing_id().cast("string").cast("binary"))
+    counted = looked_up(keyed, "__id", of_key, "__id", heavy_keys(of_key, "rows"), any_key, __each="each", __rest="rest")
+    # The rest of equal rows is taken from one of them.
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    every = counted.where("__each > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each")))).select(*columns)
+    some = counted.where("__rest > 0").dropDuplicates(["__id"])
+    return every.unionByName(numbered(some.select(*columns, "__rest"), "__rest", "__n").select(*columns))

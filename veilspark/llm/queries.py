@@ -64,7 +64,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH counted AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sizes AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS number FROM counted),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
   FROM sizes GROUP BY source
@@ -78,10 +79,10 @@ chosen AS (SELECT level FROM levels WHERE weight * level <= cap ORDER BY k LIMIT
 targets AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM chosen)) AS target FROM sorted),
 drawn AS (
   SELECT *, length(size::VARCHAR) * 100 + rpad(substr(size::VARCHAR, 1, 2), 2, '0')::INT AS kind,
-    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS u FROM sizes
+    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '~') || '|' || size || '|' || number), 1, 15))::BIGINT AS u FROM sizes
 ),
-parted AS (SELECT *, u % CAST(ceil(count(*) OVER (PARTITION BY source, kind) / 50000.0) AS BIGINT) AS part FROM drawn),
-placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY kind, part, u, doc_id) - 1 AS pos FROM parted),
+parted AS (SELECT *, u % CAST(ceil(count(*) OVER (PARTITION BY source, kind) / 16384.0) AS BIGINT) AS part FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY kind, part, u, doc_id, size, number) - 1 AS pos FROM parted),
 rated AS (
   SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
     ('0x' || substr(md5('mix-start|' || coalesce(p.source, '~')), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS start
