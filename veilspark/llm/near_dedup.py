@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
 from veilspark.llm.components import components
-from veilspark.llm.frames import per_batch, picked
+from veilspark.llm.frames import heavy_keys, looked_up, per_batch, picked, row_key
 from veilspark.llm.tables import written
 
 MISS = 5e-5
@@ -290,9 +290,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
     # Round 2: tables that hold several components.
     rooted = components(edges)
-    rooted = tables.select("v").distinct().join(rooted, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
-    weight = rooted.groupBy("root").agg(F.count("*").alias("weight"))
-    rooted = rooted.join(weight, "root").withColumn("blocks", F.ceil(F.col("weight") / F.lit(BLOCK)))
+    rooted = written(tables.select("v").distinct().join(rooted, "v", "left").select("v", F.coalesce("root", "v").alias("root")), "rooted")
+    weight = written(rooted.groupBy("root").agg(F.count("*").alias("weight")), "weights")
+    rooted = looked_up(rooted, "root", weight, "root", heavy_keys(weight, "weight"), F.col("v"), weight="weight").withColumn("blocks", F.ceil(F.col("weight") / F.lit(BLOCK)))
     rooted = written(rooted.withColumn("blk", F.concat("root", F.lit(b"/"), _split("v", "blocks").cast("string").cast("binary"))).drop("blocks"), "rooted")
     placed = tables.select("key", "i", "j", "v", "n").join(rooted, "v")
     mixed = placed.groupBy("key", "i", "j").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "i", "j")
@@ -313,9 +313,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     more = written(more, "links")
 
     final = components(edges.unionByName(more))
-    known = classes.select("v", "first_id").join(final, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "first_id")
-    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = known.join(smallest, "root").select(F.col("v").alias("w"), "component_id")
-    joined = described.join(of_class, F.col("v") == F.col("w"), "left")
+    known = written(classes.select("v", "first_id", "copies").join(final, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "first_id", "copies"), "known")
+    smallest = written(known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes")), "smallest")
+    of_class = looked_up(known, "root", smallest, "root", heavy_keys(smallest, "classes"), F.col("v"), component_id="component_id")
+    of_class = written(of_class.select("v", "component_id", "copies"), "components")
+    any_class = F.concat(F.lit("row:").cast("binary"), F.monotonically_increasing_id().cast("string").cast("binary"))
+    joined = looked_up(described, "v", of_class, "v", heavy_keys(of_class, "copies"), any_class, component_id="component_id")
     group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", group.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without near duplicates: of each group the row with the smallest id (null last), of those the one with the smallest
+    digest of all its columns, and of equal rows one. Equal rows are dropped before they meet, so a group may be of any size."""
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), row_key(docs).alias("row"))
+    keyed = docs.withColumn("__key", key)
+    found = near_duplicates(keyed, size, percent, id_col="__key", text_col=text_col, **options)
+    kept = found.where("kept").select(F.col("doc_id.row").alias("__row")).distinct()
+    once = keyed.withColumn("__row", F.col("__key.row")).drop("__key").dropDuplicates(["__row"])
+    return once.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
