@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated scores.
 
 Examples are labelled documents, at most about `per_label` of each label, chosen by hash (a document of a label that is thinned out counts
-as many times more). Terms are the words whose presence goes with the label in the examples (chi-square of at least `least_chi`, in
-`least_docs` examples or more): prose shares many words with any other prose, and a cosine over all of them tells topics apart, not tone.
+as many times more); equal texts of a label are one. Terms are words, and beginnings of words of 4 to 6 characters (insults are inflected),
+whose presence goes with label 1 in the examples: chi-square of at least `least_chi`, `least_lift` times as frequent as under label 0, in
+`least_docs` examples or more. Prose shares many words with any other prose, and a cosine over all of them tells topics apart, not tone.
 A term's inverse document frequency comes from all documents. A vector is (1 + ln tf) * idf, scaled to length 1.
 
 Examples stand in blocks; for each term the index has its postings by block and the greatest weight of each block. A document's bound for
@@ -11,7 +12,7 @@ above the next bound, so the k neighbours are exact; ties go to the smaller plac
 1 / (distance + SOFT) beside a prior of the base rate. Votes are calibrated by a logistic fit on the examples' own votes, each found without
 itself. Documents that share no term with any example get the rate of such examples. Neighbours, cosines and terms are the evidence.
 
-A word is a run of digits, a-z and characters above U+007F after lower-casing. Whole texts are read, in parts of PART_BYTES. Null and empty
+A word is a run of digits, a-z and characters above U+007F after lower-casing. Whole texts are read, in parts of PART_CHARS. Null and empty
 texts have no term. Null labels and null ids are not learnt from. Without examples every score is 0. Repeated rows score alike; a document
 with several labels is an example for each. Tables without rows give none. Other columns are not read.
 """
@@ -37,10 +38,12 @@ NEIGHBOURS = 15
 BLOCK = 32
 SOFT = 0.05
 PRIOR = 0.5
-PART_BYTES = 1 << 20
+PART_CHARS = 1 << 20
 REMEMBERED = 50_000
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
+REMEMBERED_WORDS = 300_000
+BEGINNINGS = (4, 5, 6)
+_WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
+_GAP = re.compile("[^0-9a-z\x80-\U0010ffff]")
 
 
 def held_out(id_col: Column) -> Column:
@@ -48,22 +51,43 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _words(text: str | None) -> Iterator[list[bytes]]:
+def _words(text: str | None) -> Iterator[list[str]]:
     """Words of a text, a part at a time."""
-    data, at = (text or "").lower().encode(), 0
-    while at < len(data):
-        gap = _GAP.search(data, at + PART_BYTES)
-        end = gap.start() if gap else len(data)
-        yield _WORD.findall(data, at, end)
+    text, at = (text or "").lower(), 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PART_CHARS)
+        end = gap.start() if gap else len(text)
+        yield _WORD.findall(text, at, end)
         at = end
 
 
-def _counts(text: str | None, ids: dict[bytes, int]) -> dict[int, int]:
-    """Occurrences of the known terms of a text."""
-    found: Counter = Counter()
-    for words in _words(text):
-        found.update(filter(ids.__contains__, words))
-    return {ids[w]: n for w, n in found.items()}
+def _terms(word: str) -> list[str]:
+    """What a word counts for: itself, and its beginnings with a mark that no word has."""
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+
+
+class Terms:
+    """Numbers of the known terms, and a bounded memory of what words count for."""
+
+    def __init__(self, terms: list[str]):
+        self.ids = {t: k for k, t in enumerate(terms)}
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """Occurrences of the known terms of a text."""
+        out: Counter = Counter()
+        if not self.ids:
+            return out
+        for words in _words(text):
+            if len(self.seen) > REMEMBERED_WORDS:
+                self.seen.clear()
+            for word, n in Counter(words).items():
+                found = self.seen.get(word)
+                if found is None:
+                    found = self.seen[word] = tuple(self.ids[t] for t in _terms(word) if t in self.ids)
+                for term in found:
+                    out[term] += n
+        return out
 
 
 @dataclass
@@ -71,6 +95,7 @@ class Model:
     """Terms with their idf, the index of the examples, and what turns a vote into a score."""
 
     terms: list[str]
+    known_terms: Terms
     idf: np.ndarray
     doc_ids: list
     labels: np.ndarray
@@ -86,7 +111,6 @@ class Model:
     bare_rate: float
     slope: float = 1.0
     shift: float = 0.0
-    ids: dict[bytes, int] = field(default_factory=dict)
     known: dict = field(default_factory=dict)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,25 +129,27 @@ class Model:
         weight = np.repeat(x, [b - a for a, b in spans])
         bound = np.bincount(number, weight * np.concatenate([self.most[a:b] for a, b in spans]))
         entry = np.concatenate([np.arange(a, b) for a, b in spans])
-        by_block = np.argsort(number, kind="stable")
-        cuts = np.searchsorted(number[by_block], np.arange(len(bound) + 1))
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
         best_place, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
+        at, step = 0, 4
+        while at < len(order):
             # Sums are rounded, so a bound within 1e-9 of the k-th best may hide an equal one.
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-9:
+            if len(best) == k and bound[order[at]] < best[-1] - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            hit = np.zeros(BLOCK, bool)
-            for e in by_block[cuts[b] : cuts[b + 1]].tolist():
-                low, high = self.first[entry[e]], self.first[entry[e] + 1]
-                inside = self.place[low:high] - b * BLOCK
-                score[inside] += weight[e] * self.value[low:high]
-                hit[inside] = True
-            found = np.flatnonzero(hit) + b * BLOCK
+            opened = np.zeros(len(bound), bool)
+            opened[order[at : at + step]] = True
+            at, step = at + step, 2 * step
+            some = np.flatnonzero(opened[number])
+            low, size = self.first[entry[some]], self.first[entry[some] + 1] - self.first[entry[some]]
+            posting = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            place = self.place[posting]
+            score = np.bincount(place, np.repeat(weight[some], size) * self.value[posting])
+            found = np.flatnonzero(np.bincount(place))
             found = found[found != without]
-            places, scores = np.concatenate([best_place, found]), np.concatenate([best, score[found - b * BLOCK]])
-            order = np.lexsort((places, -np.round(scores, 12)))[:k]
-            best_place, best = places[order], scores[order]
+            places, scores = np.concatenate([best_place, found]), np.concatenate([best, score[found]])
+            nearest = np.lexsort((places, -np.round(scores, 12)))[:k]
+            best_place, best = places[nearest], scores[nearest]
         return best_place, np.minimum(best, 1.0)
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
@@ -137,7 +163,7 @@ class Model:
         """Score, neighbours, cosines and terms of a text; remembered by its counts."""
         if not len(self.labels):
             return self.bare_rate, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        counts = _counts(text, self.ids)
+        counts = self.known_terms.counts(text)
         key = tuple(sorted(counts.items()))
         found = self.known.get(key)
         if found is None:
@@ -171,45 +197,44 @@ def _examples(docs: DataFrame, labels: DataFrame, label: str, per_label: int, id
         thinned = per_label / many
         tied = chosen.withColumn("__row", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
         chosen = written(tied.where(drawn("__row", "toxicity") < 2 * thinned).drop("__row"), "examples")
-    return chosen, {y: 1 / s for y, s in share.items()}
+    return written(chosen.dropDuplicates(["label", "text"]), "examples"), {y: 1 / s for y, s in share.items()}
 
 
-def _chosen_terms(examples: DataFrame, sizes: dict[int, int], least_chi: float, least_docs: int) -> list[str]:
-    """Words whose presence depends on the label."""
+def _chosen_terms(examples: DataFrame, sizes: dict[int, int], least_chi: float, least_lift: float, least_docs: int) -> list[str]:
+    """Terms whose presence goes with label 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Per batch: documents with each word, and those of label 1.
+            # Per batch: documents with each term, and those of label 1.
             docs: Counter = Counter()
             marked: Counter = Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                found = set().union(*_words(text))
+                found = {t for words in _words(text) for w in set(words) for t in _terms(w)}
                 docs.update(found)
                 if label:
                     marked.update(found)
-            columns = [pa.array(list(docs), pa.binary()), pa.array(docs.values(), pa.int64()), pa.array([marked[w] for w in docs], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "n", "p"])
+            columns = [pa.array(list(docs), pa.string()), pa.array(docs.values(), pa.int64()), pa.array([marked[w] for w in docs], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "n", "p"])
 
-    counted = examples.select("text", "label").mapInArrow(run, "word binary, n long, p long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    counted = examples.select("text", "label").mapInArrow(run, "term string, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     ones, zeros = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     every, n, p = ones + zeros, F.col("n").cast("double"), F.col("p").cast("double")
     bottom = F.lit(ones * zeros) * n * (every - n)
     chi = F.when(bottom > 0, every * F.pow(p * (zeros - n + p) - (n - p) * (ones - p), F.lit(2.0)) / bottom)
-    rows = counted.where((F.col("n") >= least_docs) & (chi >= least_chi)).select("word").collect()
-    # A cut word can end within a character only where the text was not UTF-8, which strings exclude.
-    return sorted(r["word"].decode() for r in rows)
+    lift = (p + 0.5) * (zeros + 1) / ((n - p + 0.5) * (ones + 1))
+    return sorted(r["term"] for r in counted.where((F.col("n") >= least_docs) & (chi >= least_chi) & (lift >= least_lift)).select("term").collect())
 
 
-def _document_frequency(docs: DataFrame, ids: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def _document_frequency(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     """Documents with each term, and all documents."""
-    many = len(ids)
+    many = len(terms.ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = np.zeros(many + 1, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column("text"):
-                found[list(_counts(text.as_py(), ids))] += 1
+                found[list(terms.counts(text.as_py()))] += 1
         found[many] = rows
         met = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(found[met], pa.int64())], ["term", "n"])
@@ -222,9 +247,8 @@ def _document_frequency(docs: DataFrame, ids: dict[bytes, int]) -> tuple[np.ndar
 
 def _indexed(terms: list[str], idf: np.ndarray, rows: list, stands_for: dict[int, float]) -> Model:
     """The index of examples: rows of doc_id, label, terms, counts. Alike examples stand together, so that blocks have tight bounds."""
-    ids = {t.encode(): k for k, t in enumerate(terms)}
     empty = np.zeros(0, np.int64)
-    model = Model(terms, idf, [], empty, empty, empty, empty, empty, empty, empty, empty, 0.0, 0.0, ids=ids)
+    model = Model(terms, Terms(terms), idf, [], empty, empty, empty, empty, empty, empty, empty, empty, 0.0, 0.0)
     vectors = [(model.vector(dict(zip(r["at"], r["n"]))), r) for r in rows]
     full = [(at, x, r) for (at, x), r in vectors if len(at)]
     full.sort(key=lambda v: (int(v[0][np.argmax(v[1])]), -float(v[1].max()), v[0].tolist(), str(v[2]["doc_id"]), v[2]["label"]))
@@ -266,18 +290,18 @@ def _fitted(votes: list[tuple[float, int, float]]) -> tuple[float, float]:
 
 
 def learn_toxicity(
-    docs: DataFrame, learn_from: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL, least_chi: float = 24.0, least_docs: int = 5, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, learn_from: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL, least_chi: float = 24.0, least_lift: float = 3.0, least_docs: int = 5, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """Model from the documents of `learn_from` that have a label; document frequencies are those of `docs`."""
     examples, stands_for = _examples(learn_from, labels, label, per_label, id_col, text_col)
     sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    terms = _chosen_terms(examples, sizes, least_chi, least_docs)
-    ids = {t.encode(): i for i, t in enumerate(terms)}
-    found, every = _document_frequency(picked(docs, text=text_col), ids)
+    terms = _chosen_terms(examples, sizes, least_chi, least_lift, least_docs)
+    known = Terms(terms)
+    found, every = _document_frequency(picked(docs, text=text_col), known)
     idf = np.log((1 + every) / (1 + found)) + 1
 
     def make(batch: pa.RecordBatch) -> dict:
-        counts = [_counts(x.as_py(), ids) for x in batch.column("text")]
+        counts = [known.counts(x.as_py()) for x in batch.column("text")]
         places = [sorted(c) for c in counts]
         return {
             "doc_id": batch.column("doc_id"), "label": batch.column("label"), "at": pa.array(places, pa.list_(pa.int32())),
@@ -300,7 +324,7 @@ def _own_votes(examples: DataFrame, model: Model, k: int, stands_for: dict[int,
     def make(batch: pa.RecordBatch) -> dict:
         model, votes = held.value, []
         for i, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
-            at, x = model.vector(_counts(text, model.ids))
+            at, x = model.vector(model.known_terms.counts(text))
             votes.append(model.vote(*model.nearest(at, x, k, at_of.get((i, y), -1))) if len(at) else None)
         return {"label": batch.column("label"), "vote": pa.array(votes, pa.float64())}
 
