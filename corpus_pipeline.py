@@ -1,7 +1,8 @@
 """A training-data pipeline over documents: language ID, near-dedup, PII surrogates, mixing of sources, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All
-stages but the last return the columns of documents. Rows that share a doc_id are one document: they stay or go together.
+stages but the last return the columns of documents. A row is known by all its columns: rows that share a doc_id, or have none, are
+documents of their own, and of rows that are equal in all columns near-dedup leaves one.
 """
 
 from __future__ import annotations
@@ -13,18 +14,12 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.language_id import held_out, learn_languages, recognised
 from veilspark.llm.mixing import repeated_documents
-from veilspark.llm.near_dedup import near_duplicates
+from veilspark.llm.near_dedup import one_of_each
 from veilspark.llm.pieces import encode_digests
 from veilspark.llm.surrogates import masked_documents
 from veilspark.llm.tables import written
 
 
-def _with(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among `ids`, a null id included."""
-    chosen = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-
-
 def _columns(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns]
 
@@ -37,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity of 0.8 or more, directly or through others."""
-    return _with(docs, near_duplicates(docs, size=5, percent=80).where("kept"))
+    return one_of_each(docs, size=5, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
