@@ -68,13 +68,37 @@ def test_stages_on_odd_rows(spark, sf_dir):
                 assert at.columns == docs.columns
 
 
+def test_copies_without_or_with_one_id_leave_one_row(spark, sf_dir):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "other")
+    rows = [(None, text, "en", "a")] * 40 + [(None, near, "en", "a")] * 3 + [(7, text, "en", "b")] * 2 + [(7, "something else entirely here", "en", "b"), (None, "another short text", "en", "a"), (None, "another short text", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.near_dedup(spark, docs.repartition(4), sf_dir).collect()
+    assert sorted((str(r["doc_id"]), r["text"][:9]) for r in kept) == [("7", "something"), ("7", "w0 w1 w2 "), ("None", "another s")]
+
+
+def test_mix_keeps_to_its_target_whatever_the_ids(spark, sf_dir):
+    rows = [(None, " ".join(["w"] * (1200 + i % 100)), "en", "s1") for i in range(300)] + [(i % 5, "a b c", "en", "s2") for i in range(500)] + [(1, "q " * 50, "en", "s3")] * 700
+    results = []
+    for parts in (2, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(parts)
+        taken = corpus_pipeline.mix(spark, docs, sf_dir)
+        words = {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+        total = sum(len(t.split()) for _, t, _, _ in rows) * 1.5
+        size = {s: sum(len(t.split()) for *_, t, _, x in [(0, *r) for r in rows] if x == s) for s in ("s1", "s2", "s3")}
+        assert abs(words["s1"] + words["s2"] + words["s3"] - min(total, sum(2 * n for n in size.values()))) < 3000
+        assert all(words[s] <= 2 * size[s] for s in size)
+        results.append(sorted(map(str, taken.collect())))
+    assert results[0] == results[1]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir).toPandas()
     expected = connect(sf_dir).sql(ORACLES[name]).df()
     columns = sorted(expected.columns)
     assert sorted(got.columns) == columns
-    order = lambda df: df[columns].sort_values(["doc_id"], ignore_index=True)
+    order = lambda df: df[columns].sort_values(columns, ignore_index=True)
     assert order(got).astype(str).equals(order(expected).astype(str))
 
 
@@ -82,5 +106,5 @@ def test_every_operator_is_registered():
     import __spark_entry__ as driver
 
     names = driver.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(ORACLES) <= set(driver.oracle_sql())
