@@ -1,6 +1,6 @@
 """License notices and texts that a scan looks for: fixed values, the public wording of each license.
 
-Of a full license the passage that opens it is listed.
+Of a long license the passage that opens it is listed. Short forms are made by rule: the SPDX line of each identifier.
 """
 
 # Lines that stand alone. Where only a version tells two of them apart a line has at most 8 words: 4 shingles, all needed at a share of 0.8.
@@ -8,6 +8,15 @@ NOTICES = {
     "MIT notice": "Released under the MIT License.",
     "MIT licensed": "Licensed under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0 licensed": "Licensed under the Apache License 2.0.",
+    "Apache-2.0 under": "under the terms of the Apache License 2.0.",
+    "BSD-3-Clause notice": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause notice": "Licensed under the BSD 2-Clause License.",
+    "MPL-2.0 notice": "Licensed under the Mozilla Public License 2.0.",
+    "ISC notice": "Licensed under the ISC License.",
+    "MIT under": "under the terms of the MIT license.",
+    "EUPL-1.2 notice": "Licensed under the EUPL, Version 1.2",
+    "Boost notice": "Distributed under the Boost Software License, Version 1.0.",
     "GPL-3.0 notice": "under the GNU General Public License, version 3.",
     "GPL-2.0 notice": "under the GNU General Public License, version 2.",
     "LGPL-3.0 notice": "the GNU Lesser General Public License, version 3.",
@@ -60,6 +69,23 @@ License as published by the Free Software Foundation, either version 3 of the Li
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
 PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along
 with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS
+PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS.""",
+    "WTFPL": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long
+as the name is changed.""",
+    "OFL-1.1": """The goals of the Open Font License (OFL) are to stimulate worldwide development of collaborative font projects, to support the font
+creation efforts of academic and linguistic communities, and to provide a free and open framework in which fonts may be shared and improved in
+partnership with others.""",
+    "Artistic-2.0": """This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or
+redistributed. The intent is that the Copyright Holder maintains some artistic control over the development of that Package while still keeping the
+Package available as open source and free software.""",
+    "PostgreSQL": """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written
+agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
 and by any means.""",
@@ -108,4 +134,14 @@ applications, and to alter it and redistribute it freely""",
 documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software""",
 }
 
-TEMPLATES = NOTICES | TEXTS
+# Identifiers of the SPDX license list, for lines of the form "SPDX-License-Identifier: ...".
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 "
+    "CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CPL-1.0 "
+    "ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later "
+    "HPND ISC LGPL-2.0-only LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA "
+    "ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 SSPL-1.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+LINES = {f"SPDX {name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+
+TEMPLATES = NOTICES | TEXTS | LINES

@@ -174,19 +174,39 @@ def _op5_sql() -> str:
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     runs = "list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda p: array_to_string(w[p:p + k - 1], ' '))"
     return f"""
-WITH t AS (SELECT name, w, least(5, len(w)) AS k FROM (SELECT name, {words} AS w FROM (VALUES {values}) v(name, text))),
-ts AS (SELECT name, k, {runs} AS s FROM t),
-tt AS (SELECT name, k, s, CAST(ceil(1.25 * len(s)) AS BIGINT) AS reach, ceil(0.8 * len(list_distinct(s))) AS need FROM ts),
-d AS (SELECT doc_id, {words} AS w FROM documents),
-ds AS (SELECT doc_id, k, {runs} AS s FROM d, (SELECT DISTINCT k FROM t) sizes),
-flat AS (SELECT doc_id, k, p, s[p] AS g FROM (SELECT doc_id, k, s, unnest(range(1, len(s) + 1)) AS p FROM ds)),
-hits AS (SELECT f.doc_id, tt.name, tt.reach, tt.need, f.p, f.g FROM flat f JOIN (SELECT name, k, reach, need, unnest(list_distinct(s)) AS g FROM tt) tt ON f.k = tt.k AND f.g = tt.g),
+WITH t AS (SELECT name, w, CASE WHEN len(w) >= 5 THEN 5 ELSE least(3, len(w)) END AS k FROM (SELECT name, {words} AS w FROM (VALUES {values}) v(name, text))),
+ts AS (SELECT name, k, w, {runs} AS s FROM t),
+tt AS (SELECT name, k, w, list_distinct(s) AS own, CAST(ceil(1.25 * len(s)) AS BIGINT) AS reach, CAST(ceil(0.8 * len(list_distinct(s))) AS BIGINT) AS need FROM ts),
+docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+d AS (SELECT row, {words} AS w FROM docs),
+ds AS (SELECT row, k, {runs} AS s FROM d, (SELECT DISTINCT k FROM t) sizes),
+flat AS (SELECT row, k, p, s[p] AS g FROM (SELECT row, k, s, unnest(range(1, len(s) + 1)) AS p FROM ds)),
+hits AS (SELECT f.row, tt.name, tt.reach, tt.need, f.p, f.g FROM flat f JOIN (SELECT name, k, reach, need, unnest(own) AS g FROM tt) tt ON f.k = tt.k AND f.g = tt.g),
 held AS (
-  SELECT a.doc_id, a.name FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.name = b.name AND b.p >= a.p AND b.p < a.p + a.reach
-  GROUP BY a.doc_id, a.name, a.p, a.need HAVING count(DISTINCT b.g) >= a.need
+  SELECT DISTINCT row, name FROM (
+    SELECT a.row, a.name FROM hits a JOIN hits b ON a.row = b.row AND a.name = b.name AND b.p >= a.p AND b.p < a.p + a.reach
+    GROUP BY a.row, a.name, a.p, a.need HAVING count(DISTINCT b.g) >= a.need)
 ),
-named AS (SELECT doc_id, string_agg(name, '; ' ORDER BY name) AS licenses, count(*) AS n FROM (SELECT DISTINCT doc_id, name FROM held) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.licenses, '') AS licenses, coalesce(n.n, 0) AS n_licenses FROM documents d LEFT JOIN named n USING (doc_id)
+many AS (SELECT row, name, list_reverse_sort(list(n))[any_value(need)] AS times FROM (SELECT row, name, need, g, count(*) AS n FROM hits GROUP BY ALL) GROUP BY row, name),
+found AS (SELECT row, name, times FROM held JOIN many USING (row, name)),
+pairs AS (
+  SELECT a.name AS x, b.name AS y, list_filter(a.own, lambda g: NOT list_contains(b.own, g)) AS x_more, list_filter(b.own, lambda g: NOT list_contains(a.own, g)) AS y_more
+  FROM tt a JOIN tt b ON a.name <> b.name AND a.k = b.k AND 2 * len(list_intersect(a.own, b.own)) >= least(len(a.own), len(b.own))
+  UNION ALL
+  SELECT a.name, b.name, [], b.own FROM tt a JOIN tt b ON a.k < b.k AND contains(' ' || array_to_string(b.w, ' ') || ' ', ' ' || array_to_string(a.w, ' ') || ' ')
+),
+had AS (SELECT row, name, list(DISTINCT g) AS has FROM hits GROUP BY row, name),
+judged AS (
+  SELECT f.row, f.name, len(p.x_more) AS x_more, len(p.y_more) AS y_more, f.times AS x_times, g.times AS y_times,
+    len(list_intersect(p.x_more, hx.has)) AS x_has, len(list_intersect(p.y_more, hy.has)) AS y_has
+  FROM found f JOIN pairs p ON f.name = p.x JOIN found g ON f.row = g.row AND g.name = p.y
+    JOIN had hx ON f.row = hx.row AND f.name = hx.name JOIN had hy ON g.row = hy.row AND g.name = hy.name
+),
+explained AS (
+  SELECT DISTINCT row, name FROM judged WHERE 2 * y_has >= y_more AND ((x_more > 0 AND 2 * x_has < x_more) OR (x_more = 0 AND x_times <= y_times))
+),
+named AS (SELECT row, string_agg(name, '; ' ORDER BY name) AS licenses, count(*) AS n FROM (SELECT * FROM found ANTI JOIN explained USING (row, name)) GROUP BY row)
+SELECT d.doc_id, coalesce(n.licenses, '') AS licenses, coalesce(n.n, 0) AS n_licenses FROM docs d LEFT JOIN named n USING (row)
 """
 
 
@@ -194,7 +214,7 @@ SELECT d.doc_id, coalesce(n.licenses, '') AS licenses, coalesce(n.n, 0) AS n_lic
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.license_scan import scan_licenses
 
-    return scan_licenses(read(spark, sf_dir, "documents"), specific=True)
+    return scan_licenses(read(spark, sf_dir, "documents"))
 
 
 # CRC-32 of UTF-8 text, byte by byte from the hexadecimal form; its table follows from the polynomial.
