@@ -192,6 +192,103 @@ def test_surrogates_of_national_phone_numbers(spark):
         assert found == 1 and n not in text and re.sub(r"\d", "9", text) == re.sub(r"\d", "9", f"call {n}, or not")
 
 
+def masked(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in replace_entities(df).orderBy("doc_id").collect()]
+
+
+def test_a_person_keeps_one_name_in_every_form(spark):
+    got = masked(spark, [
+        "Dr. Alex Kovar met Mr Alex Kovar. Later Alex Kovar, Kovar and ALEX KOVAR left.", "Dr Kim Vost and Ms Kim Vost", "DR. ANNA LEE came. Anna Lee went; analee stayed.",
+        "Mrs. J. Keller and Maria Keller", "MS EXCEL, DR Congo and Drew Barry", "Kovar alone",
+    ])
+    first = re.fullmatch(r"Dr\. (\w+) (\w+) met Mr (\w+) (\w+)\. Later (\w+) (\w+), (\w+) and ([A-Z]+) ([A-Z]+) left\.", got[0])
+    assert first and first[1] == first[3] == first[5] == first[8].title() and first[2] == first[4] == first[6] == first[7] == first[9].title()
+    assert {first[1], first[2]}.isdisjoint({"Alex", "Kovar"})
+    kim = re.fullmatch(r"Dr (\w+) (\w+) and Ms (\w+) (\w+)", got[1])
+    assert kim and kim.group(1, 2) == kim.group(3, 4)
+    lee = re.fullmatch(r"DR\. ([A-Z-]+) ([A-Z]+) came\. ([\w-]+) (\w+) went; analee stayed\.", got[2])
+    assert lee and lee[1].title() == lee[3] and lee[2].title() == lee[4] and lee[4] != "Lee"
+    keller = re.fullmatch(r"Mrs\. J\. ([\w-]+) and ([\w-]+) ([\w-]+)", got[3])
+    assert keller and keller[1] == keller[3] != "Keller" and keller[2] != "Maria"
+    assert got[4] == "MS EXCEL, DR Congo and Drew Barry" and got[5] == "Kovar alone"
+
+
+def test_given_names_of_all_genders_stay_distinct(spark):
+    syllables = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("lan", "mir", "nos", "pek", "rud", "sav", "tol", "vin", "wes", "zor")]
+    names = [x.title() + y for x in syllables for y in ("a", "e", "i", "o", "u")]
+    titles = ["Mr", "Ms", "Dr"]
+    got = masked(spark, [f"{titles[k % 3]} {n} Qorvan" for k, n in enumerate(names)])
+    given = [t.split(" ")[1] for t in got]
+    assert len(names) == 300 and len(set(given)) == 300 and not set(given) & set(names) and len({t.split(" ", 2)[2] for t in got}) == 1
+
+
+def test_phone_numbers_are_one_with_and_without_their_country(spark):
+    got = masked(spark, ["+1 604 555 1234, 604-555-1234, (604) 555-1234, 1-604-555-1234, 6045551234.", "+33 1 23 45 67 89, 01 23 45 67 89, 01.23.45.67.89, +33 (0)1 23 45 67 89.", "030 1234567, +49 30 1234567."])
+    tail = lambda text, n: {re.sub(r"\D", "", x)[-n:] for x in text.rstrip(".").split(", ")}
+    assert [len(tail(t, n)) for t, n in zip(got, (10, 9, 9))] == [1, 1, 1]
+    assert tail(got[0], 10) != {"6045551234"} and tail(got[1], 9) != {"123456789"} and tail(got[2], 9) != {"301234567"}
+    assert re.fullmatch(r"\+33 [1-9]( \d\d){4}, 0[1-9]( \d\d){4}, 0[1-9](\.\d\d){4}, \+33 \(0\)[1-9]( \d\d){4}\.", got[1])
+    assert re.fullmatch(r"0\d{2} \d{7}, \+49 \d{2} \d{7}\.", got[2]) and got[0].startswith("+1 6")
+
+
+def test_entities_of_every_kind_are_distinct_and_coreferent(spark):
+    """Many entities of each kind in several spellings, over many documents: one surrogate each, in no other's place, and no original."""
+    r = random.Random(21)
+    digits = lambda n, first="23456789": r.choice(first) + "".join(r.choices("0123456789", k=n - 1))
+    hexa = lambda n: "".join(r.choices("0123456789abcdef", k=n - 8)) + "0123abcd"
+    def phone():
+        a, b, c = digits(3), digits(3), digits(4, "0123456789")
+        return [f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}"]
+    def card():
+        d = digits(16)
+        return [d, " ".join(d[i : i + 4] for i in range(0, 16, 4))]
+    def mail():
+        name = f"{r.choice('abcdefgh')}{r.choice('xyz')}.{r.choice(['lee', 'roy'])}@{r.choice(['one', 'two'])}.org"
+        return [name, name.upper()[:-4] + ".org"]
+    def iban():
+        d = digits(20)
+        return [f"DE{d}", "DE" + d[:2] + " " + " ".join(d[2 + i : 6 + i] for i in range(0, 18, 4))]
+    makers = {
+        "email": mail, "phone": phone, "ip": lambda: [".".join(str(r.randrange(1, 250)) for _ in range(4))], "card": card, "iban": iban,
+        "ssn": lambda: [f"{digits(3)}-{digits(2)}-{digits(4)}"], "key": lambda: [hexa(40)],
+        "last": lambda: (lambda n: [f"Mr {n}", f"Mrs. {n}", f"DR. {n.upper()}"])(r.choice("BCDFGH") + r.choice("aeiou") + r.choice("lmnr") + r.choice(["ov", "ik", "ard"])),
+    }
+    plain = {"email": str.lower, "phone": lambda x: re.sub(r"\D", "", x)[-10:], "card": lambda x: x.replace(" ", ""), "iban": lambda x: x.replace(" ", ""), "last": lambda x: x.split(" ")[1].lower()}
+    entities = {}
+    for kind, make in makers.items():
+        for _ in range(60):
+            forms = make()
+            entities[kind, plain.get(kind, str)(forms[0])] = forms
+    places = [(e, form) for e, forms in entities.items() for form in forms for _ in range(2)]
+    r.shuffle(places)
+    docs = [places[i : i + 7] for i in range(0, len(places), 7)]
+    got = masked(spark, [" | ".join(f"see {form} now" for _, form in some) for some in docs])
+    seen = collections.defaultdict(set)
+    for some, text in zip(docs, got):
+        for (e, form), part in zip(some, text.split(" | ")):
+            assert part.startswith("see ") and part.endswith(" now")
+            seen[e].add(plain.get(e[0], str)(part[4:-4]))
+    assert all(len(x) == 1 for x in seen.values())
+    for kind in makers:
+        new = [next(iter(x)) for e, x in seen.items() if e[0] == kind]
+        assert len(set(new)) == len(new) and not set(new) & {f for k, f in entities if k == kind}
+
+
+def test_many_entities_and_marks_in_one_text(spark):
+    text = " ".join(f"u{i}@mail.example.com \x01 {i}" for i in range(20_000)) + " \x01\x02 \x01\x03"
+    got = masked(spark, [text, "\x01\x03 nothing \x01\x04"])
+    pattern = re.compile(r"\S+@\S+")
+    assert pattern.sub("", got[0]) == pattern.sub("", text) and len(set(pattern.findall(got[0]))) == 20_000
+    assert got[1] == "\x01\x03 nothing \x01\x04"
+
+
+def test_one_entity_in_most_documents(spark):
+    texts = ["write to boss@firm.example.com or Dr. Ann Berg"] * 3000 + [f"write to u{i}@firm.example.com" for i in range(500)]
+    got = masked(spark, texts)
+    assert len(set(got[:3000])) == 1 and "boss" not in got[0] and "Berg" not in got[0] and len(set(got)) == 501
+
+
 def test_surrogates_odd_rows(odd, empty):
     got = masked_documents(odd)
     assert rows(got.select(odd.columns)) == rows(odd) and masked_documents(empty).collect() == []
