@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from suite import twin as w
 from suite.base import SETTINGS, mask_query, query, read
 from veilspark.operators.exceptions import mask_exceptions
-from veilspark.operators.mapping import apply_correlation, correlation_table
+from veilspark.operators.mapping import apply_key_map, correlation_table
 from veilspark.operators.unique import bijection
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, TableRule
-from veilspark.sources.scratch import materialise
+from veilspark.sources.scratch import materialise, scratch_path
 
 R = ColumnRule
 SEGMENTS = "BUILDING,AUTOMOBILE,MACHINERY,HOUSEHOLD,FURNITURE"
@@ -130,27 +132,35 @@ mask_query(
 )
 
 CORR_LOW, CORR_SIZE = 5_000_000, 10_000_019
-_fa, _fb = bijection(CORR_SIZE, "42", "customer.c_custkey")
-_CORRELATION = f"""corr AS (SELECT c_custkey AS before, CAST({CORR_LOW} + ((row_number() OVER (ORDER BY {w.hashed(CKEY)}, c_custkey) - 1) * {_fa} + {_fb}) % {CORR_SIZE} AS BIGINT) AS after
-    FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey IS NOT NULL))"""
+_CORRELATION = w.permutation("corr", "SELECT DISTINCT c_custkey AS k, c_custkey AS v FROM customer WHERE c_custkey IS NOT NULL", CORR_SIZE, "custkey")
 
 
 @query(
     "correlation_table",
-    f"""WITH {_CORRELATION}, o AS (SELECT coalesce(after, o_custkey) AS custkey, count(*) AS orders, sum(o_orderkey) AS order_keys FROM orders LEFT JOIN corr ON o_custkey = before GROUP BY 1),
-    c AS (SELECT coalesce(after, c_custkey) AS custkey, c_name FROM customer LEFT JOIN corr ON c_custkey = before)
-    SELECT custkey, c_name, orders, CAST(order_keys AS BIGINT) AS order_keys FROM c LEFT JOIN o USING (custkey)""",
+    f"""WITH RECURSIVE {_CORRELATION}, o AS (SELECT {CORR_LOW} + v AS custkey, count(*) AS orders, sum(o_orderkey) AS order_keys FROM orders JOIN corr ON o_custkey = k GROUP BY 1)
+    SELECT c_custkey AS before, custkey AS after, c_name, orders, CAST(order_keys AS BIGINT) AS order_keys FROM customer JOIN corr ON c_custkey = k JOIN o ON custkey = {CORR_LOW} + v""",
 )
 def _correlation(spark, sf):
-    """A key replaced in parent and child through one before/after table; the join afterwards still matches."""
+    """A key replaced in parent and child, each on its own; the join afterwards still matches, and the before/after table agrees with both."""
     customer, orders = read(spark, sf, "customer").select("c_custkey", "c_name"), read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    table = materialise(correlation_table(customer, "c_custkey", "customer.c_custkey", SETTINGS, CORR_LOW, CORR_SIZE), "correlation")
-    parents = apply_correlation(customer, "c_custkey", table, ["c_custkey"]).withColumnRenamed("c_custkey", "custkey")
-    children = apply_correlation(orders, "o_custkey", table, ["o_orderkey"])
+    place = ("custkey", SETTINGS, CORR_LOW, CORR_SIZE)
+    table = correlation_table(customer, "c_custkey", *place)
+    parents = apply_key_map(customer, "c_custkey", *place).withColumnRenamed("c_custkey", "custkey")
+    children = apply_key_map(orders, "o_custkey", *place)
     per_key = children.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("order_keys"))
-    return parents.join(per_key, "custkey", "left")
+    return parents.join(per_key, "custkey").join(table, F.col("after") == F.col("custkey")).select("before", "after", "c_name", "orders", "order_keys")
 
 
+_SCOPES = ("customer names", "customer.c_nationkey")
+mask_query(
+    "map_unique", "customer", "c_custkey",
+    [R("c_name", "StringFormat", pattern=_SCOPES[0], unique=True, global_mapping=True), R("c_nationkey", "RandomInt", min="0", max="24", unique=True, local_mapping=True)],
+    f"""WITH RECURSIVE {w.permuted_form("names", "customer", "c_name", "Aaaaaaaa#999999999", _SCOPES[0])},
+        {w.permutation("nations", "SELECT DISTINCT c_nationkey AS k, CAST(c_nationkey AS BIGINT) AS v FROM customer", 25, _SCOPES[1])}
+    SELECT c_custkey, names.v AS c_name, CAST(nations.v AS INTEGER) AS c_nationkey FROM customer JOIN names ON c_name = names.k JOIN nations ON c_nationkey = nations.k""",
+    derive=["c_custkey", "c_name", "CAST(c_nationkey AS INT) AS c_nationkey"],
+)
+
 # Unique values --------------------------------------------------------------------------------------
 
 UNIQUE = R("c_name", "PhoneNumber", pattern="(###) ###-####", unique=True)
@@ -162,6 +172,24 @@ mask_query(
     derive=["c_custkey", "c_name"],
 )
 
+
+
+@query(
+    "mask_unique_deliveries",
+    f"""WITH numbered AS (
+        SELECT c_custkey, c_custkey % 10 = 3 AS late, row_number() OVER (PARTITION BY c_custkey % 10 = 3 ORDER BY {w.hashed(CKEY)}, c_custkey) - 1 AS n FROM customer),
+    u AS (SELECT c_custkey, late, ((n + CASE WHEN late THEN (SELECT count(*) FROM numbered WHERE NOT late) ELSE 0 END) * {_ua} + {_ub}) % 10000000000 AS u FROM numbered)
+    SELECT c_custkey, {w.symbols('(###) ###-####')[0].render('u')} AS c_name, NOT late AS as_before FROM u""",
+)
+def _deliveries(spark, sf):
+    """A table masked with nine tenths of its rows, then with all: values given first stand, new rows get others."""
+    customer = read(spark, sf, "customer").select("c_custkey", "c_name")
+    settings, rule = replace(SETTINGS, assignments=scratch_path(spark, "assignments")), TableRule("customer", ("c_custkey",), (UNIQUE,))
+    first = materialise(mask_table(customer.where("c_custkey % 10 <> 3"), rule, settings), "delivery").withColumnRenamed("c_name", "before")
+    second = mask_table(customer, rule, settings)
+    return second.join(first, "c_custkey", "left").select("c_custkey", "c_name", F.col("before").eqNullSafe(F.col("c_name")).alias("as_before"))
+
+
 # Arithmetic -----------------------------------------------------------------------------------------
 
 LINE = ("l_orderkey", "l_linenumber")

@@ -176,6 +176,55 @@ def kept_null(old: str, value: str) -> str:
     return f"CASE WHEN {old} IS NOT NULL THEN {value} END"
 
 
+# Keyed permutations ---------------------------------------------------------------------------------
+
+
+def _half(prefix: str, i: int, half: str) -> str:
+    return number(f"md5({text(f'{prefix}feistel|{i}|')} || CAST({half} AS VARCHAR))")
+
+
+def _mixed(inner: str, left_size: int, right_size: int, prefix: str) -> str:
+    """Eight rounds over columns k, l, r."""
+    for i in range(8):
+        if i % 2 == 0:
+            inner = f"SELECT k, (l + {_half(prefix, i, 'r')}) % {left_size} AS l, r FROM ({inner})"
+        else:
+            inner = f"SELECT k, l, (r + {_half(prefix, i, 'l')}) % {right_size} AS r FROM ({inner})"
+    return inner
+
+
+def permutation(name: str, source: str, size: int, scope: str) -> str:
+    """A common table expression ``name(k, v)`` for a source of k and its number v: permuted below ``size``, again where it is not below."""
+    left = next(n for n in range(1, size + 1) if n * n >= size)
+    right = -(-size // left)
+    once = lambda rows: f"SELECT k, l * {right} + r AS v FROM ({_mixed(f'SELECT k, v // {right} AS l, v % {right} AS r FROM ({rows})', left, right, f'{SEED}|{scope}|')})"
+    return (
+        f"{name}_walk(k, v) AS ({once(source)} UNION ALL {once(f'SELECT k, v FROM {name}_walk WHERE v >= {size}')}), "
+        f"{name}(k, v) AS (SELECT k, v FROM {name}_walk WHERE v < {size})"
+    )
+
+
+def permuted_form(name: str, source: str, column: str, form: str, scope: str) -> str:
+    """The same for text of one form (9 digit, a and A letters, others stand for themselves) with at most 20 letters and digits."""
+    classes = {"9": (10, 48), "a": (26, 97), "A": (26, 65)}
+    places = [i for i, c in enumerate(form) if c in classes]
+    cut = -(-len(places) // 2)
+    halves = (places[:cut], places[cut:])
+
+    def weights(half):
+        out, below = {}, 1
+        for i in reversed(half):
+            out[i] = below
+            below *= classes[form[i]][0]
+        return out, below
+
+    (left, left_size), (right, right_size) = map(weights, halves)
+    rank = lambda ws: " + ".join(f"CAST(ascii(substr(k, {i + 1}, 1)) - {classes[form[i]][1]} AS BIGINT) * {w}" for i, w in ws.items()) or "0"
+    mixed = _mixed(f"SELECT k, CAST({rank(left)} AS BIGINT) AS l, CAST({rank(right)} AS BIGINT) AS r FROM (SELECT DISTINCT {column} AS k FROM {source})", left_size, right_size, f"{SEED}|{scope}|{form}||")
+    char = lambda i: f"chr(CAST({classes[form[i]][1]} + ({'l' if i in left else 'r'} // {(left if i in left else right)[i]}) % {classes[form[i]][0]} AS INT))" if i in left or i in right else text(form[i])
+    return f"{name}(k, v) AS (SELECT k, {' || '.join(char(i) for i in range(len(form)))} FROM ({mixed}))"
+
+
 # Shared text domains -------------------------------------------------------------------------------
 
 FIRST = pool(p.FEMALE_NAMES + p.MALE_NAMES)

@@ -1,4 +1,4 @@
-"""Consistent replacement of keys across tables: a before/after table applied by joins that survive hot keys."""
+"""Consistent replacement of keys across tables: a keyed permutation of the keys' own domain, and joins with tables of keys that survive hot keys."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions.draw import key_text
-from veilspark.operators.numbering import bucket_count, number_rows
-from veilspark.operators.unique import spread
+from veilspark.functions.permute import permuted, permuted_text
 from veilspark.plans.rules import RuleError, Settings
 from veilspark.sources.scratch import materialise
 
@@ -44,18 +44,38 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, row_text:
     )
 
 
-def correlation_table(keys: DataFrame, key: str, scope: str, settings: Settings, low: int, size: int) -> DataFrame:
-    """``(before, after)`` for the distinct keys of a column; the after values are unique numbers from ``low`` on.
+def mapped_key(value: Column, kind: T.DataType, scope: str, settings: Settings, low: int = 0, size: int = 10**15, base: int = 0) -> Column:
+    """The after value of a key: an expression of the key alone, so it needs no table, no join and no other keys.
 
-    More keys than ``size`` numbers are an error before anything is written.
+    Whole numbers from ``base`` on are permuted within ``size`` numbers and begin at ``low``; a key outside of them ends the job. Text
+    keeps its form: letters and digits are permuted within their classes.
     """
-    distinct = materialise(keys.select(F.col(key).alias("before")).where(F.col(key).isNotNull()).distinct(), "keys")
-    count = distinct.count()
-    if count > size:
-        raise RuleError(f"{key}: {count} keys need unique values, {size} are given")
-    numbered = number_rows(distinct, key_text(F.col("before")), [F.col("before")], "__n", settings.buckets or bucket_count(count))
-    after = F.lit(low) + spread(F.col("__n"), size, settings.seed, scope)
-    return numbered.select("before", after.alias("after"))
+    if isinstance(kind, T.StringType):
+        return permuted_text(value, settings.seed, scope)
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise RuleError(f"{scope}: keys of type {kind.simpleString()} cannot be mapped")
+    return F.lit(low) + permuted(value.cast("bigint") - F.lit(base), size, settings.seed, scope)
+
+
+def correlation_table(keys: DataFrame, key: str, scope: str, settings: Settings, low: int, size: int, base: int = 0) -> DataFrame:
+    """``(before, after)`` for the distinct keys of a column; the after values are unique, and more keys change none of them.
+
+    Whole numbers outside of the ``size`` numbers from ``base`` on are an error before anything is written.
+    """
+    column, kind = F.col(key), keys.schema[key].dataType
+    if not isinstance(kind, T.StringType):
+        least, most = keys.agg(F.min(column), F.max(column)).first()
+        if least is not None and (least < base or most >= base + size):
+            raise RuleError(f"{key}: keys from {least} to {most} need unique values, {size} are given from {base} on")
+    distinct = keys.select(column.alias("before")).where(F.col("before").isNotNull()).distinct()
+    return distinct.select("before", mapped_key(F.col("before"), kind, scope, settings, low, size, base).alias("after"))
+
+
+def apply_key_map(df: DataFrame, key: str, scope: str, settings: Settings, low: int, size: int, base: int = 0) -> DataFrame:
+    """The table with a key column replaced by its after values, as ``correlation_table`` lists them: one projection."""
+    kind = df.schema[key].dataType
+    value = mapped_key(F.col(key), kind, scope, settings, low, size, base).cast(kind)
+    return df.select(*[value.alias(n) if n == key else F.col(n) for n in df.columns])
 
 
 def apply_correlation(df: DataFrame, key: str, table: DataFrame, row_key: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.draw import Draws, key_text
 from veilspark.functions.generators import RowView, recipe
 from veilspark.functions.redact import is_blank
+from veilspark.operators.assignment import AssignmentLog
 from veilspark.operators.numbering import bucket_count, number_rows
 from veilspark.plans.rules import ColumnRule, RuleError, Settings
 
@@ -51,16 +52,20 @@ def mask_unique(df: DataFrame, rule: ColumnRule, key: Sequence[str], scope: str,
     """Replace a column by values of the rule's generator, no value twice.
 
     A table with more rows than the generator has values is an error before anything is written. Retained nulls and blanks are exempt
-    from masking, not from the count.
+    from masking, not from the count. Where the settings name a folder of assignments, numbers once given to keys are kept there, so the
+    values of one delivery of a table stand in the next, and none of them comes twice.
     """
     made = recipe(_uncut(rule), settings)
-    rows = df.count()
-    if rows > made.sampler.capacity:
-        raise RuleError(f"{rule.name}: {rows} rows need unique values, {rule.type} has {made.sampler.capacity}")
+    size, old = made.sampler.capacity, F.col(rule.name)
     text = key_text(*[F.col(k) for k in key])
     draws = Draws(settings.seed, scope, text)
-    numbered = number_rows(df, text, [F.col(k) for k in key], "__n", settings.buckets or bucket_count(rows))
-    size, old = made.sampler.capacity, F.col(rule.name)
+    if settings.assignments:
+        numbered = AssignmentLog(df.sparkSession, f"{settings.assignments.rstrip('/')}/{scope}").numbered(df, key, "__n", size, settings.buckets)
+    else:
+        rows = df.count()
+        if rows > size:
+            raise RuleError(f"{rule.name}: {rows} rows need unique values, {rule.type} has {size}")
+        numbered = number_rows(df, text, [F.col(k) for k in key], "__n", settings.buckets or bucket_count(rows))
     value = made.sampler.numbered(spread(F.col("__n"), size, settings.seed, scope), draws)
     value = made.finish(value, RowView(draws, old))
     masked = value

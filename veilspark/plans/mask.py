@@ -18,13 +18,17 @@ from veilspark.functions.generators import RowView, recipe
 from veilspark.operators.binary import mask_blob
 from veilspark.operators.geometry import geometry_random, geometry_shuffle
 from veilspark.operators.location import location_by_country, location_record
+from veilspark.operators.mapping import lookup, mapped_key
 from veilspark.operators.numbering import bucket_count
 from veilspark.operators.shuffle import shuffle_column
 from veilspark.operators.unique import mask_unique
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
+from veilspark.sources.scratch import materialise, sized_for_join
 
-# Value mappings that a rule may carry in the plan; more belong in a table that is joined.
+# Value mappings that a rule carries in the plan; more are a table that is joined.
 LITERAL_MAPPINGS = 1000
+# Whole numbers that a mapped key may have unless the rule says so.
+KEY_NUMBERS = {"tinyint": 1 << 7, "smallint": 1 << 15, "int": 1 << 31}
 _UNCHANGED = {"NoMasking", "Unmask"}
 _NESTED = (T.StructType, T.ArrayType)
 _SHUFFLES = {"Shuffle", "ShufflePolygon"}
@@ -91,6 +95,8 @@ class TableMask:
         self.stage: dict[str, Column] = {}
         self.held: dict[str, Column] = {}
         self.pending: dict[str, Column] = {}
+        # Columns that joins have added and the next projection leaves out.
+        self.extra: list[str] = []
 
     # Projections ----------------------------------------------------------------------------------
 
@@ -102,14 +108,14 @@ class TableMask:
         """
         if not self.pending:
             return
-        names = self.df.columns
+        names = [c for c in self.df.columns if c not in self.extra]
         for layer in (self.stage, self.held):
             if layer:
                 self.df = self.df.select("*", *[c.alias(n) for n, c in layer.items()])
         kept = [self.pending[n].alias(n) if n in self.pending else F.col(n) for n in names]
         added = [c.alias(n) for n, c in self.pending.items() if n not in names]
         self.df = self.df.select(*kept, *added)
-        self.stage, self.held, self.pending = {}, {}, {}
+        self.stage, self.held, self.pending, self.extra = {}, {}, {}, []
 
     def reads(self, *names: str | None) -> None:
         """A rule is about to read these columns: they must hold their masked values."""
@@ -175,14 +181,32 @@ class TableMask:
         gender = F.col(rule.gender_column) if rule.gender_column else None
         row = RowView(self.staged(rule), old, gender)
         value = made.value(row, _comparison(old, old_type, made.kind), lambda first: self.hold(rule, first))
-        if rule.local_mapping and rule.value_mappings:
-            if len(rule.value_mappings) > LITERAL_MAPPINGS:
-                raise RuleError(f"{rule.name}: {len(rule.value_mappings)} value mappings; above {LITERAL_MAPPINGS} use a correlation table")
-            pairs = [F.lit(x) for pair in rule.value_mappings.items() for x in pair]
-            supplied = F.try_element_at(F.create_map(*pairs), old.cast("string")).cast(made.kind)
-            value = F.coalesce(supplied, value)
+        if rule.local_mapping and (isinstance(rule.value_mappings, DataFrame) or rule.value_mappings):
+            value = F.coalesce(self.supplied(rule).try_cast(made.kind), value)
         return value, made.kind
 
+    def supplied(self, rule: ColumnRule) -> Column:
+        """The value that a rule's own mappings give. A few are part of the plan, more are a table that is joined: broadcast if its size allows
+        it, else shuffled, with hot values spread."""
+        old, given = F.col(rule.name).cast("string"), rule.value_mappings
+        if not isinstance(given, DataFrame) and len(given) <= LITERAL_MAPPINGS:
+            return F.try_element_at(F.create_map(*[F.lit(x) for pair in given.items() for x in pair]), old)
+        if not isinstance(given, DataFrame):
+            given = self.df.sparkSession.createDataFrame(list(given.items()), "old string, new string")
+        before, after = given.columns
+        key, new = f"__k_{rule.name}", f"__s_{rule.name}"
+        table = given.select(F.col(before).cast("string").alias(key), F.col(after).cast("string").alias(new)).where(F.col(key).isNotNull())
+        table = materialise(table.groupBy(key).agg(F.min(new).alias(new)), "mappings")
+        table, _, small = sized_for_join(table)
+        held = f"__o_{rule.name}"
+        left = self.df.withColumn(held, old)
+        if small:
+            self.df = left.join(table, F.col(held) == F.col(key), "left").drop(key, held)
+        else:
+            self.df = lookup(left, held, table, key, key_text(*[F.col(k) for k in self.rule.key])).drop(held)
+        self.extra.append(new)
+        return F.col(new)
+
     def _math(self, rule: ColumnRule) -> Column:
         sources = [s.strip() for s in (rule.pattern or rule.name).split(",")]
         earlier = [r.name for r in self.rule.columns]
@@ -224,6 +248,13 @@ class TableMask:
                 return mask(old if rule.retain_null else F.coalesce(old, F.lit("")), rule.limit())
         raise RuleError(f"{rule.name}: unknown masking-out pattern {rule.pattern!r}")
 
+    def _mapped(self, rule: ColumnRule) -> Column:
+        """A key mapped one-to-one. Whole numbers stay between ``min`` and ``max``, text keeps its form. Columns of one ``pattern`` (a name for
+        the keys they share), or with global mapping of one name, are mapped alike."""
+        low = int(rule.min) if rule.min not in (None, "") else 0
+        size = rule.limit() - low + 1 if rule.limit() is not None else KEY_NUMBERS.get(self.types[rule.name].simpleString(), 10**15)
+        return mapped_key(F.col(rule.name), self.types[rule.name], rule.pattern or self.scope(rule), self.settings, low, size, low)
+
     def _geometry(self, rule: ColumnRule) -> Column:
         old, draws = F.col(rule.name), self.draws(rule)
         if rule.type == "Geometry":
@@ -240,6 +271,8 @@ class TableMask:
         own_kind = self.types[name].simpleString()
         if rule.use_value:
             self.put(name, *use_value(rule))
+        elif rule.unique and (rule.local_mapping or rule.global_mapping):
+            self.put(name, self.retained(rule, self._mapped(rule), own_kind), own_kind)
         elif rule.unique:
             self.flush()
             self.df = mask_unique(self.df, rule, self.rule.key, self.scope(rule), self.sized())

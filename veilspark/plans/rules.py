@@ -48,7 +48,8 @@ class ColumnRule:
     operator: str | None = None
     retain_null: bool = True
     retain_empty: bool = False
-    value_mappings: Mapping[str, str] = field(default_factory=dict)
+    # Old and new values: a mapping, or a table of two columns.
+    value_mappings: Mapping[str, str] | DataFrame = field(default_factory=dict)
     local_mapping: bool = False
     global_mapping: bool = False
     unique: bool = False
@@ -81,7 +82,8 @@ class TableRule:
 @dataclass(frozen=True)
 class Settings:
     """Run settings: the secret seed, the fixed 'today', the address book or the country that location columns are filled from, and
-    the number of buckets that numbering spreads its work over (None: by the size of the table; it changes no value)."""
+    the number of buckets that numbering spreads its work over (None: by the size of the table; it changes no value), and the folder that
+    keeps the numbers given for unique values from one delivery of a table to the next."""
 
     seed: str = "42"
     as_of: dt.datetime = dt.datetime(2024, 1, 1)
@@ -89,3 +91,4 @@ class Settings:
     address_book: DataFrame | None = None
     country: str | None = None
     buckets: int | None = None
+    assignments: str | None = None

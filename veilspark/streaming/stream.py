@@ -14,6 +14,7 @@ _WHOLE_COLUMN = {"Shuffle", "ShufflePolygon"}
 def mask_stream(df: DataFrame, rule: TableRule, settings: Settings = Settings()) -> DataFrame:
     """The masked stream; rules that need the whole column (shuffles, unique values) are an error."""
     for r in rule.columns:
-        if not r.ignore and (r.unique or r.type in _WHOLE_COLUMN):
+        mapped = r.local_mapping or r.global_mapping
+        if not r.ignore and (r.unique and not mapped or r.type in _WHOLE_COLUMN):
             raise RuleError(f"{r.name}: {'unique values' if r.unique else r.type} need the whole column, not a stream")
     return mask_table(df, rule, settings)
