@@ -15,9 +15,10 @@ from veilspark.functions.dates import parse_date_or
 from veilspark.functions.draw import Draws, key_text
 from veilspark.functions.redact import is_numeric
 from veilspark.operators.exceptions import dry_run
+from veilspark.operators.keyindex import KeyIndex
 from veilspark.operators.profile import is_decimal_text, profile_minmax, row_count, whole_number
 from veilspark.operators.scripts import insert_script
-from veilspark.operators.writeback import apply_masked_copy, batch_size, commit_log, preview, write_batches
+from veilspark.operators.writeback import apply_masked_copy, batch_size, preview, write_batches
 from veilspark.plans.rules import ColumnRule, TableRule
 from veilspark.sources import files
 from veilspark.sources.scratch import scratch_path
@@ -224,18 +225,42 @@ _SIZE = "CASE WHEN count(*) > 200000 THEN 100000 WHEN count(*) >= 50000 THEN 500
     " UNION ALL ".join(_WRITTEN.format(t=t, size=f"CAST({_SIZE.format(rest=rest)} AS BIGINT)") for t, rest in (("lineitem", "count(*)"), ("orders", "400"), ("customer", "count(*)"))),
 )
 def _commit(spark, sf):
-    """Tables written in batches, and what the log of the files says: rows, the largest batch, how many."""
+    """Tables written in batches by key, and what their logs say: rows, the largest batch, how many."""
     logs = []
-    for table, configured in (("lineitem", None), ("orders", 400), ("customer", 0)):
+    for table, key, configured in (("lineitem", ["l_orderkey", "l_linenumber"], None), ("orders", ["o_orderkey"], 400), ("customer", ["c_custkey"], 0)):
         df, path = read(spark, sf, table), scratch_path(spark, "batches")
         size = batch_size(df.count(), configured)
-        write_batches(df, path, configured)
-        log = commit_log(spark, path).agg(F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("largest"), F.count("*").alias("n"))
+        log = write_batches(df, path, key, configured).agg(F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("largest"), F.count("*").alias("n"))
         fits, enough = (F.col("largest") <= size), (F.col("n") >= F.ceil(F.col("n_rows") / size))
         logs.append(log.select(F.lit(table).alias("table_name"), "n_rows", F.lit(size).cast("bigint").alias("batch_rows"), fits.alias("batches_fit"), enough.alias("enough_batches")))
     return logs[0].unionByName(logs[1]).unionByName(logs[2])
 
 
+@query(
+    "commit_log_batches",
+    """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders WHERE o_orderkey % 3 <> 0)
+    SELECT (r - 1) // CASE WHEN n > 200000 THEN 100000 WHEN n BETWEEN 50000 AND 180000 THEN 50000 ELSE 4000 END AS batch,
+        min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS n_rows FROM o GROUP BY 1""",
+)
+def _batches(spark, sf):
+    """The log of a table written in batches by key, of 4000 rows where it is small; the second run finds all of them logged."""
+    orders, path = read(spark, sf, "orders").where("o_orderkey % 3 <> 0"), scratch_path(spark, "batches")
+    write_batches(orders, path, ["o_orderkey"], 4000, "oracle")
+    log = write_batches(orders, path, ["o_orderkey"], 4000, "oracle")
+    return log.select("batch", F.col("first_key.k0").alias("first_key"), F.col("last_key.k0").alias("last_key"), "n_rows")
+
+
+@query(
+    "key_histogram",
+    """SELECT (r - 1) // 1000 * 1000 AS rows_before, min(l_orderkey) AS first_order, max(l_orderkey) AS last_order, count(*) AS n_rows
+    FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) GROUP BY 1""",
+)
+def _histogram(spark, sf):
+    """Ranges of 1000 rows in key order, with their first and last keys."""
+    index = KeyIndex.build(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], scratch_path(spark, "key-index"), 1000)
+    return index.ranges.select(F.col("before").alias("rows_before"), F.col("low.k0").alias("first_order"), F.col("high.k0").alias("last_order"), F.col("rows").alias("n_rows"))
+
+
 @query(
     "dry_run",
     f"WITH m AS ({MASKED_CUSTOMER}), j AS (SELECT m.c_name AS a1, c.c_name AS b1, m.c_acctbal AS a2, c.c_acctbal AS b2, m.c_mktsegment AS a3, c.c_mktsegment AS b3 FROM customer c JOIN m USING (c_custkey)) "

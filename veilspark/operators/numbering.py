@@ -85,7 +85,7 @@ def _tree(below: Callable[[tuple], Column], cuts: Sequence[tuple], first: int =
     )
 
 
-def _range_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> Column:
+def range_number(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> Column:
     """Number of the range of a row's key, held in ``__key``. Beyond TREE_CUTS cut points the tree finds a group of them and the
     group is searched as an array, so that the expression stays small."""
     kinds = [df.schema[k].dataType for k in keys]
@@ -108,7 +108,7 @@ def _range_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> Colu
 
 def _placed(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> DataFrame:
     whole_key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    return df.withColumn("__key", whole_key).withColumn("__bucket", _range_of(df, keys, cuts)).drop("__key")
+    return df.withColumn("__key", whole_key).withColumn("__bucket", range_number(df, keys, cuts)).drop("__key")
 
 
 def position_by_key(df: DataFrame, keys: Sequence[str], name: str, cuts: Sequence[tuple] | None = None) -> DataFrame:
@@ -118,43 +118,3 @@ def position_by_key(df: DataFrame, keys: Sequence[str], name: str, cuts: Sequenc
     """
     cuts = cut_points(df, keys) if cuts is None else sorted(set(cuts), key=_sort_key)
     return _number(_placed(df, keys, cuts), [F.col(k).asc_nulls_first() for k in keys], name)
-
-
-def _bounds(df: DataFrame, keys: Sequence[str], low: tuple | None, high: tuple | None) -> Column:
-    """Bounds of the first key column, which a file reader can use; rows of neighbouring ranges may lie within them."""
-    first, kind = F.col(keys[0]), df.schema[keys[0]].dataType.simpleString()
-    constant = lambda v: F.expr(f"CAST({sqltext.constant(v)} AS {kind})")
-    found = F.lit(True)
-    if low is not None and low[0] is not None:
-        found = found & (first >= constant(low[0]))
-    if high is not None:
-        if high[0] is None:
-            found = found & first.isNull()
-        elif low is not None and low[0] is not None:
-            found = found & (first <= constant(high[0]))
-        else:
-            found = found & (first.isNull() | (first <= constant(high[0])))
-    return found
-
-
-def slice_by_key(df: DataFrame, keys: Sequence[str], first: int, last: int, cuts: Sequence[tuple] | None = None) -> DataFrame:
-    """The rows at positions first..last in key order, 0-based.
-
-    Rows are counted per range of keys (one number for each reaches the driver); then only the files' parts that can hold the wanted
-    ranges are read, and only these ranges are shuffled and sorted. ``cuts`` can be shared by many calls.
-    """
-    cuts = cut_points(df, keys) if cuts is None else sorted(set(cuts), key=_sort_key)
-    counts = _placed(df.select(*keys), keys, cuts).groupBy("__bucket").count().collect()
-    before, wanted = 0, {}
-    for row in sorted(counts, key=lambda r: r["__bucket"]):
-        if before <= last and before + row["count"] > first:
-            wanted[row["__bucket"]] = before
-        before += row["count"]
-    if not wanted:
-        return df.limit(0)
-    low, high = min(wanted), max(wanted)
-    near = df.where(_bounds(df, keys, cuts[low - 1] if low else None, cuts[high] if high < len(cuts) else None))
-    offsets = F.broadcast(df.sparkSession.createDataFrame(sorted(wanted.items()), "__bucket int, __before bigint"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys]))
-    numbered = _placed(near, keys, cuts).join(offsets, "__bucket").withColumn("__inside", inside)
-    return numbered.where((F.col("__before") + F.col("__inside") - 1).between(first, last)).select(*df.columns)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.plans.rules import TableRule
+from veilspark.operators.keyindex import KeyIndex, first_key_between, first_key_from
+from veilspark.operators.numbering import range_number
+from veilspark.plans.rules import RuleError, TableRule
 
 # Batch sizes by row count: fixed values.
 LARGE_ROWS, LARGE_BATCH = 200_000, 100_000
 MEDIUM_BATCH = 50_000
+# A table is written in about WAVES jobs of some batches each.
+WAVES, LEAST_WAVE, MOST_WAVE = 8, 8, 4096
 # Row counts from which on the medium batch applies; one dialect family stops short of LARGE_ROWS: fixed values.
 MEDIUM_ROWS = {"sqlserver": (50_000, 200_000), "oracle": (50_000, 180_000), "postgres": (50_000, 180_000), "mysql": (50_000, 180_000)}
 
@@ -40,18 +45,99 @@ def batch_size(rows: int, configured: int | None = None, dialect: str = "sqlserv
     return configured if configured and configured > 0 else max(rows, 1)
 
 
-def write_batches(df: DataFrame, path: str, configured: int | None = None, dialect: str = "sqlserver") -> None:
-    """Write a table as files of at most a batch of rows each. A file is what a task commits at once."""
-    df.write.option("maxRecordsPerFile", batch_size(df.count(), configured, dialect)).parquet(path)
+def write_batches(df: DataFrame, path: str, key: Sequence[str], configured: int | None = None, dialect: str = "sqlserver", wave: int | None = None, mark: str = "") -> DataFrame:
+    """Write a table in batches by key, and return the log. A run that was stopped goes on where its log ends.
 
+    Batches are ranges of the key histogram, kept in the folder; a wave of them is one job, a batch one task and file of it. When a wave
+    is written its files are logged; files that no log names are left from a job that died, and are deleted before the next one. So each
+    row is written once whatever happens, and a second run of a finished table writes nothing. ``mark`` says what is written: a folder
+    begun with another is an error.
+    """
+    spark, folder = df.sparkSession, path.rstrip("/")
+    place, files = _place(spark, folder)
+    digest = hashlib.md5(mark.encode()).hexdigest()
+    begun = {k: v for k, v in (n.split("=", 1) for n in _names(files, _place(spark, f"{folder}/_batches")[0]) if "=" in n)}
+    if not begun:
+        # An index without its mark is left from a job that died.
+        files.delete(_place(spark, f"{folder}/_batches")[0], True)
+        size = batch_size(df.count(), configured, dialect)
+        KeyIndex.build(df, key, f"{folder}/_batches", size, file_map=False)
+        files.mkdirs(_place(spark, f"{folder}/_batches/{digest}={size}")[0])
+        begun = {digest: str(size)}
+    if digest not in begun:
+        raise RuleError(f"{folder} holds a table begun with other rules or another seed")
+    size = int(begun[digest])
+    ranges = KeyIndex.load(spark, key, f"{folder}/_batches", size).ranges
+    many = ranges.count()
+    wave = wave or min(MOST_WAVE, max(LEAST_WAVE, -(-many // WAVES)))
+    for first in range(0, many, wave):
+        if files.exists(_place(spark, f"{folder}/_commits/first={first:09d}/_SUCCESS")[0]):
+            continue
+        known = {r["file"] for r in _logged(spark, folder).select("file").collect()} if files.exists(_place(spark, f"{folder}/_commits")[0]) else set()
+        for left in [n for n in _names(files, place) if n.startswith("part-") and n not in known]:
+            files.delete(_place(spark, f"{folder}/{left}")[0], False)
+        _write_wave(df, folder, key, ranges, first, wave, size)
+        new = sorted(n for n in _names(files, place) if n.startswith("part-") and n not in known)
+        _log_wave(spark, folder, ranges, first, new, wave)
+    if not many and not [n for n in _names(files, place) if n.startswith("part-")]:
+        df.limit(0).write.mode("append").parquet(folder)
+    return commit_log(spark, folder)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(files, place) -> list[str]:
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
+def _of_wave(ranges: DataFrame, first: int, wave: int) -> list:
+    """The ranges of a wave, in key order. Ranges are numbered by their place, one after another in their file."""
+    numbered = ranges.select("low", "high", "rows", "before").orderBy("before").offset(first).limit(wave + 1)
+    return numbered.collect()
+
+
+def _write_wave(df: DataFrame, folder: str, key: Sequence[str], ranges: DataFrame, first: int, wave: int, size: int) -> None:
+    """One job: a task and a file for each batch. A row of a key that two ranges share is in the later one."""
+    found = _of_wave(ranges, first, wave)
+    own, after = found[:wave], found[wave:]
+    index = KeyIndex(tuple(key), size, ranges, None)
+    whole = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
+    rows = df.where(first_key_between(df, key[0], own[0]["low"][0] if first else None, own[-1]["high"][0]) if after else first_key_from(df, key[0], own[0]["low"][0] if first else None))
+    if first:
+        rows = rows.where(whole >= index.constant(own[0]["low"]))
+    if after:
+        rows = rows.where(whole < index.constant(after[0]["low"]))
+    cuts = [tuple(r["low"]) for r in own[1:]]
+    placed = rows.withColumn("__key", whole).withColumn("__batch", range_number(rows, key, cuts)).drop("__key")
+    dealt = placed.repartitionById(len(own), "__batch").sortWithinPartitions(*key).drop("__batch")
+    dealt.write.mode("append").option("maxRecordsPerFile", size).parquet(folder)
+
+
+def _log_wave(spark: SparkSession, folder: str, ranges: DataFrame, first: int, new: list[str], wave: int) -> None:
+    """What a wave has written. Rows are those that the files' footers tell; no row is read."""
+    own = _of_wave(ranges, first, wave)[:wave]
+    files = spark.read.parquet(*[f"{folder}/{n}" for n in new]).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"))
+    # A file's name begins with the number of the task that wrote it, which is the batch's within the wave.
+    number = F.split("file", "-")[1].cast("int")
+    begins = F.element_at(F.array(*[F.lit(r["before"]) for r in own]), number + 1)
+    log = files.select((F.lit(first) + number).cast("long").alias("batch"), "file", "n_rows", begins.alias("before"))
+    log = log.join(F.broadcast(ranges.where(F.col("before").between(own[0]["before"], own[-1]["before"])).select("before", F.col("low").alias("first_key"), F.col("high").alias("last_key"))), "before")
+    log.select("batch", "file", "first_key", "last_key", "n_rows").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_commits/first={first:09d}")
+
+
+def _logged(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/_commits")
 
-def commit_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file that was committed to a table: its number in order of file names, its name, its rows.
 
-    The rows are counted in the files; the numbering is over one row per file.
-    """
-    files = spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count("*").alias("n_rows"))
-    return files.withColumn("batch", F.row_number().over(Window.orderBy("file"))).select("batch", "file", "n_rows")
+def commit_log(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file that was committed to a table: its batch, its name, its first and last key, its rows. Nothing of the table is read."""
+    folder = path.rstrip("/")
+    if not _names(_place(spark, folder)[1], _place(spark, f"{folder}/_commits")[0]):
+        return spark.createDataFrame([], "batch long, file string, n_rows long")
+    return _logged(spark, folder).drop("first").where("n_rows > 0")
 
 
 def preview(masked: DataFrame, rule: TableRule, count: int, width: int = 6) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from veilspark.operators.scripts import insert_script, write_script
 from veilspark.operators.validate import validate_columns, validation_verdict
-from veilspark.operators.writeback import apply_masked_copy, commit_log
+from veilspark.operators.writeback import apply_masked_copy, write_batches
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
 from veilspark.sources.scratch import clear_scratch, scratch_mark
@@ -37,7 +37,8 @@ def mask_and_validate(
 
     The copy has all columns and rows of the original: columns without a rule, and rows outside a rule's row count, as they were. A rule
     that cannot be applied leaves its column as it is; validation then finds the originals, and the reason is in the exception log
-    that is written beside the copies (``_exceptions``), as is a log of the files written (``_commits``). Validation reads what was written, not the plan that wrote it. With a dialect,
+    that is written beside the copies (``_exceptions``), as is a log of the batches written (``_commits``). A run that was stopped and is
+    started again with the same rules goes on after the last batch logged. Validation reads what was written, not the plan that wrote it. With a dialect,
     INSERT scripts are written too. Intermediate tables, which can hold original values, are deleted at the end.
     """
     spark = next(iter(tables.values())).sparkSession
@@ -45,8 +46,9 @@ def mask_and_validate(
     for rule in rules:
         original, failures = tables[rule.name], {}
         path = f"{root}/{rule.name}"
-        _copy(original, rule, settings, failures).write.mode("errorifexists").parquet(path)
-        commit_log(spark, path).write.mode("errorifexists").parquet(f"{root}/_commits/{rule.name}")
+        copied = _copy(original, rule, settings, failures)
+        log = write_batches(copied, path, rule.key, mark=f"{settings.seed}|{settings.as_of}|{settings.min_date}|{rule!r}")
+        log.write.mode("overwrite").parquet(f"{root}/_commits/{rule.name}")
         copy = spark.read.parquet(path)
         if script_dialect:
             write_script(insert_script(copy, rule, script_dialect), rule.key, f"{path}.sql")
@@ -54,7 +56,7 @@ def mask_and_validate(
         report = validate_columns(scan_rows(copy, rule), scan_rows(original, rule), rule)
         verdicts.append(validation_verdict(report))
     schema = "table_name string, column_name string, reason string"
-    spark.createDataFrame(logs, schema).coalesce(1).write.mode("errorifexists").parquet(f"{root}/_exceptions")
+    spark.createDataFrame(logs, schema).coalesce(1).write.mode("overwrite").parquet(f"{root}/_exceptions")
     # One row per configured column.
     found = reduce(DataFrame.unionByName, verdicts)
     result = spark.createDataFrame(found.collect(), found.schema)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.numbering import slice_by_key
+from veilspark.operators.keyindex import KeyIndex, slice_of
 from veilspark.plans.rules import TableRule
 
 # Rows up to which the first-rows scan keeps a sorted head per task instead of numbering the table.
@@ -30,18 +30,15 @@ def scan_limit(df: DataFrame, key: Sequence[str], count: int) -> DataFrame:
     return scan_row_range(df, key, 1, count).orderBy(*key)
 
 
-def scan_row_range(df: DataFrame, key: Sequence[str], first: int, last: int, cuts: Sequence[tuple] | None = None) -> DataFrame:
-    """Rows first..last by key, 1-based and inclusive. ``cuts`` (``numbering.cut_points``) can be shared by many scans of a table.
-
-    Rows are counted per key range, and only the ranges that hold the wanted positions are shuffled and sorted; an
-    offset and limit would pull everything before the range through one task.
-    """
-    return slice_by_key(df, key, first - 1, last - 1, cuts)
+def scan_row_range(df: DataFrame, key: Sequence[str], first: int, last: int, index: KeyIndex | None = None) -> DataFrame:
+    """Rows first..last by key, 1-based and inclusive. The table's key histogram (built once a session unless one is given) tells which keys
+    and files these are; an offset and limit would pull everything before the range through one task."""
+    return slice_of(df, index or KeyIndex.of(df, key), first - 1, last - 1)
 
 
-def scan_page(df: DataFrame, key: Sequence[str], page: int, fetch: int = PAGE_ROWS, cuts: Sequence[tuple] | None = None) -> DataFrame:
+def scan_page(df: DataFrame, key: Sequence[str], page: int, fetch: int = PAGE_ROWS, index: KeyIndex | None = None) -> DataFrame:
     """Page 0, 1, ... of ``fetch`` rows by key."""
-    return scan_row_range(df, key, page * fetch + 1, (page + 1) * fetch, cuts)
+    return scan_row_range(df, key, page * fetch + 1, (page + 1) * fetch, index)
 
 
 def scan_rows(df: DataFrame, rule: TableRule) -> DataFrame:
