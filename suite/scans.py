@@ -239,7 +239,7 @@ def _commit(spark, sf):
 @query(
     "commit_log_batches",
     """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders WHERE o_orderkey % 3 <> 0)
-    SELECT (r - 1) // CASE WHEN n > 200000 THEN 100000 WHEN n BETWEEN 50000 AND 180000 THEN 50000 ELSE 4000 END AS batch,
+    SELECT (r - 1) // CASE WHEN n > 200000 THEN 100000 WHEN n BETWEEN 50000 AND 180000 THEN 50000 ELSE 4000 END + 1 AS batch,
         min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS n_rows FROM o GROUP BY 1""",
 )
 def _batches(spark, sf):

@@ -8,7 +8,7 @@ from suite.base import SETTINGS, query, read
 from suite.rules import CUSTOMER_RULE, MASKED_CUSTOMER, masked_customer
 from veilspark.operators.exceptions import mask_exceptions
 from veilspark.operators.validate import (
-    table_diff, validate_columns, validation_row_counts, validation_shuffle_log, validation_summary, validation_verdict,
+    surviving_values, table_diff, validate_columns, validation_row_counts, validation_shuffle_log, validation_summary, validation_verdict,
 )
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, TableRule
@@ -156,6 +156,25 @@ _RIGHT = "SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderst
 _SAME = "l.o_custkey IS NOT DISTINCT FROM r.o_custkey AND l.o_orderstatus IS NOT DISTINCT FROM r.o_orderstatus AND l.o_orderpriority IS NOT DISTINCT FROM r.o_orderpriority"
 
 
+# Customers whose names stand one row further, whose segments are drawn, and whose phone numbers are new: only comparison over all rows tells.
+_TURNED = "SELECT c_custkey, coalesce(lead(c_name) OVER (ORDER BY c_custkey), 'none') AS c_name, CASE WHEN c_custkey % 2 = 0 THEN 'BUILDING' ELSE 'NEW' END AS c_mktsegment, c_acctbal + 0.001 AS c_acctbal FROM customer"
+TURNED_RULE = TableRule("customer", ("c_custkey",), (R("c_name", "FullName"), R("c_mktsegment", "PickRandom"), R("c_acctbal", "RandomDec")))
+
+
+@query(
+    "validation_survivors",
+    f"WITH m AS ({_TURNED}) "
+    + " UNION ALL ".join(
+        f"SELECT 'customer' AS table_name, '{r.name}' AS column_name, '{r.type}' AS rule_type, count(*) AS rows_surviving, count(DISTINCT {r.name}) AS values_surviving FROM m WHERE {r.name} IN (SELECT {r.name} FROM customer)"
+        for r in TURNED_RULE.columns
+    ),
+)
+def _survivors(spark, sf):
+    customer = read(spark, sf, "customer")
+    customer.createOrReplaceTempView("customer")
+    return surviving_values(spark.sql(_TURNED), customer, TURNED_RULE)
+
+
 @query(
     "table_diff",
     f"WITH a AS ({_LEFT}), b AS ({_RIGHT}) SELECT * FROM a l WHERE NOT EXISTS (SELECT 1 FROM b r WHERE {_SAME}) UNION ALL SELECT * FROM b l WHERE NOT EXISTS (SELECT 1 FROM a r WHERE {_SAME})",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +10,7 @@ from veilspark.functions import sqltext
 from veilspark.functions.redact import is_blank
 from veilspark.operators.stacking import stack_rows
 from veilspark.plans.rules import TableRule
+from veilspark.sources.scratch import materialise
 
 REPORT = [
     "table_name", "schema_name", "column_name", "rule_type", "ignored", "rows_masked", "rows_original", "rows_missing", "rows_extra",
@@ -32,17 +31,22 @@ def _count(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0))
 
 
-def _by_key(df: DataFrame, keys: list[str], names: list[str], side: str) -> DataFrame:
-    """One row per key: how many rows have it, and the columns of one of them. Repeated keys are counted, not multiplied."""
-    values = F.first(F.struct(*[F.col(n).alias(f"{side}_{i}") for i, n in enumerate(names)]))
-    grouped = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-    return grouped.agg(F.count("*").alias(f"__n_{side}"), values.alias(f"__{side}"))
+def _sides(masked: DataFrame, original: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """One row per key: how many rows of each side have it, and the columns of one of them. Both sides are dealt out together, once; rows of
+    one key are counted before, so a repeated key is no hot one."""
+    key = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    row = lambda df, side: F.struct(*[F.col(n).alias(f"{side}_{i}") for i, n in enumerate(names)])
+    kinds = {side: F.lit(None).cast(df.select(row(df, side).alias("x")).schema["x"].dataType) for side, df in (("m", masked), ("o", original))}
+    left = masked.select(*key, F.lit(1).alias("__m1"), F.lit(0).alias("__o1"), row(masked, "m").alias("__m"), kinds["o"].alias("__o"))
+    right = original.select(*key, F.lit(0).alias("__m1"), F.lit(1).alias("__o1"), kinds["m"].alias("__m"), row(original, "o").alias("__o"))
+    grouped = left.unionByName(right).groupBy(*[f"__k{i}" for i in range(len(keys))])
+    return grouped.agg(F.sum("__m1").alias("__n_m"), F.sum("__o1").alias("__n_o"), F.first("__m", ignorenulls=True).alias("__m"), F.first("__o", ignorenulls=True).alias("__o"))
 
 
 def validate_columns(masked: DataFrame, original: DataFrame, rule: TableRule) -> DataFrame:
     """One report row per configured column: rows on both sides, rows whose key the other side lacks, repeated keys, leaks, changed values.
 
-    One full outer join on the key and one aggregate for all columns. Leaks and changes are counted over keys that both sides have once;
+    Both tables are grouped by key in one shuffle, and one aggregate counts for all columns. Leaks and changes are counted over keys that both sides have once;
     a repeated key has no one row to compare with and is reported instead. A key column can have a rule: a masked key is then a
     missing and an extra one.
     """
@@ -50,15 +54,12 @@ def validate_columns(masked: DataFrame, original: DataFrame, rule: TableRule) ->
     keys = list(rule.key)
     kinds = {f.name: f.dataType for f in original.schema.fields}
     names = [r.name for r in rules]
-    single = F.col("__n_o").eqNullSafe(1) & F.col("__n_m").eqNullSafe(1)
-    same = [F.col(f"m.__k{i}").eqNullSafe(F.col(f"o.__k{i}")) for i in range(len(keys))]
-    after, before = _by_key(masked, keys, names, "m").alias("m"), _by_key(original, keys, names, "o").alias("o")
-    joined = after.join(before, reduce(lambda x, y: x & y, same), "full")
+    single = (F.col("__n_o") == 1) & (F.col("__n_m") == 1)
     rows = lambda side: F.coalesce(F.sum(f"__n_{side}"), F.lit(0))
     sums = [
         rows("m").alias("__rows"), rows("o").alias("__before"),
-        F.coalesce(F.sum(F.when(F.col("__n_m").isNull(), F.col("__n_o"))), F.lit(0)).alias("__missing"),
-        F.coalesce(F.sum(F.when(F.col("__n_o").isNull(), F.col("__n_m"))), F.lit(0)).alias("__extra"),
+        F.coalesce(F.sum(F.when(F.col("__n_m") == 0, F.col("__n_o"))), F.lit(0)).alias("__missing"),
+        F.coalesce(F.sum(F.when(F.col("__n_o") == 0, F.col("__n_m"))), F.lit(0)).alias("__extra"),
         _count((F.col("__n_o") > 1) | (F.col("__n_m") > 1)).alias("__repeated"),
     ]
     for i, r in enumerate(rules):
@@ -68,7 +69,7 @@ def validate_columns(masked: DataFrame, original: DataFrame, rule: TableRule) ->
         if isinstance(kinds[r.name], T.StringType):
             compared = compared & ~is_blank(old)
         sums += [_count(leak).alias(f"__l{i}"), _count(compared & ~leak).alias(f"__c{i}")]
-    counted = joined.agg(*sums)
+    counted = _sides(masked, original, keys, names).agg(*sums)
     stacked = [
         [
             *[sqltext.text(x) for x in (rule.name, rule.schema, r.name, r.type)], str(r.ignore).lower(), "__rows", "__before", "__missing",
@@ -142,16 +143,105 @@ def validation_row_counts(masked: DataFrame, original: DataFrame, rule: TableRul
     )
 
 
-def table_diff(left: DataFrame, right: DataFrame, chunk: int = 10_000) -> DataFrame:
+# Bits of all bitmaps of a survival check together, so that their broadcast is bounded whatever the tables hold: 64 MB.
+BITMAP_BITS = 1 << 29
+
+
+def _held_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """column (its number), value (text) and hash of every value that is neither null nor blank."""
+    cells = [F.struct(F.lit(i).alias("column"), F.col(n).cast("string").alias("value")) for i, n in enumerate(names)]
+    cells = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("value").isNotNull() & ~is_blank(F.col("value")))
+    return cells.withColumn("hash", F.xxhash64("column", "value"))
+
+
+def _bitmaps(values: DataFrame, bits: int) -> DataFrame:
+    """Bitmaps of the hashes: one row for each 32768 bits that hold any."""
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    return values.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+
+
+def _perhaps_in(values: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """The values whose bit is set: all that the bitmaps were made of, and some others."""
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    place = F.bitmap_bit_position(at)
+    joined = values.withColumn("__b", F.bitmap_bucket_number(at)).join(F.broadcast(bitmaps), F.col("__b") == F.col("__bucket"))
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.where(F.getbit(byte.cast("bigint"), (place % 8).cast("int")) == 1).select(*values.columns)
+
+
+def surviving_values(masked: DataFrame, original: DataFrame, rule: TableRule) -> DataFrame:
+    """Per configured column: rows of the masked table that show a value which any row of the original column has, and how many such
+    values there are. Swapped, rotated and copied columns are found, which a comparison row by row passes.
+
+    The original values make bitmaps of a bounded size, that masked values are tested against where they are; what passes is confirmed by
+    an exact join, for which the original is tested against the bitmaps of what passed. So only what may survive is shuffled. Columns of
+    ignored rules are left out, as are null and blank values.
+    """
+    rules = [r for r in rule.columns if r.name in masked.columns and r.name in original.columns and not r.ignore]
+    names = [r.name for r in rules]
+    schema = "table_name string, column_name string, rule_type string, rows_surviving long, values_surviving long"
+    if not names:
+        return masked.sparkSession.createDataFrame([], schema)
+    bits = BITMAP_BITS.bit_length() - 1
+    before, after = _held_values(original, names), _held_values(masked, names)
+    passed = _perhaps_in(after, _bitmaps(before, bits), bits).groupBy("column", "value", "hash").agg(F.count("*").alias("rows"))
+    passed = materialise(passed, "passed")
+    known = _perhaps_in(before, _bitmaps(passed, bits), bits).select("column", "value").distinct()
+    confirmed = passed.join(known, ["column", "value"], "left_semi").groupBy("column").agg(F.sum("rows").alias("rows"), F.count("*").alias("found"))
+    columns = masked.sparkSession.createDataFrame([(i, rule.name, r.name, r.type) for i, r in enumerate(rules)], "column int, table_name string, column_name string, rule_type string")
+    return columns.join(confirmed, "column", "left").select(
+        "table_name", "column_name", "rule_type", F.coalesce("rows", F.lit(0)).cast("long").alias("rows_surviving"), F.coalesce("found", F.lit(0)).cast("long").alias("values_surviving")
+    )
+
+
+# Rows of a range of hashes, and the most ranges there are.
+ROWS_PER_HASH_RANGE, MAX_HASH_RANGES = 4096, 1 << 20
+
+
+def _row_hash(df: DataFrame, salt: int) -> Column:
+    """64 bits of a row. Nulls are told by a mask, as the hash skips them; zeros of both signs are one, as they are where rows are grouped."""
+    cells, nulls = [], F.lit("")
+    for field in df.schema.fields:
+        cell = F.col(f"`{field.name}`")
+        nulls = F.concat(nulls, F.when(cell.isNull(), "1").otherwise("0"))
+        cells.append(F.when(cell == 0, F.lit(0).cast(field.dataType)).otherwise(cell) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else cell)
+    return F.xxhash64(F.lit(salt), nulls, *cells)
+
+
+def _hash_range(df: DataFrame, ranges: int) -> Column:
+    return F.pmod(_row_hash(df, 1), F.lit(ranges)).cast("int")
+
+
+def _range_sums(df: DataFrame, ranges: int) -> DataFrame:
+    """Per range of hashes the rows and the sum of 128 bits of each, as four sums of 32 bits. The order of rows does not matter, copies do."""
+    parts = df.select(_hash_range(df, ranges).alias("range"), _row_hash(df, 1).alias("a"), _row_hash(df, 2).alias("b"))
+    low, high = (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)), (lambda c: F.shiftrightunsigned(c, 32))
+    return parts.groupBy("range").agg(F.count("*").alias("n"), *[F.sum(half(c)).alias(f"{c}{i}") for c in "ab" for i, half in enumerate((low, high))])
+
+
+def differing_ranges(left: DataFrame, right: DataFrame, ranges: int) -> DataFrame:
+    """The ranges whose sums differ. Each side is read once where it is; sums of at most `ranges` ranges are compared."""
+    sums = ["n", "a0", "a1", "b0", "b1"]
+    both = _range_sums(left, ranges).join(_range_sums(right, ranges).select("range", *[F.col(c).alias(f"_{c}") for c in sums]), "range", "full")
+    same = F.lit(True)
+    for c in sums:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return both.where(~same).select(F.col("range").alias("__range"))
+
+
+def table_diff(left: DataFrame, right: DataFrame, chunk: int = 10_000, ranges: int | None = None) -> DataFrame:
     """Rows of either table without an equal row in the other, duplicates kept; nulls are equal.
 
-    Copies are counted before the shuffle, so a row with many copies is one record there. Rows are repeated
-    in two steps, chunks first and spread out, so that no task writes all copies of one row.
+    Rows are dealt to ranges by hash and each range is summed up on both sides; only rows of ranges whose sums differ are shuffled. Copies
+    are counted before that, so a row with many copies is one record there. Rows are repeated in two steps, chunks first and spread out,
+    so that no task writes all copies of one row.
     """
     names = left.columns
-    both = left.select(*names, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(
-        right.select(*names, F.lit(0).alias("__l"), F.lit(1).alias("__r"))
-    )
+    right = right.select(*[F.col(f"`{n}`").cast(left.schema[n].dataType).alias(n) for n in names])
+    ranges = ranges or min(MAX_HASH_RANGES, max(64, left.count() // ROWS_PER_HASH_RANGE))
+    unlike = F.broadcast(materialise(differing_ranges(left, right, ranges), "ranges"))
+    of = lambda df: df.join(unlike, _hash_range(df, ranges) == F.col("__range"), "left_semi")
+    both = of(left).select(*names, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(of(right).select(*names, F.lit(0).alias("__l"), F.lit(1).alias("__r")))
     counted = both.groupBy(*names).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
     alone = counted.where((F.col("__l") == 0) | (F.col("__r") == 0)).withColumn("__n", F.col("__l") + F.col("__r"))
     chunks = alone.withColumn("__c", F.explode(F.sequence(F.lit(0), ((F.col("__n") - 1) / chunk).cast("bigint"))))

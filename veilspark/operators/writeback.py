@@ -123,7 +123,7 @@ def _log_wave(spark: SparkSession, folder: str, ranges: DataFrame, first: int, n
     # A file's name begins with the number of the task that wrote it, which is the batch's within the wave.
     number = F.split("file", "-")[1].cast("int")
     begins = F.element_at(F.array(*[F.lit(r["before"]) for r in own]), number + 1)
-    log = files.select((F.lit(first) + number).cast("long").alias("batch"), "file", "n_rows", begins.alias("before"))
+    log = files.select((F.lit(first + 1) + number).cast("long").alias("batch"), "file", "n_rows", begins.alias("before"))
     log = log.join(F.broadcast(ranges.where(F.col("before").between(own[0]["before"], own[-1]["before"])).select("before", F.col("low").alias("first_key"), F.col("high").alias("last_key"))), "before")
     log.select("batch", "file", "first_key", "last_key", "n_rows").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_commits/first={first:09d}")
 
