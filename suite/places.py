@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from suite import twin as w
 from suite.base import SETTINGS, query, read
 from veilspark.functions import pools as p
-from veilspark.operators.location import location_by_country
+from veilspark.operators.location import location_by_country, record_weights
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, TableRule
 from veilspark.sources import files
@@ -22,15 +22,15 @@ CKEY, SKEY = w.key("c_custkey"), w.key("s_suppkey")
 _BOOK_SQL = "SELECT DISTINCT n_name AS city_pcs, CAST(c_custkey % 997 AS VARCHAR) || ' ' || c_mktsegment || ' ST' AS full_addr FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
-def _book(spark, sf):
+def _book(spark, sf, coordinates=False):
     nation = read(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("city_pcs"))
     address = F.concat((F.col("c_custkey") % 997).cast("string"), F.lit(" "), F.col("c_mktsegment"), F.lit(" ST"))
     records = read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     path = scratch_path(spark, "book")
     records.select(
-        F.col("c_acctbal").alias("latitude"), F.lit("").alias("unit"), address.alias("full_addr"), "city_pcs", F.lit("59").alias("pruid")
+        F.col("c_acctbal").alias("latitude"), (-F.col("c_acctbal")).alias("longitude"), F.lit("").alias("unit"), address.alias("full_addr"), "city_pcs", F.lit("59").alias("pruid")
     ).write.option("header", True).csv(path)
-    return files.address_book(spark, path)
+    return files.address_book(spark, path, coordinates)
 
 
 @query("address_book_load", "SELECT n_name AS city_pcs, CAST(c_custkey % 997 AS VARCHAR) || ' ' || c_mktsegment || ' ST' AS full_addr FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -62,6 +62,25 @@ def _record(spark, sf):
     return mask_table(customer, TableRule("customer", ("c_custkey",), rules), settings)
 
 
+@query(
+    "location_weighted",
+    "SELECT n_name AS city, count(*) AS n_records, true AS as_often, true AS one_record FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+)
+def _weighted(spark, sf):
+    """Cities come as often as the book has records of them, within five standard deviations; coordinates are those of the record."""
+    book = _book(spark, sf, coordinates=True)
+    orders = read(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus AS city", "o_orderstatus AS home_address", "o_totalprice AS lat", "o_totalprice AS lon")
+    rules = (R("city", "City", pattern="BC"), R("home_address", "FullAddress"), R("lat", "Latitude"), R("lon", "Longitude"))
+    weights = record_weights(book)
+    masked = mask_table(orders, TableRule("orders", ("o_orderkey",), rules), replace(SETTINGS, address_book=book, city_weights=weights))
+    known = book.select(F.col("city_pcs").alias("city"), F.col("full_addr").alias("home_address"), F.col("latitude").alias("lat"), F.lit(True).alias("known")).distinct()
+    seen = masked.join(known, ["city", "home_address", "lat"], "left").groupBy("city").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("known", F.lit(False)) & (F.col("lat") == -F.col("lon"))).alias("one_record"))
+    total, rows = weights.agg(F.sum("weight")).scalar(), orders.agg(F.count("*")).scalar()
+    share = F.col("weight") / total
+    near = F.abs(F.col("n") - rows * share) <= 5 * F.sqrt(rows * share * (1 - share))
+    return weights.join(seen, F.col("city_pcs") == F.col("city"), "left").select("city", F.col("weight").alias("n_records"), near.alias("as_often"), "one_record")
+
+
 def _country_sql(country):
     states: dict[str, list[str]] = {}
     for name, state, place in p.PLACE_BOOK:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import pools as p
 from veilspark.functions import templates as t
+from veilspark.functions.alias import STEPS, alias_table
 from veilspark.functions.draw import Draws, key_text
-from veilspark.operators.numbering import number_rows
+from veilspark.operators.numbering import number_rows, position_by_key
 from veilspark.plans.rules import ColumnRule, RuleError, Settings
 from veilspark.sources.scratch import materialise, pick, sized_for_join
 
@@ -18,22 +19,81 @@ from veilspark.sources.scratch import materialise, pick, sized_for_join
 BOOK_COUNTRY, BOOK_STATE = "Canada", "BC"
 
 
+# Entries of the alias table of a weighted book: cities, or groups of them where there are more.
+MAX_ENTRIES = 1 << 16
+COORDINATES = ("latitude", "longitude")
+
+
+def _records(book: DataFrame) -> DataFrame:
+    """The distinct addresses of a book, each with the coordinates of one record of it if the book has any."""
+    held = [c for c in COORDINATES if c in book.columns]
+    if not held:
+        return book.select("city_pcs", "full_addr").distinct()
+    return book.groupBy("city_pcs", "full_addr").agg(F.min(F.struct(*held)).alias("__c")).select("city_pcs", "full_addr", *[F.col(f"__c.{c}").alias(c) for c in held])
+
+
 def numbered_book(book: DataFrame, buckets: int | None = None) -> DataFrame:
     """An address book ``(city_pcs, full_addr)`` with a dense number."""
     text = key_text(F.col("city_pcs"), F.col("full_addr"))
-    rows = book.select("city_pcs", "full_addr").distinct()
-    return number_rows(rows, text, [F.col("city_pcs"), F.col("full_addr")], "__book", buckets)
+    return number_rows(_records(book), text, [F.col("city_pcs"), F.col("full_addr")], "__book", buckets)
+
+
+def record_weights(book: DataFrame) -> DataFrame:
+    """``(city_pcs, weight)``: how many records of the book each city has."""
+    return book.groupBy("city_pcs").agg(F.count("*").alias("weight"))
+
+
+def _drawn_by_weight(df: DataFrame, records: DataFrame, weights: DataFrame, draws: Draws) -> DataFrame:
+    """The rows with ``__book``, the number of a record whose city comes as often as its weight says.
+
+    Records are numbered city by city, so a city is a first number and a count. An alias table over the cities (or over groups of them, of
+    which a row then picks by the running weight) is all that rows look up; within the city every record is as likely. A row's chance
+    costs the same whatever the weights, and no city is a key of a shuffle.
+    """
+    cities = records.groupBy("city_pcs").agg(F.min("__book").alias("first"), F.count("*").alias("many"))
+    cities = cities.join(weights.select("city_pcs", F.col("weight").cast("long").alias("weight")), "city_pcs").where("weight > 0")
+    count = cities.count()
+    groups = min(count, MAX_ENTRIES)
+    group = F.pmod(F.xxhash64("city_pcs"), F.lit(MAX_ENTRIES)) if count > MAX_ENTRIES else F.xxhash64("city_pcs")
+    listed = F.array_sort(F.collect_list(F.struct("city_pcs", "first", "many", "weight")))
+    grouped = materialise(cities.groupBy(group.alias("group")).agg(F.sum("weight").alias("weight"), listed.alias("cities")), "cities")
+    # One number for each entry, at most MAX_ENTRIES.
+    entries = sorted((r["group"], r["weight"]) for r in grouped.select("group", "weight").collect())
+    if not entries:
+        raise RuleError("no city of the address book has a weight above 0")
+    cuts, others = alias_table([w for _, w in entries])
+    spark = df.sparkSession
+    table = spark.createDataFrame([(i, g, cuts[i], entries[others[i]][0]) for i, (g, _) in enumerate(entries)], "__i long, __own long, __cut long, __other long")
+    drawn = df.withColumn("__i", draws("city") % F.lit(len(entries))).join(F.broadcast(table), "__i")
+    drawn = drawn.withColumn("__group", F.when(draws("cut") % F.lit(STEPS) < F.col("__cut"), F.col("__own")).otherwise(F.col("__other"))).drop("__i", "__own", "__cut", "__other")
+    grouped, _, small = sized_for_join(grouped.select(F.col("group").alias("__group"), F.col("weight").alias("__weight"), F.col("cities").alias("__cities")))
+    drawn = pick(drawn, grouped, "__group", groups, small, draws("salt"))
+    # The city at a place in the running weights of its group.
+    place = draws("within") % F.col("__weight")
+    at = lambda acc, c: F.when(acc["left"] < 0, acc).otherwise(F.struct((acc["left"] - c["weight"]).alias("left"), c["first"].alias("first"), c["many"].alias("many")))
+    start = F.struct(place.alias("left"), F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("many"))
+    drawn = drawn.withColumn("__city", F.aggregate("__cities", start, at))
+    return drawn.withColumn("__book", F.col("__city.first") + draws(0) % F.col("__city.many")).drop("__group", "__weight", "__cities", "__city")
 
 
 def location_record(
     df: DataFrame, rules: Sequence[ColumnRule], key: Sequence[str], table: str, settings: Settings
 ) -> DataFrame:
-    """Fill the location columns among ``rules`` from one drawn record of the address book per row."""
-    book, size, small = sized_for_join(materialise(numbered_book(settings.address_book, settings.buckets), "address-book"))
-    if size == 0:
-        return df
+    """Fill the location columns among ``rules`` from one drawn record of the address book per row: every record as likely, or, where the
+    settings weigh the cities, each city as often as its weight. Latitude and longitude are the record's, if the book has them."""
     draws = Draws(settings.seed, f"{table}.#loc", key_text(*[F.col(k) for k in key]))
-    joined = pick(df.withColumn("__book", draws(0) % F.lit(size)), book, "__book", size, small, draws(1))
+    if settings.city_weights is None:
+        book, size, small = sized_for_join(materialise(numbered_book(settings.address_book, settings.buckets), "address-book"))
+        if size == 0:
+            return df
+        drawn = df.withColumn("__book", draws(0) % F.lit(size))
+    else:
+        records = materialise(position_by_key(_records(settings.address_book), ["city_pcs", "full_addr"], "__book"), "address-book")
+        book, size, small = sized_for_join(records)
+        if size == 0:
+            return df
+        drawn = _drawn_by_weight(df, records, settings.city_weights, draws)
+    joined = pick(drawn, book, "__book", size, small, draws(1))
     cell = {
         "COUNTRY": F.lit(BOOK_COUNTRY),
         "STATES": F.lit(BOOK_STATE),
@@ -43,7 +103,7 @@ def location_record(
     }
     masked = {}
     for rule in rules:
-        value = cell[rule.location_word()]
+        value = F.col(rule.type.lower()).cast(df.schema[rule.name].dataType) if rule.type.lower() in COORDINATES else cell[rule.location_word()]
         masked[rule.name] = F.when(F.col(rule.name).isNotNull(), value) if rule.retain_null else value
     return joined.select(*[masked[n].alias(n) if n in masked else F.col(n) for n in df.columns])
 

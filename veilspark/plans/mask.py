@@ -17,7 +17,7 @@ from veilspark.functions.draw import Draws, key_text, value_key
 from veilspark.functions.generators import RowView, recipe
 from veilspark.operators.binary import mask_blob
 from veilspark.operators.geometry import geometry_random, geometry_shuffle
-from veilspark.operators.location import location_by_country, location_record
+from veilspark.operators.location import COORDINATES, location_by_country, location_record
 from veilspark.operators.mapping import lookup, mapped_key
 from veilspark.operators.numbering import bucket_count
 from veilspark.operators.shuffle import shuffle_column
@@ -304,6 +304,9 @@ class TableMask:
             self.put(name, self.retained(rule, value, value_kind), value_kind)
 
     def _is_location(self, rule: ColumnRule) -> bool:
+        book = self.settings.address_book
+        if book is not None and self.settings.country is None and rule.type.lower() in COORDINATES and rule.type.lower() in book.columns:
+            return not rule.unique
         return (
             (self.settings.address_book is not None or self.settings.country is not None)
             and rule.location_word() is not None

@@ -81,8 +81,8 @@ class TableRule:
 
 @dataclass(frozen=True)
 class Settings:
-    """Run settings: the secret seed, the fixed 'today', the address book or the country that location columns are filled from, and
-    the number of buckets that numbering spreads its work over (None: by the size of the table; it changes no value), and the folder that
+    """Run settings: the secret seed, the fixed 'today', the address book or the country that location columns are filled from,
+    weights of the book's cities (``city_pcs``, ``weight``; None: every record is as likely), the number of buckets that numbering spreads its work over (None: by the size of the table; it changes no value), and the folder that
     keeps the numbers given for unique values from one delivery of a table to the next."""
 
     seed: str = "42"
@@ -90,5 +90,6 @@ class Settings:
     min_date: dt.datetime = dt.datetime(1990, 1, 1)
     address_book: DataFrame | None = None
     country: str | None = None
+    city_weights: DataFrame | None = None
     buckets: int | None = None
     assignments: str | None = None

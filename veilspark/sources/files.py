@@ -173,6 +173,7 @@ def _column_rule(column: dict) -> ColumnRule:
     )
 
 
-def address_book(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Address records ``(city_pcs, full_addr)`` out of many address-book files."""
-    return spark.read.option("header", True).csv(paths).select("city_pcs", "full_addr").where(F.col("full_addr").isNotNull())
+def address_book(spark: SparkSession, paths: str | Sequence[str], coordinates: bool = False) -> DataFrame:
+    """Address records ``(city_pcs, full_addr)`` out of many address-book files, with latitude and longitude if they are wanted."""
+    more = [F.col(c).try_cast("double").alias(c) for c in ("latitude", "longitude")] if coordinates else []
+    return spark.read.option("header", True).csv(paths).select("city_pcs", "full_addr", *more).where(F.col("full_addr").isNotNull())
