@@ -14,7 +14,7 @@ from veilspark.operators.exceptions import mask_exceptions
 from veilspark.operators.validate import validate_columns, validation_summary, validation_verdict
 from veilspark.operators.writeback import apply_masked_copy, batch_size
 from veilspark.plans.rules import ColumnRule as R
-from veilspark.plans.rules import RuleError, TableRule
+from veilspark.plans.rules import RuleError, Settings, TableRule
 from veilspark.plans.run import mask_and_validate, table_rules, validate_copies
 from veilspark.sources.files import detect_separator, load_config, scan_csv
 from veilspark.sources.scratch import materialise, scratch_root
@@ -171,3 +171,56 @@ def test_command_line(spark, sf_dir, tmp_path):
     assert not (tmp_path / "none").exists()
     verdict = run(spark, [str(config), sf_dir, str(tmp_path / "out"), "--seed", "s3cret"]).collect()
     assert [r["result"] for r in verdict] == ["PASS", "PASS"]
+
+
+def test_equal_rows_and_iso_texts_in_scripts(spark):
+    rule = TableRule("p", ("k",), (R("t", "NoMasking"),))
+    df = spark.createDataFrame([(1, "2020-03-04 03:04:05"), (1, "2020-03-04 03:04:05"), (1, "a"), (2, "1/2/2020 3:04 PM")], "k int, t string")
+    rows = [r["statement"] for r in insert_script(df, rule, "mysql").where("part = 1").orderBy("k", F.col("statement").startswith(","), "statement").collect()]
+    assert rows == ["INSERT INTO `p`\n\t(`k`, `t`)\nVALUES \n(1, '2020-03-04 03:04:05')", ",(1, '2020-03-04 03:04:05')", ",(1, 'a')", ",(2, '2020-01-02 15:04:00')"]
+    oracle = {r["statement"] for r in insert_script(df, rule, "oracle").where("part = 1 AND k = 1").collect()}
+    assert "INSERT INTO p(k, t) VALUES (1, TO_DATE('2020-03-04 03:04:05', 'YYYY-MM-DD HH24:MI:SS'));" in oracle
+
+
+def test_a_folder_of_two_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id;näme\n1;Zoë €\n2;�\n".encode())
+    (tmp_path / "b.csv").write_bytes("id;näme\n3;café € “q”\n".encode("windows-1252"))
+    got = scan_csv(spark, str(tmp_path))
+    assert got.columns == ["id", "näme"] and sorted(map(tuple, got.collect())) == [("1", "Zoë €"), ("2", "�"), ("3", "café € “q”")]
+    assert scan_csv(spark, str(tmp_path / "b.csv")).collect() == [("3", "café € “q”")]
+
+
+def test_one_command_from_profile_to_copy(spark, sf_dir, tmp_path):
+    from veilspark.__main__ import run
+
+    out = str(tmp_path / "out")
+    sheet = run(spark, ["profile", sf_dir, str(tmp_path / "sheet"), "--tables", "supplier", "--sheet-only"])
+    assert sheet.where("column_name = 'S_SUPPKEY'").first()["pk_constraint"] == "S_SUPPKEY" and not (tmp_path / "sheet" / "supplier").exists()
+    verdict = run(spark, ["profile", sf_dir, out, "--tables", "supplier", "customer=c_custkey"])
+    assert {r["table_name"] for r in verdict.collect()} == {"supplier", "customer"}
+    assert spark.read.parquet(f"{out}/customer").count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    summary = spark.read.parquet(f"{out}/_summary").first()
+    assert summary["column_count"] == verdict.count() and spark.read.parquet(f"{out}/_mapping").count() >= verdict.count()
+    assert spark.read.parquet(f"{out}/_shuffle_verdicts").count() == verdict.count()
+
+
+def test_a_run_that_was_stopped_is_started_again(spark, customer, orders, tmp_path, monkeypatch):
+    from veilspark.plans import run as runs
+
+    rules = [TableRule("customer", ("c_custkey",), (R("c_name", "FullName"),)), TableRule("orders", ("o_orderkey",), (R("o_orderpriority", "FullName"),))]
+    tables, out = {"customer": customer, "orders": orders}, str(tmp_path / "out")
+    validate = runs.validate_columns
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(runs, "validate_columns", dies)
+    with pytest.raises(KeyboardInterrupt):
+        mask_and_validate(tables, rules, out)
+    written = {p.name for p in (tmp_path / "out" / "customer").glob("part-*")}
+    monkeypatch.setattr(runs, "validate_columns", validate)
+    verdict = mask_and_validate(tables, rules, out)
+    assert {r["result"] for r in verdict.collect()} == {"PASS"} and {p.name for p in (tmp_path / "out" / "customer").glob("part-*")} == written
+    assert spark.read.parquet(f"{out}/orders").count() == orders.count()
+    with pytest.raises(RuleError, match="other rules"):
+        mask_and_validate(tables, rules, out, Settings(seed="another"))

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Day orders by how a text starts, and clock formats by the number of colons, without and with AM or PM: fixed values.
+# Accepted formats, first to last: fixed values. Those with a dash after the year are tried day first, as "2020-03-04" is read there.
+#   M/d/yyyy h:mm:ss a, M/d/yyyy h:mm a, M/d/yyyy h a, M/d/yyyy h:mm:ss, M/d/yyyy h:mm
+#   M-d-yyyy h:mm:ss a, M-d-yyyy h:mm a, M-d-yyyy h a, M-d-yyyy h:mm:ss, M-d-yyyy h:mm
+#   yyyy-d-M h:mm:ss a, yyyy-d-M h:mm a, yyyy-d-M h a, yyyy-d-M h:mm:ss, yyyy-d-M h:mm
+#   yyyy-M-d h:mm:ss a, yyyy-M-d h:mm a, yyyy-M-d h a, yyyy-M-d h:mm:ss, yyyy-M-d h:mm
+#   yyyyMMdd, yyyyMdd hh:mm
+# The same by day orders, by how a text starts, and clock formats by the number of colons, without and with AM or PM: fixed values.
 _SLASHED, _YEAR_LAST, _YEAR_FIRST = ["M/d/yyyy"], ["M-d-yyyy"], ["yyyy-d-M", "yyyy-M-d"]
 _CLOCKS = {(2, True): "h:mm:ss a", (1, True): "h:mm a", (0, True): "h a", (2, False): "h:mm:ss", (1, False): "h:mm"}
 _DIGITS_ONLY = ["yyyyMMdd", "yyyyMdd hh:mm"]
@@ -14,8 +20,8 @@ _DIGITS_ONLY = ["yyyyMMdd", "yyyyMdd hh:mm"]
 _LOOKS_LIKE_DATE = r"^(\d{1,4}[-/]\d{1,2}[-/]\d{1,4} \d{1,2}(:\d{2}){0,2}( [AaPp][Mm])?|\d{7,8}( \d{2}:\d{2})?)$"
 
 
-def parse_date(text: Column) -> Column:
-    """The first accepted format that fits; null when none does.
+def parse_date(text: Column, iso: bool = False) -> Column:
+    """The first accepted format that fits; null when none does. With ``iso`` a text that begins with the year has the month next.
 
     A text that cannot match costs an exception per format inside the parser, so its shape picks the one or two
     formats that are tried at all.
@@ -34,7 +40,7 @@ def parse_date(text: Column) -> Column:
 
     parsed = (
         F.when(F.contains(text, F.lit("/")), by_clock(_SLASHED))
-        .when(text.rlike(r"^\d{4}-"), by_clock(_YEAR_FIRST))
+        .when(text.rlike(r"^\d{4}-"), by_clock(_YEAR_FIRST[::-1] if iso else _YEAR_FIRST))
         .when(F.contains(text, F.lit("-")), by_clock(_YEAR_LAST))
         .otherwise(tried(_DIGITS_ONLY))
     )

@@ -15,7 +15,6 @@ from veilspark.sources.scratch import materialise
 
 # A key is hot when more than one row in HOT_SHARE holds it; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 1000
-SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -28,20 +27,19 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, row_text: Column) -> DataFrame:
     """Left join ``df`` with a table that has one row per key.
 
-    Rows of hot keys and of the null key are spread over salts; the few hot rows of the table are repeated
-    once per salt. Everything else joins on salt 0. No row is lost and no key lands in one task.
+    The table's rows of hot keys are broadcast, so no key has to fit a task. Rows that are answered so, and those of the null key, go over the
+    shuffle by a text of the row and match nothing there. No row is lost.
     """
-    hot = F.broadcast(materialise(hot_keys(df, key), "hot-keys"))
-    salt = F.pmod(F.xxhash64(row_text), F.lit(SALTS)).cast("int")
-    spread_out = F.col("__hot").isNotNull() | F.col(key).isNull()
-    left = df.join(hot, F.col(key) == F.col("__hot"), "left").withColumn(
-        "__salt", F.when(spread_out, salt).otherwise(F.lit(0))
-    ).drop("__hot")
-    salts = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, F.col(table_key) == F.col("__hot"), "left").withColumn("__s", F.explode(salts)).drop("__hot")
-    return left.join(right, (F.col(key) == F.col(table_key)) & (F.col("__salt") == F.col("__s")), "left").drop(
-        "__salt", "__s", table_key
-    )
+    names = [c for c in table.columns if c != table_key]
+    hot = materialise(table.join(F.broadcast(hot_keys(df, key)), F.col(table_key) == F.col("__hot"), "left_semi"), "hot-keys")
+    marked = lambda t, as_key, mark: t.select(F.col(table_key).alias(as_key), *[F.col(n).alias(mark + n) for n in names])
+    known = df.join(F.broadcast(marked(hot, "__hot", "__hot_")), F.col(key) == F.col("__hot"), "left")
+    # Two columns, so that a row's text is never taken for a key.
+    known = known.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key))).withColumn("__row", F.when(F.col("__key").isNull(), row_text).otherwise(F.lit("")))
+    rest = marked(table, "__of", "__of_").where(F.col("__of").isNotNull()).withColumn("__none", F.lit(""))
+    joined = known.join(rest, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__row") == F.col("__none")), "left")
+    value = lambda n: F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{n}")).otherwise(F.col(f"__of_{n}")).alias(n)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[value(n) for n in names])
 
 
 def mapped_key(value: Column, kind: T.DataType, scope: str, settings: Settings, low: int = 0, size: int = 10**15, base: int = 0) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions import sqltext
 from veilspark.functions.dates import parse_date
 from veilspark.operators.geometry import geometry_literal
 from veilspark.plans.rules import TableRule
@@ -64,7 +66,8 @@ def literal(value: Column, kind: T.DataType, dialect: str) -> Column:
     elif isinstance(kind, T.StringType):
         text = _quoted(value)
         if dialect in ("oracle", "mysql"):
-            moment = parse_date(value)
+            # A text that is an ISO date must not change its day.
+            moment = parse_date(value, iso=True)
             text = F.when(moment.isNotNull(), _moment(moment, dialect)).otherwise(text)
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         text = _moment(value, dialect)
@@ -92,14 +95,15 @@ def insert_script(
 ) -> DataFrame:
     """``(part, key..., statement)``: part 0 the heading, 1 one row per record, 2 the end.
 
-    ``replace_field`` gets ``replacement`` (SQL text; None means NULL) in every row.
+    ``replace_field`` gets ``replacement`` (SQL text; None means NULL) in every row. One look at the keys tells how many rows there are and
+    which key is the smallest; the rows themselves are read once, when the script is written.
     """
     spark, d = df.sparkSession, DIALECTS[dialect]
     dropped = {f.upper() for f in remove_fields}
     fields = [f for f in df.schema.fields if f.name.upper() not in dropped]
     names = ", ".join(d.quoted(f.name) for f in fields)
     key_fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in rule.key)
-    rows = df.count()
+    rows, smallest = df.agg(F.count("*"), F.min(F.struct(*rule.key))).first()
     fixed: list[tuple[int, str]] = []
     if rows == 0:
         if dialect == "sqlserver":
@@ -117,18 +121,20 @@ def insert_script(
     values = F.concat(F.lit("("), F.concat_ws(", ", *cells), F.lit(")"))
     if dialect == "oracle" or (dialect == "sqlserver" and rows > SINGLE_STATEMENT_ROWS):
         statement = F.concat(F.lit(f"INSERT INTO {d.table(rule)}({names}) VALUES "), values, F.lit(";"))
+        body = df.select(F.lit(1).alias("part"), *rule.key, statement.alias("statement"))
     else:
-        # The heading stands before the first row in key order; of rows that share the smallest key only one gets it.
-        smallest = df.agg(F.min(F.struct(*rule.key))).scalar()
-        is_first = F.struct(*rule.key) == smallest
-        same = df.where(is_first).select(*rule.key, values.alias("__values")).orderBy("__values")
+        # The heading stands before the first row in key order. Rows of the smallest key (one, if it is a key) are counted by their text, so
+        # that of equal ones a single one gets it.
         head = f"INSERT INTO {d.table(rule)}\n\t({names})\nVALUES \n"
-        chosen = same.agg(F.min("__values")).scalar()
-        copies = same.where(F.col("__values") == chosen).count()
-        if copies > 1:
-            raise ValueError(f"{rule.name}: {copies} equal rows have the smallest key, so none can stand first")
-        statement = F.concat(F.when(is_first & (values == chosen), head).otherwise(","), values)
-    body = df.select(F.lit(1).alias("part"), *rule.key, statement.alias("statement"))
+        first = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.expr(f"CAST({sqltext.constant(v)} AS {df.schema[k].dataType.simpleString()})")) for k, v in zip(rule.key, smallest)])
+        begin = df.where(first).select(*rule.key, values.alias("__values")).groupBy(*rule.key, "__values").agg(F.count("*").alias("__n"))
+        chosen = begin.agg(F.min("__values")).scalar()
+        number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i")
+        begin = begin.select(*rule.key, "__values", number).select(
+            F.lit(1).alias("part"), *rule.key, F.concat(F.when((F.col("__values") == chosen) & (F.col("__i") == 1), head).otherwise(","), "__values").alias("statement")
+        )
+        rest = df.where(~first).select(F.lit(1).alias("part"), *rule.key, F.concat(F.lit(","), values).alias("statement"))
+        body = begin.unionByName(rest)
 
     if dialect == "sqlserver":
         fixed += [(0, SETTINGS_ON), (2, rule_comment(rule) + "\n" + SETTINGS_OFF)]

@@ -24,15 +24,17 @@ MEDIUM_ROWS = {"sqlserver": (50_000, 200_000), "oracle": (50_000, 180_000), "pos
 def apply_masked_copy(target: DataFrame, masked: DataFrame, key: Sequence[str]) -> DataFrame:
     """The target with the masked rows put in by key; rows without a masked row stay as they are.
 
-    A key that several masked rows have stops the job: which of them is meant cannot be known, and the target's rows must not multiply.
+    A key that several masked rows have is an error: which of them is meant cannot be known, and the target's rows must not multiply. That is
+    found on the keys alone; the rows are joined once.
     """
     columns = [c for c in masked.columns if c not in key]
-    values = F.first(F.struct(*[F.col(c) for c in columns])) if columns else F.lit(None)
-    message = F.lit(f"several masked rows have one key ({', '.join(key)})")
-    checked = masked.groupBy(*key).agg(F.count("*").alias("__rows"), values.alias("__m"))
-    update = checked.select(*key, F.when(F.col("__rows") > 1, F.raise_error(message).cast("boolean")).otherwise(True).alias("__hit"), "__m")
+    repeated = masked.groupBy(*key).agg(F.count("*").alias("__rows")).where("__rows > 1")
+    if repeated.limit(1).count():
+        raise RuleError(f"several masked rows have one key ({', '.join(key)})")
+    update = masked.select(*key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__m_{i}") for i, c in enumerate(columns)])
     joined = target.join(update, list(key), "left")
-    return joined.select(*[F.when(F.col("__hit"), F.col("__m")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
+    new = {c: F.when(F.col("__hit"), F.col(f"__m_{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)}
+    return joined.select(*[new.get(c, F.col(c)) for c in target.columns])
 
 
 def batch_size(rows: int, configured: int | None = None, dialect: str = "sqlserver") -> int:

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from veilspark.operators.classify import classify_columns, classify_defaults
+from veilspark.operators.discovery import discover_keys
+from veilspark.operators.profile import profile_columns
 from veilspark.operators.scripts import insert_script, write_script
-from veilspark.operators.validate import validate_columns, validation_verdict
+from veilspark.operators.validate import validate_columns, validation_shuffle_log, validation_summary, validation_verdict
 from veilspark.operators.writeback import apply_masked_copy, write_batches
 from veilspark.plans.mask import mask_table
 from veilspark.plans.rules import ColumnRule, RuleError, Settings, TableRule
-from veilspark.sources.scratch import clear_scratch, scratch_mark
+from veilspark.sources.scratch import clear_scratch, materialise, scratch_mark
 from veilspark.sources.tables import scan_columns, scan_rows
 
 
@@ -57,13 +62,37 @@ def mask_and_validate(
         verdicts.append(validation_verdict(report))
     schema = "table_name string, column_name string, reason string"
     spark.createDataFrame(logs, schema).coalesce(1).write.mode("overwrite").parquet(f"{root}/_exceptions")
-    # One row per configured column.
+    # One row per configured column: the verdicts, those of shuffles by the exception log, and the summary.
     found = reduce(DataFrame.unionByName, verdicts)
-    result = spark.createDataFrame(found.collect(), found.schema)
+    found.coalesce(1).write.mode("overwrite").parquet(f"{root}/_verdicts")
+    result = spark.read.parquet(f"{root}/_verdicts")
+    shuffles = validation_shuffle_log(result, spark.read.parquet(f"{root}/_exceptions"))
+    shuffles.coalesce(1).write.mode("overwrite").parquet(f"{root}/_shuffle_verdicts")
+    validation_summary(result).write.mode("overwrite").parquet(f"{root}/_summary")
     clear_scratch(spark, mark)
     return result
 
 
+def as_written(rule: TableRule, df: DataFrame) -> TableRule:
+    """The rule with the names of key and columns as the table has them: a catalog writes them in capitals."""
+    names = {c.lower(): c for c in df.columns}
+    own = lambda n: names.get(n.lower(), n)
+    columns = tuple(replace(c, name=own(c.name), gender_column=c.gender_column and own(c.gender_column)) for c in rule.columns)
+    return replace(rule, key=tuple(own(k) for k in rule.key), columns=columns)
+
+
+def propose(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] | None = None, schema: str = "") -> tuple[DataFrame, dict[str, Sequence[str]]]:
+    """The rule sheet that the data suggest: every table profiled once, every column classified; and the key of each table, found in the data
+    where none is given."""
+    known = dict(keys or {})
+    for name, df in tables.items():
+        if name not in known:
+            known[name] = next(iter(discover_keys(df)), ())
+    profile = reduce(DataFrame.unionByName, [profile_columns(name, df, known[name], schema) for name, df in tables.items()])
+    sheet = classify_defaults(classify_columns(materialise(profile, "profile"))).withColumn("description", F.lit(""))
+    return materialise(sheet, "sheet"), known
+
+
 def validate_copies(tables: Mapping[str, DataFrame], copies: Mapping[str, DataFrame], rules: Sequence[TableRule]) -> DataFrame:
     """Verdicts of copies that an earlier run wrote."""
     found = [validation_verdict(validate_columns(scan_rows(copies[r.name], r), scan_rows(tables[r.name], r), r)) for r in rules]

@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from veilspark.plans.rules import RULE_TYPES, ColumnRule, TableRule
 
-# Separators a file may use, in order of preference, and the encoding of files that are not UTF-8: fixed values.
+# Separators a file may use, in order of preference: fixed values.
 SEPARATORS = [",", ";", "\t", "|", "#"]
-FALLBACK_ENCODING = "windows-1252"
+# Windows code page 1252 differs from Latin 1 in these places: the controls of Latin 1, and what the code page has there.
+_CODE_PAGE = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("windows-1252")
+_CONTROLS = _CODE_PAGE.encode("windows-1252").decode("latin-1")
 
 # Columns of a rule sheet with the name they get here and their default: fixed values.
 SHEET_COLUMNS = {
@@ -63,17 +65,44 @@ CONFIG_FIELDS = {
 }
 
 
-def detect_separator(spark: SparkSession, path: str) -> str:
+def detect_separator(spark: SparkSession, path: str | Sequence[str]) -> str:
     """The separator that occurs most often in the heading line."""
     head = spark.read.text(path).limit(1).collect()
     line = head[0][0] if head else ""
     return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A text file with a heading; the separator is detected, all columns are text unless a schema is given."""
-    reader = spark.read.option("header", True).option("sep", detect_separator(spark, path)).option("encoding", encoding)
-    return (reader.schema(schema) if schema else reader).csv(path)
+def other_encoding(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """The files that are UTF-8, and those with a line that is not. One look at the bytes; one name per file reaches the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    found = {r["file"]: r["valid"] for r in lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).collect()}
+    return sorted(f for f, v in found.items() if v), sorted(f for f, v in found.items() if not v)
+
+
+def _code_page(text: Column) -> Column:
+    """Text read byte by byte, with the characters that the code page has in place of controls."""
+    return F.translate(text, _CONTROLS, _CODE_PAGE)
+
+
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Text files with a heading; the separator is detected, all columns are text unless a schema is given.
+
+    Without an encoding each file is UTF-8, or, if a line of it is not, of the Windows code page of western Europe; a folder may hold both.
+    """
+    def read(files, charset: str) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", detect_separator(spark, files)).option("encoding", charset)
+        return (reader.schema(schema) if schema else reader).csv(files)
+
+    if encoding:
+        return read(path, encoding)
+    plain, others = other_encoding(spark, path)
+    if not others:
+        return read(path, "UTF-8")
+    old = read(others, "ISO-8859-1")
+    table = str.maketrans(_CONTROLS, _CODE_PAGE)
+    text = {f.name for f in old.schema.fields if isinstance(f.dataType, T.StringType)}
+    old = old.select(*[(_code_page(F.col(f"`{c}`")) if c in text else F.col(f"`{c}`")).alias(c.translate(table)) for c in old.columns])
+    return read(plain, "UTF-8").unionByName(old, allowMissingColumns=True) if plain else old
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
