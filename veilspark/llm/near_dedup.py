@@ -128,9 +128,38 @@ def _set_table(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return per_batch(chosen.select("text"), "v binary, set binary", make)
 
 
+# Hashes of sets that are compared at once.
+COMPARED = 1 << 19
+
+
+def _runs(sets: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Consecutive sets of about COMPARED hashes together."""
+    begin, size = 0, 0
+    for k, x in enumerate(sets):
+        if k > begin and size + len(x) > 8 * COMPARED:
+            yield begin, k
+            begin, size = k, 0
+        size += len(x)
+    if begin < len(sets):
+        yield begin, len(sets)
+
+
 def _overlaps(sets: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes of all intersections (exact), and of the sets. Only shared hashes make columns, a bounded number at a time."""
+    out = np.zeros((len(sets), len(others)), np.int64)
+    for a, b in _runs(sets):
+        for c, d in _runs(others):
+            out[a:b, c:d] = _overlaps_of(sets[a:b], others[c:d])
+    return out, np.array([len(x) // 8 for x in sets]), np.array([len(x) // 8 for x in others])
+
+
+def _overlaps_of(sets: list[bytes], others: list[bytes]) -> np.ndarray:
     a, b = [np.frombuffer(x, "<u8") for x in sets], [np.frombuffer(x, "<u8") for x in others]
+    if len(a) == 1 or len(b) == 1:
+        # One set against others: look up each in it, or it in each.
+        one, many = (a[0], b) if len(a) == 1 else (b[0], a)
+        found = [np.count_nonzero(one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x) if len(one) else 0 for x in many]
+        return np.array(found).reshape(len(a), len(b))
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     ua, ia = np.unique(np.concatenate(a), return_inverse=True)
     ub, ib = np.unique(np.concatenate(b), return_inverse=True)
@@ -147,7 +176,7 @@ def _overlaps(sets: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.nd
         x[ra[ka], pa_[ka] - low] = 1
         y[rb[kb], pb_[kb] - low] = 1
         out += x @ y.T
-    return out.astype(np.int64), na, nb
+    return out.astype(np.int64)
 
 
 def _similar(sets: list[bytes], others: list[bytes], percent: int) -> np.ndarray:
@@ -170,10 +199,10 @@ def _signed(sets: DataFrame) -> DataFrame:
     """v, sign: one byte of each of SIGNATURE minhashes."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        sets = [np.frombuffer(x, "<u8").astype(np.uint64) for x in batch.column("set").to_pylist()]
+        raw = batch.column("set").to_pylist()
         signs: list[bytes] = []
-        for low in range(0, len(sets), 256):
-            part = sets[low : low + 256]
+        for low, high in _runs(raw):
+            part = [np.frombuffer(x, "<u8") for x in raw[low:high]]
             bounds = np.cumsum([0, *map(len, part)])
             signs += [x.tobytes() for x in (W.mix(_minima(np.concatenate(part), bounds, SIGNATURE, 41)) >> np.uint64(56)).astype(np.uint8)]
         return {"v": batch.column("v"), "sign": pa.array(signs, pa.binary())}
