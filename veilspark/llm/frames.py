@@ -28,9 +28,9 @@ def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def drawn(column: str, salt: str) -> Column:
-    """A number in [0, 1) by hash of a column, in steps fine enough for a share of any table."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(column).cast("string"), F.lit(salt)), 11) / F.lit(float(1 << 53))
+def drawn(column: str, salt: str, *more: str) -> Column:
+    """A number in [0, 1) by hash of a column (and others), in steps fine enough for a share of any table."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(column).cast("string"), F.lit(salt), *more), 11) / F.lit(float(1 << 53))
 
 
 def text_bytes(df: DataFrame, column: str) -> int:

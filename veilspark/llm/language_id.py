@@ -142,7 +142,7 @@ def _share(margin: float) -> float:
 
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """The model from rows whose language is known. About PER_LANGUAGE rows of each language, chosen by hash of the id, are learnt from."""
+    """The model from rows whose language is known. About PER_LANGUAGE rows of each language, chosen by hash of id and text, are learnt from."""
     frame = picked(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in frame.groupBy("lang").count().collect()}
     languages = sorted(counts)
@@ -150,7 +150,7 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not languages:
         return LanguageModel([], [], np.zeros((0, DIMENSIONS + 1)), {}, {})
     shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, PER_LANGUAGE / counts[lang])])
-    sample = vectors(frame.where(drawn("doc_id", "languages") < shares[F.col("lang")]))
+    sample = vectors(frame.where(drawn("doc_id", "languages", "text") < shares[F.col("lang")]))
     # Tasks of a row: one for each family of the whole, and one for each pair with a relative.
     tasks = {lang: [(f"family {f}", 1.0 if family_of(lang) == f else -1.0) for f in families if len(families) > 1] for lang in languages}
     pairs: dict[str, list[tuple[int, int]]] = {f: [] for f in families}
