@@ -182,8 +182,7 @@ PROFILE_SQL = " UNION ALL ".join(_profile_sql(v) for v in SOURCES)
 
 def profiles(spark, sf) -> DataFrame:
     """Profiles of all views and tables, one aggregate each, kept for the steps that follow."""
-    frames = [pr.profile_columns(v, _source(spark, sf, v), [k] if k else [], "app", COMMENTS) for v, (_, k, _) in SOURCES.items()]
-    return materialise(_union(frames), "profile")
+    return pr.profile_tables({v: _source(spark, sf, v) for v in SOURCES}, {v: [k] for v, (_, k, _) in SOURCES.items() if k}, "app", COMMENTS)
 
 
 def _in(column, *needles):

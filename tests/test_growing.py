@@ -112,3 +112,19 @@ def test_cities_come_as_often_as_their_weights(spark, monkeypatch, entries):
     known = {tuple(r) for r in book.collect()}
     assert {tuple(r) for r in masked.select("city", "address").distinct().collect()} <= known
     assert sorted(masked.collect()) == sorted(mask_table(df.repartition(3), rule, Settings(address_book=book, city_weights=weights)).collect())
+
+
+def test_a_profile_is_made_once_for_the_same_files(spark, orders, tmp_path, monkeypatch):
+    from veilspark.operators import profile
+
+    made = []
+    one = profile.profile_columns
+    monkeypatch.setattr(profile, "profile_columns", lambda *a: (made.append(a[0]), one(*a))[1])
+    path = str(tmp_path / "t t.parquet")
+    orders.limit(100).coalesce(1).write.parquet(path)
+    first = profile.profile_tables({"t": spark.read.parquet(path)}, {"t": ["o_orderkey"]}).collect()
+    assert profile.profile_tables({"t": spark.read.parquet(path)}, {"t": ["o_orderkey"]}).collect() == first and made == ["t"]
+    profile.profile_tables({"t": spark.read.parquet(path)}, {"t": []})
+    orders.limit(50).write.mode("overwrite").parquet(path)
+    profile.profile_tables({"t": spark.read.parquet(path)}, {"t": ["o_orderkey"]})
+    assert made == ["t", "t", "t"]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import sqltext
-from veilspark.sources.scratch import scratch_path
+from veilspark.sources.scratch import scratch_path, source_mark
 
 ROWS_PER_RANGE = 1_000_000
 ROWS_PER_PART, MAX_PARTS = 4_000_000, 1 << 16
@@ -75,7 +75,7 @@ class KeyIndex:
     @staticmethod
     def of(df: DataFrame, key: Sequence[str]) -> "KeyIndex":
         """The index of a table of files, built at the first call of a session and used by all later ones."""
-        mark = (df.sparkSession.sparkContext.applicationId, tuple(sorted(df.inputFiles())), tuple(key), df._jdf.queryExecution().analyzed().canonicalized().toString())
+        mark = (df.sparkSession.sparkContext.applicationId, tuple(key), source_mark(df))
         found = _BUILT.get(mark)
         if found is None or not _exists(df.sparkSession, found.ranges.inputFiles()[0] if found.ranges.inputFiles() else "/"):
             found = _BUILT[mark] = KeyIndex.build(df, key, scratch_path(df.sparkSession, "key-index"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veilspark.functions import sqltext
 from veilspark.operators.stacking import stack_rows
+from veilspark.sources.scratch import kept, source_mark
 
 # Type names of the catalog: fixed values.
 _TYPE_TEXT = {
@@ -155,6 +156,16 @@ def profile_columns(
     return stack_rows(_bounds(df, measured), [cells(p, f) for p, f in enumerate(fields, 1)], PROFILE)
 
 
+def profile_tables(
+    tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], schema: str = "", comments: Mapping[str, str] | None = None
+) -> DataFrame:
+    """The profiles of several tables, one aggregate each. They are written once a session for the same files, so the steps from a profile to a
+    configuration read the tables once."""
+    spark = next(iter(tables.values())).sparkSession
+    mark = (schema, tuple(sorted((comments or {}).items())), tuple((t, tuple(keys.get(t, ())), source_mark(df)) for t, df in tables.items()))
+    return kept(spark, mark, "profile", lambda: _union([profile_columns(t, df, keys.get(t, ()), schema, comments) for t, df in tables.items()]))
+
+
 def swap_bounds(profile: DataFrame) -> DataFrame:
     """Exchange min and max where both are 32-bit whole numbers in the wrong order."""
     low, high = F.col("min").try_cast("int"), F.col("max").try_cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.classify import classify_columns, classify_defaults
 from veilspark.operators.discovery import discover_keys
-from veilspark.operators.profile import profile_columns
+from veilspark.operators.profile import profile_tables
 from veilspark.operators.scripts import insert_script, write_script
 from veilspark.operators.validate import validate_columns, validation_shuffle_log, validation_summary, validation_verdict
 from veilspark.operators.writeback import apply_masked_copy, write_batches
@@ -88,8 +88,7 @@ def propose(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] |
     for name, df in tables.items():
         if name not in known:
             known[name] = next(iter(discover_keys(df)), ())
-    profile = reduce(DataFrame.unionByName, [profile_columns(name, df, known[name], schema) for name, df in tables.items()])
-    sheet = classify_defaults(classify_columns(materialise(profile, "profile"))).withColumn("description", F.lit(""))
+    sheet = classify_defaults(classify_columns(profile_tables(tables, known, schema))).withColumn("description", F.lit(""))
     return materialise(sheet, "sheet"), known
 
 

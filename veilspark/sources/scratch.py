@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Intermediate tables that this process may use again, by application and what they were made of.
+_KEPT: dict[tuple, str] = {}
+
+
+# Files of a table up to which their times of change are looked at; names of more are those that Spark gave, which never come twice.
+TIMED_FILES = 1000
+
+
+def source_mark(df: DataFrame) -> tuple:
+    """What a table is made of: its files, when they were changed, and its plan, whatever the numbers of its columns are."""
+    names = sorted(df.inputFiles())
+    context = df.sparkSession.sparkContext
+    times: list[int] = []
+    if len(names) <= TIMED_FILES:
+        for name in names:
+            place = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(name))
+            times.append(place.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime())
+    return tuple(names), tuple(times), df._jdf.queryExecution().analyzed().canonicalized().toString()
+
+
+def kept(spark: SparkSession, mark: tuple, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written once a session for each mark. A mark names all that the table is made of."""
+    whole = (spark.sparkContext.applicationId, label, mark)
+    path = _KEPT.get(whole)
+    if path is not None and path in _WRITTEN.get(spark.sparkContext.applicationId, []):
+        return spark.read.parquet(path)
+    table = materialise(make(), label)
+    _KEPT[whole] = _WRITTEN[spark.sparkContext.applicationId][-1]
+    return table
+
+
 # Bytes of a table up to which it is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
