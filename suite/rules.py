@@ -144,9 +144,9 @@ def _correlation(spark, sf):
     """A key replaced in parent and child, each on its own; the join afterwards still matches, and the before/after table agrees with both."""
     customer, orders = read(spark, sf, "customer").select("c_custkey", "c_name"), read(spark, sf, "orders").select("o_orderkey", "o_custkey")
     place = ("custkey", SETTINGS, CORR_LOW, CORR_SIZE)
-    table = correlation_table(customer, "c_custkey", *place)
-    parents = apply_key_map(customer, "c_custkey", *place).withColumnRenamed("c_custkey", "custkey")
-    children = apply_key_map(orders, "o_custkey", *place)
+    table = materialise(correlation_table(customer, "c_custkey", *place), "correlation")
+    parents = materialise(apply_key_map(customer, "c_custkey", *place), "parents").withColumnRenamed("c_custkey", "custkey")
+    children = materialise(apply_key_map(orders, "o_custkey", *place), "children")
     per_key = children.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("order_keys"))
     return parents.join(per_key, "custkey").join(table, F.col("after") == F.col("custkey")).select("before", "after", "c_name", "orders", "order_keys")
 

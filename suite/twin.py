@@ -184,8 +184,8 @@ def _half(prefix: str, i: int, half: str) -> str:
 
 
 def _mixed(inner: str, left_size: int, right_size: int, prefix: str) -> str:
-    """Eight rounds over columns k, l, r."""
-    for i in range(8):
+    """Six rounds over columns k, l, r."""
+    for i in range(6):
         if i % 2 == 0:
             inner = f"SELECT k, (l + {_half(prefix, i, 'r')}) % {left_size} AS l, r FROM ({inner})"
         else:

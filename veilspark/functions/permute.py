@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.draw import div
 
-ROUNDS = 8
+ROUNDS = 6
 # Letters and digits of a text that are permuted together; a longer text is a chain of such blocks.
 BLOCK = 20
 LARGEST = 10**17
@@ -59,14 +59,13 @@ def permuted(number: Column, size: int, seed: str, scope: str) -> Column:
         return F.element_at(F.transform(F.array(halved), lambda x: x["l"] * F.lit(right) + x["r"]), 1)
 
     n = number.cast("bigint")
-    outside = F.raise_error(F.concat(F.lit(f"{scope}: a key outside of its {size} numbers: "), n.cast("string"))).cast("bigint")
-    start = once(n)
-    steps = walk_steps(size)
+    first, steps = once(n), walk_steps(size)
     if steps:
         again = lambda at, _: F.when(at < size, at).otherwise(once(at))
         end = lambda at: F.when(at < size, at).otherwise(F.raise_error(F.lit("a walk did not end")).cast("bigint"))
-        start = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, again, end)
-    return F.when(n.between(0, size - 1), start).when(n.isNotNull(), outside)
+        first = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, again, end)
+    outside = F.raise_error(F.concat(F.lit(f"{scope}: a key outside of its {size} numbers: "), n.cast("string"))).cast("bigint")
+    return F.when(n.between(0, size - 1), first).when(n.isNotNull(), outside)
 
 
 def _radix(c: Column) -> Column:

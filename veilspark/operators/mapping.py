@@ -50,9 +50,13 @@ def mapped_key(value: Column, kind: T.DataType, scope: str, settings: Settings,
     """
     if isinstance(kind, T.StringType):
         return permuted_text(value, settings.seed, scope)
+    _whole(kind, scope)
+    return F.lit(low) + permuted(value.cast("bigint") - F.lit(base), size, settings.seed, scope)
+
+
+def _whole(kind: T.DataType, scope: str) -> None:
     if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         raise RuleError(f"{scope}: keys of type {kind.simpleString()} cannot be mapped")
-    return F.lit(low) + permuted(value.cast("bigint") - F.lit(base), size, settings.seed, scope)
 
 
 def correlation_table(keys: DataFrame, key: str, scope: str, settings: Settings, low: int, size: int, base: int = 0) -> DataFrame:

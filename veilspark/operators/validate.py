@@ -196,6 +196,8 @@ def surviving_values(masked: DataFrame, original: DataFrame, rule: TableRule) ->
 
 # Rows of a range of hashes, and the most ranges there are.
 ROWS_PER_HASH_RANGE, MAX_HASH_RANGES = 4096, 1 << 20
+# Rows of a table up to which a second look at it costs more than its shuffle.
+SHUFFLED_AS_IT_IS = 200_000
 
 
 def _row_hash(df: DataFrame, salt: int) -> Column:
@@ -238,10 +240,12 @@ def table_diff(left: DataFrame, right: DataFrame, chunk: int = 10_000, ranges: i
     """
     names = left.columns
     right = right.select(*[F.col(f"`{n}`").cast(left.schema[n].dataType).alias(n) for n in names])
-    ranges = ranges or min(MAX_HASH_RANGES, max(64, left.count() // ROWS_PER_HASH_RANGE))
-    unlike = F.broadcast(materialise(differing_ranges(left, right, ranges), "ranges"))
-    of = lambda df: df.join(unlike, _hash_range(df, ranges) == F.col("__range"), "left_semi")
-    both = of(left).select(*names, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(of(right).select(*names, F.lit(0).alias("__l"), F.lit(1).alias("__r")))
+    rows = left.count() if ranges is None else 0
+    if ranges or rows > SHUFFLED_AS_IT_IS:
+        ranges = ranges or min(MAX_HASH_RANGES, max(64, rows // ROWS_PER_HASH_RANGE))
+        unlike = F.broadcast(materialise(differing_ranges(left, right, ranges), "ranges"))
+        left, right = (df.join(unlike, _hash_range(df, ranges) == F.col("__range"), "left_semi") for df in (left, right))
+    both = left.select(*names, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(right.select(*names, F.lit(0).alias("__l"), F.lit(1).alias("__r")))
     counted = both.groupBy(*names).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
     alone = counted.where((F.col("__l") == 0) | (F.col("__r") == 0)).withColumn("__n", F.col("__l") + F.col("__r"))
     chunks = alone.withColumn("__c", F.explode(F.sequence(F.lit(0), ((F.col("__n") - 1) / chunk).cast("bigint"))))

@@ -78,9 +78,11 @@ def write_batches(df: DataFrame, path: str, key: Sequence[str], configured: int
         known = {r["file"] for r in _logged(spark, folder).select("file").collect()} if files.exists(_place(spark, f"{folder}/_commits")[0]) else set()
         for left in [n for n in _names(files, place) if n.startswith("part-") and n not in known]:
             files.delete(_place(spark, f"{folder}/{left}")[0], False)
-        _write_wave(df, folder, key, ranges, first, wave, size)
+        found = ranges.select("low", "high", "before").orderBy("before").offset(first).limit(wave + 1).collect()
+        own, after = found[:wave], found[wave:]
+        _write_wave(df, folder, key, ranges, own, after, size)
         new = sorted(n for n in _names(files, place) if n.startswith("part-") and n not in known)
-        _log_wave(spark, folder, ranges, first, new, wave)
+        _log_wave(spark, folder, own, first, new)
     if not many and not [n for n in _names(files, place) if n.startswith("part-")]:
         df.limit(0).write.mode("append").parquet(folder)
     return commit_log(spark, folder)
@@ -95,18 +97,11 @@ def _names(files, place) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
 
-def _of_wave(ranges: DataFrame, first: int, wave: int) -> list:
-    """The ranges of a wave, in key order. Ranges are numbered by their place, one after another in their file."""
-    numbered = ranges.select("low", "high", "rows", "before").orderBy("before").offset(first).limit(wave + 1)
-    return numbered.collect()
-
-
-def _write_wave(df: DataFrame, folder: str, key: Sequence[str], ranges: DataFrame, first: int, wave: int, size: int) -> None:
+def _write_wave(df: DataFrame, folder: str, key: Sequence[str], ranges: DataFrame, own: list, after: list, size: int) -> None:
     """One job: a task and a file for each batch. A row of a key that two ranges share is in the later one."""
-    found = _of_wave(ranges, first, wave)
-    own, after = found[:wave], found[wave:]
     index = KeyIndex(tuple(key), size, ranges, None)
     whole = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
+    first = own[0]["before"] > 0
     rows = df.where(first_key_between(df, key[0], own[0]["low"][0] if first else None, own[-1]["high"][0]) if after else first_key_from(df, key[0], own[0]["low"][0] if first else None))
     if first:
         rows = rows.where(whole >= index.constant(own[0]["low"]))
@@ -118,16 +113,14 @@ def _write_wave(df: DataFrame, folder: str, key: Sequence[str], ranges: DataFram
     dealt.write.mode("append").option("maxRecordsPerFile", size).parquet(folder)
 
 
-def _log_wave(spark: SparkSession, folder: str, ranges: DataFrame, first: int, new: list[str], wave: int) -> None:
+def _log_wave(spark: SparkSession, folder: str, own: list, first: int, new: list[str]) -> None:
     """What a wave has written. Rows are those that the files' footers tell; no row is read."""
-    own = _of_wave(ranges, first, wave)[:wave]
     files = spark.read.parquet(*[f"{folder}/{n}" for n in new]).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"))
     # A file's name begins with the number of the task that wrote it, which is the batch's within the wave.
     number = F.split("file", "-")[1].cast("int")
     begins = F.element_at(F.array(*[F.lit(r["before"]) for r in own]), number + 1)
     log = files.select((F.lit(first + 1) + number).cast("long").alias("batch"), "file", "n_rows", begins.alias("before"))
-    log = log.join(F.broadcast(ranges.where(F.col("before").between(own[0]["before"], own[-1]["before"])).select("before", F.col("low").alias("first_key"), F.col("high").alias("last_key"))), "before")
-    log.select("batch", "file", "first_key", "last_key", "n_rows").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_commits/first={first:09d}")
+    log.coalesce(1).write.mode("overwrite").parquet(f"{folder}/_commits/first={first:09d}")
 
 
 def _logged(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +132,8 @@ def commit_log(spark: SparkSession, path: str) -> DataFrame:
     folder = path.rstrip("/")
     if not _names(_place(spark, folder)[1], _place(spark, f"{folder}/_commits")[0]):
         return spark.createDataFrame([], "batch long, file string, n_rows long")
-    return _logged(spark, folder).drop("first").where("n_rows > 0")
+    keys = spark.read.parquet(f"{folder}/_batches/ranges").select("before", F.col("low").alias("first_key"), F.col("high").alias("last_key"))
+    return _logged(spark, folder).where("n_rows > 0").join(keys, "before").select("batch", "file", "first_key", "last_key", "n_rows")
 
 
 def preview(masked: DataFrame, rule: TableRule, count: int, width: int = 6) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.keyindex import KeyIndex, slice_of
+from veilspark.operators.keyindex import ROWS_PER_RANGE, KeyIndex, slice_of
 from veilspark.plans.rules import TableRule
 
 # Rows up to which the first-rows scan keeps a sorted head per task instead of numbering the table.
@@ -33,6 +33,9 @@ def scan_limit(df: DataFrame, key: Sequence[str], count: int) -> DataFrame:
 def scan_row_range(df: DataFrame, key: Sequence[str], first: int, last: int, index: KeyIndex | None = None) -> DataFrame:
     """Rows first..last by key, 1-based and inclusive. The table's key histogram (built once a session unless one is given) tells which keys
     and files these are; an offset and limit would pull everything before the range through one task."""
+    if index is None and len(df.inputFiles()) <= 1 and df.count() <= ROWS_PER_RANGE:
+        # One file of no more rows than a range has: its rows are sorted as those of a range are.
+        return df.orderBy(*key).offset(first - 1).limit(max(0, last - first + 1))
     return slice_of(df, index or KeyIndex.of(df, key), first - 1, last - 1)
 
 
