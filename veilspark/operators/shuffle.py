@@ -44,19 +44,25 @@ def shuffle_column(
 
     ``source`` may name a DataFrame with the same column that is cheaper to read than ``df``.
 
-    A row draws a number, uniform over the pool, so no number is hot however often one original value occurs. Each pool row also holds
-    the value after it, for rows that drew their own, so one join serves all rows.
+    A row draws a number, uniform over the pool, so no number is hot however often one original value occurs. A row that drew its own value
+    takes the one after it: from a small pool, which every executor has, by a second look-up; a pool that is shuffled has it in the same
+    row, so one join serves all rows.
     """
     values = materialise(value_pool(source if source is not None else df, column, not retain_null, settings.buckets), "pool")
-    size = values.count()
+    pool, size, small = sized_for_join(values)
     if size == 0:
         return df
-    after = values.select(F.pmod(F.col("__i") - 1, F.lit(size)).alias("__i"), F.col("__value").alias("__next"))
-    pool, _, small = sized_for_join(materialise(values.join(after, "__i"), "pool"))
     draws = Draws(settings.seed, scope, key_text(*[F.col(k) for k in key]))
     names, old = df.columns, F.col(column)
-    drawn = pick(df.withColumn("__i", draws(0) % F.lit(size)), pool, "__i", size, small, draws(1))
+    drawn = df.withColumn("__i", draws(0) % F.lit(size))
     own = F.col("__value").eqNullSafe(old)
+    if small:
+        other = pool.select(F.col("__i").alias("__j"), F.col("__value").alias("__next"))
+        drawn = drawn.join(pool, "__i", "left")
+        drawn = drawn.join(other, F.when(own, (F.col("__i") + 1) % F.lit(size)) == F.col("__j"), "left")
+    else:
+        after = values.select(F.pmod(F.col("__i") - 1, F.lit(size)).alias("__i"), F.col("__value").alias("__next"))
+        drawn = pick(drawn, materialise(values.join(after, "__i"), "pool"), "__i", size, small, draws(1))
     picked = F.when(own, F.col("__next")).otherwise(F.col("__value"))
     if retain_null:
         picked = F.when(old.isNotNull(), picked)
