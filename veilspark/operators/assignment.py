@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.draw import key_text
 from veilspark.operators.numbering import bucket_count, number_rows
 from veilspark.plans.rules import RuleError
+from veilspark.sources.scratch import hadoop_path
 
 _DONE = "_given"
 
@@ -27,8 +28,7 @@ class AssignmentLog:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _place(self, name: str):
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return hadoop_path(self.spark, f"{self.folder}/{name}" if name else self.folder)
 
     def versions(self) -> list[str]:
         """Folders of the versions that count, in order."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import sqltext
-from veilspark.sources.scratch import scratch_path, source_mark
+from veilspark.sources.scratch import exists, scratch_path, source_mark
 
 ROWS_PER_RANGE = 1_000_000
 ROWS_PER_PART, MAX_PARTS = 4_000_000, 1 << 16
@@ -24,11 +24,6 @@ ROWS_PER_PART, MAX_PARTS = 4_000_000, 1 << 16
 _BUILT: dict[tuple, "KeyIndex"] = {}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 @dataclass(frozen=True)
 class KeyIndex:
     """``ranges``: part, cut, low, high (structs of the key), rows, before. ``files``: file, least and most of the first key column, nulls."""
@@ -69,7 +64,7 @@ class KeyIndex:
     @staticmethod
     def load(spark: SparkSession, key: Sequence[str], path: str, limit: int = ROWS_PER_RANGE) -> "KeyIndex":
         """An index that was built before."""
-        files = spark.read.parquet(f"{path}/files") if _exists(spark, f"{path}/files") else None
+        files = spark.read.parquet(f"{path}/files") if exists(spark, f"{path}/files") else None
         return KeyIndex(tuple(key), limit, spark.read.parquet(f"{path}/ranges"), files)
 
     @staticmethod
@@ -77,7 +72,7 @@ class KeyIndex:
         """The index of a table of files, built at the first call of a session and used by all later ones."""
         mark = (df.sparkSession.sparkContext.applicationId, tuple(key), source_mark(df))
         found = _BUILT.get(mark)
-        if found is None or not _exists(df.sparkSession, found.ranges.inputFiles()[0] if found.ranges.inputFiles() else "/"):
+        if found is None or not exists(df.sparkSession, found.ranges.inputFiles()[0] if found.ranges.inputFiles() else "/"):
             found = _BUILT[mark] = KeyIndex.build(df, key, scratch_path(df.sparkSession, "key-index"))
         return found
 

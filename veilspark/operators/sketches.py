@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import sqltext
-from veilspark.operators.keyindex import _exists
 from veilspark.operators.profile import _bound_text, _measures_length, _spans
 from veilspark.operators.stacking import stack_rows
+from veilspark.sources.scratch import exists
 
 REGISTERS = 15
 QUARTILES = (0.25, 0.5, 0.75)
@@ -44,7 +44,7 @@ def update_profile(df: DataFrame, store: str) -> int:
     """Profile the files of a table that the store does not know yet, and return how many there were."""
     spark = df.sparkSession
     files = set(df.inputFiles())
-    known = {r["file"] for r in spark.read.parquet(store).select("file").collect()} if _exists(spark, store) else set()
+    known = {r["file"] for r in spark.read.parquet(store).select("file").collect()} if exists(spark, store) else set()
     plain = lambda name: name.replace("file:///", "file:/")
     new = sorted(f for f in files if plain(f) not in {plain(k) for k in known})
     if new:

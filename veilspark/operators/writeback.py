@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.operators.keyindex import KeyIndex, first_key_between, first_key_from
 from veilspark.operators.numbering import range_number
 from veilspark.plans.rules import RuleError, TableRule
+from veilspark.sources.scratch import hadoop_path
 
 # Batch sizes by row count: fixed values.
 LARGE_ROWS, LARGE_BATCH = 200_000, 100_000
@@ -56,15 +57,15 @@ def write_batches(df: DataFrame, path: str, key: Sequence[str], configured: int
     begun with another is an error.
     """
     spark, folder = df.sparkSession, path.rstrip("/")
-    place, files = _place(spark, folder)
+    place, files = hadoop_path(spark, folder)
     digest = hashlib.md5(mark.encode()).hexdigest()
-    begun = {k: v for k, v in (n.split("=", 1) for n in _names(files, _place(spark, f"{folder}/_batches")[0]) if "=" in n)}
+    begun = {k: v for k, v in (n.split("=", 1) for n in _names(files, hadoop_path(spark, f"{folder}/_batches")[0]) if "=" in n)}
     if not begun:
         # An index without its mark is left from a job that died.
-        files.delete(_place(spark, f"{folder}/_batches")[0], True)
+        files.delete(hadoop_path(spark, f"{folder}/_batches")[0], True)
         size = batch_size(df.count(), configured, dialect)
         KeyIndex.build(df, key, f"{folder}/_batches", size, file_map=False)
-        files.mkdirs(_place(spark, f"{folder}/_batches/{digest}={size}")[0])
+        files.mkdirs(hadoop_path(spark, f"{folder}/_batches/{digest}={size}")[0])
         begun = {digest: str(size)}
     if digest not in begun:
         raise RuleError(f"{folder} holds a table begun with other rules or another seed")
@@ -73,11 +74,11 @@ def write_batches(df: DataFrame, path: str, key: Sequence[str], configured: int
     many = ranges.count()
     wave = wave or min(MOST_WAVE, max(LEAST_WAVE, -(-many // WAVES)))
     for first in range(0, many, wave):
-        if files.exists(_place(spark, f"{folder}/_commits/first={first:09d}/_SUCCESS")[0]):
+        if files.exists(hadoop_path(spark, f"{folder}/_commits/first={first:09d}/_SUCCESS")[0]):
             continue
-        known = {r["file"] for r in _logged(spark, folder).select("file").collect()} if files.exists(_place(spark, f"{folder}/_commits")[0]) else set()
+        known = {r["file"] for r in _logged(spark, folder).select("file").collect()} if files.exists(hadoop_path(spark, f"{folder}/_commits")[0]) else set()
         for left in [n for n in _names(files, place) if n.startswith("part-") and n not in known]:
-            files.delete(_place(spark, f"{folder}/{left}")[0], False)
+            files.delete(hadoop_path(spark, f"{folder}/{left}")[0], False)
         found = ranges.select("low", "high", "before").orderBy("before").offset(first).limit(wave + 1).collect()
         own, after = found[:wave], found[wave:]
         _write_wave(df, folder, key, ranges, own, after, size)
@@ -88,11 +89,6 @@ def write_batches(df: DataFrame, path: str, key: Sequence[str], configured: int
     return commit_log(spark, folder)
 
 
-def _place(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _names(files, place) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
@@ -130,7 +126,7 @@ def _logged(spark: SparkSession, folder: str) -> DataFrame:
 def commit_log(spark: SparkSession, path: str) -> DataFrame:
     """One row per file that was committed to a table: its batch, its name, its first and last key, its rows. Nothing of the table is read."""
     folder = path.rstrip("/")
-    if not _names(_place(spark, folder)[1], _place(spark, f"{folder}/_commits")[0]):
+    if not _names(hadoop_path(spark, folder)[1], hadoop_path(spark, f"{folder}/_commits")[0]):
         return spark.createDataFrame([], "batch long, file string, n_rows long")
     keys = spark.read.parquet(f"{folder}/_batches/ranges").select("before", F.col("low").alias("first_key"), F.col("high").alias("last_key"))
     return _logged(spark, folder).where("n_rows > 0").join(keys, "before").select("batch", "file", "first_key", "last_key", "n_rows")

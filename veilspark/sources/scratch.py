@@ -45,13 +45,24 @@ def scratch_mark(spark: SparkSession) -> int:
     return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, for what is no table: markers, listings, deletions."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = hadoop_path(spark, path)
+    return files.exists(place)
+
+
 def clear_scratch(spark: SparkSession, since: int = 0) -> None:
     """Delete the intermediate tables written since a mark; they can hold original values. DataFrames built on them end with them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     written = _WRITTEN.get(spark.sparkContext.applicationId, [])
     while len(written) > since:
-        place = jvm.org.apache.hadoop.fs.Path(written.pop())
-        place.getFileSystem(conf).delete(place, True)
+        place, files = hadoop_path(spark, written.pop())
+        files.delete(place, True)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -60,8 +71,8 @@ def discard(*tables: DataFrame) -> None:
         context = table.sparkSession.sparkContext
         names = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
         for path in [p for p in _WRITTEN.get(context.applicationId, []) if any(n.endswith(p.split("://")[-1].lstrip("/")) for n in names)]:
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            place, files = hadoop_path(table.sparkSession, path)
+            files.delete(place, True)
 
 
 def clear_at_exit() -> None:
