@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,9 +15,21 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+# Rows of an Arrow batch: with texts of some kilobytes the usual 10,000 are tens of megabytes, held several times on both sides of the pipe.
+BATCH_ROWS = 2000
+_ROWS_CONF, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has a size of its own."""
+    if spark.conf.get(_ROWS_CONF, _ROWS_DEFAULT) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+
+
 def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """One output batch for each Arrow batch; `make` returns the columns by name."""
     names = StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

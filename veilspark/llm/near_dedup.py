@@ -37,8 +37,8 @@ from veilspark.llm.tables import written
 MISS = 5e-5
 SIGNATURE = 256
 CHUNK = 1024
-BLOCK = 256
-COPIES = 512
+BLOCK = 128
+COPIES = 128
 
 
 def collection_size(threshold: float, rows: int, miss: float = MISS) -> int:
