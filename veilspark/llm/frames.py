@@ -29,7 +29,6 @@ def small_batches(spark: SparkSession) -> None:
 def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """One output batch for each Arrow batch; `make` returns the columns by name."""
     names = StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

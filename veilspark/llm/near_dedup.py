@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
 from veilspark.llm.components import components
-from veilspark.llm.frames import heavy_keys, looked_up, per_batch, picked, row_key
+from veilspark.llm.frames import heavy_keys, looked_up, per_batch, picked, row_key, small_batches
 from veilspark.llm.tables import written
 
 MISS = 5e-5
@@ -290,6 +290,7 @@ def _split(column: str, parts: str):
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_shingles, component_id (smallest id linked with it, directly or through others), kept (it is that document)."""
+    small_batches(docs.sparkSession)
     frame = picked(docs, doc_id=id_col, text=text_col)
     m = collection_size(percent / 100, rows)
     described = written(_described(frame, size, m, rows), "described")
