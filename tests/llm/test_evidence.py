@@ -149,3 +149,49 @@ def test_clean_prose_of_other_scripts_stays_and_loops_go(spark):
     noise = random.Random(6)
     cyrillic = " ".join("".join(chr(0x430 + noise.randrange(32)) for _ in range(6)) for _ in range(600))
     assert not judge_quality(spark.createDataFrame([(1, cyrillic)], "doc_id long, text string")).first()["kept"]
+
+
+def test_no_id_fills_a_cell_of_the_mix(spark, monkeypatch):
+    """Most rows without an id, or with one and the same, and of one size: their numbers spread them over the cells, and reruns agree."""
+    from veilspark.llm import mixing
+
+    rows = [(None, "a b c d", "s1")] * 4000 + [(7, "a b c d", "s1")] * 1500 + [(i, "a b c d", "s1") for i in range(500)] + [(None, "x y", "s2")] * 300
+    kept = {}
+    write = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, label: kept.setdefault(label, write(df, label)) if label == "cells" else write(df, label))
+    monkeypatch.setattr(mixing, "CELL_ROWS", 200)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 700)
+    results = []
+    for parts in (2, 6):
+        kept.clear()
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        found = mixing.mix_sources(docs)
+        results.append(sorted(map(str, found.select("doc_id", "source", "size", "target", "taken").collect())))
+        cells = [r["count"] for r in kept["cells"].groupBy("stratum", "part").count().collect()]
+        assert sum(cells) == len(rows) and max(cells) < 300 and len(cells) >= 30
+        taken = {r["source"]: r["n"] for r in found.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        target = {r["source"]: r["target"] for r in found.select("source", "target").distinct().collect()}
+        assert all(abs(taken[s] - target[s]) <= 8 for s in target)
+    assert results[0] == results[1]
+
+
+def test_rows_repeated_by_number(spark):
+    from veilspark.llm import mixing
+
+    got = mixing.numbered(spark.createDataFrame([("a", 3), ("b", 0), ("c", 25_001)], "x string, n long"), "n", "k")
+    rows = sorted((r["x"], r["k"]) for r in got.collect())
+    assert rows == [("a", 0), ("a", 1), ("a", 2), *[("c", k) for k in range(25_001)]]
+
+
+def test_looked_up_with_hot_and_missing_keys(spark):
+    from veilspark.llm.frames import heavy_keys, looked_up, row_key
+
+    df = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 11 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"), "id")
+    table = df.where("k IS NOT NULL AND k <> '7'").groupBy("k").agg(F.count("*").alias("n"))
+    heavy = heavy_keys(table, "n")
+    assert 0 < heavy.count() < 1024
+    got = looked_up(df, "k", table, "k", heavy.where("k = 'hot'"), F.concat(F.lit("row"), F.col("id").cast("string")), n="n")
+    known = {r["k"]: r["n"] for r in table.collect()}
+    assert sorted((r["id"], r["n"]) for r in got.collect()) == sorted((r["id"], known.get(r["k"])) for r in df.collect())
+    odd = spark.createDataFrame([(None, "a", 1), ("a", None, 1), ("", "a", 1), ("a", "", 1), ("a", "", 1)], "x string, y string, z int")
+    assert odd.select(row_key(odd).alias("k")).distinct().count() == 4
