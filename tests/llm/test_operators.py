@@ -22,7 +22,7 @@ from veilspark.llm.license_scan import WINDOW as LICENSE_WINDOW
 from veilspark.llm.license_texts import TEMPLATES
 from veilspark.llm.mixing import filled, mix_sources, repeated_documents
 from veilspark.llm.near_dedup import collection_size, near_duplicates
-from veilspark.llm.pieces import PieceModel, encode_documents, model_path
+from veilspark.llm.pieces import PieceModel, decode_documents, encode_documents, model_path
 from veilspark.llm.quality_classifier import learn_quality, score_quality
 from veilspark.llm.substring_dedup import pack, remove_repeats, unpack
 from veilspark.llm.surrogates import masked_documents, replace_entities
@@ -589,9 +589,29 @@ def test_pieces_agree_with_the_library():
     bits = ["ab", " ", "  ", "\n", "\t", "the", "ing", "123", "é", "ñ", "😀", "▁", "日本", "\r", '"));', "<s>", "<0x41>", "\x00", " ", "e", "t", " t", "ß", "�"]
     texts = ["", " ", "\n", "▁", "a" * 3000, " " * 50, "etaoin" * 500, *["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(1500)]]
     for t in texts:
-        ids, decoded = own.encode(t)
+        ids, decoded = own.both(t)
         expected = library.encode(t, add_bos=True, add_eos=True)
-        assert np.frombuffer(ids, "<u4").tolist() == expected and decoded == library.decode(expected)
+        assert np.frombuffer(ids, "<u4").tolist() == expected and decoded.decode() == library.decode(expected)
+
+
+def test_ids_from_elsewhere_are_decoded_as_the_library_does(spark, monkeypatch):
+    """Ids that no encoding gives: bytes that are no UTF-8, control ids between them, unknown ids, marks anywhere."""
+    import sentencepiece
+
+    from veilspark.llm import pieces
+
+    own, library = PieceModel(model_path()), sentencepiece.SentencePieceProcessor(model_file=model_path())
+    r, many = random.Random(8), library.get_piece_size()
+    raw = [i for i in range(many) if library.is_byte(i)]
+    mark = library.piece_to_id("▁")
+    lists = [[r.choice([r.randrange(many), r.choice(raw), r.choice(raw), r.randrange(0, 5), mark]) for _ in range(r.randrange(0, 9))] for _ in range(4000)]
+    lists += [[library.piece_to_id(f"<0x{b:02X}>") for b in text.encode()] + x for text, x in zip(["▁", "é", "😀", "▁a", "日"] * 50, lists)]
+    for ids in lists:
+        assert own.decoded(ids).decode() == library.decode(ids)
+    monkeypatch.setattr(pieces, "DECODED_IDS", 3)
+    assert all(own.decoded(ids).decode() == library.decode(ids) for ids in lists[:1000])
+    frame = spark.createDataFrame([(1, lists[0]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert sorted(map(tuple, decode_documents(frame).collect())) == [(1, library.decode(lists[0])), (2, ""), (3, "")]
 
 
 def test_pieces_odd_rows(odd, empty):
