@@ -225,6 +225,40 @@ def test_multikey_quicksort_counts_like_a_dictionary():
         assert found == {g: n for g, n in expected.items() if n >= least}
 
 
+@pytest.mark.parametrize("kind", [0, 2, 3])
+def test_a_bucket_is_sorted_in_bounded_parts(monkeypatch, kind):
+    rng = np.random.default_rng(6)
+    keys = rng.integers(1, 200, (6000, 3)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys[:, 1:] %= np.uint64(5)
+    keys[:, 1:] += np.uint64(1)
+    keys = keys[np.argsort(keys[:, 0], kind="stable")]
+    if kind == 2:
+        keys[:, 2] = 0
+    count = rng.integers(1, 300, 6000)
+    expected = collections.Counter()
+    for row, c in zip(keys.tolist(), count.tolist()):
+        for k in (kind,) if kind else (2, 3):
+            expected[tuple(row[:k])] += c
+    monkeypatch.setattr(C, "SORTED_WORDS", 1000)
+    sizes, whole = [], C.phrases
+    monkeypatch.setattr(C, "phrases", lambda k, *rest: (sizes.append(len(k)), whole(k, *rest))[1])
+    blobs = [C._packed(keys[a : a + 700], count[a : a + 700]) for a in range(0, 6000, 700)]
+    found = {}
+    for _, rows, n in C.bucket_phrases(kind, blobs, 400):
+        for row, c in zip(rows.tolist(), n.tolist()):
+            assert tuple(row) not in found
+            found[tuple(row)] = c
+    assert found == {g: n for g, n in expected.items() if n >= 400} and found
+    assert sum(sizes) == 6000 and max(sizes) <= 1500
+
+
+def test_packed_suffixes_are_sent_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(C, "SENT_BYTES", 100)
+    rows = [(0, k, b"x" * (k % 40)) for k in range(500)]
+    sent = list(C._in_batches(iter(rows)))
+    assert [r for b in sent for r in b] == rows and max(sum(len(r[2]) for r in b) for b in sent) < 140
+
+
 def test_suffixes_come_back_packed():
     rng = np.random.default_rng(4)
     keys = np.sort(rng.integers(0, 50, (300, 3)).astype(np.uint64), axis=0)

@@ -12,7 +12,7 @@ they meet within one chunk: of a million different words two have one hash with
    of words, so each holds about BUCKET_WORDS.
 3. In a bucket the pointers are sorted word by word: partitions smaller, equal and greater than a pivot word; equal ones go on to the next
    word. The size of an equal partition is a phrase's count; a partition of fewer than `least` occurrences is abandoned, whole.
-   All partitions of a depth are divided at once.
+   All partitions of a depth are divided at once, SORTED_WORDS pointers or so at a time.
 
 Phrases are then joined with the counts of their parts; words with a hot share of occurrences are looked up in a broadcast list (at most
 2**HOT_BITS of them), the others in a shuffle. Arithmetic is exact (decimals of 38 digits, counts below 10**15). Null languages are `und`,
@@ -25,17 +25,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
-from veilspark.llm.frames import looked_up, picked
+from veilspark.llm.frames import looked_up, picked, small_batches
 from veilspark.llm.tables import written
 
 CHUNK_BYTES = 4 << 20
 BUCKET_WORDS = 1_000_000
+# Suffixes that are sorted at once, of the bucket's, and bytes of an Arrow batch of packed ones.
+SORTED_WORDS = 1 << 18
+SENT_BYTES = 2 << 20
 HOT_BITS = 17
 FREQUENT_BITS = 26
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\v\f\r", np.uint8))
@@ -263,6 +265,14 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, count
 
 
+def _route(keys: np.ndarray, by: int) -> np.ndarray:
+    """A number for the first `by` words of each row."""
+    route = np.zeros(len(keys), np.uint64)
+    for k, factor in enumerate(W.numbers(by, 59)):
+        route += keys[:, k] * (factor | np.uint64(1))
+    return W.mix(route)
+
+
 def _dealt(keys: np.ndarray, count: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """kind, bucket, packed suffixes. Kind 0: all suffixes of a first word; of hot words kind k > 0: k words, dealt by all of them."""
     is_hot = np.isin(keys[:, 0], hot)
@@ -275,10 +285,7 @@ def _dealt(keys: np.ndarray, count: np.ndarray, hot: np.ndarray, buckets: int) -
     for kind, some, n, by in parts:
         if not len(some):
             continue
-        route = np.zeros(len(some), np.uint64)
-        for k, factor in enumerate(W.numbers(by, 59)):
-            route += some[:, k] * (factor | np.uint64(1))
-        bucket = (W.mix(route) % np.uint64(buckets)).astype(np.int64)
+        bucket = (_route(some, by) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((some[:, 0], bucket))
         some, n, bucket = some[order], n[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -296,7 +303,9 @@ def route_suffixes(docs: DataFrame, seed: int, bits: np.ndarray, hot: np.ndarray
             parts = [_summed(found, np.ones(len(found), np.int64)) for found in (suffixes(t, positions(bits, t.hash), longest) for t in _tokenised(texts, langs, seed))]
             if not parts:
                 continue
-            keys, count = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            keys, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            del parts
+            keys, count = _summed(keys, count)
             for rows in _in_batches(_dealt(keys, count, hot, buckets)):
                 kind, bucket, blob = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int64()), pa.array(blob, pa.binary())], ["kind", "bucket", "suffixes"])
@@ -305,35 +314,52 @@ def route_suffixes(docs: DataFrame, seed: int, bits: np.ndarray, hot: np.ndarray
 
 
 def _in_batches(rows: Iterator[tuple], most: int = 1024) -> Iterator[list]:
-    held = []
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) == most:
+        size += len(row[-1])
+        if len(held) == most or size >= SENT_BYTES:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 
 
+def bucket_phrases(kind: int, blobs: list, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """What `phrases` gives for all suffixes of a bucket, that are sorted in parts of about SORTED_WORDS. Suffixes that share the words by
+    which they were dealt are in one part, so a part counts for itself."""
+    size = [int(np.frombuffer(b, "<u4", 1)[0]) for b in blobs]
+    width = int(np.frombuffer(blobs[0], "<u4", 3)[2])
+    keys, count = np.empty((sum(size), width), np.uint64), np.empty(sum(size), np.int64)
+    at = 0
+    for blob, n in zip(blobs, size):
+        keys[at : at + n], count[at : at + n] = _unpacked(blob)
+        at += n
+    parts = -(-len(keys) // SORTED_WORDS)
+    # The low bits tell the bucket.
+    part = ((_route(keys, max(kind, 1)) >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+    for p in range(parts):
+        here = part == p
+        for depth, found, n in phrases(keys[here], count[here], least):
+            # A bucket has all suffixes of its first word (kind 0), or all phrases of as many words as its kind.
+            if depth >= 2 and kind in (0, depth):
+                yield depth, found, n
+
+
 def count_phrases(routed: DataFrame, least: int, longest: int) -> DataFrame:
     """h1 .. h<longest> (null beyond the phrase) and a: phrases of two words and more with at least `least` occurrences."""
     names = [f"h{k}" for k in range(1, longest + 1)]
+    kinds = pa.schema([(n, pa.int64()) for n in [*names, "a"]])
 
-    def of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = int(rows["kind"].iloc[0])
-        blobs = [_unpacked(x) for x in rows["suffixes"]]
-        keys, count = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs])
-        del blobs
+    def of_bucket(rows: pa.Table) -> pa.Table:
+        blobs = [x.as_buffer() for x in rows.column("suffixes")]
         out = []
-        for depth, found, n in phrases(keys, count, least):
-            # A bucket has all suffixes of its first word (kind 0), or all phrases of as many words as its kind.
-            if depth >= 2 and kind in (0, depth):
-                frame = {name: pd.array(found[:, k].astype(np.int64)) if k < depth else pd.array([None] * len(n), "Int64") for k, name in enumerate(names)}
-                out.append(pd.DataFrame(frame | {"a": n}))
-        return pd.concat(out) if out else pd.DataFrame({name: pd.array([], "Int64") for name in [*names, "a"]})
+        for depth, found, n in bucket_phrases(rows.column("kind")[0].as_py(), blobs, least):
+            cells = [pa.array(found[:, k].astype(np.int64)) if k < depth else pa.nulls(len(n), pa.int64()) for k in range(longest)]
+            out.append(pa.RecordBatch.from_arrays([*cells, pa.array(n.astype(np.int64))], schema=kinds))
+        return pa.Table.from_batches(out, kinds)
 
-    schema = ", ".join(f"{n} long" for n in [*names, "a"])
-    return routed.groupBy("kind", "bucket").applyInPandas(of_bucket, schema)
+    return routed.groupBy("kind", "bucket").applyInArrow(of_bucket, ", ".join(f"{n} long" for n in kinds.names))
 
 
 def _looked_up(df: DataFrame, key: str, words: DataFrame, hot: DataFrame, **columns: str) -> DataFrame:
@@ -351,6 +377,7 @@ def mine_phrases(docs: DataFrame, least: int = 10, top: int = 2000, share: int =
     of its occurrences is left out. `longest` is 2 or 3."""
     if longest not in (2, 3):
         raise ValueError("phrases have 2 or 3 words")
+    small_batches(docs.sparkSession)
     frame = picked(docs, text=text_col, lang=lang_col).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("und")))
     seed = 61
     while True:
