@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suite import twin as w
@@ -48,6 +50,16 @@ def _measure_sql(table: str) -> str:
     )
 
 
+def _in_files(df: DataFrame, least: int = 3) -> DataFrame:
+    """A part for each file to be written: those of the scan, which grow with the table, or `least` where these are fewer."""
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
+def _exact_distinct(df: DataFrame) -> DataFrame:
+    """name, exact: distinct values of every column, each counted for itself, so that a row is not sent once for each column, whole."""
+    return reduce(DataFrame.unionByName, [df.select(F.col(n)).agg(F.lit(n.upper()).alias("name"), F.count_distinct(n).alias("exact")) for n in df.columns])
+
+
 @query("profile_sketches", " UNION ALL ".join(map(_measure_sql, ("lineitem", "orders"))))
 def _sketches(spark, sf):
     """Profiles of tables that got more files since the profile before: exact spans, distinct values within two percent, medians within three percent of rank."""
@@ -56,12 +68,10 @@ def _sketches(spark, sf):
         source, store = scratch_path(spark, "growing"), scratch_path(spark, "profile")
         whole = read(spark, sf, table)
         for some in (split, f"NOT ({split})"):
-            whole.where(some).repartition(3).write.mode("append").parquet(source)
+            _in_files(whole.where(some)).write.mode("append").parquet(source)
             # The second profile opens the second files only.
             found = profile_sketches(table, spark.read.parquet(source), store)
-        names = [f.name for f in whole.schema.fields]
-        exact = whole.agg(*[F.count_distinct(n).alias(f"d{i}") for i, n in enumerate(names)])
-        listed = exact.select(F.explode(F.array(*[F.struct(F.lit(n.upper()).alias("name"), F.col(f"d{i}").alias("exact")) for i, n in enumerate(names)])).alias("x")).select("x.*")
+        listed = _exact_distinct(whole)
         numbers = [f.name for f in whole.schema.fields if f.dataType.typeName() in ("integer", "long", "double")]
         joined = found.join(listed, F.col("column_name") == F.col("name"))
         # The share of rows below the sketch's median, and up to it. A profile has one row for each column.

@@ -70,6 +70,32 @@ def test_a_second_profile_opens_new_files_only(spark, orders, tmp_path):
     assert {r["n_rows"] for r in profile_sketches("orders", kept, store).collect()} == {kept.count()}
 
 
+def test_profiled_tables_are_written_and_counted_in_parts(spark, sf_dir, tmp_path, monkeypatch):
+    from suite import growing
+
+    tables = {}
+    for table in ("lineitem", "orders"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(8).write.parquet(f"{tmp_path}/{table}.parquet")
+        tables[table] = spark.read.parquet(f"{tmp_path}/{table}.parquet")
+    opened = []
+    one = growing.profile_sketches
+    monkeypatch.setattr(growing, "profile_sketches", lambda t, df, store: (opened.append((t, len(df.inputFiles()))), one(t, df, store))[1])
+    found = growing._sketches(spark, str(tmp_path))
+    # As many files as the scan has parts, and no row sent once for each column.
+    parts = {t: df.rdd.getNumPartitions() for t, df in tables.items()}
+    assert min(parts.values()) > 3 and opened == [(t, k * n) for t, n in parts.items() for k in (1, 2)]
+    assert "Expand" not in found._jdf.queryExecution().toString()
+    rows = found.collect()
+    assert len(rows) == 13 and all(r["distinct_near"] and r["median_near"] for r in rows)
+
+
+def test_distinct_values_of_each_column(spark):
+    from suite.growing import _exact_distinct
+
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (2, None, None)], "x int, y string, z double")
+    assert sorted(map(tuple, _exact_distinct(df).collect())) == [("X", 2), ("Y", 1), ("Z", 0)]
+
+
 def test_the_least_keys(spark):
     df = spark.range(600).select((F.col("id") / 20).cast("int").alias("a"), (F.col("id") % 20).cast("int").alias("b"), F.col("id").alias("c"), (F.col("id") * 2).cast("string").alias("d"), F.when(F.col("id") > 0, F.col("id")).alias("e"))
     assert discover_keys(df, 2) == [("c",), ("d",), ("a", "b")] and discover_keys(df.drop("c", "d"), 2) == [("a", "b")]

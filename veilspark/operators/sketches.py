@@ -46,7 +46,8 @@ def update_profile(df: DataFrame, store: str) -> int:
     files = set(df.inputFiles())
     known = {r["file"] for r in spark.read.parquet(store).select("file").collect()} if exists(spark, store) else set()
     plain = lambda name: name.replace("file:///", "file:/")
-    new = sorted(f for f in files if plain(f) not in {plain(k) for k in known})
+    known = {plain(k) for k in known}
+    new = sorted(f for f in files if plain(f) not in known)
     if new:
         _per_file(spark.read.schema(df.schema).parquet(*new)).write.mode("append").parquet(store)
     return len(new)
