@@ -259,6 +259,12 @@ def test_packed_suffixes_are_sent_in_bounded_batches(monkeypatch):
     assert [r for b in sent for r in b] == rows and max(sum(len(r[2]) for r in b) for b in sent) < 140
 
 
+def test_a_chunk_is_split_into_words_in_parts():
+    texts = pa.array(["word " * 2000] * 100)
+    parts = [len(t.data) for t in C._tokenised(texts, ["en"] * 100, 61)]
+    assert sum(parts) == 1_000_000 and max(parts) <= 1 << 18
+
+
 def test_suffixes_come_back_packed():
     rng = np.random.default_rng(4)
     keys = np.sort(rng.integers(0, 50, (300, 3)).astype(np.uint64), axis=0)

@@ -34,6 +34,8 @@ from veilspark.llm.frames import looked_up, picked, small_batches
 from veilspark.llm.tables import written
 
 CHUNK_BYTES = 4 << 20
+# Bytes of a chunk that are split into words at once.
+PART_BYTES = 1 << 18
 BUCKET_WORDS = 1_000_000
 # Suffixes that are sorted at once, of the bucket's, and bytes of an Arrow batch of packed ones.
 SORTED_WORDS = 1 << 18
@@ -101,7 +103,7 @@ def _together(held: list[pa.RecordBatch]) -> tuple[pa.Array, list[str]]:
 def _tokenised(texts: pa.Array, langs: list[str], seed: int) -> Iterator[Tokens]:
     salt = {x: _hash_of(x, seed) for x in set(langs)}
     salts = np.array([salt[x] for x in langs], np.uint64)
-    for s in W.slices(texts):
+    for s in W.slices(texts, PART_BYTES):
         yield tokens(s, salts[s.first : s.last])
 
 
@@ -118,22 +120,29 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, langs in _chunks(batches):
-            found: dict[int, list] = {}
-            names = np.array(langs, object)
+            # Distinct words of the chunk so far, by hash, with their number among `words`.
+            known, number, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            of, words = [], []
             base = 0
-            for s, t in zip(W.slices(texts), _tokenised(texts, langs, seed)):
+            for s, t in zip(W.slices(texts, PART_BYTES), _tokenised(texts, langs, seed)):
                 value, place, count = _first_of_each(t.hash)
+                at = np.searchsorted(known, value)
+                old = at < len(known)
+                old[old] = known[at[old]] == value[old]
+                total[number[at[old]]] += count[old]
+                place, new = place[~old], value[~old]
                 raw = t.data.tobytes()
-                of_row = names[base + t.row[place]]
-                for h, p, n, lang in zip(value.astype(np.int64).tolist(), place.tolist(), count.tolist(), of_row.tolist()):
-                    held = found.get(h)
-                    if held is None:
-                        found[h] = [lang, raw[t.begin[p] : t.end[p]], n]
-                    else:
-                        held[2] += n
+                words += [raw[b:e] for b, e in zip(t.begin[place].tolist(), t.end[place].tolist())]
+                of += [langs[base + r] for r in t.row[place].tolist()]
+                # Both are in order, so new ones go in where they belong.
+                known = np.insert(known, at[~old], new)
+                number = np.insert(number, at[~old], np.arange(len(total), len(words)))
+                total = np.append(total, count[~old])
                 base += s.rows
-            columns = [pa.array([x[0] for x in found.values()], pa.string()), pa.array([x[1] for x in found.values()], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found), pa.int64()), pa.array([x[2] for x in found.values()], pa.int64())], ["lang", "word", "h", "f"])
+            h = np.empty(len(known), np.int64)
+            h[number] = known.astype(np.int64)
+            columns = [pa.array(of, pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(h), pa.array(total)], ["lang", "word", "h", "f"])
 
     return docs.mapInArrow(run, "lang string, word string, h long, f long").groupBy("lang", "word", "h").agg(F.sum("f").alias("f"))
 
@@ -276,16 +285,15 @@ def _route(keys: np.ndarray, by: int) -> np.ndarray:
 def _dealt(keys: np.ndarray, count: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """kind, bucket, packed suffixes. Kind 0: all suffixes of a first word; of hot words kind k > 0: k words, dealt by all of them."""
     is_hot = np.isin(keys[:, 0], hot)
-    parts = [(0, keys[~is_hot], count[~is_hot], 1)]
-    for k in range(2, keys.shape[1] + 1):
-        cut = keys[is_hot].copy()
-        cut[:, k:] = 0
-        there = cut[:, k - 1] != 0
-        parts.append((k, *_summed(cut[there], count[is_hot][there]), k))
-    for kind, some, n, by in parts:
+    for kind in (0, *range(2, keys.shape[1] + 1)):
+        there = is_hot & (keys[:, kind - 1] != 0) if kind else ~is_hot
+        some, n = keys[there], count[there]
+        if kind:
+            some[:, kind:] = 0
+            some, n = _summed(some, n)
         if not len(some):
             continue
-        bucket = (_route(some, by) % np.uint64(buckets)).astype(np.int64)
+        bucket = (_route(some, max(kind, 1)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((some[:, 0], bucket))
         some, n, bucket = some[order], n[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
